@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import ngram_jaccard
+from corpusq.llm import bloom_dedup, diagonal_license, divergence, ngram_jaccard, randomness
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,47 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard}
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: base spans by pattern, more by the randomness battery."""
+    found = randomness.find_secrets(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.encode(randomness.spans_text(F.col("base")), "UTF-8"), 256).alias("base_sha256"), randomness.spans_text(F.concat("base", "added")).alias("spans"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules over all documents, with references of their languages from all documents."""
+    return divergence.quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents."""
+    return bloom_dedup.exact_groups(_table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template spans of all documents."""
+    return diagonal_license.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_license_scan": op9_license_scan,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, length(coalesce(text, '')) AS size,
+                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+            FROM documents),
+        k AS (
+            SELECT doc_id, text_sha256,
+                   first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY size DESC, doc_id) AS keep_id,
+                   count(*) OVER (PARTITION BY text_sha256) AS group_size
+            FROM d)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
+    """,
+}
