@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import bloom_dedup, diagonal_license, divergence, ngram_jaccard, randomness
+from corpusq.llm import bloom_dedup, diagonal_license, divergence, nbsvm, ngram_jaccard, randomness
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; learnt from labelled rows outside the held-out fifth."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = nbsvm.train(docs, _table(spark, sf_dir, "labels"), ~nbsvm.held_out())
+    scored = nbsvm.score(docs, model)
+    return scored.select("doc_id", nbsvm.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents: base spans by pattern, more by the randomness battery."""
     found = randomness.find_secrets(_table(spark, sf_dir, "documents"))
@@ -41,6 +49,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_secret_scan": op5_secret_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
