@@ -60,12 +60,15 @@ def slices(offs: np.ndarray) -> Iterator[tuple[int, int]]:
 class Words:
     """The words of some rows: byte ranges, row of each word, 64-bit hash of each word."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool, space: np.ndarray = _SPACE):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool, space: np.ndarray = _SPACE, cut=None):
+        """``cut(text)``, if given, marks bytes at which a new word begins even without a space."""
         base, text = int(offs[0]), data[int(offs[0]) : int(offs[-1])]
         rows = offs - base
         edge = np.zeros(len(text) + 1, bool)
         edge[rows[:-1]] = True
         edge[-1] = True
+        if cut is not None:
+            edge[:-1] |= cut(text)
         inside = ~space[text]
         before = np.empty(len(text), bool)
         before[:1], before[1:] = False, inside[:-1]
