@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import bloom_dedup, bm25_packing, diagonal_license, divergence, nbsvm, ngram_jaccard, randomness
+from corpusq.llm import bloom_dedup, bm25_packing, diagonal_license, divergence, nbsvm, ngram_jaccard, randomness, tag_path, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -44,6 +44,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.encode(randomness.spans_text(F.col("base")), "UTF-8"), 256).alias("base_sha256"), randomness.spans_text(F.concat("base", "added")).alias("spans"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return tag_path.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules over all documents, with references of their languages from all documents."""
     return divergence.quality_rules(_table(spark, sf_dir, "documents"))
@@ -59,17 +64,34 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagonal_license.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives, normalised to a member per record, and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("html", "url")
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_bm25_packing": op3_bm25_packing,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_secret_scan": op5_secret_scan,
+    "op6_html_text": op6_html_text,
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_warc": r"""
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM f
+    """,
     "op8_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS size,
