@@ -1,10 +1,67 @@
-"""Corpus pipeline: quality filter, de-duplication, secret scan and packing as one chain of stages."""
+"""Corpus pipeline: quality filter, exact and near de-duplication, secret redaction, packing.
+
+Every stage takes ``(spark, docs, sf_dir)``, works on all that the stage before kept, and is written
+and read again before the next. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusq.llm import bloom_dedup, bm25_packing, nbsvm, ngram_jaccard, randomness
+from corpusq.llm.queries import tokenizer_path
+from corpusq.llm.scratch import materialize
+
+#: Documents with a lower quality score go.
+LEAST_SCORE = 0.3
+#: Words of a shingle and least Jaccard similarity, in per cent, of near copies.
+SHINGLE, PERCENT = 5, 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learnt from the labels, does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = nbsvm.train(docs.select("doc_id", "text"), labels, ~nbsvm.held_out())
+    return nbsvm.score(docs, model).where(F.col("score") >= LEAST_SCORE).drop("score")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal without white space, the longest and first."""
+    return bloom_dedup.keep_first_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies, the document with the smallest id."""
+    found = ngram_jaccard.jaccard_components(docs, k=SHINGLE, percent=PERCENT)
+    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, found secrets replaced by a mark and the length counted anew."""
+    return randomness.redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in training windows."""
+    return bm25_packing.pack(docs, tokenizer_path("word_bpe_49k.json"), with_ids=False)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("secret scans", secrets),
+    ("packing", packing),
+]
+
+#: The stages learn, link and pack in ways that SQL does not express; tests compare each with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that all stages leave of the documents table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (name, stage) in enumerate(STAGES):
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{number}")
+    return docs

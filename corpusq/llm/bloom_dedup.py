@@ -100,19 +100,35 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     normalising is kept, then the smallest id. Ids must be unique. Other columns are ignored; an
     empty table gives an empty one.
     """
+    d, bitmap, bits = _hashed(docs, id_col, text_col, most_bits)
+    d = _maybe_repeated(d, bitmap, bits)
+    alone = d.where(~F.col("again")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    return alone.unionByName(_met(d.where("again")))
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str, most_bits: int) -> tuple[DataFrame, bytes, int]:
+    """Narrow rows (doc_id, size, text_sha256, h), and the filter over them."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).alias("size"), F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256).alias("text_sha256"))
     d = materialize(d.withColumn("h", F.xxhash64("text_sha256")), "hashes")
-    bitmap, bits = repeated_filter(d.select("h"), d.count(), most_bits)
-    d = _maybe_repeated(d, bitmap, bits)
-    alone = d.where(~F.col("again")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    maybe = d.where("again").select("doc_id", "size", "text_sha256")
+    return d, *repeated_filter(d.select("h"), d.count(), most_bits)
+
+
+def _met(maybe: DataFrame) -> DataFrame:
+    """The rows that meet, by full hash."""
     best = maybe.groupBy("text_sha256").agg(F.max(F.struct("size", (-F.col("doc_id")).alias("less"))).alias("best"), F.count("*").alias("group_size"))
-    together = maybe.join(best, "text_sha256").select("doc_id", (-F.col("best.less")).alias("keep_id"), "group_size", (F.col("doc_id") == -F.col("best.less")).alias("kept"), "text_sha256")
-    return alone.unionByName(together)
+    keep = -F.col("best.less")
+    return maybe.join(best, "text_sha256").select("doc_id", keep.alias("keep_id"), "group_size", (F.col("doc_id") == keep).alias("kept"), "text_sha256")
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
-    """The rows of ``docs`` that ``exact_groups`` keeps, with the columns they came with."""
-    dropped = exact_groups(docs, id_col, text_col, most_bits).where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return docs.join(dropped, id_col, "left_anti")
+    """The rows of ``docs`` that ``exact_groups`` keeps, with the columns they came with.
+
+    Rows that the filter tells apart go straight through; only the others meet their group.
+    """
+    d, bitmap, bits = _hashed(docs, id_col, text_col, most_bits)
+    dropped = _met(_maybe_repeated(d, bitmap, bits).where("again")).where(~F.col("kept")).select("doc_id")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256)).alias("h"))
+    rows = _maybe_repeated(rows, bitmap, bits)
+    met = rows.where("again").join(dropped, F.col("row")[id_col].cast("long") == F.col("doc_id"), "left_anti")
+    return rows.where(~F.col("again")).select("row.*").unionByName(met.select("row.*"))
