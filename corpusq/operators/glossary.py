@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusq.functions import text as tx
 
@@ -86,13 +87,13 @@ def duplicate_pairs(cards: DataFrame, least: float = DUPLICATE_RATIO) -> DataFra
     return p.where(F.col("similarity") >= least).select("group_id", F.col("card_id_a").alias("a"), F.col("card_id_b").alias("b"), "similarity")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of candidate pairs, called with (left, right)."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def covered_share(short: pd.Series, long: pd.Series) -> pd.Series:
     """Share of the shorter text in blocks that match the longer one."""
     return pd.Series([sum(m.size for m in difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).get_matching_blocks()) / max(1, len(x or "")) for x, y in zip(short, long)])

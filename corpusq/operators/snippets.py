@@ -7,9 +7,12 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Aimed-at and greatest lengths of sentence and paragraph snippets, in code points.
 TARGET, HARD, PARAGRAPH_TARGET, PARAGRAPH_HARD, SHORT = 360, 600, 600, 800, 180
+SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("cut_before", T.BooleanType()), T.StructField("cut_after", T.BooleanType())])
 SENTENCE = re.compile(r"\s*(?:[^。！？!?…\n\r]*[。！？!?…]+[」』”\")）)》〉】]*|[^。！？!?…\n\r]+)")
 CLAUSE = re.compile(r"[，；：,;:。！？!?…\n\r]")
 
@@ -90,13 +93,13 @@ def paragraph_window(texts: list[str], at: int, start: int, end: int) -> tuple[s
     return "\n".join(texts[left : right + 1]), left > 0, right + 1 < len(texts)
 
 
-@F.pandas_udf("start int, end int")
+@F.pandas_udf(SPAN)
 def sentence_snippet(text: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
     """Sentence window of each (text, match start, match end)."""
     return pd.DataFrame([sentence_window(t or "", int(a), int(b)) for t, a, b in zip(text, start, end)], columns=["start", "end"])
 
 
-@F.pandas_udf("text string, cut_before boolean, cut_after boolean")
+@F.pandas_udf(CUT)
 def paragraph_snippet(texts: pd.Series, at: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
     """Paragraph window; ``texts`` holds the block and its neighbours, ``at`` its place among them."""
     return pd.DataFrame([paragraph_window(list(t), int(i), int(a), int(b)) for t, i, a, b in zip(texts, at, start, end)], columns=["text", "cut_before", "cut_after"])
