@@ -14,6 +14,10 @@ How a link is found:
    all sets below a node, and leaves a subtree when overlap plus remaining length can't reach the
    least overlap. A parity sketch, an upper bound for the overlap too, then drops most near misses.
 5. The remaining pairs are checked by the exact overlap of their sets.
+
+For components not every link has to be listed. A first walk keeps, for each class of a group, one
+partner; a second walk skips pairs that these links already connect, so a large group of near copies
+costs edges in proportion to its size, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -192,11 +196,12 @@ def _ordered_sets(percent: int):
     return run
 
 
-def _walk(gid: np.ndarray, n: np.ndarray, place: np.ndarray, tail: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _walk(gid: np.ndarray, n: np.ndarray, place: np.ndarray, tail: np.ndarray, sketch: np.ndarray, side: np.ndarray, known: np.ndarray, percent: int, one: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one group that pass every bound. Rows must be sorted by (gid, tail).
 
     A node of depth d is a run of rows of one group with equal first d tail entries. ``side`` 0 and 1
     are the two blocks of a dealt group, of which only pairs of unequal sides count; 2 means all.
+    Pairs with equal ``known`` labels are skipped. With ``one``, a row keeps its first partner only.
     """
     m, depth = tail.shape
     rest = n - place - 1
@@ -219,15 +224,29 @@ def _walk(gid: np.ndarray, n: np.ndarray, place: np.ndarray, tail: np.ndarray, s
         need = _least_overlap(n[probe], n[row], percent)
         ok = overlap + np.minimum(rest[probe] - used, rest[row] - d) >= need
         ok &= ((side[probe] == 2) & (side[row] == 2)) | (side[probe] != side[row])
+        ok &= known[probe] != known[row]
         ok &= np.minimum(n[probe], n[row]) * 100 >= np.maximum(n[probe], n[row]) * percent
         probe, row, need = probe[ok], row[ok], need[ok]
+        if not len(probe):
+            return
         apart = np.bitwise_count(sketch[probe] ^ sketch[row]).sum(1).astype(np.int64)
         ok = apart <= n[probe] + n[row] - 2 * need
         found.append((probe[ok], row[ok]))
 
+    def firsts() -> None:
+        """Of what one slice of probes has found: the first partner of each probe, and of each row."""
+        probe, row = (np.concatenate([x[i] for x in found[mark:]]) for i in (0, 1))
+        order = np.lexsort((row, probe))
+        keep = np.zeros(len(probe), bool)
+        keep[order[np.r_[True, np.diff(probe[order]) > 0]]] = True
+        order = np.lexsort((probe, row))
+        keep[order[np.r_[True, np.diff(row[order]) > 0]]] = True
+        found[mark:] = [(probe[keep], row[keep])]
+
     start = 0
     while start < m:
-        stop = max(start + 1, int(np.searchsorted(weight, weight[start] - sizes[node_of[start]] + 400_000, "right")))
+        mark = len(found)
+        stop = max(start + 1, int(np.searchsorted(weight, weight[start] - sizes[node_of[start]] + 200_000, "right")))
         probe = np.arange(start, stop)
         node, overlap, used = node_of[start:stop], np.ones(stop - start, np.int64), np.zeros(stop - start, np.int64)
         for d in range(depth + 1):
@@ -254,12 +273,14 @@ def _walk(gid: np.ndarray, n: np.ndarray, place: np.ndarray, tail: np.ndarray, s
             need = _least_overlap(n[probe], least[d + 1][child], percent)
             ok = overlap + np.minimum(rest[probe] - used, np.maximum(longest[d + 1][child], 0)) >= need
             probe, node, overlap, used = probe[ok], child[ok], overlap[ok], used[ok]
+        if one and len(found) > mark and sum(len(x) for x, _ in found[mark:]):
+            firsts()
         start = stop
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _trie_pairs(percent: int):
-    """Candidate pairs of classes from rows that arrive group by group."""
+def _trie_pairs(percent: int, one: bool):
+    """Candidate pairs of classes from rows that arrive group by group; see ``_walk`` for ``one``."""
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         tail = np.full((len(frame), TREE_DEPTH), np.iinfo(np.int64).max)
@@ -267,13 +288,17 @@ def _trie_pairs(percent: int):
             tail[i, : len(x)] = x
         gid = (frame.token.to_numpy() != frame.token.shift().to_numpy()) | (frame.i.to_numpy() != frame.i.shift().to_numpy()) | (frame.j.to_numpy() != frame.j.shift().to_numpy())
         gid = np.cumsum(gid)
+        known = frame.known.to_numpy().astype(np.int64)
+        open_ = np.flatnonzero(pd.Series(known).groupby(gid).transform("nunique").to_numpy() > 1)
+        frame, tail, gid, known = frame.iloc[open_], tail[open_], gid[open_], known[open_]
+        if not len(frame):
+            return pd.DataFrame({"a": [], "b": []}, dtype=object)
         order = np.lexsort((*tail.T[::-1], gid))
         sketch = np.frombuffer(b"".join(frame.sketch), np.uint64).reshape(len(frame), SKETCH_WORDS)[order]
-        cls = frame.cls.to_numpy()[order]
+        cls = frame.class_id.to_numpy()[order]
         side = np.where(frame.i == frame.j, 2, np.where(frame.block == frame.i, 0, 1))[order]
-        a, b = _walk(gid[order], frame.n.to_numpy().astype(np.int64)[order], frame.place.to_numpy().astype(np.int64)[order], tail[order], sketch, side, percent)
-        pairs = {(min(x, y), max(x, y)) for x, y in zip(cls[a], cls[b])}
-        return pd.DataFrame(list(pairs), columns=["a", "b"])
+        a, b = _walk(gid[order], frame.n.to_numpy().astype(np.int64)[order], frame.place.to_numpy().astype(np.int64)[order], tail[order], sketch, side, known[order], percent, one)
+        return pd.DataFrame({"a": np.minimum(cls[a], cls[b]), "b": np.maximum(cls[a], cls[b])}).drop_duplicates()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -293,15 +318,8 @@ def _trie_pairs(percent: int):
     return run
 
 
-def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(members, links)`` of all texts with Jaccard similarity of word k-shingles >= percent / 100.
-
-    ``members(doc_id, n_shingles, class_id)``: class_id is the smallest id of the documents with the
-    same shingle set. ``links(src, dst)``: pairs of linked classes, by class_id, src < dst. Words are
-    maximal runs of other characters than white space, A-Z in lower case; a text of fewer than k words
-    has one shingle. Null and empty texts have no shingle, stand alone in a class, and link with
-    nothing. Ids must be unique; other columns are ignored; an empty table gives two empty ones.
-    """
+def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, sets, entries): documents with their class, ordered sets, shared prefix hashes."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chars = d.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(2, min(24, math.ceil(math.log2(max(1, chars / 6 / CHUNK_SHINGLES)))))
@@ -311,38 +329,53 @@ def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     sets = materialize(sets, "sets", by="kind")
     rows = sets.where("kind = 0 and doc_id is not null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "cls")
     first = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"))
-    members = rows.join(first, "cls", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
+    members = materialize(rows.join(first, "cls", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "members")
 
     prefix = sets.where("kind = 1").select("token", "cls", "n", "place").distinct()
     shared = prefix.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
-    prefix = materialize(prefix.join(shared, "token"), "prefix")
-    content = sets.where("kind = 2").select("cls", "tokens", "sketch", F.col("place").alias("single")).dropDuplicates(["cls"])
-    e = prefix.join(content, "cls").withColumn("blocks", F.ceil(F.col("classes") / F.lit(BLOCK)).cast("int"))
-    e = e.select("token", "cls", "n", "place", F.expr(f"slice(tokens, place - single + 2, {TREE_DEPTH})").alias("following"), "sketch", F.expr("cast(pmod(xxhash64(cls), blocks) as int)").alias("block"), F.expr("explode(sequence(0, blocks - 1))").alias("other"))
-    e = e.select("token", "cls", "n", "place", "following", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    prefix = prefix.join(shared, "token")
+    content = sets.where("kind = 2").select("cls", "n", "tokens", "sketch", F.col("place").alias("single")).dropDuplicates(["cls"])
+    content = materialize(content.join(first, "cls"), "content")
+    entries = prefix.join(content.drop("n"), "cls").withColumn("blocks", F.ceil(F.col("classes") / F.lit(BLOCK)).cast("int"))
+    entries = entries.select("token", "class_id", "n", "place", F.expr(f"slice(tokens, place - single + 2, {TREE_DEPTH})").alias("following"), "sketch", "blocks")
+    return members, content.select("class_id", F.col("n").cast("long").alias("n"), "tokens"), materialize(entries, "entries")
+
+
+def _linked(entries: DataFrame, sets: DataFrame, percent: int, one: bool) -> DataFrame:
+    """``(src, dst)`` of the classes that the tree walk pairs and whose exact overlap suffices."""
+    e = entries.withColumn("block", F.expr("cast(pmod(xxhash64(class_id), blocks) as int)")).withColumn("other", F.expr("explode(sequence(0, blocks - 1))"))
+    e = e.select("token", "class_id", "n", "place", "following", "sketch", "known", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     e = e.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    pairs = e.mapInPandas(_trie_pairs(percent), "a binary, b binary").distinct()
-    left = content.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
-    right = content.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"))
-    size = sets.where("kind = 2").groupBy("cls").agg(F.max("n").cast("long").alias("n"))
-    pairs = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("both"))
-    named = size.join(first, "cls")
-    x, y = (named.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("class_id").alias(f"id{c}")) for c in "ab")
-    links = pairs.join(x, "a").join(y, "b").where(f"100 * both >= {percent} * (na + nb - both)")
-    links = links.select(F.least("ida", "idb").alias("src"), F.greatest("ida", "idb").alias("dst")).distinct()
-    return members, links
+    pairs = e.mapInPandas(_trie_pairs(percent, one), "a long, b long").distinct()
+    x, y = (sets.select(F.col("class_id").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}")) for c in "ab")
+    pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("both"))
+    return pairs.where(f"100 * both >= {percent} * (na + nb - both)").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(members, links)`` of all texts with Jaccard similarity of word k-shingles >= percent / 100.
+
+    ``members(doc_id, n_shingles, class_id)``: class_id is the smallest id of the documents with the
+    same shingle set. ``links(src, dst)``: all pairs of linked classes, by class_id, src < dst. Words
+    are maximal runs of other characters than white space, A-Z in lower case; a text of fewer than k
+    words has one shingle. Null and empty texts have no shingle, stand alone in a class, and link with
+    nothing. Ids must be unique; other columns are ignored; an empty table gives two empty ones.
+    """
+    members, sets, entries = _classes(docs, k, percent, id_col, text_col)
+    return members, _linked(entries.withColumn("known", F.col("class_id")), sets, percent, one=False)
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id, class_id, class_links)``, one row per document.
+    """``(doc_id, n_shingles, component_id, class_id)``, one row per document.
 
-    component_id is the smallest id that links lead to, the document's own included; class_links
-    counts the other texts (classes) that the document's class links with. See ``jaccard_links``.
+    component_id is the smallest id that links lead to, the document's own included. The rules for
+    texts are those of ``jaccard_links``.
     """
-    members, links = jaccard_links(docs, k, percent, id_col, text_col)
-    members, links = materialize(members, "members"), materialize(links, "links")
-    found = connected_components(links).withColumnRenamed("node", "class_id")
-    ends = links.select(F.col("src").alias("class_id")).unionAll(links.select(F.col("dst").alias("class_id")))
-    found = found.join(ends.groupBy("class_id").agg(F.count("*").alias("class_links")), "class_id", "left")
-    out = members.join(found, "class_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id", F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links"))
+    members, sets, entries = _classes(docs, k, percent, id_col, text_col)
+    links = materialize(_linked(entries.withColumn("known", F.col("class_id")), sets, percent, one=True), "links")
+    label = connected_components(links).select(F.col("node").alias("class_id"), "component")
+    again = entries.join(label, "class_id", "left").withColumn("known", F.coalesce("component", "class_id"))
+    across = materialize(_linked(again, sets, percent, one=False), "links")
+    label = connected_components(links.unionByName(across)).select(F.col("node").alias("class_id"), "component")
+    out = members.join(label, "class_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id")
