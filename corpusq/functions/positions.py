@@ -25,7 +25,7 @@ def match_positions(text: Column, pattern: Column | str) -> Column:
 
 def group_mask(groups: Column) -> Column:
     """One bit for each group that has a position; at most 62 groups."""
-    bits = F.transform(groups, lambda g, i: F.when(F.size(g) > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    bits = F.transform(groups, lambda g, i: F.when(F.size(g) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a + b)
 
 

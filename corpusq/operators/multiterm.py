@@ -26,7 +26,7 @@ def match_units(groups: DataFrame, blocks: DataFrame) -> DataFrame:
     terms = groups.select(F.struct("query_id", "group").alias("query_id"), "term").distinct()
     hits = occurrences(terms, blocks).select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.group").alias("group"), "doc", "ord", "positions")
     per = hits.groupBy("query_id", "doc", "ord", "group").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
-    bit = F.shiftleft(F.lit(1).cast("long"), F.col("group").cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("group").cast("int"))
     units = per.groupBy("query_id", "doc", "ord").agg(F.bit_or(bit).alias("mask"), F.array_sort(F.collect_list(F.struct("group", "positions"))).alias("groups"))
     return units.withColumn("span", shortest_span(F.transform("groups", lambda g: g.positions)))
 

@@ -29,8 +29,14 @@ def scan_occurrences(terms: DataFrame, blocks: DataFrame, rows: int | None = Non
     rows = terms.count() if rows is None else rows
     if rows > FEW_TERMS:
         raise ValueError(f"{rows} terms: use index_occurrences beyond {FEW_TERMS}")
-    near = blocks.join(F.broadcast(terms), F.contains(F.lower("text"), F.lower(F.regexp_extract("term", f"[^{tx.MIDDLE_DOTS}\\s]+", 0))))
-    return _verified(near)
+    return _verified(blocks.join(F.broadcast(_with_piece(terms)), F.contains(F.lower("text"), F.col("piece"))))
+
+
+def _with_piece(terms: DataFrame) -> DataFrame:
+    """Terms with their longest piece between dots and spaces, which every match holds as it stands."""
+    pieces = F.regexp_extract_all(F.lower("term"), F.lit(f"[^{tx.MIDDLE_DOTS}\\s]+"), F.lit(0))
+    longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("size"), p.alias("piece"))))
+    return terms.withColumn("piece", F.coalesce(longest.piece, F.lit("")))
 
 
 def _verified(candidates: DataFrame) -> DataFrame:
@@ -65,9 +71,10 @@ def index_occurrences(terms: DataFrame, blocks: DataFrame, grams: DataFrame | No
     grams = block_grams(blocks) if grams is None else grams
     frequency = grams.groupBy("gram").agg(F.count("*").alias("df"))
     own = term_grams(terms)
-    known = own.join(frequency, "gram")
-    rarest = known.groupBy("query_id", "term").agg(F.min(F.struct("df", "gram")).alias("x")).select("query_id", "term", F.col("x.gram").alias("gram"))
-    near = grams.join(rarest, "gram").select("query_id", "term", "doc", "ord").join(blocks.select("doc", "ord", "text"), ["doc", "ord"])
+    known = own.join(frequency, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = known.groupBy("query_id", "term").agg(F.min(F.struct("df", "gram")).alias("x")).where("x.df > 0").select("query_id", "term", F.col("x.gram").alias("gram"))
+    near = grams.join(_with_piece(rarest), "gram").select("query_id", "term", "piece", "doc", "ord").join(blocks.select("doc", "ord", "text"), ["doc", "ord"])
+    near = near.where(F.contains(F.lower("text"), F.col("piece"))).drop("piece")
     bare = terms.join(own.select("query_id", "term").distinct(), ["query_id", "term"], "left_anti")
     rest = bare.join(blocks.select("doc", "ord", "text"), F.contains(F.lower("text"), F.lower("term")))
     return _verified(near.unionByName(rest.select(*near.columns)))

@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from corpusq.plans import search
+
+MODULES = (search,)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for module in MODULES:
+    QUERIES |= module.C.queries
+    ORACLE_SQL |= module.C.sql
