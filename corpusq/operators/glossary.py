@@ -65,8 +65,9 @@ def meaning_cards(entries: DataFrame) -> DataFrame:
 
 def gram_set(body: Column, n: int = 3) -> Column:
     """Distinct character n-grams of a definition's skeleton."""
-    s = F.lower(tx.definition_skeleton(body))
-    return F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - n + 1)), lambda i: F.substring(s, i, F.lit(n))), lambda g: F.length(g) == n))
+    chars = F.filter(F.split(F.lower(tx.definition_skeleton(body)), ""), lambda c: c != "")
+    grams = lambda cs: F.transform(cs, lambda c, i: F.when(i + n <= F.size(cs), F.concat(c, *(F.get(cs, i + j) for j in range(1, n)))))
+    return F.array_distinct(F.filter(tx.let(chars, grams), lambda g: g.isNotNull()))
 
 
 def card_pairs(cards: DataFrame, longest_group: int | None = None) -> DataFrame:

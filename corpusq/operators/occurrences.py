@@ -44,12 +44,19 @@ def _verified(candidates: DataFrame) -> DataFrame:
     return found.select("query_id", "term", "doc", "ord", F.size("positions").cast("long").alias("n"), "positions")
 
 
+def _pairs(other: Column) -> Column:
+    """Runs of GRAM characters without a space."""
+    chars = F.filter(F.split(other, ""), lambda c: c != "")
+    runs = tx.let(chars, lambda cs: F.transform(cs, lambda c, i: F.when(i + GRAM <= F.size(cs), F.concat(c, *(F.get(cs, i + j) for j in range(1, GRAM))))))
+    return F.filter(runs, lambda g: g.isNotNull() & ~F.contains(g, F.lit(" ")))
+
+
 def block_grams(blocks: DataFrame) -> DataFrame:
     """``(gram, doc, ord)``: lower-case Latin words, and pairs of characters elsewhere."""
     low = F.lower("text")
     words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
     other = F.regexp_replace(low, "[a-z0-9\\s]+", " ")
-    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(other) - 1)), lambda i: F.substring(other, i, F.lit(GRAM))), lambda g: (F.length(g) == GRAM) & ~F.contains(g, F.lit(" ")))
+    pairs = _pairs(other)
     return blocks.select(F.explode(F.array_distinct(F.concat(words, pairs))).alias("gram"), "doc", "ord")
 
 
@@ -58,7 +65,7 @@ def term_grams(terms: DataFrame) -> DataFrame:
     low = F.lower(F.trim("term"))
     words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
     other = F.regexp_replace(low, f"[a-z0-9\\s{tx.MIDDLE_DOTS}]+", " ")
-    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(other) - 1)), lambda i: F.substring(other, i, F.lit(GRAM))), lambda g: (F.length(g) == GRAM) & ~F.contains(g, F.lit(" ")))
+    pairs = _pairs(other)
     whole = F.when(tx.is_latin(F.col("term")), words).otherwise(pairs)
     return terms.select("query_id", "term", F.explode(F.array_distinct(whole)).alias("gram"))
 

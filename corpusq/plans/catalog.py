@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusq.plans import search
+from corpusq.plans import library, search
 
-MODULES = (search,)
+MODULES = (search, library)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for module in MODULES:
