@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import bloom_dedup, bm25_packing, diagonal_license, divergence, nbsvm, ngram_jaccard, randomness, tag_path, warc
+from corpusq.llm import bloom_dedup, bm25_packing, diagonal_license, divergence, nbsvm, ngram_jaccard, randomness, sentencepiece_nbest, tag_path, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,6 +24,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best segmentation of all documents, and the scores of their three best."""
+    found = sentencepiece_nbest.encode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), n=3, with_ids=False)
+    return found.select("doc_id", "n_pieces", "ids_crc32", F.get("scores", F.lit(0)).alias("best"), F.get("scores", F.lit(1)).alias("second"), F.get("scores", F.lit(2)).alias("third"), "round_trip")
+
+
 def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 4096 tokens, neighbours by BM25."""
     return bm25_packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
@@ -71,6 +77,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_bm25_packing": op3_bm25_packing,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_secret_scan": op5_secret_scan,
