@@ -374,12 +374,12 @@ def number_rows(spark, d):
     return st.number_rows(tb.docs(spark, d), "title", "doc").select("work", "doc", "n", "prefix")
 
 
-@C.add(sql(tb.SQL_BLOCKS, select="SELECT doc, ord, 'main' AS lang, text FROM blocks WHERE ord % 2 = 0 UNION ALL SELECT doc, ord, 'other', upper(text) FROM blocks WHERE ord % 4 = 0"))
+@C.add(sql(tb.SQL_BLOCKS, select="SELECT doc, ord, 'main' AS lang, text FROM blocks WHERE ord % 2 = 0 UNION ALL SELECT doc, ord, 'other', reverse(text) FROM blocks WHERE ord % 4 = 0"))
 def doc_view(spark, d):
     """Two languages side by side."""
     b = tb.blocks(spark, d)
     own = b.where("ord % 2 = 0").select("doc", "ord", F.lit("main").alias("lang"), "text")
-    return st.doc_view(own, b.where("ord % 4 < 2 and ord % 4 <> 1").select("doc", "ord", F.lit("other").alias("lang"), F.upper("text").alias("text")))
+    return st.doc_view(own, b.where("ord % 4 < 2 and ord % 4 <> 1").select("doc", "ord", F.lit("other").alias("lang"), F.reverse("text").alias("text")))
 
 
 @C.add(sql(tb.SQL_DOCS, select="SELECT doc FROM docs WHERE work IN (SELECT work FROM docs WHERE kind = 'de') AND doc % 5 > 0 AND doc % 7 > 0"))
@@ -422,7 +422,7 @@ def choose_text(spark, d):
     return st.choose_text(c).select("doc", "source")
 
 
-@C.add(sql(tb.SQL_DOCS, "both AS (SELECT doc, 'first' AS reason, 0 AS p FROM docs WHERE doc % 6 = 0 UNION ALL SELECT doc, 'second', 1 FROM docs WHERE doc % 4 = 0)", select="SELECT doc, reason FROM both QUALIFY row_number() OVER (PARTITION BY doc ORDER BY p) = 1"))
+@C.add(sql(tb.SQL_DOCS, "two AS (SELECT doc, 'first' AS reason, 0 AS p FROM docs WHERE doc % 6 = 0 UNION ALL SELECT doc, 'second', 1 FROM docs WHERE doc % 4 = 0)", select="SELECT doc, reason FROM two QUALIFY row_number() OVER (PARTITION BY doc ORDER BY p) = 1"))
 def merge_exclusions(spark, d):
     """J21, J13."""
     x = tb.docs(spark, d).select("doc")
