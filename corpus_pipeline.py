@@ -23,7 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learnt from the labels, does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = nbsvm.train(docs.select("doc_id", "text"), labels, ~nbsvm.held_out())
-    return nbsvm.score(docs, model).where(F.col("score") >= LEAST_SCORE).drop("score")
+    scored = nbsvm.score(docs, model, out="_quality_score")
+    return scored.where(F.col("_quality_score") >= LEAST_SCORE).drop("_quality_score")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,8 +97,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when they are identical without white space (``normalised``); null counts as
     empty, and empty texts equal each other. Of equal texts the one with the most code points before
-    normalising is kept, then the smallest id. Ids must be unique. Other columns are ignored; an
-    empty table gives an empty one.
+    normalising is kept, then the smallest id. Rows without an id come last, and
+    ``keep_first_copies`` never drops them. Other columns are ignored; an empty table gives an empty one.
     """
     d, bitmap, bits = _hashed(docs, id_col, text_col, most_bits)
     d = _maybe_repeated(d, bitmap, bits)
@@ -118,7 +118,7 @@ def _met(maybe: DataFrame) -> DataFrame:
     """The rows that meet, by full hash."""
     best = maybe.groupBy("text_sha256").agg(F.max(F.struct("size", (-F.col("doc_id")).alias("less"))).alias("best"), F.count("*").alias("group_size"))
     keep = -F.col("best.less")
-    return maybe.join(best, "text_sha256").select("doc_id", keep.alias("keep_id"), "group_size", (F.col("doc_id") == keep).alias("kept"), "text_sha256")
+    return maybe.join(best, "text_sha256").select("doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
@@ -127,7 +127,7 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows that the filter tells apart go straight through; only the others meet their group.
     """
     d, bitmap, bits = _hashed(docs, id_col, text_col, most_bits)
-    dropped = _met(_maybe_repeated(d, bitmap, bits).where("again")).where(~F.col("kept")).select("doc_id")
+    dropped = _met(_maybe_repeated(d, bitmap, bits).where("again")).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256)).alias("h"))
     rows = _maybe_repeated(rows, bitmap, bits)
     met = rows.where("again").join(dropped, F.col("row")[id_col].cast("long") == F.col("doc_id"), "left_anti")

@@ -235,7 +235,7 @@ def _packed(path: str, with_ids: bool):
         tokens = rows = 0
         for batch in batches:
             data, offs = tx.column_bytes(batch.column(1))
-            docs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            docs = tx.id_values(batch.column(0))
             for a, b in tx.slices(offs):
                 ids, sizes = tokenizer.encode(data, offs[a : b + 1])
                 ends = np.cumsum(sizes)
@@ -257,10 +257,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])``: every token of a
     text and its end mark END_ID lies in exactly one piece; pieces of a sequence follow each other
     from offset 0. Sequences are full, but for those of a shard's last tokens, whose lengths are
-    powers of two. Null and empty texts have the end mark only. Ids must be unique; other columns are
-    ignored; an empty table gives an empty one. Which texts share a sequence depends on how the scan
+    powers of two. Null and empty texts have the end mark only; null and repeated ids are kept; other
+    columns are ignored; an empty table gives an empty one. Which texts share a sequence depends on how the scan
     deals rows to tasks.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return d.mapInArrow(_packed(tokenizer_path, with_ids), kinds)
+    found = d.mapInArrow(_packed(tokenizer_path, with_ids), kinds)
+    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(tx.NO_ID)))

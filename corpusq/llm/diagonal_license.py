@@ -80,7 +80,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     an array of (label, first, last, share) with word positions, share being the part of a template's
     k-grams in order in the span, which must reach ``least_share``. ``labels`` joins the labels of
     base places and spans; ``score`` is the largest share, 1 where a phrase stands. Null and empty
-    texts have no words and no labels. Ids must be unique; other columns are ignored.
+    texts have no words and no labels. Spans find their document by its id, so rows without one have
+    base places only; other columns are ignored; an empty table gives an empty one.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), let(license_words(F.col(text_col)), lambda words: F.struct(F.size(words).cast("long").alias("n_words"), F.array(*(F.struct(phrase_starts(words, p).alias("places"), F.lit(label).alias("label")) for p, label in PHRASES)).alias("base"))).alias("x"))
     base = d.select("doc_id", "x.n_words", "x.base").select("doc_id", "n_words", F.flatten(F.transform("base", lambda x: x.places)).alias("places"), F.array_sort(F.array_distinct(F.transform(F.filter("base", lambda x: F.size(x.places) > 0), lambda x: x.label))).alias("base_list"))

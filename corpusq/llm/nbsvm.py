@@ -53,7 +53,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, held, features) of labelled rows (doc_id, text, label)."""
     for batch in batches:
         data, offs = tx.column_bytes(batch.column(1))
-        ids, labels = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+        ids, labels = tx.id_values(batch.column(0)), batch.column(2).to_numpy(zero_copy_only=False)
         for a, b in tx.slices(offs):
             row, bucket = indicators(data, offs[a : b + 1])
             cuts = np.searchsorted(row, np.arange(b - a + 1))
@@ -141,13 +141,14 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     return bytes(found[0].model) if found else None
 
 
-def score(docs: DataFrame, model: bytes | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``score`` in [0, 1]; every whole text is read, null as empty.
+def score(docs: DataFrame, model: bytes | None, id_col: str = "doc_id", text_col: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with a column ``out`` in [0, 1]; every whole text is read, null as empty.
 
-    Without a model every score is 0.5.
+    Without a model every score is 0.5. An input column named ``out`` is replaced; all others stay.
     """
+    docs = docs.drop(out)
     if model is None:
-        return docs.withColumn("score", F.lit(0.5))
+        return docs.withColumn(out, F.lit(0.5))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +162,11 @@ def score(docs: DataFrame, model: bytes | None, id_col: str = "doc_id", text_col
                 top = np.bincount(row, weight[bucket], hi - lo)
                 out[lo:hi] = top / np.sqrt(np.bincount(row, square[bucket], hi - lo) + 1e-12) + bias
             p = 1 / (1 + np.exp(-np.clip(a * out + b, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, out])
 
     at = docs.columns.index(text_col)
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{kinds}, score double")
+    return docs.mapInArrow(run, f"{kinds}, `{out}` double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

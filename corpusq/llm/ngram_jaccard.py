@@ -97,7 +97,7 @@ def _shingle_blocks(k: int, bits: int):
 
         for batch in batches:
             data, offs = tx.column_bytes(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = tx.id_values(batch.column(0))
             for a, b in tx.slices(offs):
                 row, value = tx.distinct(*tx.shingles(tx.Words(data, offs[a : b + 1], lower=True), k))
                 n = b - a
@@ -320,7 +320,7 @@ def _trie_pairs(percent: int, one: bool):
 
 def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, sets, entries): documents with their class, ordered sets, shared prefix hashes."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     chars = d.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(2, min(24, math.ceil(math.log2(max(1, chars / 6 / CHUNK_SHINGLES)))))
     blocks = d.mapInArrow(_shingle_blocks(k, bits), "kind int, part long, chunk long, body binary")
@@ -359,7 +359,8 @@ def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     same shingle set. ``links(src, dst)``: all pairs of linked classes, by class_id, src < dst. Words
     are maximal runs of other characters than white space, A-Z in lower case; a text of fewer than k
     words has one shingle. Null and empty texts have no shingle, stand alone in a class, and link with
-    nothing. Ids must be unique; other columns are ignored; an empty table gives two empty ones.
+    nothing. Rows without an id are left out, repeated ids give repeated rows, other columns are ignored;
+    an empty table gives two empty ones.
     """
     members, sets, entries = _classes(docs, k, percent, id_col, text_col)
     return members, _linked(entries.withColumn("known", F.col("class_id")), sets, percent, one=False)

@@ -48,6 +48,15 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offs
 
 
+#: Stands for a null id inside tasks.
+NO_ID = -(1 << 63)
+
+
+def id_values(column: pa.Array) -> np.ndarray:
+    """An id column as integers, NO_ID for null."""
+    return column.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def slices(offs: np.ndarray) -> Iterator[tuple[int, int]]:
     """Row ranges that hold about SLICE_BYTES each; a longer row stands alone."""
     at = 0

@@ -58,7 +58,7 @@ def roles(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """(page_id, refers_to) of the pages whose payload an earlier page has; few narrow columns move."""
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
     d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.octet_length(payload).alias("size"), F.sha2(payload, 256).alias("digest"))
-    d = materialize(d.where(F.col("size") >= LEAST_REVISIT).select("page_id", "digest"), "digests")
+    d = materialize(d.where((F.col("size") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "digest"), "digests")
     first = d.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     return d.join(first, "digest").where("page_id <> refers_to").select("page_id", "refers_to")
 
@@ -67,8 +67,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write every page as a record; ``(path, records)`` of the archives, one gzip stream each.
 
     Null html is an empty payload, a null url an empty target. Of equal payloads of LEAST_REVISIT
-    bytes or more the smallest id is a response, the others are revisits. Ids must be unique; an
-    empty table writes nothing.
+    bytes or more the smallest id is a response, the others are revisits. Pages without an id are
+    left out; ids must be unique; an empty table writes nothing.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,7 +96,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             done.append((path, count))
         yield pd.DataFrame(done, columns=["path", "records"])
 
-    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).where("page_id is not null")
     p = p.join(roles(pages, id_col, html_col), "page_id", "left").select("page_id", "url", "html", "refers_to")
     _make(folder)
     return materialize(p.mapInPandas(run, "path string, records long"), "archives")
