@@ -110,7 +110,7 @@ def similar_pairs(cards: DataFrame, least: float = DUPLICATE_RATIO) -> DataFrame
     d = d.withColumn("size", F.length("s"))
     x, y = (d.select("group_id", *(F.col(c).alias(f"{c}_{k}") for c in ("card_id", "s", "size"))) for k in "ab")
     p = x.join(y, "group_id").where("card_id_a < card_id_b").where(F.least("size_a", "size_b") >= DUPLICATE_LENGTHS * F.greatest("size_a", "size_b"))
-    foreign = lambda s, t: F.length(F.translate(F.col(s), F.col(t), F.lit("")))
+    foreign = lambda s, t: F.length(F.call_function("translate", F.col(s), F.col(t), F.lit("")))
     bound = (F.col("size_a") + F.col("size_b") - foreign("s_a", "s_b") - foreign("s_b", "s_a")) / F.greatest(F.lit(1), F.col("size_a") + F.col("size_b"))
     p = p.where(bound >= least).withColumn("similarity", sequence_ratio("s_a", "s_b"))
     return p.where(F.col("similarity") >= least).select("group_id", F.col("card_id_a").alias("a"), F.col("card_id_b").alias("b"), "similarity")

@@ -46,7 +46,7 @@ def extract_qa(blocks: DataFrame) -> DataFrame:
     every = every.withColumns({"next_kind": F.lead("kind").over(o), "next_at": F.lead("at").over(o), "next_size": F.lead("size").over(o), "after_at": F.lead("at", 2).over(o), "next_ord": F.lead("ord").over(o), "after_ord": F.lead("ord", 2).over(o)})
     texts = b.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x.text), "\n").alias("whole"), F.max("ord").alias("last_ord"))
     d = every.where("kind = 'q'").join(texts, "doc")
-    cut = lambda a, z: F.trim(F.substring(F.col("whole"), (a + 1).cast("int"), (z - a).cast("int")))
+    cut = lambda a, z: F.regexp_replace(F.substring(F.col("whole"), (a + 1).cast("int"), (z - a).cast("int")), "^\\s+|\\s+$", "")
     begin, stop = F.col("at") + F.col("size"), F.coalesce("next_at", F.length("whole"))
     paired = F.col("next_kind") == "a"
     body = cut(begin, stop)

@@ -103,7 +103,7 @@ def resolve_sources(docs: DataFrame, listing: DataFrame) -> DataFrame:
 
 def load_event_rows(spark: SparkSession, path: str, keep: dict[str, str], expected: int | None = None) -> DataFrame:
     """Rows of a tab-separated UTF-16 table whose columns have the given values; the count is asserted."""
-    rows = spark.read.csv(path, sep="\t", header=True, encoding="UTF-16")
+    rows = spark.read.csv(path, sep="\t", header=True, encoding="UTF-16", multiLine=True)
     for column, value in keep.items():
         rows = rows.where(F.col(column) == value)
     if expected is not None:
