@@ -268,8 +268,10 @@ def _walk(gid: np.ndarray, n: np.ndarray, place: np.ndarray, tail: np.ndarray, s
             own = tail[probe]
             at = (own < token[:, None]).sum(1)
             hit = (at < depth) & (own[np.arange(len(at)), np.minimum(at, depth - 1)] == token) & (token < np.iinfo(np.int64).max)
-            overlap = overlap + hit
-            used = np.maximum(used, np.minimum(at + hit, rest[probe]))
+            # Beyond the entries that the probe holds, a token may be in its set: it counts as if it were.
+            maybe = (at == depth) & (np.maximum(used, depth) < rest[probe])
+            overlap = overlap + (hit | maybe)
+            used = np.minimum(np.maximum(used, at + hit) + maybe, rest[probe])
             need = _least_overlap(n[probe], least[d + 1][child], percent)
             ok = overlap + np.minimum(rest[probe] - used, np.maximum(longest[d + 1][child], 0)) >= need
             probe, node, overlap, used = probe[ok], child[ok], overlap[ok], used[ok]
