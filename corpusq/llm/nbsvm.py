@@ -156,12 +156,12 @@ def score(docs: DataFrame, model: bytes | None, id_col: str = "doc_id", text_col
         weight, square, bias = (w[:-1] * scale).astype(np.float64), scale.astype(np.float64) ** 2, float(w[-1])
         for batch in batches:
             data, offs = tx.column_bytes(batch.column(at))
-            out = np.zeros(batch.num_rows)
+            margin = np.zeros(batch.num_rows)
             for lo, hi in tx.slices(offs):
                 row, bucket = indicators(data, offs[lo : hi + 1])
                 top = np.bincount(row, weight[bucket], hi - lo)
-                out[lo:hi] = top / np.sqrt(np.bincount(row, square[bucket], hi - lo) + 1e-12) + bias
-            p = 1 / (1 + np.exp(-np.clip(a * out + b, -30, 30)))
+                margin[lo:hi] = top / np.sqrt(np.bincount(row, square[bucket], hi - lo) + 1e-12) + bias
+            p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, out])
 
     at = docs.columns.index(text_col)

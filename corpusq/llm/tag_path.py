@@ -173,9 +173,9 @@ def extract(page: str) -> str:
                 article.add(n)
     inside = [n for n in size if size[n] >= HELD * total]
     held = [n for n in inside if n in article]
-    # The innermost article element, else the innermost element of any kind but a single block.
+    # The innermost article element, else the innermost element of any kind but a single block, else the page.
     leaves = {b.nodes[-1] for b in blocks if b.nodes}
-    held = held or [n for n in inside if n not in leaves] or inside
+    held = held or [n for n in inside if n not in leaves]
     root = max(held, key=lambda n: depth[n]) if held else None
     if any(b.in_article for b in blocks) and not any(n in article for n in inside):
         kept = [b for b in blocks if b.in_article]
