@@ -222,7 +222,7 @@ def _walk(gid: np.ndarray, n: np.ndarray, place: np.ndarray, tail: np.ndarray, s
         ok = row > probe
         probe, row, overlap, used = probe[ok], row[ok], overlap[ok], used[ok]
         need = _least_overlap(n[probe], n[row], percent)
-        ok = overlap + np.minimum(rest[probe] - used, rest[row] - d) >= need
+        ok = overlap + np.minimum(np.maximum(rest[probe] - used, 0), np.maximum(rest[row] - d, 0)) >= need
         ok &= ((side[probe] == 2) & (side[row] == 2)) | (side[probe] != side[row])
         ok &= known[probe] != known[row]
         ok &= np.minimum(n[probe], n[row]) * 100 >= np.maximum(n[probe], n[row]) * percent

@@ -88,6 +88,34 @@ def test_jaccard_dealt_groups(spark, monkeypatch):
     assert {r.component_id for r in got.values()} == {0}
 
 
+@pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
+def test_jaccard_short_near_copies(spark, k, percent):
+    """Near copies of 8 to 40 shingles, whose trees are deeper than their tails."""
+    rng = np.random.default_rng(k)
+    texts = {}
+    for group in range(60):
+        size = 8 + group % 33 + k - 1
+        words = [f"g{group}w{j}" for j in range(size)]
+        changed = [words, words[:-1] + [f"g{group}last"], words + [f"g{group}more"]]
+        for _ in range(3):
+            at = int(rng.integers(size))
+            changed.append(words[:at] + [f"g{group}new{rng.integers(3)}"] + words[at + 1 :])
+        for w in changed:
+            texts[len(texts)] = " ".join(w)
+    s = {i: shingle_set(t, k) for i, t in texts.items()}
+    linked = [(a, b) for a, b in itertools.combinations(s, 2) if a // 6 == b // 6 and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b])]
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    members, links = ngram_jaccard.jaccard_links(d, k, percent)
+    cls = {r.doc_id: r.class_id for r in members.collect()}
+    expected = {(min(cls[a], cls[b]), max(cls[a], cls[b])) for a, b in linked if cls[a] != cls[b]}
+    assert set(map(tuple, links.collect())) == expected and len(expected) > 100
+    root = {i: i for i in s}
+    for _ in range(6):
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {i: r.component_id for i, r in by_id(ngram_jaccard.jaccard_components(d, k, percent)).items()} == root
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51), (60, 60), (None, 1)], "src long, dst long")
     got = {r.node: r.component for r in components.connected_components(e).collect()}
