@@ -67,6 +67,8 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, int, bool, bool]] = []  # tag, node, dropped, in an article
     out: list[Block] = []
     parts: list[str] = []
+    # Open spans and labels: tag, depth of the stack before, and what its block held before a dropped one.
+    spans: list[tuple[str, int, list[str] | None, int]] = []
     linked, links, node, at = 0, 0, 0, 0
 
     def flush() -> None:
@@ -78,7 +80,19 @@ def blocks_of(page: str) -> list[Block]:
             out.append(Block("/".join(s[0] for s in stack), tuple(s[1] for s in stack), text, min(1.0, linked / len(text)), top[2], top[3]))
         linked = 0
 
+    def leave() -> None:
+        """End the last span; the block that a dropped one has interrupted goes on."""
+        nonlocal linked
+        _, depth, held, before = spans.pop()
+        if held is not None:
+            flush()
+            del stack[depth:]
+            parts.extend(held)
+            linked = before
+
     def close(upto: int) -> None:
+        while spans and (spans[-1][1] > upto or (spans[-1][1] == upto and spans[-1][2] is not None)):
+            leave()
         flush()
         del stack[upto:]
 
@@ -108,19 +122,36 @@ def blocks_of(page: str) -> list[Block]:
             parts.append(" ")
         elif tag in VOID and tag != "hr":
             continue
-        elif tag in INLINE and not (tag in ("span", "label") and not end and _bad("span", attributes, True)):
+        elif tag in ("span", "label"):
+            if end:
+                for i in range(len(spans) - 1, -1, -1):
+                    if spans[i][0] == tag:
+                        while len(spans) > i:
+                            leave()
+                        break
+            elif _bad("span", attributes, True):
+                spans.append((tag, len(stack), parts.copy(), linked))
+                parts.clear()
+                linked, node = 0, node + 1
+                stack.append((tag, node, True, stack[-1][3] if stack else False))
+            else:
+                spans.append((tag, len(stack), None, 0))
+        elif tag in INLINE:
             if tag == "a":
                 links = max(0, links + (-1 if end else 1))
         elif end:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     close(i)
-                    links = 0 if tag not in INLINE else links
+                    links = 0
                     break
         else:
             flush()
-            if tag in ENDS_P and stack and stack[-1][0] == "p":
-                close(len(stack) - 1)
+            last = len(stack) - 1
+            while tag == "p" and last >= 0 and stack[last][0] in ("span", "label"):  # dropped, without an end
+                last -= 1
+            if tag in ENDS_P and last >= 0 and stack[last][0] == "p":
+                close(last)
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in ENDS_OWN.get(tag, ()):
                     close(i)
@@ -133,7 +164,7 @@ def blocks_of(page: str) -> list[Block]:
             node += 1
             _, _, dropped, in_article = stack[-1] if stack else ("", 0, False, False)
             stack.append((tag, node, dropped or _bad(tag, attributes, in_article), in_article or tag in ARTICLE))
-    flush()
+    close(0)
     return out
 
 

@@ -255,6 +255,20 @@ def test_html(spark):
     assert got[6].text == got[7].text == "cut off, here\nand" and got[1].n_chars == len(got[1].text)
 
 
+def test_html_dropped_spans():
+    """A dropped span or label ends at its end tag, and the block around it stays one."""
+    kept = "First one, with some words. Second one, with more words."
+    assert tag_path.extract('<p>Alpha <span class="ad">x</span> beta.</p>') == "Alpha beta."
+    assert tag_path.extract('<p>Alpha <label hidden>x <span>y</span> z</label>beta.</p>') == "Alpha beta."
+    assert tag_path.extract('<p>Al<span class="ad">x <span>y</span> z <span class="share">u</span> v</span>pha <a href=/>beta</a>.</p>') == "Alpha beta."
+    assert tag_path.extract('<p>A <span>b <span class="ad">x</span> c</span> d.</p>') == "A b c d."
+    for span in ('<span class="share">x</span>', '<span id="ad"><div>x</div> <p>y</p> z</span>', "<label style='display: none'><span>x</span></label>", "</span></label>"):
+        assert tag_path.extract(f"<article>{span}<p>{kept}</p><p>{kept}</p></article>") == f"{kept}\n{kept}"
+    assert tag_path.extract(f'<article><p>Alpha, beta. <span class="ad">x<p>{kept}</p></article>') == f"Alpha, beta.\n{kept}"
+    assert tag_path.extract(f'<div><div><p>{kept} <span class="ad">x</div><p>{kept}</p></div>') == f"{kept}\n{kept}"
+    assert tag_path.extract('<p>cut off, here <span class="ad">x') == "cut off, here"
+
+
 # 7
 
 
