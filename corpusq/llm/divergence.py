@@ -2,12 +2,14 @@
 
 A document's histograms of character classes and of its language's commonest words are compared
 with those of all documents of that language by Jensen-Shannon distance. Short documents have
-unsteady histograms, so a guard exempts them and the limits widen with one over the root of the
-length. Only DataFrame functions are used.
+unsteady histograms, so a guard exempts them and the limits are wider for them: that of the classes
+by one over the root of the length, that of the words by the spread of a sample of that length. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +25,13 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Words below which the divergence test says nothing.
 GUARD_WORDS = 50
-#: Common words of a language; languages with a reference of their own, others share one of all rows.
+#: Common words of a language; languages whose references are literals. Of others, the words have a
+#: reference by a join, and the classes share one of all rows.
 COMMON_WORDS, LANGUAGES = 24, 64
-#: Limits of the Jensen-Shannon distance, plus SLACK / sqrt(words).
+#: Limits of the Jensen-Shannon distance; the class limit grows by SLACK / 4 / sqrt(words).
 MOST_CLASS, MOST_WORD, SLACK = 0.25, 0.30, 1.6
+#: Standard deviations of a sample's squared word distance that are borne where they exceed MOST_WORD.
+DEVIATIONS = 4.0
 CLASSES = ("upper", "lower", "digit", "space", "symbol", "mark", "other")
 
 
@@ -77,10 +82,11 @@ def repeated_words(words: Column, width: int = 5) -> Column:
     return F.when(F.size(words) < width, F.lit(0)).otherwise(let(words, of)).cast("long")
 
 
-def _common_words(docs: DataFrame) -> dict[str, list[tuple[str, float]]]:
-    """The commonest words of each of the LANGUAGES largest languages, with their shares of its words.
+def _common_words(docs: DataFrame) -> tuple[dict[str, list[tuple[str, float]]], DataFrame | None]:
+    """The commonest words of each language, with their shares of its words.
 
-    Counted over all documents; LANGUAGES rows of bounded width reach the driver.
+    Counted over all documents. Those of the LANGUAGES largest languages, rows of bounded width,
+    reach the driver; those of others, if there are any, are a table ``(lang, word, share)``.
     """
     words = docs.select("lang", F.explode(doc_words(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     words = materialize(words, "words")
@@ -88,7 +94,26 @@ def _common_words(docs: DataFrame) -> dict[str, list[tuple[str, float]]]:
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     ranked = words.withColumn("r", F.row_number().over(top)).where(F.col("r") <= COMMON_WORDS)
     rows = total.join(ranked, "lang").groupBy("lang").agg(F.collect_list(F.struct("word", (F.col("n") / F.col("total")).alias("share"))).alias("common")).collect()
-    return {r.lang: sorted((w.word, w.share) for w in r.common) for r in rows}
+    found = {r.lang: sorted((w.word, w.share) for w in r.common) for r in rows}
+    if len(found) < LANGUAGES:
+        return found, None
+    others = words.where(~F.col("lang").isin(*found))
+    if others.isEmpty():
+        return found, None
+    ranked = others.withColumn("r", F.row_number().over(top)).where(F.col("r") <= COMMON_WORDS)
+    totals = others.groupBy("lang").agg(F.sum("n").alias("total"))
+    return found, materialize(ranked.join(totals, "lang").select("lang", "word", (F.col("n") / F.col("total")).alias("share")), "common")
+
+
+def _other_hits(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """``(doc_id, lang, other_hits, other_shares)``: how often documents hold the words of ``common``."""
+    listed = common.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("word", "share"))).alias("common"))
+    words = docs.select("doc_id", "lang", F.explode(doc_words(F.lower("text"))).alias("word"))
+    times = words.join(common.select("lang", "word"), ["lang", "word"]).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    held = times.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("held"))
+    d = docs.select("doc_id", "lang").join(listed, "lang").join(held, "doc_id", "left")
+    hits = F.transform("common", lambda c: F.coalesce(F.element_at("held", c.word), F.lit(0)).cast("int"))
+    return d.select("doc_id", hits.alias("other_hits"), F.transform("common", lambda c: c.share).alias("other_shares"))
 
 
 def _class_shares(counted: DataFrame) -> dict[str, list[float]]:
@@ -122,7 +147,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col and lang_col in docs.columns else F.lit("")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
     text, lang = F.col("text"), F.col("lang")
-    word_sets = _common_words(d)
+    word_sets, others = _common_words(d)
+    other_hits = None if others is None else _other_hits(d.where(~F.col("lang").isin(*word_sets)), others)
     every = sorted({w for v in word_sets.values() for w, _ in v})
 
     def counts(ws: Column) -> Column:
@@ -147,13 +173,20 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     word_shares = F.create_map(*(x for k, v in word_sets.items() for x in (F.lit(k), F.array(*(F.lit(s) for _, s in v))))) if word_sets else None
     total = F.aggregate("hits", F.lit(0), lambda a, x: a + x)
     with_rest = lambda a, rest: F.concat(a, F.array(rest))
+    if other_hits is not None:
+        d = d.join(other_hits, "doc_id", "left").withColumn("hits", F.coalesce("hits", "other_hits"))
     if word_shares is None:
         word_distance = F.lit(None).cast("double")
     else:
         ref = F.element_at(word_shares, lang)
+        if other_hits is not None:
+            ref = F.coalesce("other_shares", F.try_element_at(word_shares, lang))
         word_distance = F.when(F.col("hits").isNotNull() & (F.col("n_words") > 0), _distance(with_rest(F.transform("hits", lambda x: x / F.col("n_words")), (F.col("n_words") - total) / F.col("n_words")), with_rest(ref, 1 - F.aggregate(ref, F.lit(0.0), lambda a, x: a + x))))
-    d = d.select("doc_id", "n_words", (F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x) - F.get("c", F.lit(3))).alias("word_chars"), F.get("c", F.lit(4)).alias("n_symbols"), "n_dup_lines", "n_repeat_words", class_distance.alias("class_distance"), word_distance.alias("word_distance"))
+    d = d.select("doc_id", "n_words", (F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x) - F.get("c", F.lit(3))).alias("word_chars"), F.get("c", F.lit(4)).alias("n_symbols"), "n_dup_lines", "n_repeat_words", class_distance.alias("class_distance"), word_distance.alias("word_distance"), F.size("hits").alias("cells"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     slack = SLACK / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
-    near = (F.coalesce("class_distance", F.lit(0.0)) <= MOST_CLASS + slack / 4) & (F.coalesce("word_distance", F.lit(0.0)) <= MOST_WORD + slack)
+    # Of n words drawn from the reference, 8 ln 2 n times the squared distance is about chi-squared, a degree of freedom per common word.
+    cells = F.greatest(F.coalesce("cells", F.lit(1)), F.lit(1)).cast("double")
+    spread = F.sqrt((cells + DEVIATIONS * F.sqrt(2 * cells)) / (8 * math.log(2) * F.greatest(F.col("n_words"), F.lit(1))))
+    near = (F.coalesce("class_distance", F.lit(0.0)) <= MOST_CLASS + slack / 4) & (F.coalesce("word_distance", F.lit(0.0)) <= F.greatest(F.lit(MOST_WORD), spread))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ((F.col("n_words") < GUARD_WORDS) | near)).alias("kept"), "class_distance", "word_distance")

@@ -286,6 +286,28 @@ def test_rules(docs, small):
         assert x.base_failed == (len(w) < 10 or 100 * len(inside) > 20 * len(w)) and not (x.base_failed and x.kept)
 
 
+def test_rules_need_common_words(spark, monkeypatch):
+    """Texts without their language's common words fail from 90 words on, also in a language beyond LANGUAGES."""
+    monkeypatch.setattr(divergence, "LANGUAGES", 2)
+    rng = np.random.default_rng(7)
+    rows, bad = [], set()
+    for lang, docs in (("aa", 60), ("bb", 50), ("cc", 40), ("dd", 30)):
+        common = [f"{lang}{chr(97 + i)}" for i in range(24)]
+        share = 1 / np.arange(1, 25)
+        share = 0.25 * share / share.sum()
+        for i in range(docs):
+            n = 90 + 7 * i
+            letters = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
+            without = i in (0, 1, 8)
+            text = " ".join(w if without or rng.random() > 0.25 else str(rng.choice(common, p=share / 0.25)) for w in letters)
+            if without:
+                bad.add(len(rows))
+            rows.append((len(rows), text, lang))
+    got = by_id(divergence.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert len(got) == len(rows) and {i for i, r in got.items() if not r.kept} == bad
+    assert all(r.word_distance is not None for r in got.values())
+
+
 # 8
 
 
