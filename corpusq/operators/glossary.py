@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -116,21 +117,29 @@ def similar_pairs(cards: DataFrame, least: float = DUPLICATE_RATIO) -> DataFrame
     return p.where(F.col("similarity") >= least).select("group_id", F.col("card_id_a").alias("a"), F.col("card_id_b").alias("b"), "similarity")
 
 
-def clusters(cards: DataFrame, pairs: DataFrame, rounds: int = 30) -> DataFrame:
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder; a local session without one gets a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir() and sc.master.startswith("local"):
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-corpusq-"))
+    return df.checkpoint()
+
+
+def clusters(cards: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(card_id, cluster)``: transitive closure of pairs inside groups, smallest card id of each.
 
-    Smallest labels spread over the pairs until none changes; each round is checkpointed.
+    Smallest labels spread over the pairs, and every label is replaced by the label that its card
+    has, until none changes; each round is checkpointed.
     """
-    edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
+    edges = _checkpointed(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = cards.select("card_id", F.col("card_id").alias("cluster"))
-    for _ in range(rounds):
-        spread = edges.join(label, edges["b"] == label["card_id"]).groupBy(F.col("a").alias("card_id")).agg(F.min("cluster").alias("near"))
-        new = label.join(spread, "card_id", "left").select("card_id", F.least("cluster", F.coalesce("near", "cluster")).alias("cluster"), (F.coalesce("near", "cluster") < F.col("cluster")).alias("changed"))
-        new = new.persist()
-        moved = new.where("changed").limit(1).count()
-        label = new.select("card_id", "cluster")
-        if not moved:
-            break
+    moved = True
+    while moved:
+        spread = edges.join(label, F.col("b") == F.col("card_id")).groupBy(F.col("a").alias("card_id")).agg(F.min("cluster").alias("near"))
+        new = _checkpointed(label.join(spread, "card_id", "left").select("card_id", F.least("cluster", "near").alias("cluster"), F.coalesce(F.col("near") < F.col("cluster"), F.lit(False)).alias("changed")))
+        moved = not new.where("changed").isEmpty()
+        up = new.groupBy(F.col("card_id").alias("cluster")).agg(F.min("cluster").alias("above"))
+        label = _checkpointed(new.join(up, "cluster", "left").select("card_id", F.least("cluster", "above").alias("cluster")))
     return label
 
 

@@ -134,3 +134,14 @@ def test_plain_plans(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where(F.col("source") == "src1")
     plan = blocks.blocks_from_documents(d)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(source,src1)" in plan and "lang" not in plan.split("ReadSchema")[-1]
+
+
+def test_clusters_of_a_long_chain(spark):
+    """A chain of 100 links, its ids in no order, is one cluster."""
+    from corpusq.operators import glossary
+
+    ids = [(i * 37) % 101 for i in range(101)]
+    cards = spark.createDataFrame([(i,) for i in [*ids, 500]], "card_id long")
+    pairs = spark.createDataFrame([(min(x), max(x)) for x in zip(ids, ids[1:])], "a long, b long")
+    got = {r.card_id: r.cluster for r in glossary.clusters(cards, pairs).collect()}
+    assert got == {i: 0 for i in ids} | {500: 500}
