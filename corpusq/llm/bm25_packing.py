@@ -1,10 +1,13 @@
 """Packing into training windows by lexical retrieval.
 
-Every task cuts its rows into shards of bounded size, in the order of the scan, and builds a BM25
-inverted index over each shard's remainders (texts beyond the last whole window). A seed document
-asks the index for its unused neighbours, which greedily fill the seed's window; a neighbour that
-does not fit is cut, and its rest stays available. Nothing is shuffled, and every shard but its last
-few tokens fills whole windows.
+1. ``_tokenised`` encodes every text once and counts each term's document frequency over all rows.
+2. ``_telling_terms`` names, for each text, its terms of greatest BM25 weight. Rows are dealt to
+   partitions and sorted by them, so texts about the same things lie together wherever they came
+   from; a group of texts with the same terms is split by a hash of its rows.
+3. ``_packed`` cuts the sorted rows into shards of bounded size and builds a BM25 inverted index over
+   the whole texts of each shard, with the frequencies of the corpus. A seed document asks the index,
+   with all its terms, for its unused neighbours, which greedily fill the seed's window; a neighbour
+   that does not fit is cut, and its rest stays available.
 """
 
 from __future__ import annotations
@@ -13,20 +16,22 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.llm import textops as tx
+from corpusq.llm.scratch import materialize
 
 WINDOW, END_ID = 4096, 2
-#: A shard holds at most so many tokens (a longer text stands alone) and documents.
-SHARD_TOKENS, SHARD_DOCS = 2_000_000, 8192
-#: BM25 constants; most telling terms of a seed that are looked up; neighbours taken at once.
-K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 24, 48
-#: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+#: A shard holds at most so many tokens (a longer text stands alone); tokens that a partition aims at.
+SHARD_TOKENS, PARTITION_TOKENS = 1 << 19, 1 << 25
+#: BM25 constants; neighbours taken at once; terms by which rows are dealt.
+K1, B, NEIGHBOURS, DEALT_BY = 1.2, 0.75, 48, 3
+#: Words whose ids a worker remembers; ids are stored in two bytes.
+REMEMBERED, MOST_IDS = 600_000, 1 << 16
 
 
 class WordTokenizer:
@@ -97,40 +102,128 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
+class Corpus:
+    """Counts over all rows: documents, tokens, and documents of each term; its size is that of the vocabulary."""
+
+    def __init__(self, docs: int, tokens: int, df: np.ndarray):
+        self.docs, self.mean = docs, tokens / max(1, docs)
+        self.df = df
+        self.idf = np.log1p((docs - df + 0.5) / (df + 0.5))
+
+    def weights(self, terms: np.ndarray, times: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """BM25 weights of postings, ``lengths`` being those of their documents."""
+        norm = K1 * (1 - B + B * lengths / max(1.0, self.mean))
+        return self.idf[terms] * times * (K1 + 1) / (times + norm)
+
+
+def _vectors(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, times, terms per row) of the rows' token lists."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    key, times = np.unique(row * MOST_IDS + ids, return_counts=True)
+    return (key % MOST_IDS).astype(np.uint16), times.astype(np.uint32), np.bincount(key // MOST_IDS, minlength=len(sizes))
+
+
+def _blobs(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The values of each row as bytes, without a copy."""
+    ends = np.r_[0, np.cumsum(counts)] * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all rows, values per row) of a column of ``_blobs``."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None and len(offs) else np.zeros(0, np.uint8)
+    return np.frombuffer(raw.tobytes(), kind), np.diff(offs) // np.dtype(kind).itemsize
+
+
+TOKENISED = "kind int, doc_id long, size long, ids binary, terms binary, times binary, df_terms array<int>, df_docs array<long>"
+
+
+def _tokenised(path: str):
+    """Rows of kind 0, the texts, and one of kind 1 for a task: documents of each of its terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(path)
+        df, docs, tokens = np.zeros(MOST_IDS, np.int64), 0, 0
+        names = [x.split(" ")[0] for x in TOKENISED.split(", ")]
+        nothing = lambda n, kind: pa.nulls(n, kind)
+        for batch in batches:
+            data, offs = tx.column_bytes(batch.column(1))
+            ids_of = tx.id_values(batch.column(0))
+            for a, b in tx.slices(offs):
+                ids, sizes = tokenizer.encode(data, offs[a : b + 1])
+                ids = np.insert(ids, np.cumsum(sizes), END_ID)
+                sizes = sizes + 1
+                terms, times, counts = _vectors(ids, sizes)
+                df += np.bincount(terms, minlength=MOST_IDS)
+                docs, tokens, n = docs + b - a, tokens + len(ids), b - a
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(ids_of[a:b]), pa.array(sizes), _blobs(ids, sizes), _blobs(terms, counts), _blobs(times, counts), nothing(n, pa.list_(pa.int32())), nothing(n, pa.list_(pa.int64()))], names)
+        there = np.flatnonzero(df)
+        one = [pa.array([1], pa.int32()), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64()), *(nothing(1, pa.binary()) for _ in range(3)), pa.array([there], pa.list_(pa.int32())), pa.array([df[there]], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(one, names)
+        tx.give_back()
+
+    return run
+
+
+def _corpus(counted: DataFrame) -> Corpus:
+    """The sums of the tasks' counts; as many rows reach the driver as the vocabulary has entries."""
+    total = counted.agg(F.sum("doc_id"), F.sum("size")).first()
+    df = np.zeros(MOST_IDS, np.int64)
+    zipped = counted.select(F.explode(F.arrays_zip("df_terms", "df_docs")).alias("x"))
+    for r in zipped.groupBy(F.col("x.df_terms").alias("term")).agg(F.sum("x.df_docs").alias("docs")).collect():
+        df[r.term] = r.docs
+    return Corpus(total[0] or 0, total[1] or 0, df)
+
+
+def _telling_terms(shared):
+    """The terms of greatest weight of each text, the commonest of them first; only terms that other texts hold."""
+
+    @F.pandas_udf("array<int>")
+    def found(terms: pd.Series, times: pd.Series, size: pd.Series) -> pd.Series:
+        corpus = shared.value
+        t, counts = _flat(pa.array(terms, pa.binary()), np.uint16)
+        n, _ = _flat(pa.array(times, pa.binary()), np.uint32)
+        row = np.repeat(np.arange(len(counts)), counts)
+        weight = np.where((corpus.df[t] > 1) & (t != END_ID), corpus.weights(t, n, size.to_numpy()[row]), 0)
+        order = np.lexsort((t, -weight, row))
+        place = np.arange(len(t)) - np.repeat(np.cumsum(counts) - counts, counts)
+        best = order[place < DEALT_BY]
+        best = best[np.lexsort((t[best], -corpus.df[t[best]], row[best]))]
+        out = np.full((len(counts), DEALT_BY), -1, np.int32)
+        held = np.minimum(counts, DEALT_BY)
+        out[row[best], np.arange(len(best)) - np.repeat(np.cumsum(held) - held, held)] = np.where(weight[best] > 0, t[best], -1)
+        return pd.Series(list(out))
+
+    return found
+
+
 class Index:
-    """BM25 inverted index over the token lists of one shard."""
-
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray):
-        n = len(lengths)
-        doc = np.repeat(np.arange(n), lengths)
-        key, tf = np.unique(ids.astype(np.int64) * n + doc, return_counts=True)
-        term, self.doc = key // n, key % n
-        self.terms, self.start = np.unique(term, return_index=True)
-        self.end = np.r_[self.start[1:], len(term)]
-        df = self.end - self.start
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        which = np.repeat(np.arange(len(self.terms)), df)
-        norm = K1 * (1 - B + B * lengths[self.doc] / max(1.0, lengths.mean()))
-        self.weight = (idf[which] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
-        order = np.argsort(self.doc, kind="stable")
-        self.by_doc, self.which = order, which[order]
-        self.doc_start = np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.n = n
+    """BM25 inverted index over the whole texts of one shard; terms of one text alone are left out."""
+
+    def __init__(self, terms: np.ndarray, times: np.ndarray, counts: np.ndarray, lengths: np.ndarray, corpus: Corpus):
+        self.n = len(counts)
+        doc = np.repeat(np.arange(self.n), counts)
+        shared = np.bincount(terms, minlength=MOST_IDS)[terms] > 1
+        terms, times, doc = terms[shared], times[shared], doc[shared]
+        weight = corpus.weights(terms, times, lengths[doc]).astype(np.float32)
+        order = np.argsort(terms, kind="stable")
+        self.doc, self.weight = doc[order], weight[order]
+        self.size = np.bincount(terms, minlength=MOST_IDS)
+        self.start = np.cumsum(self.size) - self.size
+        self.terms, self.doc_start = terms, np.searchsorted(doc, np.arange(self.n + 1))
 
     def scores(self, doc: int) -> np.ndarray:
-        """BM25 of all documents of the shard for the most telling terms of ``doc``."""
-        a, b = self.doc_start[doc], self.doc_start[doc + 1]
-        weight = self.weight[self.by_doc[a:b]]
-        terms = self.which[a:b]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
-        at = tx.ranges(self.start[terms], self.end[terms] - self.start[terms])
+        """BM25 of all documents of the shard for all terms of ``doc``."""
+        terms = self.terms[self.doc_start[doc] : self.doc_start[doc + 1]]
+        at = tx.ranges(self.start[terms], self.size[terms])
         return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
-def pack_shard(ids: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(lengths: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
     """Pieces (row, start, length, sequence, offset) of one shard's token lists."""
-    begin = np.cumsum(lengths) - lengths
     pieces, sequence = [], 0
     start = (lengths // WINDOW) * WINDOW
     for row in np.flatnonzero(start):
@@ -138,7 +231,6 @@ def pack_shard(ids: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, int
             pieces.append((int(row), at, WINDOW, sequence, 0))
             sequence += 1
     left = lengths - start
-    index = Index(ids[tx.ranges(begin + start, left)], left)
     unused = left > 0
     order = np.argsort(-left, kind="stable")
     at, filled, open_ = 0, 0, []
@@ -208,9 +300,8 @@ def _halves(open_: list[tuple[int, int, int]], sequence: int) -> list[tuple[int,
     return out
 
 
-def _packed(path: str, with_ids: bool):
+def _packed(shared, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
         base, sequence = TaskContext.get().partitionId() << 33, 0
         held: list[tuple] = []
 
@@ -218,10 +309,10 @@ def _packed(path: str, with_ids: bool):
             nonlocal held, sequence
             if not held:
                 return
-            docs, sizes, ids = (np.concatenate([h[i] for h in held]) for i in range(3))
+            docs, sizes, ids, terms, times, counts = (np.concatenate([h[i] for h in held]) for i in range(6))
             held = []
             begin = np.cumsum(sizes) - sizes
-            pieces = np.array(pack_shard(ids, sizes), np.int64).reshape(-1, 5)
+            pieces = np.array(pack_shard(sizes, Index(terms, times, counts, sizes, shared.value)), np.int64).reshape(-1, 5)
             row, start, length, number, offset = pieces.T
             parts = [ids[a : a + n].astype("<u4").tobytes() for a, n in zip((begin[row] + start).tolist(), length.tolist())]
             columns = [docs[row], start, length, np.fromiter(map(zlib.crc32, parts), np.int64, len(parts)), sizes[row], base + sequence + number, offset]
@@ -232,21 +323,25 @@ def _packed(path: str, with_ids: bool):
             sequence += int(number.max()) + 1 if len(number) else 0
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-        tokens = rows = 0
+        tokens = 0
         for batch in batches:
-            data, offs = tx.column_bytes(batch.column(1))
-            docs = tx.id_values(batch.column(0))
-            for a, b in tx.slices(offs):
-                ids, sizes = tokenizer.encode(data, offs[a : b + 1])
-                ends = np.cumsum(sizes)
-                ids = np.insert(ids, ends, END_ID)
-                sizes = sizes + 1
-                if held and (tokens + len(ids) > SHARD_TOKENS or rows + b - a > SHARD_DOCS):
+            docs, sizes = (batch.column(i).to_numpy() for i in (0, 1))
+            at = 0
+            while at < len(docs):
+                room = np.cumsum(sizes[at:])
+                end = at + max(int(np.searchsorted(room, SHARD_TOKENS - tokens, "right")), 0 if held else 1)
+                if end > at:
+                    ids, _ = _flat(batch.column(2)[at:end], np.uint16)
+                    terms, counts = _flat(batch.column(3)[at:end], np.uint16)
+                    times, _ = _flat(batch.column(4)[at:end], np.uint32)
+                    held.append((docs[at:end], sizes[at:end], ids, terms, times, counts))
+                    tokens += int(sizes[at:end].sum())
+                if end < len(docs):
                     yield from flush()
-                    tokens = rows = 0
-                held.append((docs[a:b], sizes, ids))
-                tokens, rows = tokens + len(ids), rows + b - a
+                    tokens = 0
+                at = end
         yield from flush()
+        tx.give_back()
 
     return run
 
@@ -258,10 +353,20 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     text and its end mark END_ID lies in exactly one piece; pieces of a sequence follow each other
     from offset 0. Sequences are full, but for those of a shard's last tokens, whose lengths are
     powers of two. Null and empty texts have the end mark only; null and repeated ids are kept; other
-    columns are ignored; an empty table gives an empty one. Which texts share a sequence depends on how the scan
-    deals rows to tasks.
+    columns are ignored; an empty table gives an empty one. Neighbours are looked for in the seed's
+    shard, to which all rows are dealt by their most telling terms, whatever file they came from.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    spark = docs.sparkSession
+    rows = materialize(d.mapInArrow(_tokenised(tokenizer_path), TOKENISED), "tokenised", by="kind")
+    corpus = _corpus(rows.where("kind = 1"))
+    shared = spark.sparkContext.broadcast(corpus)
+    tokens = corpus.docs * corpus.mean
+    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens // SHARD_TOKENS))
+    parts = max(1, few, int(tokens // PARTITION_TOKENS))
+    texts = rows.where("kind = 0").select("doc_id", "size", "ids", "terms", "times")
+    texts = texts.withColumn("by", _telling_terms(shared)("terms", "times", "size")).withColumn("mix", F.xxhash64("doc_id", "ids"))
+    texts = materialize(texts, "dealt").repartitionByRange(parts, "by", "mix").sortWithinPartitions("by", "mix", "doc_id")
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    found = d.mapInArrow(_packed(tokenizer_path, with_ids), kinds)
+    found = texts.select("doc_id", "size", "ids", "terms", "times").mapInArrow(_packed(shared, with_ids), kinds)
     return found.withColumn("doc_id", F.nullif("doc_id", F.lit(tx.NO_ID)))

@@ -169,17 +169,41 @@ def test_packing(no_id, small):
     assert pieces.groupby("sequence_id").length.sum().eq(4096).mean() > 0.8
 
 
-def test_packing_retrieves_neighbours():
-    """A seed's window holds the document that shares its terms."""
+def test_packing_retrieves_neighbours(spark):
+    """A seed's window holds the document that shares its terms, in whatever partition it lay."""
     rng = np.random.default_rng(3)
-    topics = [rng.integers(1000 * i, 1000 * i + 50, 1500).astype(np.uint16) for i in range(20) for _ in range(2)]
-    lengths = np.full(len(topics), 1500, np.int64)
-    pieces = bm25_packing.pack_shard(np.concatenate(topics), lengths)
-    rows = {}
-    for row, _, _, sequence, _ in pieces:
-        rows.setdefault(sequence, []).append(row)
-    first = {s: r[0] for s, r in rows.items()}
-    assert sum((first[s] ^ 1) in r for s, r in rows.items()) >= 8
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    words = sorted(w for w in Tokenizer.from_file(path).get_vocab() if w.isascii() and w.isalpha() and len(w) > 5)
+    topics = [rng.choice(words, 60) for _ in range(20)]
+    texts = [(i + 20 * copy, " ".join(rng.choice(topics[i], 300))) for copy in range(2) for i in range(20)]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    pieces = bm25_packing.pack(d, path, with_ids=False).toPandas()
+    first = pieces[pieces.offset == 0].groupby("sequence_id").doc_id.first()
+    held = pieces.groupby("sequence_id").doc_id.apply(set)
+    used = set()
+    for s in sorted(held.index[pieces.groupby("sequence_id").length.sum() == 4096]):
+        other = (first[s] + 20) % 40
+        assert other in used or other in held[s]
+        used |= held[s]
+
+
+def test_bm25_scores():
+    """Scores over the shard equal the formula, with the corpus's frequencies and every term of the seed."""
+    rng = np.random.default_rng(4)
+    ids = [rng.integers(3, 60, n).astype(np.uint16) for n in (50, 80, 5, 300)]
+    sizes = np.array([len(x) for x in ids])
+    df = rng.integers(1, 100, bm25_packing.MOST_IDS)
+    corpus = bm25_packing.Corpus(100, 100 * 70, df)
+    terms, times, counts = bm25_packing._vectors(np.concatenate(ids), sizes)
+    index = bm25_packing.Index(terms, times, counts, sizes, corpus)
+    tf = [Counter(x.tolist()) for x in ids]
+    for a in range(4):
+        for b in range(4):
+            if a != b:
+                expected = sum(np.log1p((100 - df[t] + 0.5) / (df[t] + 0.5)) * tf[b][t] * 2.2 / (tf[b][t] + 1.2 * (0.25 + 0.75 * sizes[b] / 70)) for t in tf[a] if t in tf[b])
+                assert index.scores(a)[b] == pytest.approx(expected, rel=1e-5)
 
 
 # 4
