@@ -5,22 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusq.functions.text import let
 
-def _ints() -> Column:
-    return F.expr("cast(array() as array<int>)")
+#: Pieces of an array that are summed up in one go.
+STRIDE = 64
+
+
+def running_sums(sizes: Column) -> Column:
+    """Sums of all elements before each place.
+
+    Sums run inside strides and over the strides' totals, so the cost grows with the length and not
+    with its square, as it does where every step copies the array.
+    """
+    def of(values: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STRIDE).cast("int"))
+        strides = F.transform(places, lambda p: F.slice(values, p * STRIDE + 1, F.lit(STRIDE)))
+        grow = lambda acc, x: F.struct((acc.at + x).alias("at"), F.concat(acc.sums, F.array(acc.at)).alias("sums"))
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("sums"))
+        each = F.transform(strides, lambda s: F.aggregate(s, start, grow))
+        whole = lambda e: F.aggregate(F.transform(e, lambda x: x.at), start, grow, lambda acc: acc.sums)
+        shifted = lambda e, bases: F.zip_with(e, bases, lambda x, b: F.transform(x.sums, lambda v: v + b))
+        return let(each, lambda e: let(whole(e), lambda bases: F.flatten(shifted(e, bases))))
+
+    return let(sizes, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(F.expr("cast(array() as array<int>)")))
 
 
 def match_positions(text: Column, pattern: Column | str) -> Column:
     """0-based code-point starts of all non-overlapping matches; the pattern must not match nothing."""
     p = pattern if isinstance(pattern, Column) else F.lit(pattern)
-    gaps, hits = F.split(text, p, -1), F.regexp_extract_all(text, p, F.lit(0))
-    steps = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit")))
-    walk = F.aggregate(
-        F.filter(steps, lambda s: s.hit.isNotNull()),
-        F.struct(F.lit(0).alias("at"), _ints().alias("found")),
-        lambda acc, s: F.struct((acc.at + s.gap + s.hit).alias("at"), F.concat(acc.found, F.array(acc.at + s.gap)).alias("found")),
-    )
-    return F.when(text.isNotNull(), walk.found)
+
+    def starts(x: Column) -> Column:
+        sizes = F.zip_with(x.gaps, x.hits, lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
+        return F.zip_with(F.slice(x.gaps, 1, F.size(x.hits)), F.slice(running_sums(sizes), 1, F.size(x.hits)), lambda g, b: b + F.length(g))
+
+    return F.when(text.isNotNull(), let(F.struct(F.split(text, p, -1).alias("gaps"), F.regexp_extract_all(text, p, F.lit(0)).alias("hits")), starts))
 
 
 def group_mask(groups: Column) -> Column:
@@ -55,11 +73,9 @@ def sentences(text: Column) -> Column:
     """array<struct<start, end, text>> of the sentences of a text, in order."""
     pieces = F.regexp_extract_all(text, F.lit("\\n|" + SENTENCE), F.lit(0))
 
-    def step(acc: Column, s: Column) -> Column:
-        end = acc.at + F.length(s)
-        one = F.array(F.struct(acc.at.alias("start"), end.alias("end"), s.alias("text")))
-        return F.struct(end.alias("at"), F.when(s == "\n", acc.found).otherwise(F.concat(acc.found, one)).alias("found"))
+    def placed(found: Column) -> Column:
+        starts = running_sums(F.transform(found, lambda s: F.length(s)))
+        rows = F.zip_with(found, starts, lambda s, at: F.struct(at.alias("start"), (at + F.length(s)).alias("end"), s.alias("text")))
+        return F.filter(rows, lambda s: s.text != "\n")
 
-    none = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
-    walk = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("found")), step)
-    return walk.found
+    return let(pieces, placed)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-import tempfile
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusq.functions import text as tx
+from corpusq.sources.storage import checkpointed
 
+#: Cards of a group that are compared in one task; longs of the bitmap of a card's n-grams.
+DEALT, SKETCH = 1024, 32
 #: Near duplicates: least similarity and length ratio. Coverage: least characters, share, and how much longer.
 DUPLICATE_RATIO, DUPLICATE_LENGTHS = 0.70, 0.85
 COVERED_CHARS, COVERED_RATIO, COVERED_LENGTHS = 40, 0.70, 1.35
@@ -71,19 +74,60 @@ def gram_set(body: Column, n: int = 3) -> Column:
     return F.array_distinct(F.filter(tx.let(chars, grams), lambda g: g.isNotNull()))
 
 
-def card_pairs(cards: DataFrame, longest_group: int | None = None) -> DataFrame:
-    """Pairs of cards of one group with their lengths, ``a`` before ``b`` by id.
+def _profiles(cards: DataFrame) -> DataFrame:
+    """Cards with their length, hashed n-grams and a bitmap of them in SKETCH columns.
 
-    ``cards(card_id, group_id, body)``; the length band is part of the join condition.
+    A bit that one bitmap has and another lacks stands for an n-gram that the other card lacks, so
+    bitmaps bound overlaps from above without touching the n-grams.
     """
-    d = cards.select("group_id", "card_id", F.length(tx.definition_skeleton(F.col("body"))).alias("size"), gram_set(F.col("body")).alias("grams"))
-    x, y = (d.select("group_id", *(F.col(c).alias(f"{c}_{s}") for c in ("card_id", "size", "grams"))) for s in "ab")
-    return x.join(y, "group_id").where("card_id_a < card_id_b")
+    extra = [c for c in ("bucket",) if c in cards.columns]
+    d = cards.select("group_id", "card_id", *extra, F.length(tx.definition_skeleton(F.col("body"))).alias("size"), F.array_distinct(F.transform(gram_set(F.col("body")), lambda g: F.xxhash64(g))).alias("grams"))
+    bits = F.transform("grams", lambda g: F.pmod(g, F.lit(64 * SKETCH)).cast("int"))
+    one = lambda bs, i: F.aggregate(F.filter(bs, lambda b: F.floor(b / 64) == i), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b % 64)))
+    words = tx.let(bits, lambda bs: F.array(*(one(bs, i) for i in range(SKETCH))))
+    d = d.withColumn("_words", words)
+    return d.select("group_id", "card_id", *extra, "size", "grams", F.size("grams").alias("n"), *(F.get("_words", F.lit(i)).alias(f"w{i}") for i in range(SKETCH)))
+
+
+def _lacking(a: str, b: str) -> Column:
+    """How many n-grams of card ``a`` card ``b`` lacks at least."""
+    terms = [F.bit_count(F.col(f"w{i}_{a}").bitwiseAND(F.bitwise_not(F.col(f"w{i}_{b}")))) for i in range(SKETCH)]
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    return total
+
+
+def card_pairs(profiles: DataFrame, keep: Column, band: float | None = None) -> DataFrame:
+    """Pairs of cards of one group for which ``keep`` holds, with both cards' n-grams, ``a`` before ``b`` by id.
+
+    A group of over DEALT cards is dealt over pairs of blocks, so no task compares a whole group.
+    With ``band`` only cards whose lengths differ by less than that ratio meet, by bands of length.
+    ``keep`` sees sizes, counts and bitmaps of both sides; n-grams are joined to what it lets through.
+    """
+    counts = profiles.groupBy("group_id").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("blocks"))
+    narrow = profiles.drop("grams").join(counts, "group_id").withColumn("block", F.expr("cast(pmod(xxhash64(card_id), blocks) as int)"))
+    band_of = F.floor(F.log(F.greatest(F.lit(1), F.col("size"))) / -math.log(band)) if band else F.lit(0).cast("long")
+    narrow = narrow.withColumn("band", band_of)
+    columns = [c for c in profiles.columns if c not in ("group_id", "grams")]
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in columns]
+    bands = F.array("band", F.col("band") - 1, F.col("band") + 1) if band else F.array("band")
+    x = narrow.select("group_id", *side("a"), F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), bands.alias("_bands")).withColumn("band", F.explode("_bands")).drop("_bands")
+    y = narrow.select("group_id", *side("b"), F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"), "band")
+    pairs = x.join(y, ["group_id", "i", "j", "band"]).where("i < j or card_id_a < card_id_b").where(keep)
+    first = F.col("card_id_a") < F.col("card_id_b")
+    swap = lambda c, k, o: F.when(first, F.col(f"{c}_{k}")).otherwise(F.col(f"{c}_{o}")).alias(f"{c}_{k}")
+    pairs = pairs.select("group_id", *(swap(c, k, o) for c in ("card_id", "size") for k, o in ("ab", "ba")))
+    for k in "ab":
+        pairs = pairs.join(profiles.select(F.col("card_id").alias(f"card_id_{k}"), F.col("grams").alias(f"grams_{k}")), f"card_id_{k}")
+    return pairs
 
 
 def duplicate_pairs(cards: DataFrame, least: float = DUPLICATE_RATIO) -> DataFrame:
     """Pairs of one group within the length band and with n-gram Jaccard at least ``least``."""
-    p = card_pairs(cards).where(F.least("size_a", "size_b") >= DUPLICATE_LENGTHS * F.greatest("size_a", "size_b"))
+    near = F.least("size_a", "size_b") >= DUPLICATE_LENGTHS * F.greatest("size_a", "size_b")
+    most = F.least(F.col("n_a") - _lacking("a", "b"), F.col("n_b") - _lacking("b", "a"))
+    p = card_pairs(_profiles(cards), near & (most >= least * (F.col("n_a") + F.col("n_b") - most)) & (F.col("n_a") > 0), DUPLICATE_LENGTHS)
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     p = p.withColumn("similarity", both / F.greatest(F.lit(1), F.size("grams_a") + F.size("grams_b") - both))
     return p.where(F.col("similarity") >= least).select("group_id", F.col("card_id_a").alias("a"), F.col("card_id_b").alias("b"), "similarity")
@@ -117,68 +161,81 @@ def similar_pairs(cards: DataFrame, least: float = DUPLICATE_RATIO) -> DataFrame
     return p.where(F.col("similarity") >= least).select("group_id", F.col("card_id_a").alias("a"), F.col("card_id_b").alias("b"), "similarity")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder; a local session without one gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir() and sc.master.startswith("local"):
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-corpusq-"))
-    return df.checkpoint()
-
-
 def clusters(cards: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(card_id, cluster)``: transitive closure of pairs inside groups, smallest card id of each.
 
     Smallest labels spread over the pairs, and every label is replaced by the label that its card
     has, until none changes; each round is checkpointed.
     """
-    edges = _checkpointed(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    edges = checkpointed(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = cards.select("card_id", F.col("card_id").alias("cluster"))
     moved = True
     while moved:
         spread = edges.join(label, F.col("b") == F.col("card_id")).groupBy(F.col("a").alias("card_id")).agg(F.min("cluster").alias("near"))
-        new = _checkpointed(label.join(spread, "card_id", "left").select("card_id", F.least("cluster", "near").alias("cluster"), F.coalesce(F.col("near") < F.col("cluster"), F.lit(False)).alias("changed")))
+        new = checkpointed(label.join(spread, "card_id", "left").select("card_id", F.least("cluster", "near").alias("cluster"), F.coalesce(F.col("near") < F.col("cluster"), F.lit(False)).alias("changed")))
         moved = not new.where("changed").isEmpty()
         up = new.groupBy(F.col("card_id").alias("cluster")).agg(F.min("cluster").alias("above"))
-        label = _checkpointed(new.join(up, "cluster", "left").select("card_id", F.least("cluster", "above").alias("cluster")))
+        label = checkpointed(new.join(up, "cluster", "left").select("card_id", F.least("cluster", "above").alias("cluster")))
     return label
 
 
+def dedupe_cards(cards: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The best card of each cluster of near duplicates, with ``cluster``: by forced, coverage and rank as ``assemble_cards`` has them."""
+    d = cards.join(clusters(cards, pairs), "card_id").join(coverage_rank(cards), "card_id")
+    return one_per_key(d, ["cluster"], _primary_order()).select(*cards.columns, "cluster")
+
+
 def coverage(cards: DataFrame) -> DataFrame:
-    """``(group_id, short, long, share)``: cards whose n-grams a much longer card of the group holds."""
-    p = card_pairs(cards)
+    """``(group_id, short, long, n_short, share)``: cards whose n-grams a much longer card of the group holds.
+
+    With a column ``bucket`` only cards of one bucket are compared.
+    """
+    longer = lambda a, b: (F.col(f"size_{a}") >= COVERED_CHARS) & (F.col(f"size_{b}") >= COVERED_LENGTHS * F.col(f"size_{a}")) & (F.col(f"n_{a}") - _lacking(a, b) >= COVERED_RATIO * F.col(f"n_{a}"))
+    keep = longer("a", "b") | longer("b", "a")
+    p = card_pairs(_profiles(cards), keep & (F.col("bucket_a") == F.col("bucket_b")) if "bucket" in cards.columns else keep)
     flip = F.col("size_a") > F.col("size_b")
     pick = lambda c, s, o: F.when(flip, F.col(f"{c}_{o}")).otherwise(F.col(f"{c}_{s}"))
-    p = p.select("group_id", pick("card_id", "a", "b").alias("short"), pick("card_id", "b", "a").alias("long"), pick("size", "a", "b").alias("n_short"), pick("size", "b", "a").alias("n_long"), pick("grams", "a", "b").alias("g_short"), pick("grams", "b", "a").alias("g_long"))
-    p = p.where((F.col("n_short") >= COVERED_CHARS) & (F.col("n_long") >= COVERED_LENGTHS * F.col("n_short")))
+    p = p.select("group_id", pick("card_id", "a", "b").alias("short"), pick("card_id", "b", "a").alias("long"), pick("size", "a", "b").alias("n_short"), pick("grams", "a", "b").alias("g_short"), pick("grams", "b", "a").alias("g_long"))
     share = F.size(F.array_intersect("g_short", "g_long")) / F.greatest(F.lit(1), F.size("g_short"))
     return p.withColumn("share", share).where(F.col("share") >= COVERED_RATIO).select("group_id", "short", "long", "n_short", "share")
 
 
 def coverage_rank(cards: DataFrame) -> DataFrame:
-    """``(card_id, covers, chars_covered)`` of every card."""
-    c = coverage(cards).groupBy(F.col("long").alias("card_id")).agg(F.count("*").alias("covers"), F.sum("n_short").cast("long").alias("chars_covered"))
+    """``(card_id, covers, chars_covered)`` of every card, among all cards of its group."""
+    c = coverage(cards.drop("bucket")).groupBy(F.col("long").alias("card_id")).agg(F.count("*").alias("covers"), F.sum("n_short").cast("long").alias("chars_covered"))
     return cards.select("card_id").join(c, "card_id", "left").select("card_id", F.coalesce("covers", F.lit(0)).alias("covers"), F.coalesce("chars_covered", F.lit(0)).alias("chars_covered"))
 
 
 def prune_covered(cards: DataFrame, forced: str = "forced") -> DataFrame:
-    """Cards without the covered ones; forced ones stay, and a group keeps at least its longest."""
+    """Cards without those that a card of their version bucket covers; forced ones stay, and a bucket keeps at least its longest."""
     gone = coverage(cards).select(F.col("short").alias("card_id")).distinct().withColumn("covered", F.lit(True))
     d = cards.join(gone, "card_id", "left").withColumn("_stay", F.col("covered").isNull() | F.col(forced))
-    w = Window.partitionBy("group_id")
-    any_left = F.max(F.col("_stay").cast("int")).over(w)
-    longest = F.row_number().over(w.orderBy(F.desc(F.length("body")), "card_id"))
-    return d.withColumn("_any", any_left).withColumn("_rn", longest).where("_stay or (_any = 0 and _rn = 1)").select(*cards.columns)
+    keys = ["group_id", *(["bucket"] if "bucket" in cards.columns else [])]
+    of = d.groupBy(*keys).agg(F.max(F.col("_stay").cast("int")).alias("_any"), F.max_by("card_id", F.struct(F.length("body"), -F.col("card_id"))).alias("_longest"))
+    return d.join(of, keys).where("_stay or (_any = 0 and card_id = _longest)").select(*cards.columns)
+
 
+def _primary_order() -> list[Column]:
+    return [F.desc("forced"), F.desc("covers"), F.desc("chars_covered"), F.when(F.col("bucket") == "normal", 0).when(F.col("bucket") == "special", 1).otherwise(2), F.when(F.col("bucket") != "other", F.col("version")).otherwise(0), F.desc("is_primary"), entry_rank(F.col("body"), F.col("definition_quality")), F.col("card_id")]
 
-def assemble_cards(cards: DataFrame) -> DataFrame:
+
+def assemble_cards(cards: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
     """Primary card of each group and the rest in order: ``place`` 1 is the primary.
 
-    Order: forced, characters covered, version, primary flag, entry rank, id. ``cards(card_id,
-    group_id, body, forced, version, is_primary, definition_quality)``.
+    ``cards(card_id, group_id, body, forced, bucket, version, is_primary, definition_quality)``;
+    ``ranked`` are the cards before pruning, over which coverage counts. The primary comes from the
+    bucket ``normal`` where a group has that and ``special``: by forced, cards and characters
+    covered, normal before special, version, primary flag, entry rank. The others follow by coverage,
+    special before normal, version, primary flag, entry rank.
     """
-    d = cards.join(coverage_rank(cards), "card_id")
-    w = Window.partitionBy("group_id").orderBy(F.desc("forced"), F.desc("chars_covered"), "version", F.desc("is_primary"), entry_rank(F.col("body"), F.col("definition_quality")), "card_id")
-    return d.withColumn("place", F.row_number().over(w))
+    d = cards.join(coverage_rank(cards if ranked is None else ranked), "card_id")
+    has = lambda b: F.max((F.col("bucket") == b).cast("int"))
+    pools = d.groupBy("group_id").agg((has("normal") + has("special") == 2).alias("_both"))
+    d = d.join(pools, "group_id").withColumn("_out", F.col("_both") & (F.col("bucket") != "normal"))
+    w = Window.partitionBy("group_id")
+    d = d.withColumn("_first", F.row_number().over(w.orderBy("_out", *_primary_order())) == 1)
+    rest = [F.desc("covers"), F.desc("chars_covered"), F.when(F.col("bucket") == "special", 0).when(F.col("bucket") == "normal", 1).otherwise(2), F.when(F.col("bucket") != "other", F.col("version")).otherwise(0), F.desc("is_primary"), entry_rank(F.col("body"), F.col("definition_quality")), F.col("card_id")]
+    return d.withColumn("place", F.row_number().over(w.orderBy(F.desc("_first"), *rest))).drop("_first", "_out", "_both")
 
 
 def conflict_flags(entries: DataFrame) -> DataFrame:
@@ -196,19 +253,15 @@ def majority(entries: DataFrame, member: Column, by: list[str]) -> DataFrame:
 def match_entries(queries: DataFrame, entries: DataFrame) -> DataFrame:
     """``(query_id, entry_id, match)``: exact names, names that contain, bodies that contain.
 
-    Candidates come from an equi-join on the rarest gram, the tests verify them. A non-Latin query
+    Candidates come from an equi-join on grams (single characters too), the tests verify them. A non-Latin query
     with more than EXPAND_LIMIT names does not look at bodies. An entry stands under its best match.
     """
-    from corpusq.operators.occurrences import block_grams, term_grams
+    from corpusq.operators.occurrences import near_blocks
 
     terms = queries.select("query_id", F.col("q").alias("term"))
-    names = entries.select(F.col("entry_id").alias("doc"), F.lit(0).alias("ord"), F.col("term").alias("text"))
-    bodies = entries.select(F.col("entry_id").alias("doc"), F.lit(1).alias("ord"), F.col("body").alias("text"))
-    grams = block_grams(names.unionByName(bodies))
-    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    # Latin queries match the start of a word in names, so any of their words may be cut short there.
-    whole = term_grams(terms).join(df, "gram", "left").groupBy("query_id", "term").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("x"))
-    near = whole.select("query_id", "term", F.col("x.gram").alias("gram")).join(grams.where("ord = 1"), "gram").select("query_id", "term", "doc").join(bodies.drop("ord"), "doc")
+    names = entries.select(F.col("entry_id").alias("doc"), F.col("term").alias("text"))
+    bodies = entries.select(F.col("entry_id").alias("doc"), F.lit(0).alias("ord"), F.col("body").alias("text"))
+    near = near_blocks(terms, bodies).join(bodies.drop("ord"), "doc")
     in_body = near.where(tx.matches(F.col("text"), F.col("term"))).select("query_id", F.col("doc").alias("entry_id"), F.lit("body").alias("match"))
     lead = F.lower(F.regexp_extract(F.trim("term"), "[A-Za-z0-9]{1,3}|\\S", 0))
     starts = names.select("doc", "text", F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+|[^a-z0-9\\s]"), F.lit(0)), lambda w: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length(w))), lambda n: F.substring(w, F.lit(1), n)))))).alias("lead"))

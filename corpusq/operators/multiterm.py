@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.functions.positions import shortest_span
+from corpusq.functions.text import let
 from corpusq.operators.occurrences import occurrences
-from corpusq.operators.snippets import block_window
+from corpusq.operators.snippets import SPAN, block_window
 
-#: Units of a query that are expanded into fragments; anchors of a group and of a unit.
-MOST_UNITS, GROUP_ANCHORS, UNIT_ANCHORS = 200, 20, 40
+#: Units of a query that are expanded into fragments; anchors of a group and of a unit; half of a fallback window.
+MOST_UNITS, GROUP_ANCHORS, UNIT_ANCHORS, AROUND = 200, 20, 40, 200
+#: Interviews and questions that a search lists.
+LISTED = 8
 
 
 def match_units(groups: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -21,13 +22,18 @@ def match_units(groups: DataFrame, blocks: DataFrame) -> DataFrame:
 
     ``groups(query_id, group, term)`` may name several terms for a group. Every group is matched on
     its own, so a longer term of one group never hides a term of another. ``groups`` maps group to
-    sorted positions; ``span`` is the shortest window over the groups that occur.
+    sorted positions; ``span`` is the shortest window over the groups that occur. Each distinct term
+    is looked for once, whatever number of queries ask for it.
     """
-    terms = groups.select(F.struct("query_id", "group").alias("query_id"), "term").distinct()
-    hits = occurrences(terms, blocks).select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.group").alias("group"), "doc", "ord", "positions")
-    per = hits.groupBy("query_id", "doc", "ord", "group").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("group").cast("int"))
-    units = per.groupBy("query_id", "doc", "ord").agg(F.bit_or(bit).alias("mask"), F.array_sort(F.collect_list(F.struct("group", "positions"))).alias("groups"))
+    asked = groups.select("query_id", "group", "term").distinct()
+    words = asked.select(F.col("term").alias("query_id"), "term").distinct()
+    hits = occurrences(words, blocks).select("term", "doc", "ord", "positions").join(asked, "term")
+    merge = lambda lists: F.when(F.size(lists) == 1, F.get(lists, F.lit(0))).otherwise(F.array_sort(F.array_distinct(F.flatten(lists))))
+    rows = hits.groupBy("query_id", "doc", "ord").agg(F.array_sort(F.collect_list(F.struct("group", "positions"))).alias("held"))
+    numbers = F.array_distinct(F.transform("held", lambda h: h.group))
+    per_group = F.transform(numbers, lambda g: F.struct(g.alias("group"), merge(F.transform(F.filter("held", lambda h: h.group == g), lambda h: h.positions)).alias("positions")))
+    bits = F.aggregate(numbers, F.lit(0).cast("long"), lambda acc, g: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), g.cast("int"))))
+    units = rows.select("query_id", "doc", "ord", bits.alias("mask"), per_group.alias("groups"))
     return units.withColumn("span", shortest_span(F.transform("groups", lambda g: g.positions)))
 
 
@@ -37,13 +43,12 @@ def effective_level(units: DataFrame) -> DataFrame:
 
 
 def matched_units(units: DataFrame) -> DataFrame:
-    """The units that reach their query's level."""
-    d = units.withColumn("groups_held", F.bit_count("mask"))
-    return d.withColumn("level", F.max("groups_held").over(Window.partitionBy("query_id"))).where("groups_held = level")
+    """The units that reach their query's level; a row for each query is joined back, no window holds all units of one."""
+    return units.withColumn("groups_held", F.bit_count("mask")).join(effective_level(units), "query_id").where("groups_held = level")
 
 
 def ranked_units(units: DataFrame, docs: DataFrame, limit: int | None = None) -> DataFrame:
-    """Matched units by span, work, document and place, with ``rank``."""
+    """Matched units by span, work, document and place, with ``rank``; a limit cuts inside every partition first."""
     d = matched_units(units).join(docs.select("doc", "work"), "doc")
     d = d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("span", "work", "doc", "ord")))
     return d.where(F.col("rank") <= limit) if limit else d
@@ -51,8 +56,8 @@ def ranked_units(units: DataFrame, docs: DataFrame, limit: int | None = None) ->
 
 def unit_stats(units: DataFrame, docs: DataFrame) -> DataFrame:
     """``(query_id, work, units, docs)`` of the matched units, by work and for all works."""
-    d = matched_units(units).join(docs.select("doc", "work"), "doc")
-    return d.groupingSets([["query_id", "work"], ["query_id"]], "query_id", "work").agg(F.count("*").alias("units"), F.countDistinct("doc").alias("docs"))
+    d = matched_units(units).groupBy("query_id", "doc").agg(F.count("*").alias("units")).join(docs.select("doc", "work"), "doc")
+    return d.groupingSets([["query_id", "work"], ["query_id"]], "query_id", "work").agg(F.sum("units").alias("units"), F.count("*").alias("docs"))
 
 
 def group_labels(units: DataFrame, groups: DataFrame) -> DataFrame:
@@ -69,34 +74,71 @@ def highlight_terms(groups: DataFrame) -> DataFrame:
     return first.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.term).alias("terms"))
 
 
+@F.pandas_udf(SPAN)
+def _window(text: pd.Series, at: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([block_window(t, int(p), int(p) + 1) for t, p in zip(text, at)], columns=["start", "end"])
+
+
 def fragments(units: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``(query_id, doc, ord, start, end, mask, text)``: windows around anchors that hold the level.
+    """``(query_id, doc, ord, start, end, mask, span, text)``: windows around anchors that hold the level.
+
+    At most MOST_UNITS units of a query in corpus order, and as anchors the first GROUP_ANCHORS
+    positions of each group, UNIT_ANCHORS in all, the groups in turn: this report's feature. Of
+    windows of one block with the same wording the first stays. A unit none of whose windows holds the
+    level gives one around the middle of its groups' first positions.
+    """
+    order = Window.partitionBy("query_id").orderBy("doc", "ord")
+    few = matched_units(units).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= MOST_UNITS)
+    few = few.join(blocks.select("doc", "ord", "text"), ["doc", "ord"]).select("query_id", "doc", "ord", "mask", "groups", "level", "span", "text")
+    anchors = few.select("query_id", "doc", "ord", "level", "groups", "text", F.posexplode("groups").alias("_g", "g"))
+    anchors = anchors.select("query_id", "doc", "ord", "level", "groups", "text", "_g", F.posexplode(F.slice("g.positions", 1, GROUP_ANCHORS)).alias("_i", "at"))
+    key = ["query_id", "doc", "ord"]
+    anchors = anchors.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("_i", "_g"))).where(F.col("_n") <= UNIT_ANCHORS)
+    anchors = anchors.withColumn("w", _window("text", "at"))
+    held = F.transform("groups", lambda g: F.struct(g.group.alias("group"), F.filter(g.positions, lambda p: (p >= F.col("w.start")) & (p < F.col("w.end"))).alias("positions")))
+    anchors = anchors.withColumn("_in", F.filter(held, lambda g: F.size(g.positions) > 0)).where(F.size("_in") >= F.col("level"))
+    mask = F.aggregate("_in", F.lit(0).cast("long"), lambda acc, g: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), g.group.cast("int"))))
+    cut = F.substring("text", F.col("w.start") + 1, F.col("w.end") - F.col("w.start"))
+    found = anchors.select(*key, "_n", F.col("w.start").alias("start"), F.col("w.end").alias("end"), mask.alias("mask"), shortest_span(F.transform("_in", lambda g: g.positions)).alias("span"), cut.alias("text"))
+    wording = Window.partitionBy(*key, F.regexp_replace("text", "\\s+", "")).orderBy("_n")
+    found = found.withColumn("_f", F.row_number().over(wording)).where("_f = 1").drop("_n", "_f")
+    firsts = F.transform("groups", lambda g: F.get(g.positions, F.lit(0)))
+    middle = F.floor((F.array_min(firsts) + F.array_max(firsts)) / 2).cast("int")
+    bare = few.join(found.select(*key).distinct(), key, "left_anti").withColumns({"start": F.greatest(F.lit(0), middle - AROUND), "end": F.least(F.length("text"), middle + AROUND)})
+    bare = bare.select(*key, "start", "end", "mask", "span", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
+    return found.unionByName(bare)
+
+
+def search_units(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """Units of all kinds of text under one level: ``(query_id, kind, doc, item, mask, groups, span, level)``.
+
+    ``texts(kind, doc, item, text)`` holds definitions, interviews, questions and blocks; ``item`` is
+    the place of a text among those of its kind.
+    """
+    as_blocks = texts.select(F.struct("kind", "doc").alias("doc"), F.col("item").alias("ord"), "text")
+    units = matched_units(match_units(groups, as_blocks))
+    return units.select("query_id", "doc.kind", "doc.doc", F.col("ord").alias("item"), "mask", "groups", "span", "level")
+
+
+def search_multi(groups: DataFrame, texts: DataFrame, definitions: DataFrame, most_cards: int = 26) -> DataFrame:
+    """What a multi-term query lists beside its passages: ``(query_id, kind, place, doc, item, span, terms, level, relaxed)``.
 
-    At most MOST_UNITS units of a query in corpus order, GROUP_ANCHORS anchors of a group and
-    UNIT_ANCHORS of a unit become windows, which is this report's feature. Windows of one place and
-    of one wording count once.
+    Definitions by span, ``rank`` and item, one of each group, with the terms of all entries of the
+    group, ``most_cards`` at most; the first LISTED interviews and questions by span, document and
+    item. ``definitions(item, group_id, rank)`` describes the entries; ``relaxed`` says that no text
+    holds all groups of the query. Passages are ``fragments`` of the units of kind ``block``.
     """
-    w = Window.partitionBy("query_id").orderBy("doc", "ord")
-    few = matched_units(units).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= MOST_UNITS).drop("rank")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for r in f.itertuples(index=False):
-                lists = [list(g["positions"])[:GROUP_ANCHORS] for g in r.groups]
-                anchors = [x[i] for i in range(max(map(len, lists), default=0)) for x in lists if i < len(x)][:UNIT_ANCHORS]
-                for at in anchors:
-                    start, end = block_window(r.text, int(at), int(at) + 1)
-                    mask = sum(1 << int(g["group"]) for g in r.groups if any(start <= p < end for p in g["positions"]))
-                    if mask.bit_count() >= r.level:
-                        out.append((r.query_id, r.doc, r.ord, start, end, mask, r.text[start:end]))
-                if not any(o[1] == r.doc and o[2] == r.ord for o in out) and anchors:
-                    start, end = max(0, int(anchors[0]) - 200), min(len(r.text), int(anchors[0]) + 200)
-                    out.append((r.query_id, r.doc, r.ord, start, end, int(r.mask), r.text[start:end]))
-            yield pd.DataFrame(out, columns=["query_id", "doc", "ord", "start", "end", "mask", "text"])
-
-    d = few.join(blocks.select("doc", "ord", "text"), ["doc", "ord"]).select("query_id", "doc", "ord", "mask", "groups", "level", "text")
-    found = d.mapInPandas(run, "query_id long, doc long, ord int, start int, end int, mask long, text string")
-    flat = F.regexp_replace("text", "\\s+", "")
-    first = Window.partitionBy("query_id", "doc", flat).orderBy("ord", "start")
-    return found.dropDuplicates(["query_id", "doc", "ord", "start", "end"]).withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
+    units = search_units(groups, texts)
+    asked = groups.groupBy("query_id").agg(F.countDistinct("group").alias("asked"))
+    labels = groups.groupBy("query_id", "group").agg(F.min("term").alias("term")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("group", "term"))).alias("labels"))
+    cards = units.where("kind = 'definition'").join(definitions.select("item", "group_id", "rank"), "item")
+    union = cards.groupBy("query_id", "group_id").agg(F.bit_or("mask").alias("_all"))
+    one = cards.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "group_id").orderBy("span", "rank", "item"))).where("_n = 1")
+    one = one.join(union, ["query_id", "group_id"]).withColumn("mask", F.col("_all"))
+    one = one.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("span", "rank", "item"))).where(F.col("place") <= most_cards)
+    rest = units.where("kind in ('interview', 'qa')")
+    rest = rest.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("span", "doc", "item"))).where(F.col("place") <= LISTED)
+    columns = ["query_id", "kind", "place", "doc", "item", "span", "mask", "level"]
+    every = one.select(*columns).unionByName(rest.select(*columns)).join(labels, "query_id").join(asked, "query_id")
+    terms = let(F.struct("labels", "mask"), lambda x: F.transform(F.filter(x.labels, lambda g: F.call_function("shiftright", x.mask, g.group.cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1), lambda g: g.term))
+    return every.select("query_id", "kind", "place", "doc", "item", "span", terms.alias("terms"), "level", (F.col("level") < F.col("asked")).alias("relaxed"))

@@ -7,115 +7,145 @@ from pyspark.sql import functions as F
 
 from corpusq.functions import text as tx
 from corpusq.functions.positions import match_positions
+from corpusq.operators.ordering import numbered
 
 #: Terms up to which every block is tested for all of them in one scan.
 FEW_TERMS = 200
-#: Characters of a gram that stands for text without Latin letters.
-GRAM = 2
 #: Passages and hits that a listing keeps; all are counted.
 MOST_PASSAGES, MOST_HITS = 20_000, 200_000
+GAP = f"[{tx.MIDDLE_DOTS}\\s]+"
 
 
-def term_hits(text: Column, term: Column) -> Column:
-    """Positions of a term in a text: whole words for Latin terms, substrings for others."""
-    return match_positions(text, F.concat(F.lit("(?iu)"), tx.term_pattern(term)))
+def term_regex(term: Column) -> Column:
+    """The pattern of a term, without regard to case."""
+    return F.concat(F.lit("(?iu)"), tx.term_pattern(term))
 
 
-def scan_occurrences(terms: DataFrame, blocks: DataFrame, rows: int | None = None) -> DataFrame:
-    """``(query_id, term, doc, ord, n, positions)`` by testing every block for every term.
-
-    For at most FEW_TERMS terms; the count is checked, and the bounded table is sent to all tasks.
-    """
-    rows = terms.count() if rows is None else rows
-    if rows > FEW_TERMS:
-        raise ValueError(f"{rows} terms: use index_occurrences beyond {FEW_TERMS}")
-    return _verified(blocks.join(F.broadcast(_with_piece(terms)), F.contains(F.lower("text"), F.col("piece"))))
-
-
-def _with_piece(terms: DataFrame) -> DataFrame:
-    """Terms with their longest piece between dots and spaces, which every match holds as it stands."""
-    pieces = F.regexp_extract_all(F.lower("term"), F.lit(f"[^{tx.MIDDLE_DOTS}\\s]+"), F.lit(0))
+def _piece(term: Column) -> Column:
+    """The longest piece of a term between dots and spaces, which every match holds as it stands."""
+    pieces = F.regexp_extract_all(F.lower(term), F.lit(f"[^{tx.MIDDLE_DOTS}\\s]+"), F.lit(0))
     longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("size"), p.alias("piece"))))
-    return terms.withColumn("piece", F.coalesce(longest.piece, F.lit("")))
+    return F.coalesce(longest.piece, F.lit(""))
 
 
-def _verified(candidates: DataFrame) -> DataFrame:
-    found = candidates.withColumn("positions", term_hits(F.col("text"), F.col("term"))).where(F.size("positions") > 0)
-    return found.select("query_id", "term", "doc", "ord", F.size("positions").cast("long").alias("n"), "positions")
+def scan_occurrences(terms: DataFrame, blocks: DataFrame, positions: bool = True) -> DataFrame:
+    """``(query_id, term, doc, ord, n[, positions])`` by testing every block for every term in one scan.
 
-
-def _pairs(other: Column) -> Column:
-    """Runs of GRAM characters without a space."""
-    chars = F.filter(F.split(other, ""), lambda c: c != "")
-    runs = tx.let(chars, lambda cs: F.transform(cs, lambda c, i: F.when(i + GRAM <= F.size(cs), F.concat(c, *(F.get(cs, i + j) for j in range(1, GRAM))))))
-    return F.filter(runs, lambda g: g.isNotNull() & ~F.contains(g, F.lit(" ")))
+    For at most FEW_TERMS rows of terms, which is checked; they become literal patterns, compiled
+    once. A block that lacks a term's longest piece is not searched for it.
+    """
+    few = terms.select("term", term_regex(F.col("term")).alias("regex"), _piece(F.col("term")).alias("piece")).where("piece <> ''").limit(FEW_TERMS + 1).collect()
+    if len(few) > FEW_TERMS:
+        raise ValueError(f"over {FEW_TERMS} terms: use index_occurrences")
+    text, low = F.col("text"), F.lower("text")
+    kinds = "array<struct<term:string,n:bigint>>"
+    cells = []
+    for term, (regex, piece) in {r.term: (r.regex, r.piece) for r in few}.items():
+        found = F.struct(F.lit(term).alias("term"), F.regexp_count(text, F.lit(regex)).cast("long").alias("n"))
+        cells.append(F.when(F.contains(low, F.lit(piece)), found))
+    held = F.filter(F.array(*cells), lambda x: x.n > 0) if cells else F.expr(f"cast(array() as {kinds})")
+    keep = ["doc", "ord", *(["text"] if positions else [])]
+    hits = blocks.select(*keep, F.explode(held).alias("x")).select(*keep, "x.term", "x.n")
+    hits = hits.join(F.broadcast(terms.select("query_id", "term").distinct()), "term")  # FEW_TERMS rows at most
+    out = ["query_id", "term", "doc", "ord", "n"]
+    return hits.select(*out, match_positions(text, term_regex(F.col("term"))).alias("positions")) if positions else hits.select(*out)
+
+
+def _singles_and_pairs(runs: Column) -> Column:
+    """All characters of some runs, and all pairs of neighbours."""
+    def of(run: Column) -> Column:
+        chars = F.filter(F.split(run, ""), lambda c: c != "")
+        return tx.let(chars, lambda cs: F.concat(cs, F.zip_with(F.slice(cs, 1, F.greatest(F.lit(0), F.size(cs) - 1)), F.slice(cs, 2, F.greatest(F.lit(0), F.size(cs) - 1)), lambda a, b: F.concat(a, b))))
+
+    return F.flatten(F.transform(runs, of))
 
 
 def block_grams(blocks: DataFrame) -> DataFrame:
-    """``(gram, doc, ord)``: lower-case Latin words, and pairs of characters elsewhere."""
+    """``(gram, doc, ord)``: lower-case Latin words; single characters and pairs of digits and of all else."""
     low = F.lower("text")
     words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
-    other = F.regexp_replace(low, "[a-z0-9\\s]+", " ")
-    pairs = _pairs(other)
-    return blocks.select(F.explode(F.array_distinct(F.concat(words, pairs))).alias("gram"), "doc", "ord")
+    rest = F.regexp_extract_all(low, F.lit("[0-9]+|[^a-z0-9\\s]+"), F.lit(0))
+    return blocks.select(F.explode(F.array_distinct(F.concat(words, _singles_and_pairs(rest)))).alias("gram"), "doc", "ord")
 
 
-def term_grams(terms: DataFrame) -> DataFrame:
-    """``(query_id, term, gram)``; every block that holds the term has all of them."""
+def term_anchors(terms: DataFrame) -> DataFrame:
+    """``(query_id, term, anchor, gram)``: of every anchor, a block that holds the term has one of the grams.
+
+    Dots and spaces of a term may be missing from a match. In a Latin term, words that only such
+    gaps divide are one word of the block if the gaps are closed, so a chain of them has an anchor with
+    the alternatives first word, first two joined, and so on. Elsewhere characters and pairs between
+    two gaps stand as they are, and each is an anchor of its own.
+    """
     low = F.lower(F.trim("term"))
-    words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
-    other = F.regexp_replace(low, f"[a-z0-9\\s{tx.MIDDLE_DOTS}]+", " ")
-    pairs = _pairs(other)
-    whole = F.when(tx.is_latin(F.col("term")), words).otherwise(pairs)
-    return terms.select("query_id", "term", F.explode(F.array_distinct(whole)).alias("gram"))
+    chains = F.regexp_extract_all(low, F.lit(f"[a-z0-9]+(?:{GAP}[a-z0-9]+)*"), F.lit(0))
+    joined = F.transform(chains, lambda c: tx.let(F.split(c, GAP, -1), lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws)), lambda n: F.array_join(F.slice(ws, F.lit(1), n), ""))))
+    rest = _singles_and_pairs(F.regexp_extract_all(low, F.lit(f"[0-9]+|[^a-z0-9\\s{tx.MIDDLE_DOTS}]+"), F.lit(0)))
+    anchors = F.when(tx.is_latin(F.col("term")), joined).otherwise(F.transform(F.array_distinct(rest), lambda g: F.array(g)))
+    each = terms.select("query_id", "term", F.posexplode(anchors).alias("anchor", "grams"))
+    return each.select("query_id", "term", "anchor", F.explode(F.array_distinct("grams")).alias("gram"))
+
+
+def near_blocks(terms: DataFrame, blocks: DataFrame, grams: DataFrame | None = None) -> DataFrame:
+    """``(query_id, term, doc, ord)``: the blocks that hold a gram of each term's rarest anchor; no match lies elsewhere."""
+    anchors = term_anchors(terms.select("query_id", "term").distinct())
+    grams = block_grams(blocks) if grams is None else grams
+    held = grams.join(anchors.select("gram").distinct(), "gram")
+    frequency = held.groupBy("gram").agg(F.count("*").alias("df"))
+    cost = anchors.join(frequency, "gram", "left").groupBy("query_id", "term", "anchor").agg(F.sum(F.coalesce("df", F.lit(0))).alias("cost"))
+    rarest = cost.groupBy("query_id", "term").agg(F.min(F.struct("cost", "anchor")).alias("x")).where("x.cost > 0").select("query_id", "term", F.col("x.anchor").alias("anchor"))
+    wanted = rarest.join(anchors, ["query_id", "term", "anchor"]).select("query_id", "term", "gram")
+    return held.join(wanted, "gram").select("query_id", "term", "doc", "ord").distinct()
 
 
-def index_occurrences(terms: DataFrame, blocks: DataFrame, grams: DataFrame | None = None) -> DataFrame:
-    """The same rows by way of a gram index: each term looks up its rarest gram, then is verified.
+def index_occurrences(terms: DataFrame, blocks: DataFrame, grams: DataFrame | None = None, positions: bool = True) -> DataFrame:
+    """The rows of ``scan_occurrences`` by way of a gram index: each term looks up its rarest anchor, then is verified.
 
-    For any number of terms. A term without a gram (a single character) is scanned for.
+    For any number of terms; ``grams`` is a kept ``block_grams``. Only grams of the terms are counted
+    and joined.
     """
-    grams = block_grams(blocks) if grams is None else grams
-    frequency = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    own = term_grams(terms)
-    known = own.join(frequency, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rarest = known.groupBy("query_id", "term").agg(F.min(F.struct("df", "gram")).alias("x")).where("x.df > 0").select("query_id", "term", F.col("x.gram").alias("gram"))
-    near = grams.join(_with_piece(rarest), "gram").select("query_id", "term", "piece", "doc", "ord").join(blocks.select("doc", "ord", "text"), ["doc", "ord"])
-    near = near.where(F.contains(F.lower("text"), F.col("piece"))).drop("piece")
-    bare = terms.join(own.select("query_id", "term").distinct(), ["query_id", "term"], "left_anti")
-    rest = bare.join(blocks.select("doc", "ord", "text"), F.contains(F.lower("text"), F.lower("term")))
-    return _verified(near.unionByName(rest.select(*near.columns)))
+    near = near_blocks(terms, blocks, grams).join(blocks.select("doc", "ord", "text"), ["doc", "ord"])
+    regex = term_regex(F.col("term"))
+    hits = near.where(F.contains(F.lower("text"), _piece(F.col("term")))).withColumn("n", F.regexp_count("text", regex).cast("long")).where("n > 0")
+    out = ["query_id", "term", "doc", "ord", "n"]
+    return hits.select(*out, match_positions(F.col("text"), regex).alias("positions")) if positions else hits.select(*out)
 
 
-def occurrences(terms: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Occurrences by the cheaper of both ways, decided by the number of terms."""
-    rows = terms.limit(FEW_TERMS + 1).count()
-    return scan_occurrences(terms, blocks, rows) if rows <= FEW_TERMS else index_occurrences(terms, blocks)
+def occurrences(terms: DataFrame, blocks: DataFrame, positions: bool = True) -> DataFrame:
+    """Occurrences by the cheaper of both ways, decided by the number of terms; the rows are the same."""
+    few = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    return (scan_occurrences if few else index_occurrences)(terms, blocks, positions=positions)
 
 
 def occurrence_stats(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """``(query_id, work, hits, segments, docs)`` by work, and for all works (work null)."""
-    d = hits.join(docs.select("doc", "work"), "doc")
-    return d.groupingSets([["query_id", "work"], ["query_id"]], "query_id", "work").agg(F.sum("n").alias("hits"), F.count("*").alias("segments"), F.countDistinct("doc").alias("docs"))
+    per = hits.groupBy("query_id", "doc").agg(F.sum("n").alias("n"), F.count("*").alias("segments")).join(docs.select("doc", "work"), "doc")
+    return per.groupingSets([["query_id", "work"], ["query_id"]], "query_id", "work").agg(F.sum("n").alias("hits"), F.sum("segments").alias("segments"), F.count("*").alias("docs"))
 
 
 def capped(hits: DataFrame, passages: int = MOST_PASSAGES, most: int = MOST_HITS) -> DataFrame:
     """The first passages of each query with ``total``, ``passages`` and ``truncated``.
 
-    All hits are counted; only the listing is bounded, as its feature.
+    All hits are counted; only the listing is bounded, as its feature. The bound is applied inside
+    every partition before rows of a query meet.
     """
-    w = Window.partitionBy("query_id")
-    order = w.orderBy("doc", "ord")
-    d = hits.withColumns({"total": F.sum("n").over(w), "passages": F.count("*").over(w), "rank": F.row_number().over(order), "upto": F.sum("n").over(order)})
-    return d.where((F.col("rank") <= passages) & (F.col("upto") - F.col("n") < most)).withColumn("truncated", (F.col("passages") > passages) | (F.col("total") > most)).drop("rank", "upto")
+    totals = hits.groupBy("query_id").agg(F.sum("n").alias("total"), F.count("*").alias("passages"))
+    order = Window.partitionBy("query_id").orderBy("doc", "ord")
+    first = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= passages)
+    first = first.withColumn("upto", F.sum("n").over(order)).where(F.col("upto") - F.col("n") < most)
+    return first.drop("rank", "upto").join(totals, "query_id").withColumn("truncated", (F.col("passages") > passages) | (F.col("total") > most))
+
 
+def diversify(hits: DataFrame, most: int | None = None) -> DataFrame:
+    """Hits with ``place`` inside (query, work): by kind, first of each document before repeats, in order.
 
-def diversify(hits: DataFrame) -> DataFrame:
-    """Hits with ``place`` inside (query, work): by kind, first of each document before repeats, in order."""
+    With ``most`` only the first places are kept, and are cut inside every partition first.
+    """
     in_doc = Window.partitionBy("query_id", "work", "kind_rank", "doc").orderBy("ord")
     d = hits.withColumn("again", (F.row_number().over(in_doc) > 1).cast("int"))
-    w = Window.partitionBy("query_id", "work").orderBy("kind_rank", "again", "doc", "ord")
-    return d.withColumn("place", F.row_number().over(w)).drop("again")
+    if most is not None:
+        w = Window.partitionBy("query_id", "work").orderBy("kind_rank", "again", "doc", "ord")
+        return d.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("again")
+    return numbered(d, ["query_id", "work"], ["kind_rank", "again"], ["doc", "ord"], "place").drop("again")
 
 
 def round_robin(placed: DataFrame, limit: int, rounds: int = 8) -> DataFrame:
@@ -128,5 +158,4 @@ def listing(hits: DataFrame, docs: DataFrame, work: str | None = None) -> DataFr
     """Hits with document attributes, numbered inside each query by kind and place."""
     d = hits.join(docs.select("doc", "work", "kind"), "doc")
     d = d.where(F.col("work") == work) if work else d
-    w = Window.partitionBy("query_id").orderBy("kind", "doc", "ord")
-    return d.withColumn("rank", F.row_number().over(w))
+    return numbered(d, ["query_id"], ["kind"], ["doc", "ord"], "rank")

@@ -24,7 +24,7 @@ WORDS = [t for t in tb.TERMS if " " not in t[1]]
 
 
 def _hits(spark, d):
-    return oc.occurrences(tb.terms(spark, WORDS), tb.blocks(spark, d))
+    return oc.occurrences(tb.terms(spark, WORDS), tb.blocks(spark, d), positions=False)
 
 
 @C.add(sql(tb.SQL_BLOCKS, select="SELECT doc, ord, text, len FROM blocks"))
@@ -66,7 +66,7 @@ def occurrence_hits(spark, d):
 @C.add(sql(*WORD_HITS, select="SELECT query_id, doc, ord, n FROM hits"))
 def occurrence_index(spark, d):
     """The same by the gram index."""
-    return oc.index_occurrences(tb.terms(spark, WORDS), tb.blocks(spark, d)).select("query_id", "doc", "ord", "n")
+    return oc.index_occurrences(tb.terms(spark, WORDS), tb.blocks(spark, d), positions=False).select("query_id", "doc", "ord", "n")
 
 
 STATS = """SELECT query_id, work, CAST(sum(n) AS BIGINT) AS hits, count(*) AS segments, count(DISTINCT doc) AS docs FROM hits JOIN docs USING (doc) GROUP BY GROUPING SETS ((query_id, work), (query_id))"""
@@ -88,7 +88,7 @@ def match_places(spark, d):
 @C.add(sql(*WORD_HITS, tb.SQL_DOCS, select="SELECT query_id, doc, ord, n, work, kind, row_number() OVER (PARTITION BY query_id ORDER BY kind, doc, ord) AS rank FROM hits JOIN docs USING (doc) WHERE work = 'src3'"))
 def occurrence_listing(spark, d):
     """Listing of one work in order."""
-    return oc.listing(_hits(spark, d).drop("positions", "term"), tb.docs(spark, d), "src3").select("query_id", "doc", "ord", "n", "work", "kind", "rank")
+    return oc.listing(_hits(spark, d).drop("term"), tb.docs(spark, d), "src3").select("query_id", "doc", "ord", "n", "work", "kind", "rank")
 
 
 @C.add(sql(*WORD_HITS, select="""SELECT query_id, doc, ord, n, total, passages, passages > 100 OR total > 300 AS truncated FROM (SELECT query_id, doc, ord, n, CAST(sum(n) OVER (PARTITION BY query_id) AS BIGINT) AS total, count(*) OVER (PARTITION BY query_id) AS passages,
@@ -103,7 +103,7 @@ PLACED = """placed AS (SELECT query_id, doc, ord, n, work, kind_rank, row_number
 
 
 def _placed(spark, d):
-    h = _hits(spark, d).drop("positions", "term").join(tb.docs(spark, d).select("doc", "work", "kind"), "doc")
+    h = _hits(spark, d).drop("term").join(tb.docs(spark, d).select("doc", "work", "kind"), "doc")
     return oc.diversify(h.withColumn("kind_rank", F.when(F.col("kind") == "en", 0).when(F.col("kind") == "de", 1).otherwise(4)))
 
 
@@ -292,19 +292,24 @@ def multi_term_stats(spark, d):
     return mt.unit_stats(_units(spark, d), tb.docs(spark, d))
 
 
-SPAN = """chars AS (SELECT doc, ord, text, lower(text) AS low FROM blocks),
-    pos AS (SELECT query_id, doc, ord, g, p FROM (SELECT b.doc, b.ord, query_id, g, term, low, unnest(range(1, length(low) - length(term) + 2)) AS p FROM chars b JOIN (SELECT DISTINCT doc, ord FROM units) USING (doc, ord), grp)
+def span_sql(blocks: str) -> str:
+    """Spans of ``units`` over the texts of ``blocks(doc, ord, text)``, for up to three groups."""
+    return f"""pos AS (SELECT query_id, doc, ord, g, p FROM (SELECT doc, ord, query_id, g, term, low, unnest(range(1, length(low) - length(term) + 2)) AS p FROM (SELECT doc, ord, lower(text) AS low FROM {blocks}) JOIN (SELECT DISTINCT doc, ord FROM units) USING (doc, ord), grp)
         WHERE substr(low, p, length(term)) = term AND NOT regexp_matches(substr(low, greatest(p - 1, 1), CASE WHEN p = 1 THEN 0 ELSE 1 END), '[a-z0-9]') AND NOT regexp_matches(substr(low, p + length(term), 1), '[a-z0-9]')),
-    seen AS (SELECT *, max(CASE WHEN g = 0 THEN p END) OVER w AS a, max(CASE WHEN g = 1 THEN p END) OVER w AS b FROM pos WHERE query_id = 1 WINDOW w AS (PARTITION BY query_id, doc, ord ORDER BY p))"""
+    seen AS (SELECT *, max(CASE WHEN g = 0 THEN p END) OVER w AS a, max(CASE WHEN g = 1 THEN p END) OVER w AS b, max(CASE WHEN g = 2 THEN p END) OVER w AS c FROM pos WINDOW w AS (PARTITION BY query_id, doc, ord ORDER BY p)),
+    spans AS (SELECT query_id, doc, ord, mask, CAST(min(CASE WHEN (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT = bit_count(mask) THEN p - least(a, b, c) END) AS BIGINT) AS span FROM seen JOIN units USING (query_id, doc, ord) GROUP BY ALL)"""
 
 
-@C.add(sql(*U, SPAN, select="SELECT doc, ord, CAST(min(p - least(a, b)) AS BIGINT) AS span FROM seen WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY doc, ord"))
+SPAN = span_sql("blocks")
+
+
+@C.add(sql(*U, SPAN, select="SELECT query_id, doc, ord, mask, span FROM spans"))
 def shortest_span(spark, d):
-    """Shortest window over both groups of query 1."""
-    return _units(spark, d).where("query_id = 1 and mask = 3").select("doc", "ord", "span")
+    """Shortest window over the groups that a block holds."""
+    return _units(spark, d).select("query_id", "doc", "ord", "mask", "span")
 
 
-@C.add()
+@C.add(sql(*U, SPAN, tb.SQL_DOCS, select="SELECT query_id, doc, ord, mask, span, row_number() OVER (PARTITION BY query_id ORDER BY span, work, doc, ord) AS rank FROM spans JOIN lv USING (query_id) JOIN docs USING (doc) WHERE bit_count(mask) = level QUALIFY rank <= 100"))
 def multi_term_ranked(spark, d):
     """Matched units by span, best hundred."""
     return mt.ranked_units(_units(spark, d), tb.docs(spark, d), 100).select("query_id", "doc", "ord", "mask", "span", "rank")

@@ -38,7 +38,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("entry_id"), F.col("doc_id").alias("doc"), "term", F.col("text").alias("body"), F.col("source").alias("leaf"), F.col("lang").alias("cat"),
         F.concat(F.lit("term:"), "term").alias("group_id"), F.col("lang").alias("meaning_id"), F.coalesce("quality", F.lit(0)).alias("definition_quality"),
-        (F.coalesce("quality", F.lit(0)) == 1).alias("is_primary"), (F.col("doc_id") % 97 == 0).alias("forced"), F.col("lang").alias("version"), F.lit("").alias("variant_id"), F.col("doc_id").alias("card_id"),
+        (F.coalesce("quality", F.lit(0)) == 1).alias("is_primary"), (F.col("doc_id") % 97 == 0).alias("forced"), (F.col("doc_id") % 5).alias("version"), F.when(F.col("lang") == "en", "normal").when(F.col("lang") == "de", "special").otherwise("other").alias("bucket"), F.lit("").alias("variant_id"), F.col("doc_id").alias("card_id"),
     )
 
 
@@ -89,7 +89,7 @@ SQL_DOCS = "docs AS (SELECT doc_id AS doc, source AS work, lang AS kind, substr(
 SQL_BLOCKS = "blocks AS (SELECT * FROM (SELECT doc, ord, text, length(text) AS len FROM (SELECT doc_id AS doc, unnest(range(len(parts))) AS ord, unnest(parts) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))) WHERE text <> '')"
 SQL_ENTRIES = """entries AS (SELECT doc_id AS entry_id, doc_id AS doc, regexp_extract(lower(text), '[a-z]{5,}') AS term, text AS body, source AS leaf, lang AS cat,
     'term:' || regexp_extract(lower(text), '[a-z]{5,}') AS group_id, lang AS meaning_id, coalesce(quality, 0) AS definition_quality, coalesce(quality, 0) = 1 AS is_primary,
-    doc_id % 97 = 0 AS forced, lang AS version, doc_id AS card_id FROM documents LEFT JOIN labels USING (doc_id) WHERE regexp_extract(lower(text), '[a-z]{5,}') <> '')"""
+    doc_id % 97 = 0 AS forced, doc_id % 5 AS version, CASE lang WHEN 'en' THEN 'normal' WHEN 'de' THEN 'special' ELSE 'other' END AS bucket, doc_id AS card_id FROM documents LEFT JOIN labels USING (doc_id) WHERE regexp_extract(lower(text), '[a-z]{5,}') <> '')"""
 SQL_TOKENS = "tokens AS (SELECT doc, ord, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM blocks)"
 SQL_TERMS = f"terms AS (SELECT query_id, term FROM {values(TERMS)} v(query_id, term))"
 SQL_WORDS = "words AS (SELECT query_id, term FROM terms WHERE term NOT LIKE '% %')"

@@ -38,6 +38,43 @@ def test_scan_and_index_agree(spark):
     assert rows(a, "query_id", "doc", "ord", "n") == rows(c, "query_id", "doc", "ord", "n") == [(1, 1, 0, 1), (2, 1, 1, 2), (3, 1, 0, 1), (3, 2, 0, 1)]
 
 
+def test_scan_and_index_agree_on_tolerant_terms(spark):
+    """Dots and spaces of a term may be missing or others; both ways find the same rows, for few terms and for many."""
+    texts = ["theand one", "the and, The·and", "other lathe and", "远坂来了", "远·坂和远 坂", "单远", "foo-bar.baz", "foobarbaz", "foo bar", "1 2 3 and 123", "x1234", "Café au lait", "月姬R 与 月姬 R", "a.b", "ab", "É.B", "", " . "]
+    b = spark.createDataFrame([(i, i % 3, t) for i, t in enumerate(texts)], "doc long, ord int, text string")
+    asked = ["The and", "远坂", "远 坂", "远·坂", "foo bar", "foo-bar baz", "12", "123", "1 2", "café", "月姬R", "月姬 R", "a.b", "é", "é b", "au lait", "远", "r", "·", "none at all"]
+    terms = [(i, t) for i, t in enumerate(asked)]
+    many = terms + [(1000 + i, f"filler{i}") for i in range(250)]
+    t, m = (spark.createDataFrame(x, "query_id long, term string") for x in (terms, many))
+    columns = ["query_id", "doc", "ord", "n", "positions"]
+    scan, index = (rows(f(t, b), *columns) for f in (occurrences.scan_occurrences, occurrences.index_occurrences))
+    assert scan == index == rows(occurrences.occurrences(m, b), *columns)
+    held = {(asked[q], texts[d]) for q, d, *_ in scan}
+    assert {("The and", "theand one"), ("远 坂", "远坂来了"), ("远·坂", "远坂来了"), ("远·坂", "远·坂和远 坂"), ("12", "x1234"), ("月姬 R", "月姬R 与 月姬 R"), ("a.b", "ab")} <= held
+    assert ("The and", "other lathe and") not in held and ("远坂", "远·坂和远 坂") not in held
+    with pytest.raises(ValueError, match="over 200 terms"):
+        occurrences.scan_occurrences(m, b)
+
+
+def test_fragments_of_several_queries(spark):
+    """A query's fragments do not depend on the others; without a window that holds the level the middle stands in."""
+    far = "begin " + "x" * 3000 + " end"
+    b = spark.createDataFrame([(1, 0, "Arc and Drive"), (2, 0, far)], "doc long, ord int, text string")
+    g = [(1, 0, "Arc"), (1, 1, "Drive"), (2, 0, "Arc"), (2, 1, "and"), (3, 0, "begin"), (3, 1, "end")]
+    of = lambda x: rows(multiterm.fragments(multiterm.match_units(spark.createDataFrame(x, "query_id long, `group` int, term string"), b), b), "query_id", "doc", "start", "end", "mask", "text")
+    whole = of(g)
+    assert whole == sorted(r for q in (1, 2, 3) for r in of([x for x in g if x[0] == q]))
+    assert [r[:5] for r in whole] == [(1, 1, 0, 13, 3), (2, 1, 0, 13, 3), (3, 2, 1303, 1703, 3)]
+
+
+def test_numbered(spark):
+    from corpusq.operators.ordering import numbered
+
+    d = spark.createDataFrame([(k, m, doc, o) for k in "ab" for m in (None, 1) for doc in (9000, 3, 4097) for o in (1, 0)], "k string, m int, doc long, ord int")
+    got = rows(numbered(d, ["k"], ["m"], ["doc", "ord"], "n"), "k", "n", "m", "doc", "ord")
+    assert got == [(k, n + 1, *x) for k in "ab" for n, x in enumerate((m, doc, o) for m in (None, 1) for doc in (3, 4097, 9000) for o in (0, 1))]
+
+
 def test_batch_equals_loop(spark):
     b = spark.createDataFrame([(i, 0, f"the word{i} of") for i in range(20)], "doc long, ord int, text string")
     t = [(1, "the"), (2, "word7"), (3, "of")]
@@ -137,11 +174,23 @@ def test_plain_plans(spark):
 
 
 def test_clusters_of_a_long_chain(spark):
-    """A chain of 100 links, its ids in no order, is one cluster."""
-    from corpusq.operators import glossary
-
-    ids = [(i * 37) % 101 for i in range(101)]
-    cards = spark.createDataFrame([(i,) for i in [*ids, 500]], "card_id long")
+    """A chain of 1000 links, its ids in no order, is one cluster."""
+    ids = [(i * 377) % 1001 for i in range(1001)]
+    cards = spark.createDataFrame([(i,) for i in [*ids, 5000]], "card_id long")
     pairs = spark.createDataFrame([(min(x), max(x)) for x in zip(ids, ids[1:])], "a long, b long")
     got = {r.card_id: r.cluster for r in glossary.clusters(cards, pairs).collect()}
-    assert got == {i: 0 for i in ids} | {500: 500}
+    assert got == {i: 0 for i in ids} | {5000: 5000}
+
+
+def test_dealt_card_pairs(spark, monkeypatch):
+    """Groups dealt over blocks give the pairs that all-pairs comparison gives."""
+    monkeypatch.setattr(glossary, "DEALT", 4)
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu "
+    bodies = [base + f"tail{i % 5}" for i in range(9)] + [base * (1 + i) + f"more{i}" for i in range(6)] + ["short one", "", "quite another text that shares little with the rest of them here"]
+    d = spark.createDataFrame([(i, "g", t) for i, t in enumerate(bodies)], "card_id long, group_id string, body string")
+    skeleton = ["".join(c for c in t if c.isalnum()).lower() for t in bodies]
+    grams = [{s[i : i + 3] for i in range(len(s) - 2)} for s in skeleton]
+    close = [(a, b) for b in range(len(bodies)) for a in range(b) if grams[a] and min(len(skeleton[a]), len(skeleton[b])) >= 0.85 * max(len(skeleton[a]), len(skeleton[b])) and len(grams[a] & grams[b]) >= 0.7 * len(grams[a] | grams[b])]
+    assert rows(glossary.duplicate_pairs(d), "a", "b") == sorted(close) and close
+    covered = [(a, b) for a in range(len(bodies)) for b in range(len(bodies)) if len(skeleton[a]) >= 40 and len(skeleton[b]) >= 1.35 * len(skeleton[a]) and len(grams[a] & grams[b]) >= 0.7 * len(grams[a])]
+    assert rows(glossary.coverage(d), "short", "long") == sorted(covered) and covered
