@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -293,6 +294,63 @@ def test_html_dropped_spans():
     assert tag_path.extract('<p>cut off, here <span class="ad">x') == "cut off, here"
 
 
+SOME = "Some text, with punctuation; and more of it here."
+
+
+@pytest.mark.parametrize(("page", "expected"), [
+    (f'<div id="side-effects"><p>{SOME}</p><p>{SOME}</p></div>', [SOME, SOME]),
+    (f'<div class="page share-price"><h1>T</h1><p>{SOME}</p></div>', ["T", SOME]),
+    (f'<div class="related-work"><p>{SOME}</p></div>', [SOME]),
+    (f'<div class="notice"><p>{SOME}</p></div>', [SOME]),  # nothing else is there
+    (f'<article><p>{SOME}</p><ul><li><a href=1>Ref one</a></li><li><a>Ref two</a></li></ul></article>', [SOME, "Ref one", "Ref two"]),
+    (f'<div class="siteNav"><a href=1>Home</a></div><div class="content"><h1>T</h1><p>{SOME}</p><p>{SOME}</p></div><div class="comment-list"><p>{SOME}</p></div><div class="footer">foot</div>', ["T", SOME, SOME]),
+    (f'<div><ul><li><a>Home</a></li><li><a>About</a></li></ul><div><p>{SOME}</p><p>{SOME}</p><p>Short.</p></div></div>', [SOME, SOME, "Short."]),
+    (f"<main><article><p>{SOME}</p></article><article><p>{SOME}</p></article></main>", [SOME, SOME]),
+])
+def test_html_names_do_not_decide(page, expected):
+    assert tag_path.extract(f"<html><body>{page}</body></html>").split("\n") == expected
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 20000, '<a "' * 20000, "<div>x</b1>" * 20000, "<li>" * 20000, '<span class="ad">x' * 5000, "<p>" + "<a '\">" * 20000, "</div>" * 20000, "<center>x" * 10000 + "<li>y" * 10000, f"<article><p>{'word, ' * 200000}</p></article>"])
+def test_html_hostile_pages(page):
+    """Deep, unclosed and long pages take time in proportion."""
+    began = time.process_time()
+    tag_path.extract(page)
+    assert time.process_time() - began < 5
+
+
+def test_html_brute_force(spark):
+    """All pages of the sample: their one article, read off by another parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.out = False, []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = self.inside or tag == "article"
+            if tag in ("p", "h1", "article", "br"):
+                self.out.append(" " if tag == "br" else "\n")
+
+        def handle_endtag(self, tag):
+            self.inside = self.inside and tag != "article"
+            if tag in ("p", "h1"):
+                self.out.append("\n")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.out.append(re.sub(r"\s+", " ", data))
+
+    d = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    for r in d.join(tag_path.main_text(d).select("page_id", "text"), "page_id").collect():
+        parser = Article()
+        parser.feed(r.html)
+        parser.close()
+        lines = (re.sub(" +", " ", x).strip() for x in "".join(parser.out).split("\n"))
+        assert r.text == "\n".join(x for x in lines if x)
+
+
 # 7
 
 
