@@ -26,6 +26,8 @@ from corpusq.llm.scratch import materialize, new_path
 
 #: Payload bytes after which a task begins another archive; bytes read from a file at once.
 ARCHIVE_BYTES, READ_BYTES = 32 << 20, 1 << 20
+#: Compression of the streams that are soon read again, and of the members that stay; tasks that archives are dealt to at most.
+FAST, SMALL, MOST_TASKS = 1, 6, 1 << 14
 #: Payloads below this size are never replaced by a revisit record.
 LEAST_REVISIT = 100
 DATE = "1970-01-01T00:00:00Z"
@@ -55,12 +57,15 @@ def parse_head(head: bytes) -> dict[str, str]:
 
 
 def roles(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload an earlier page has; few narrow columns move."""
+    """(page_id, digest, refers_to) of the pages whose payload an earlier page has; few narrow columns move.
+
+    Digests and first pages are written, so adaptive execution can split a payload with very many pages.
+    """
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
     d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.octet_length(payload).alias("size"), F.sha2(payload, 256).alias("digest"))
     d = materialize(d.where((F.col("size") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "digest"), "digests")
     first = d.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return d.join(first, "digest").where("page_id <> refers_to").select("page_id", "refers_to")
+    return d.join(materialize(first, "first"), "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -68,22 +73,23 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     Null html is an empty payload, a null url an empty target. Of equal payloads of LEAST_REVISIT
     bytes or more the smallest id is a response, the others are revisits. Pages without an id are
-    left out; ids must be unique; an empty table writes nothing.
+    left out; a repeated id gives repeated records, each judged by its own payload; an empty table
+    writes nothing.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = raw = None
         done, size, count, path = [], 0, 0, ""
         for f in frames:
-            for page_id, url, text, refers_to in f.itertuples(index=False):
+            for page_id, digest, url, text, refers_to in f.itertuples(index=False):
                 if out is None:
                     path, size, count = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     fs, local = _open(path)
                     raw = fs.open_output_stream(local, compression=None)
-                    out = zlib.compressobj(6, zlib.DEFLATED, 31)
+                    out = zlib.compressobj(FAST, zlib.DEFLATED, 31)
                 payload = (text or "").encode("utf-8", "replace")
                 refers = None if pd.isna(refers_to) else int(refers_to)
-                raw.write(out.compress(format_record(int(page_id), url, payload, hashlib.sha256(payload).hexdigest(), refers)))
+                raw.write(out.compress(format_record(int(page_id), url, payload, digest, refers)))
                 size, count = size + len(payload), count + 1
                 if size >= ARCHIVE_BYTES:
                     raw.write(out.flush())
@@ -96,8 +102,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             done.append((path, count))
         yield pd.DataFrame(done, columns=["path", "records"])
 
-    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).where("page_id is not null")
-    p = p.join(roles(pages, id_col, html_col), "page_id", "left").select("page_id", "url", "html", "refers_to")
+    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"), F.col(url_col).cast("string").alias("url"), html.alias("html")).where("page_id is not null")
+    p = p.join(roles(pages, id_col, html_col), ["page_id", "digest"], "left").select("page_id", "digest", "url", "html", "refers_to")
     _make(folder)
     return materialize(p.mapInPandas(run, "path string, records long"), "archives")
 
@@ -108,30 +115,41 @@ def _make(folder: str) -> None:
 
 
 def records_of(stream) -> Iterator[bytes]:
-    """Whole records of an open monolithic gzip file, inflated once from front to back."""
-    inflate, text, ended = zlib.decompressobj(31), b"", False
+    """Whole records of an open monolithic gzip file, inflated once from front to back.
+
+    A cursor moves through the inflated bytes, and what lies behind it is let go in large pieces.
+    """
+    inflate, text, at, ended = zlib.decompressobj(31), bytearray(), 0, False
     while True:
-        while True:
-            at = text.find(b"\r\n\r\n")
-            if at >= 0:
-                size = int(re.search(rb"(?im)^content-length:\s*(\d+)", text[:at])[1])
-                if len(text) >= at + 8 + size:
-                    break
-            elif ended and not text:
-                return
-            if ended:
+        head = text.find(b"\r\n\r\n", at)
+        end = head + 8 + int(re.search(rb"(?im)^content-length:\s*(\d+)", text[at:head])[1]) if head >= 0 else -1
+        if head >= 0 and len(text) >= end:
+            yield bytes(text[at:end])
+            at = end
+            if at > READ_BYTES:
+                del text[:at]
+                at = 0
+            continue
+        if ended:
+            if at < len(text):
                 raise ValueError("the archive ends inside a record")
+            return
+        need = max(READ_BYTES, end - len(text))
+        while need > 0 and not ended:
             piece = stream.read(READ_BYTES)
             ended = not piece
-            pieces = [text]
             while piece:
-                pieces.append(inflate.decompress(piece))
+                more = inflate.decompress(piece)
+                text += more
+                need -= len(more)
                 piece = inflate.unused_data
                 if inflate.eof:
                     inflate = zlib.decompressobj(31)
-            text = b"".join(pieces)
-        yield text[: at + 8 + size]
-        text = text[at + 8 + size :]
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """One archive to a task. The number is given, so small file lists are not folded into one task."""
+    return files.repartition(max(1, min(MOST_TASKS, files.count())))
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
@@ -151,7 +169,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 with from_fs.open_input_stream(from_local, compression=None) as stream, fs.open_output_stream(local, compression=None) as out:
                     for record in records_of(stream):
                         head = parse_head(record[: record.index(b"\r\n\r\n")])
-                        member = gzip.compress(record, 6, mtime=0)
+                        member = gzip.compress(record, SMALL, mtime=0)
                         out.write(member)
                         lines.append(json.dumps({"id": head["warc-record-id"], "type": head["warc-type"], "offset": offset, "length": len(member)}))
                         offset += len(member)
@@ -161,7 +179,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
             yield pd.DataFrame(done, columns=["path", "index", "records"])
 
     _make(folder)
-    return materialize(archives.select("path").repartition("path").mapInPandas(run, "path string, index string, records long"), "normalised")
+    return materialize(_dealt(archives.select("path")).mapInPandas(run, "path string, index string, records long"), "normalised")
 
 
 def read_archives(normalised: DataFrame) -> DataFrame:
@@ -195,7 +213,7 @@ def read_archives(normalised: DataFrame) -> DataFrame:
                             rows, size = [], 0
                 yield _rows(rows)
 
-    return normalised.select("path", "index").repartition("path").mapInPandas(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
+    return _dealt(normalised.select("path", "index")).mapInPandas(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
 
 
 def _rows(rows: list[tuple]) -> pd.DataFrame:
