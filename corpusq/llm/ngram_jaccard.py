@@ -330,8 +330,10 @@ def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     sets = returned.groupBy("chunk").applyInPandas(_ordered_sets(percent), "kind int, doc_id long, n int, cls binary, token long, place int, tokens array<long>, sketch binary")
     sets = materialize(sets, "sets", by="kind")
     rows = sets.where("kind = 0 and doc_id is not null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "cls")
-    first = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"))
-    members = materialize(rows.join(first, "cls", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "members")
+    # Written first: both sides of the join are then plain shuffles, of which adaptive execution splits a class with very many rows.
+    first = materialize(rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id")), "classes")
+    members = rows.where("n_shingles > 0").join(first, "cls").select("doc_id", "n_shingles", "class_id")
+    members = materialize(members.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"))), "members")
 
     prefix = sets.where("kind = 1").select("token", "cls", "n", "place").distinct()
     shared = prefix.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
