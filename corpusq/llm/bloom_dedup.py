@@ -103,7 +103,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     d, bitmap, bits = _hashed(docs, id_col, text_col, most_bits)
     d = _maybe_repeated(d, bitmap, bits)
     alone = d.where(~F.col("again")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    return alone.unionByName(_met(d.where("again")))
+    return alone.unionByName(_met(d.where("again")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str, most_bits: int) -> tuple[DataFrame, bytes, int]:
@@ -115,20 +115,28 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str, most_bits: int) -> tupl
 
 
 def _met(maybe: DataFrame) -> DataFrame:
-    """The rows that meet, by full hash."""
+    """The rows that meet, by full hash: with ``keep_id``, ``group_size`` and ``kept``.
+
+    The groups are written first, so that both sides of the join are plain shuffles, of which
+    adaptive execution splits the partition of a hash with very many rows.
+    """
     best = maybe.groupBy("text_sha256").agg(F.max(F.struct("size", (-F.col("doc_id")).alias("less"))).alias("best"), F.count("*").alias("group_size"))
-    keep = -F.col("best.less")
-    return maybe.join(best, "text_sha256").select("doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    best = materialize(best.select("text_sha256", F.col("best.size").alias("most"), (-F.col("best.less")).alias("keep_id"), "group_size"), "groups")
+    return maybe.join(best, "text_sha256").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("size") == F.col("most")))
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, with the columns they came with.
 
-    Rows that the filter tells apart go straight through; only the others meet their group.
+    Rows that the filter tells apart go straight through; only the others meet their group. Ids need
+    not be unique: a row goes for its own text alone, and of rows with one id, equal texts and equal
+    length one stays. Rows without an id all stay.
     """
     d, bitmap, bits = _hashed(docs, id_col, text_col, most_bits)
-    dropped = _met(_maybe_repeated(d, bitmap, bits).where("again")).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256)).alias("h"))
+    gone = _met(_maybe_repeated(d, bitmap, bits).where("again")).where(~F.col("kept") & F.col("doc_id").isNotNull())
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_sha256").alias("_sha"))
+    sha = F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"), F.length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_size"), sha.alias("_sha")).withColumn("h", F.xxhash64("_sha"))
     rows = _maybe_repeated(rows, bitmap, bits)
-    met = rows.where("again").join(dropped, F.col("row")[id_col].cast("long") == F.col("doc_id"), "left_anti")
-    return rows.where(~F.col("again")).select("row.*").unionByName(met.select("row.*"))
+    left = rows.where("again and _id is not null").join(gone, ["_id", "_size", "_sha"], "left_anti").dropDuplicates(["_id", "_size", "_sha"])
+    return rows.where(~F.col("again") | F.col("_id").isNull()).select("row.*").unionByName(left.select("row.*"))

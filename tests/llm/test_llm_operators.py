@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import itertools
 import re
 import time
@@ -121,6 +122,8 @@ def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51), (60, 60), (None, 1)], "src long, dst long")
     got = {r.node: r.component for r in components.connected_components(e).collect()}
     assert got == {i: 0 for i in range(31)} | {50: 50, 51: 50}
+    chain = spark.createDataFrame([((i * 377) % 1001, ((i + 1) * 377) % 1001) for i in range(1000)], "src long, dst long")
+    assert {r.component for r in components.connected_components(chain).collect()} == {0}
 
 
 # 2
@@ -404,6 +407,14 @@ def test_exact_dedup(docs, no_id):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_dedup_of_repeated_ids(spark):
+    """A row goes for its own text only; of rows with the same id and text one stays."""
+    rows = [(3, "same  text"), (5, "same text"), (5, "other words"), (7, "other words"), (7, "other words"), (8, "twice"), (8, "twice"), (8, "twi ce"), (None, "twice"), (None, "twice"), (9, "alone")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, bloom_dedup.keep_first_copies(d).collect()), key=str)
+    assert got == sorted([(3, "same  text"), (5, "other words"), (8, "twi ce"), (None, "twice"), (None, "twice"), (9, "alone")], key=str)
+
+
 def test_bloom_bits_cover_repeats(spark):
     """With a filter far too small every row may pass, and the result is the same."""
     d = spark.createDataFrame([(i, f"text {i % 700}") for i in range(1000)], "doc_id long, text string")
@@ -447,6 +458,23 @@ def test_warc(spark):
     assert got[7].html == rows[7][2]
 
 
+def test_warc_of_repeated_ids(spark):
+    """Every record of a repeated id is judged by its own payload."""
+    a, b = "a" * 200, "b" * 200
+    d = spark.createDataFrame([(1, "u", a), (2, "u", a), (2, "u", b), (2, "u", b), (3, "u", b)], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_digest[:4], r.record_type, r.refers_to) for r in warc.round_trip(d).collect())
+    x, y = (hashlib.sha256(t.encode()).hexdigest()[:4] for t in (a, b))
+    assert got == sorted([(1, x, "response", None), (2, x, "revisit", 1), (2, y, "response", None), (2, y, "response", None), (3, y, "revisit", 2)], key=lambda r: (r[0], r[1], r[2]))
+
+
+def test_records_of_cut_stream():
+    record = warc.format_record(1, "u", b"x" * 3_000_000, "d", None)
+    whole = zlib.compress(b"", 1, wbits=31) + zlib.compress(record * 3, 1, wbits=31)
+    assert list(warc.records_of(io.BytesIO(whole))) == [record] * 3
+    with pytest.raises(ValueError, match="ends inside"):
+        list(warc.records_of(io.BytesIO(zlib.compress(record * 2 + record[:100], 1, wbits=31))))
+
+
 # All
 
 
