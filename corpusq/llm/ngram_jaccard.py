@@ -42,7 +42,7 @@ CHUNK_SHINGLES = 1 << 20
 #: Hashes after the shared one that a tree holds; the bound covers the rest of the set.
 TREE_DEPTH = 24
 #: Classes under one prefix hash that one group compares; more are dealt over pairs of blocks.
-BLOCK = 4096
+BLOCK = 1024
 SKETCH_WORDS = 16
 U64 = np.uint64
 
