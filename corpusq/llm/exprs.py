@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusq.functions.positions import running_sums
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, also where ``body`` uses it inside lambdas."""
@@ -20,14 +22,14 @@ def match_spans(text: Column, pattern: str, groups: tuple[int, ...] = (0,)) -> C
     the places. The pattern must not match the empty string.
     """
     p = F.lit(pattern)
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), *(F.regexp_extract_all(text, p, F.lit(g)).alias(f"g{i}") for i, g in enumerate(groups)))
-    fields = ", ".join(["start:int", "end:int", *(f"g{i}:string" for i in range(len(groups)))])
-    empty = F.expr(f"cast(array() as array<struct<{fields}>>)")
+    names = [f"g{i}" for i in range(len(groups))]
+    found = F.struct(F.split(text, pattern, -1).alias("gaps"), *(F.regexp_extract_all(text, p, F.lit(g)).alias(n) for g, n in zip(groups, names)))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc.at + F.length(x.gap)
-        end = start + F.length(x.g0)
-        item = F.struct(start.alias("start"), end.alias("end"), *(x[f"g{i}"].alias(f"g{i}") for i in range(len(groups))))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(x.g0.isNotNull(), F.concat(acc.found, F.array(item))).otherwise(acc.found).alias("found"))
+    def placed(x: Column) -> Column:
+        n = F.size(x.g0)
+        sums = running_sums(F.zip_with(x.gaps, x.g0, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0))))
+        starts = F.zip_with(F.slice(x.gaps, 1, n), F.slice(sums, 1, n), lambda g, at: at + F.length(g))
+        zipped = F.arrays_zip(starts.alias("start"), *(x[c].alias(c) for c in names))
+        return F.transform(zipped, lambda m: F.struct(m.start.alias("start"), (m.start + F.length(m.g0)).alias("end"), *(m[c].alias(c) for c in names)))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc.found)
+    return let(found, placed)
