@@ -23,15 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.llm import textops as tx
-from corpusq.llm.scratch import materialize
+from corpusq.llm.scratch import discard, materialize
 
 WINDOW, END_ID = 4096, 2
 #: A shard holds at most so many tokens (a longer text stands alone); tokens that a partition aims at.
 SHARD_TOKENS, PARTITION_TOKENS = 1 << 19, 1 << 25
 #: BM25 constants; neighbours taken at once; terms by which rows are dealt.
 K1, B, NEIGHBOURS, DEALT_BY = 1.2, 0.75, 48, 3
-#: Words whose ids a worker remembers; ids are stored in two bytes.
-REMEMBERED, MOST_IDS = 600_000, 1 << 16
+#: Words whose ids a worker remembers; ids are stored in two bytes. Times of a term in a text count up to MOST_TIMES,
+#: where BM25's saturation has its weight within a thousandth of the limit.
+REMEMBERED, MOST_IDS, MOST_TIMES = 600_000, 1 << 16, 65_535
 
 
 class WordTokenizer:
@@ -120,7 +121,7 @@ def _vectors(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(terms, times, terms per row) of the rows' token lists."""
     row = np.repeat(np.arange(len(sizes)), sizes)
     key, times = np.unique(row * MOST_IDS + ids, return_counts=True)
-    return (key % MOST_IDS).astype(np.uint16), times.astype(np.uint32), np.bincount(key // MOST_IDS, minlength=len(sizes))
+    return (key % MOST_IDS).astype(np.uint16), np.minimum(times, MOST_TIMES).astype(np.uint16), np.bincount(key // MOST_IDS, minlength=len(sizes))
 
 
 def _blobs(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -185,7 +186,7 @@ def _telling_terms(shared):
     def found(terms: pd.Series, times: pd.Series, size: pd.Series) -> pd.Series:
         corpus = shared.value
         t, counts = _flat(pa.array(terms, pa.binary()), np.uint16)
-        n, _ = _flat(pa.array(times, pa.binary()), np.uint32)
+        n, _ = _flat(pa.array(times, pa.binary()), np.uint16)
         row = np.repeat(np.arange(len(counts)), counts)
         weight = np.where((corpus.df[t] > 1) & (t != END_ID), corpus.weights(t, n, size.to_numpy()[row]), 0)
         order = np.lexsort((t, -weight, row))
@@ -333,7 +334,7 @@ def _packed(shared, with_ids: bool):
                 if end > at:
                     ids, _ = _flat(batch.column(2)[at:end], np.uint16)
                     terms, counts = _flat(batch.column(3)[at:end], np.uint16)
-                    times, _ = _flat(batch.column(4)[at:end], np.uint32)
+                    times, _ = _flat(batch.column(4)[at:end], np.uint16)
                     held.append((docs[at:end], sizes[at:end], ids, terms, times, counts))
                     tokens += int(sizes[at:end].sum())
                 if end < len(docs):
@@ -366,7 +367,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     parts = max(1, few, int(tokens // PARTITION_TOKENS))
     texts = rows.where("kind = 0").select("doc_id", "size", "ids", "terms", "times")
     texts = texts.withColumn("by", _telling_terms(shared)("terms", "times", "size")).withColumn("mix", F.xxhash64("doc_id", "ids"))
-    texts = materialize(texts, "dealt").repartitionByRange(parts, "by", "mix").sortWithinPartitions("by", "mix", "doc_id")
+    dealt = materialize(texts, "dealt")
+    discard(rows)
+    texts = dealt.repartitionByRange(parts, "by", "mix").sortWithinPartitions("by", "mix", "doc_id")
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     found = texts.select("doc_id", "size", "ids", "terms", "times").mapInArrow(_packed(shared, with_ids), kinds)
     return found.withColumn("doc_id", F.nullif("doc_id", F.lit(tx.NO_ID)))

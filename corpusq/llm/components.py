@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusq.llm.scratch import materialize
+from corpusq.llm.scratch import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     e = materialize(e.where("u > v").distinct(), "edges")
-    state = now = None
+    state, now, last = None, None, e
     while now is None or now != state:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -27,7 +27,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e = e.where("u > v").distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = materialize(e.select("x.u", "x.v").where("u > v").distinct(), "edges")
+        before, e = last, materialize(e.select("x.u", "x.v").where("u > v").distinct(), "edges")
+        discard(before)
+        last = e
         state, now = now, e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -35,4 +35,13 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = new_path(df.sparkSession, name)
     writer = df.write.partitionBy(by) if by else df.write
     writer.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Remove the files of a ``materialize`` result that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
