@@ -2,17 +2,23 @@
 
 All rolling word k-gram hashes of the documents are joined by Spark to the places of the same
 k-grams in license templates. A join row votes for its diagonal, document position minus template
-position; votes are added up per document, template and diagonal, neighbouring diagonals (a few
-words inserted or left out) are merged, and each merged span is verified by the share of template
-k-grams it holds. A short list of phrases gives base labels where their words stand consecutively.
+position. Votes that follow each other on one diagonal are a segment; segments of neighbouring
+diagonals that follow each other in the text (a few words inserted or left out) are merged to a span.
+A span is verified word by word: the longest common subsequence of its words and the template's must
+cover enough of both. Of spans that overlap, the one with most template words stays. A short list of
+phrases gives base labels where their words stand consecutively.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusq.llm.exprs import let
+from corpusq.llm.license_templates import TEMPLATES
+from corpusq.llm.scratch import materialize
 
 # Phrases and their labels.
 PHRASES = (
@@ -20,24 +26,10 @@ PHRASES = (
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
-# Opening or granting sentences of public licenses, by label.
-TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "this work is licensed under the creative commons attribution sharealike 4 0 international license"),
-    ("cc-by", "this work is licensed under the creative commons attribution 4 0 international license"),
-)
-#: Words of a k-gram; diagonals this close are merged; least share of a template's k-grams in a span.
-GRAM, NEAR, LEAST_SHARE = 3, 4, 0.5
+#: Words of a k-gram; diagonals this close are merged, over gaps of so many words.
+GRAM, NEAR, GAP = 3, 4, 12
+#: Least share of a template's words in a span, and of a span's words in its template; least words of a template in a span.
+LEAST_SHARE, LEAST_PURE, LEAST_WORDS = 0.5, 0.75, 5
 WORD_GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -48,14 +40,13 @@ def license_words(text: Column) -> Column:
 
 
 def _template_grams(docs: DataFrame, k: int) -> DataFrame:
-    """(gram, template, label, at, grams) of every template; a fixed table of a few hundred rows."""
+    """(gram, template, at) of every template; a fixed table, as many rows as the templates have words."""
     rows = []
-    for number, (label, text) in enumerate(TEMPLATES):
+    for number, (_, text) in enumerate(TEMPLATES):
         words = text.split(" ")
-        rows += [(words[i : i + k], number, label, i, len(words) - k + 1) for i in range(len(words) - k + 1)]
-    kind = "words array<string>, template int, label string, at int, grams int"
-    rows = docs.sparkSession.createDataFrame(rows, kind)
-    return rows.select(F.xxhash64(*(F.get("words", F.lit(j)) for j in range(k))).alias("gram"), "template", "label", "at", "grams")
+        rows += [(words[i : i + k], number, i) for i in range(len(words) - k + 1)]
+    rows = docs.sparkSession.createDataFrame(rows, "words array<string>, template int, at int")
+    return rows.select(F.xxhash64(*(F.get("words", F.lit(j)) for j in range(k))).alias("gram"), "template", "at")
 
 
 def phrase_starts(words: Column, phrase: str) -> Column:
@@ -73,38 +64,77 @@ def phrase_starts(words: Column, phrase: str) -> Column:
     return F.filter(places, lambda i: (i <= last) & here(i))
 
 
+@F.pandas_udf(T.IntegerType())
+def _common(words: pd.Series, template: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of a span's words and its template's, by bit rows."""
+    sides = {t: TEMPLATES[t][1].split(" ") for t in template.unique()}
+
+    def length(span: list[str], words: list[str]) -> int:
+        at: dict[str, int] = {}
+        for i, w in enumerate(words):
+            at[w] = at.get(w, 0) | 1 << i
+        row, full = (1 << len(words)) - 1, (1 << len(words)) - 1
+        for w in span:
+            hit = row & at.get(w, 0)
+            row = (row + hit | row - hit) & full
+        return len(words) - row.bit_count()
+
+    return pd.Series([length(list(s), sides[t]) for s, t in zip(words, template)])
+
+
+def _spans(scanned: DataFrame, k: int, near: int, least_share: float) -> DataFrame:
+    """``(row, template, first, last, share, words)``: verified spans, ``words`` being those of the template."""
+    template = _template_grams(scanned, k)
+    votes = scanned.where("grams is not null").select("row", F.explode("grams").alias("g")).select("row", F.col("g.pos").alias("pos"), F.col("g.gram").alias("gram"))
+    votes = votes.join(F.broadcast(template), "gram").select("row", "template", "pos", (F.col("pos") - F.col("at")).alias("diagonal"))
+    line = Window.partitionBy("row", "template", "diagonal").orderBy("pos")
+    cut = F.when(F.col("pos") - F.lag("pos").over(line) <= GAP, 0).otherwise(1)
+    segments = votes.withColumn("_part", F.sum(cut).over(line)).groupBy("row", "template", "diagonal", "_part").agg(F.min("pos").alias("first"), (F.max("pos") + k - 1).alias("last"))
+    order = Window.partitionBy("row", "template").orderBy("first", "diagonal")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when((F.col("first") - reach <= GAP) & (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) <= near), 0).otherwise(1)
+    spans = segments.withColumn("_span", F.sum(fresh).over(order)).groupBy("row", "template", "_span").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    size = F.element_at(F.array(*(F.lit(len(t.split(" "))) for _, t in TEMPLATES)), F.col("template") + 1)
+    spans = spans.withColumn("_size", size).where((F.col("last") - F.col("first") + 1).between(least_share * F.col("_size"), F.col("_size") / LEAST_PURE))
+    spans = spans.join(scanned.where("grams is not null").select("row", F.col("words").alias("_words")), "row")
+    spans = spans.withColumn("words", _common(F.expr("slice(_words, first + 1, last - first + 1)"), "template")).drop("_words", "_span")
+    good = (F.col("words") >= least_share * F.col("_size")) & (F.col("words") >= LEAST_PURE * (F.col("last") - F.col("first") + 1)) & (F.col("words") >= F.least(F.lit(LEAST_WORDS), F.col("_size")))
+    return spans.where(good).select("row", "template", "first", "last", (F.col("words") / F.col("_size")).alias("share"), "words")
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = GRAM, near: int = NEAR, least_share: float = LEAST_SHARE) -> DataFrame:
     """One row per document: words, base places and labels, spans found by diagonal voting.
 
     ``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans)``: spans is
     an array of (label, first, last, share) with word positions, share being the part of a template's
-    k-grams in order in the span, which must reach ``least_share``. ``labels`` joins the labels of
-    base places and spans; ``score`` is the largest share, 1 where a phrase stands. Null and empty
-    texts have no words and no labels. Spans find their document by its id, so rows without one have
-    base places only; other columns are ignored; an empty table gives an empty one.
+    words that stand in order in the span, which must reach ``least_share``. ``labels`` joins the
+    labels of base places and spans; ``score`` is the largest share, 1 where a phrase stands. Null and
+    empty texts have no words and no labels. Rows are told apart by themselves, so null and repeated
+    ids keep their own spans; other columns are ignored; an empty table gives an empty one. Each text
+    is cut into words once, and only rows with k-grams of a template keep theirs.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), let(license_words(F.col(text_col)), lambda words: F.struct(F.size(words).cast("long").alias("n_words"), F.array(*(F.struct(phrase_starts(words, p).alias("places"), F.lit(label).alias("label")) for p, label in PHRASES)).alias("base"))).alias("x"))
-    base = d.select("doc_id", "x.n_words", "x.base").select("doc_id", "n_words", F.flatten(F.transform("base", lambda x: x.places)).alias("places"), F.array_sort(F.array_distinct(F.transform(F.filter("base", lambda x: F.size(x.places) > 0), lambda x: x.label))).alias("base_list"))
-
-    rolling = let(license_words(F.col(text_col)), lambda words: F.transform(words, lambda w, i: F.xxhash64(w, *(F.get(words, i + j) for j in range(1, k)))))
-    grams = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(rolling).alias("pos", "gram"))
-    template = _template_grams(docs, k)
-    votes = grams.join(F.broadcast(template), "gram").select("doc_id", "template", "label", "grams", "pos", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
-    lines = votes.groupBy("doc_id", "template", "label", "grams", "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    runs = lines.groupBy("doc_id", "template", "label", "grams").agg(F.array_sort(F.collect_list(F.struct("diagonal", "votes", "first", "last"))).alias("lines"))
-    merged = F.aggregate(
-        "lines",
-        F.expr("cast(array() as array<struct<diagonal:int,votes:bigint,first:int,last:int>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x.diagonal - F.element_at(acc, -1).diagonal <= near),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x.diagonal.alias("diagonal"), (F.element_at(acc, -1).votes + x.votes).alias("votes"), F.least(F.element_at(acc, -1).first, x.first).alias("first"), F.greatest(F.element_at(acc, -1).last, x.last).alias("last")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x.diagonal.alias("diagonal"), x.votes.alias("votes"), x.first.alias("first"), x.last.alias("last"))))),
-    )
-    spans = runs.select("doc_id", "label", "grams", F.explode(merged).alias("s")).select("doc_id", "label", F.col("s.first").alias("first"), (F.col("s.last") + (k - 1)).alias("last"), F.least(F.lit(1.0), F.col("s.votes") / F.col("grams")).alias("share"))
-    # A span is verified by its votes and by its length against its template's.
-    spans = spans.where((F.col("share") >= least_share) & (F.col("last") - F.col("first") < 2 * (F.col("grams") + k)))
-    found = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("label", "first", "last", "share"))).alias("spans"))
-    out = base.join(found, "doc_id", "left")
+    known = [r.gram for r in _template_grams(docs, k).select("gram").distinct().collect()]  # as many as the templates have words
+
+    def scan(words: Column) -> Column:
+        base = F.array(*(F.struct(phrase_starts(words, p).alias("places"), F.lit(label).alias("label")) for p, label in PHRASES))
+        rolling = F.transform(words, lambda w, i: F.struct(i.alias("pos"), F.xxhash64(w, *(F.get(words, i + j) for j in range(1, k))).alias("gram")))
+        grams = F.filter(rolling, lambda g: g.gram.isin(known))
+        return let(F.struct(base.alias("base"), grams.alias("grams")), lambda x: F.struct(
+            F.size(words).cast("long").alias("n_words"), F.flatten(F.transform(x.base, lambda b: b.places)).alias("places"),
+            F.array_sort(F.array_distinct(F.transform(F.filter(x.base, lambda b: F.size(b.places) > 0), lambda b: b.label))).alias("base_list"),
+            F.when(F.size(x.grams) > 0, x.grams).alias("grams"), F.when(F.size(x.grams) > 0, words).alias("words"),
+        ))
+
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), let(license_words(F.col(text_col)), scan).alias("x"))
+    d = materialize(d.select("doc_id", "row", "x.*"), "licenses")
+    spans = materialize(_spans(d, k, near, least_share), "spans")
+    other = spans.select("row", *(F.col(c).alias(f"_{c}") for c in ("template", "first", "last", "share", "words")))
+    better = (F.col("_words") > F.col("words")) | ((F.col("_words") == F.col("words")) & ((F.col("_share") > F.col("share")) | ((F.col("_share") == F.col("share")) & (F.col("_template") < F.col("template")))))
+    beaten = spans.join(other, "row").where((F.col("_first") <= F.col("last")) & (F.col("first") <= F.col("_last")) & (F.col("_template") != F.col("template")) & better)
+    spans = spans.join(beaten.select("row", "template", "first", "last").distinct(), ["row", "template", "first", "last"], "left_anti")
+    label = F.element_at(F.array(*(F.lit(x) for x, _ in TEMPLATES)), F.col("template") + 1)
+    found = spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(label.alias("label"), "first", "last", "share"))).alias("spans"))
+    out = d.drop("grams", "words").join(found, "row", "left")
     labels = F.array_sort(F.array_distinct(F.concat("base_list", F.coalesce(F.transform("spans", lambda s: s.label), F.array().cast("array<string>")))))
     share = F.coalesce(F.array_max(F.transform("spans", lambda s: s.share)), F.lit(0.0))
     return out.select(

@@ -525,20 +525,67 @@ def test_bloom_bits_cover_repeats(spark):
 # 9
 
 
-def test_licenses(spark, docs):
-    mit = diagonal_license.TEMPLATES[0][1]
-    words = mit.split(" ")
-    changed = " ".join(words[:10] + ["really"] + words[10:])
-    extra = [(100, "x " + changed), (101, "Released UNDER the MIT   license. cc-by-nc!"), (102, "under the mit"), (103, "Apache License, Version 2.0; Apache License, Version 2"), (103, "again")]
-    d = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
-    got = {(r.doc_id, r.n_words): r for r in diagonal_license.scan_licenses(d).collect()}
-    one = next(r for (i, _), r in got.items() if i == 100)
-    assert one.labels == "mit" and one.base_labels == "" and one.n_base == 0 and one.score > 0.9
-    assert [(s.label, s.first) for s in one.spans] == [("mit", 1)]
-    two = next(r for (i, _), r in got.items() if i == 101)
-    assert (two.n_base, two.first_word, two.last_word, two.base_labels) == (2, 1, 5, "cc-by-nc,mit")
-    assert next(r for (i, _), r in got.items() if i == 102).base_labels == "" and got[(103, 9)].n_base == 2
-    assert got[(0, 0)].first_word is None and len(got) == len(TEXTS) + len(extra)
+def lw(text):
+    low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return [w for w in re.split("[\x00-\x2F\x3A-\x60\x7B-\x7F]+", low) if w]
+
+
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = list(itertools.accumulate(zip(row, row[1:], b), lambda left, t: max(left, t[1], t[0] + (x == t[2])), initial=0))
+    return row[-1]
+
+
+def brute_licenses(text):
+    """(n_words, n_base, first, last, base labels, labels, spans) from the rules, one text at a time."""
+    w = lw(text)
+    base = [(i, label) for p, label in diagonal_license.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    spans = []
+    for number, (label, t) in enumerate(diagonal_license.TEMPLATES):
+        t = t.split(" ")
+        votes = sorted((i - j, i) for i in range(len(w) - 2) for j in range(len(t) - 2) if w[i : i + 3] == t[j : j + 3])
+        segments = []
+        for diagonal, at in votes:
+            if segments and segments[-1][2] == diagonal and at - segments[-1][3] <= diagonal_license.GAP:
+                segments[-1][1], segments[-1][3] = at + 2, at
+            else:
+                segments.append([at, at + 2, diagonal, at])
+        whole, reach, before = [], None, None
+        for first, last, diagonal, _ in sorted(segments, key=lambda x: (x[0], x[2])):
+            if whole and first - reach <= diagonal_license.GAP and abs(diagonal - before) <= diagonal_license.NEAR:
+                whole[-1][1] = max(whole[-1][1], last)
+            else:
+                whole.append([first, last, diagonal])
+            reach, before = max(last, reach or 0), diagonal
+        for first, last, _ in whole:
+            n = last - first + 1
+            if 0.5 * len(t) <= n <= len(t) / 0.75:
+                c = common(w[first : last + 1], t)
+                if c >= 0.5 * len(t) and c >= 0.75 * n and c >= min(5, len(t)):
+                    spans.append((label, first, last, c / len(t), c, number))
+    kept = [x for x in spans if not any(y[5] != x[5] and y[1] <= x[2] and x[1] <= y[2] and (-y[4], -y[3], y[5]) < (-x[4], -x[3], x[5]) for y in spans)]
+    names = sorted({x for _, x in base})
+    places = [i for i, _ in base]
+    return len(w), len(base), min(places, default=None), max(places, default=None), ",".join(names), ",".join(sorted({*names, *(x[0] for x in kept)})), sorted({x[:3] for x in kept})
+
+
+def test_licenses_brute_force(spark, docs):
+    """All columns equal those of a plain reading of the rules, over the sample and over awkward texts."""
+    mit, apache = diagonal_license.TEMPLATES[0][1].split(" "), diagonal_license.TEMPLATES[4][1].split(" ")
+    extra = ["x " + " ".join(mit[:10] + ["really"] + mit[10:]), "Released UNDER the MIT   license. cc-by-nc!", "under the mit", "Apache License, Version 2.0; Apache License, Version 2", "again", " ".join(["the software to the software without"] * 12),
+             "licensed under the act; under the mit seal", "licensed under a creative commons license", "This work is licensed under the Creative Commons Attribution 4.0 International License.", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
+             " ".join(apache[:30] + apache[33:]), " ".join(mit[20:70]), " ".join(mit) + " and then " + " ".join(mit), " ".join(["word"] * 500 + mit[:60] + ["other"] * 500), " ".join(reversed(mit))]
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    d = docs.select("doc_id", "text").unionByName(small).unionByName(spark.createDataFrame([(103 if i in (3, 4) else 1000 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
+    got = Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, tuple((s.label, s.first, s.last) for s in r.spans or [])) for r in diagonal_license.scan_licenses(d).collect())
+    expected = Counter()
+    for r in d.collect():
+        *columns, spans = brute_licenses(r.text)
+        expected[(r.doc_id, *columns, tuple(spans))] += 1
+    assert got == expected
+    labels = {k[0]: k[6] for k in got}
+    assert [labels[1000 + i] for i in (0, 1, 2, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14)] == ["mit", "cc-by-nc,mit", "", "", "", "", "cc-by", "cc-by-sa", "apache-2", "mit", "mit", "mit", ""]
 
 
 # 10
