@@ -25,9 +25,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best segmentation of all documents, and the scores of their three best."""
+    """The three best segmentations of all documents: their scores, sizes and digests."""
     found = sentencepiece_nbest.encode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), n=3, with_ids=False)
-    return found.select("doc_id", "n_pieces", "ids_crc32", F.get("scores", F.lit(0)).alias("best"), F.get("scores", F.lit(1)).alias("second"), F.get("scores", F.lit(2)).alias("third"), "round_trip")
+    each = [F.get(c, F.lit(i)).alias(f"{name}_{i + 1}") for i in range(3) for c, name in (("scores", "score"), ("sizes", "n_pieces"), ("crc32s", "ids_crc32"))]
+    return found.select("doc_id", "n_pieces", *each, "round_trip")
 
 
 def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

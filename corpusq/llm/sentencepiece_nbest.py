@@ -3,8 +3,9 @@
 A text is a lattice of the pieces that match at each place. Forward Viterbi scores give the best
 segmentation, and are exact heuristics for a backward A-star search that yields the next best in
 order. No piece crosses the start of a word, so a text's lattice is a chain of word lattices: each
-distinct word is solved once, and a text's N best are put together from the words whose second best
-loses least.
+distinct word gets its Viterbi scores once, and the loss of its second best. A text's n best differ
+from the best in at most n - 1 words, those whose second best loses least; the A-star search lists
+the n best of these words, and the text's n best are put together from them.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 from corpusq.llm import textops as tx
 
 SPACE = "▁"
-#: Words that a worker remembers; the score of a byte piece lies this far below the lowest piece.
-REMEMBERED, BYTE_PENALTY = 600_000, 10.0
+#: Words that a worker remembers with their best, and with their n best; the score of a byte piece lies this far below the lowest piece.
+REMEMBERED, LISTED, BYTE_PENALTY = 600_000, 50_000, 10.0
 #: Pieces with lower scores are placeholders for runs of spaces, which any other path beats.
 UNUSABLE = -1e8
 
@@ -52,6 +53,8 @@ class Lattice:
                     self.pieces[plain] = (i, model.get_score(i))
                     self.text[i] = plain.encode()
         self.longest = max(map(len, self.pieces))
+        #: Every beginning of a piece, with the piece where it is one.
+        self.table: dict[str, tuple[int, float] | None] = {p[:i]: None for p in self.pieces for i in range(1, len(p))} | self.pieces
         letters = [p for p in self.pieces if any(a.isalpha() and not b.isalnum() and b != " " for a, b in zip(p, p[1:]))]
         #: Whether a word may be cut between a letter and a punctuation mark without losing a piece.
         self.cuts_marks = not letters
@@ -105,24 +108,27 @@ class Lattice:
         The second best leaves the best path at some edge, so it is the best path through an edge
         that is not on it; infinite loss without one.
         """
-        pieces, longest, n = self.pieces, self.longest, len(word)
-        ahead, back, edges = [0.0] * (n + 1), [None] * (n + 1), []
-        for end in range(1, n + 1):
-            top, best = -1e300, None
-            for start in range(end - longest if end > longest else 0, end):
-                found = pieces.get(word[start:end])
-                if found is not None:
+        get, n = self.table.get, len(word)
+        ahead, back, edges = [0.0] + [-1e300] * n, [None] * (n + 1), []
+        for start in range(n):
+            base = ahead[start]
+            for end in range(start + 1, n + 1):
+                found = get(word[start:end], 0)
+                if found:
                     edge = (start, end, found[1], found[0])
-                elif start == end - 1:
+                elif end == start + 1:
                     raw = word[start:end].encode("utf-8", "replace")
                     edge = (start, end, self.byte_score * len(raw), tuple(self.byte[b] for b in raw))
-                else:
+                elif found is None:
                     continue
+                else:
+                    break
                 edges.append(edge)
-                score = ahead[start] + edge[2]
-                if score > top:
-                    top, best = score, edge
-            ahead[end], back[end] = top, best
+                score = base + edge[2]
+                if score > ahead[end]:
+                    ahead[end], back[end] = score, edge
+                if found == 0:  # no piece begins so
+                    break
         ids, on, at = [], set(), n
         while at:
             edge = back[at]
@@ -145,9 +151,13 @@ class Lattice:
             flat.extend(x) if isinstance(x, tuple) else flat.append(x)
         return ahead[n], tuple(flat), ahead[n] - second if second > -1e299 else np.inf
 
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        """What a sequence of ids stands for."""
+        return b"".join(map(self.text.__getitem__, ids.tolist()))
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids; the space put before a text is taken off."""
-        return b"".join(self.text[int(i)] for i in ids).decode("utf-8", "replace")[1:]
+        return self.bytes_of(np.asarray(ids)).decode("utf-8", "replace")[1:]
 
 
 class Memo:
@@ -161,25 +171,33 @@ class Memo:
         self.known = np.zeros(0, np.uint64)
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.score, self.loss = np.zeros(0), np.zeros(0)
-        self.same = np.zeros(0, bool)
+        self.listed: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
         self.ids = np.zeros(0, np.int32)
 
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        size, score, loss, same, ids = [], [], [], [], []
+        size, score, loss, ids = [], [], [], []
         for word in words:
             top, best, lost = self.lattice.best_and_loss(word)
             size.append(len(best))
             score.append(top)
             loss.append(lost)
-            same.append(b"".join(self.lattice.text[i] for i in best) == word.encode("utf-8", "replace"))
             ids.extend(best)
         place = np.searchsorted(self.known, keys)
         at = len(self.ids) + np.cumsum(size, dtype=np.int64) - np.array(size, np.int64)
         self.ids = np.concatenate([self.ids, np.array(ids, np.int32)])
-        for name, values in (("at", at), ("size", size), ("score", score), ("loss", loss), ("same", same)):
+        for name, values in (("at", at), ("size", size), ("score", score), ("loss", loss)):
             setattr(self, name, np.insert(getattr(self, name), place, values))
         self.known = np.insert(self.known, place, keys)
 
+    def variants(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The n best of a word; those of few words are kept."""
+        found = self.listed.get(word)
+        if found is None or len(found) < n:
+            if len(self.listed) >= LISTED:
+                self.listed.clear()
+            found = self.listed[word] = self.lattice.n_best(word, n)
+        return found
+
 
 _MEMOS: dict[str, Memo] = {}
 
@@ -215,19 +233,19 @@ def _with_space(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return text, np.r_[0, np.cumsum(lengths + 1)]
 
 
-def _best_sums(lattice: Lattice, words: list[str], total: float, n: int) -> list[float]:
-    """Scores of a text's n best segmentations from its words of least loss."""
-    sums = [total]
-    for word in words:
-        found = [s for s, _ in lattice.n_best(word, n)]
-        sums = heapq.nlargest(n, (a + s - found[0] for a in sums for s in found))
-    return sums
+def _choices(found: list[list[tuple[float, tuple[int, ...]]]], total: float, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """(score, variant of each word) of a text's n best segmentations, from the n best of its words of least loss."""
+    best = [(total, ())]
+    for variants in found:
+        best = heapq.nlargest(n, ((a + s - variants[0][0], (*chosen, v)) for a, chosen in best for v, (s, _) in enumerate(variants)))
+    return best
 
 
 def _segmented(path: str, n: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo(path)
-        cut = _boundaries(memo.lattice.cuts_marks)
+        lattice = memo.lattice
+        cut = _boundaries(lattice.cuts_marks)
         for batch in batches:
             data, offs = tx.column_bytes(batch.column(1))
             docs = tx.id_values(batch.column(0))
@@ -247,39 +265,54 @@ def _segmented(path: str, n: int, with_ids: bool):
                 ids = memo.ids[tx.ranges(memo.at[place], size)]
                 count = np.bincount(words.row, size, b - a).astype(np.int64)
                 total = np.bincount(words.row, memo.score[place], b - a)
-                broken = np.bincount(words.row, ~memo.same[place], b - a) > 0
                 begin = np.searchsorted(words.row, np.arange(b - a + 1))
+                word_at = np.cumsum(size) - size
                 ends = np.cumsum(count)
-                crc, scores, lists = [], [], []
+                columns: list[list] = [[] for _ in range(5)]
+                segmentations: list[list[np.ndarray]] = []
                 for i in range(b - a):
                     own = ids[ends[i] - count[i] : ends[i]]
-                    crc.append(zlib.crc32(own.astype("<u4").tobytes()))
-                    lists.append(own)
                     loss = memo.loss[place[begin[i] : begin[i + 1]]]
                     few = np.argpartition(loss, n - 1)[: n - 1] if len(loss) > n - 1 else np.arange(len(loss))
-                    few = few[np.isfinite(loss[few])]
-                    scores.append(_best_sums(memo.lattice, [text_of(begin[i] + j) for j in few.tolist()], float(total[i]), n))
-                columns = [pa.array(docs[a:b], pa.int64()), pa.array(count), pa.array(crc, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(~broken)]
-                names = ["doc_id", "n_pieces", "ids_crc32", "scores", "round_trip"]
-                if with_ids:
-                    columns.append(pa.array(lists, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    few = np.sort(few[np.isfinite(loss[few])]) + begin[i]
+                    found = [memo.variants(text_of(w), n) for w in few.tolist()]
+                    cuts = [(int(word_at[w] - ends[i] + count[i]), int(size[w])) for w in few.tolist()]
+                    lists = []
+                    scored = _choices(found, float(total[i]), n)
+                    for _, chosen in scored:
+                        parts, at = [], 0
+                        for (start, width), variants, v in zip(cuts, found, chosen):
+                            if v:
+                                parts += [own[at:start], np.array(variants[v][1], np.int32)]
+                                at = start + width
+                        lists.append(np.concatenate([*parts, own[at:]]) if parts else own)
+                    whole = raw[rows[i] : rows[i + 1]]
+                    for c, value in zip(columns, (len(own), [s for s, _ in scored], [len(x) for x in lists], [zlib.crc32(x.astype("<u4").tobytes()) for x in lists], all(lattice.bytes_of(x) == whole for x in lists))):
+                        c.append(value)
+                    segmentations.append(lists)
+                kinds = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.list_(pa.int32()))]
+                arrays = [pa.array(docs[a:b], pa.int64()), *(pa.array(c, k) for c, k in zip([*columns, *([segmentations] if with_ids else [])], kinds))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_pieces", "scores", "sizes", "crc32s", "round_trip", "segmentations"][: len(arrays)])
+        tx.give_back()
 
     return run
 
 
 def encode(docs: DataFrame, model_path: str, n: int = 3, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """``(doc_id, n_pieces, ids_crc32, scores, round_trip[, ids])``, one row per document.
-
-    ``ids`` is the segmentation of greatest total piece score of the whole text, ``scores`` the totals
-    of the n best, best first (fewer where a text has fewer). Characters without a piece become byte
-    pieces, so decoding gives the text back; ``round_trip`` says that it does. Null and empty texts are
-    the space that precedes every text. Null and repeated ids are kept, other columns ignored.
+    """``(doc_id, n_pieces, scores, sizes, crc32s, round_trip[, segmentations, ids])``, one row per document.
+
+    ``segmentations`` are the n best lists of ids by total piece score of the whole text, best first
+    (fewer where a text has fewer), ``ids`` is the first; ``scores``, ``sizes`` and ``crc32s`` are the
+    total, the number of ids and the crc32 of the little-endian unsigned ids of each. Characters without a piece
+    become byte pieces, so decoding any of the lists gives the text back; ``round_trip`` says that all
+    of them do. Null and empty texts are the space that precedes every text. Null and repeated ids are
+    kept, other columns ignored; an empty table gives an empty one.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = d.mapInArrow(_segmented(model_path, n, with_ids), "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, round_trip boolean" + ", ids array<int>" * with_ids)
-    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(tx.NO_ID)))
+    kinds = "doc_id long, n_pieces long, scores array<double>, sizes array<long>, crc32s array<long>, round_trip boolean"
+    found = d.mapInArrow(_segmented(model_path, n, with_ids), kinds + ", segmentations array<array<int>>" * with_ids)
+    found = found.withColumn("doc_id", F.nullif("doc_id", F.lit(tx.NO_ID)))
+    return found.withColumn("ids", F.get("segmentations", F.lit(0))) if with_ids else found
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:

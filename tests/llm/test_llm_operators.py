@@ -130,13 +130,31 @@ def test_components(spark):
 # 2
 
 
-def test_sentencepiece(no_id):
+def viterbi_lists(lattice, text, n):
+    """Scores of the n best paths through the lattice of a whole text, by lists of n best at every place."""
+    best = [[0.0]]
+    for edges in lattice.edges(text)[1:]:
+        best.append(sorted((a + score for start, _, score in edges for a in best[start]), reverse=True)[:n])
+    return best[-1]
+
+
+def test_sentencepiece(no_id, small):
+    """All n best lists of whole texts: totals as by brute force, ids that add up to them, decoding to the text."""
     path = queries.tokenizer_path("piece_bpe_32k.model")
-    found = sentencepiece_nbest.decode(sentencepiece_nbest.encode(no_id, path), path)
-    for r in found.where("doc_id is not null").collect():
-        assert r.text == (TEXTS[r.doc_id] or "") and r.round_trip and r.n_pieces == len(r.ids)
-        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and r.scores == sorted(r.scores, reverse=True)
+    d = no_id.select("doc_id", "text").unionByName(small.where("length(text) < 1500").selectExpr("doc_id + 1000 AS doc_id", "text"))
+    texts = {r.doc_id: r.text or "" for r in d.collect()}
     lattice = sentencepiece_nbest.Lattice(path)
+    value = {i: s for i, s in lattice.pieces.values()} | dict.fromkeys(lattice.byte.values(), lattice.byte_score)
+    for n in (1, 3, 5):
+        found = sentencepiece_nbest.decode(sentencepiece_nbest.encode(d, path, n), path)
+        for r in found.where("doc_id is not null").collect():
+            assert r.text == texts[r.doc_id] and r.round_trip and r.n_pieces == len(r.ids) and r.ids == r.segmentations[0]
+            assert r.sizes == list(map(len, r.segmentations)) and r.crc32s == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in r.segmentations]
+            assert len(set(map(tuple, r.segmentations))) == len(r.segmentations)
+            assert [sum(value[i] for i in x) for x in r.segmentations] == pytest.approx(r.scores)
+            if len(r.text) < 3000:
+                assert r.scores == pytest.approx(viterbi_lists(lattice, " " + r.text, n))
+                assert all(lattice.decode(x) == r.text for x in r.segmentations)
 
     def segmentations(word):
         edges = lattice.edges(word)
@@ -542,9 +560,12 @@ def brute_licenses(text):
     w = lw(text)
     base = [(i, label) for p, label in diagonal_license.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     spans = []
+    there = {}
+    for i in range(len(w) - 2):
+        there.setdefault(tuple(w[i : i + 3]), []).append(i)
     for number, (label, t) in enumerate(diagonal_license.TEMPLATES):
         t = t.split(" ")
-        votes = sorted((i - j, i) for i in range(len(w) - 2) for j in range(len(t) - 2) if w[i : i + 3] == t[j : j + 3])
+        votes = sorted((i - j, i) for j in range(len(t) - 2) for i in there.get(tuple(t[j : j + 3]), ()))
         segments = []
         for diagonal, at in votes:
             if segments and segments[-1][2] == diagonal and at - segments[-1][3] <= diagonal_license.GAP:
