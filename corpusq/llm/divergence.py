@@ -25,8 +25,8 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Words below which the divergence test says nothing.
 GUARD_WORDS = 50
-#: Common words of a language; languages whose references are literals. Of others, the words have a
-#: reference by a join, and the classes share one of all rows.
+#: Common words of a language; languages whose words are literals of the scan. Those of others are joined, to
+#: the same effect.
 COMMON_WORDS, LANGUAGES = 24, 64
 #: Limits of the Jensen-Shannon distance; the class limit grows by SLACK / 4 / sqrt(words).
 MOST_CLASS, MOST_WORD, SLACK = 0.25, 0.30, 1.6
@@ -67,7 +67,8 @@ def repeated_words(words: Column, width: int = 5) -> Column:
 
     def of(ws: Column) -> Column:
         places = F.sequence(F.lit(0), F.size(ws) - width)
-        return let(F.transform(places, lambda i: F.xxhash64(*(F.get(ws, i + j) for j in range(width)))), covered)
+        windows = lambda hs: F.transform(places, lambda i: F.xxhash64(*(F.get(hs, i + j) for j in range(width))))
+        return let(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: let(windows(hs), covered))
 
     def covered(hashes: Column) -> Column:
         def marked(s: Column) -> Column:
@@ -116,15 +117,11 @@ def _other_hits(docs: DataFrame, common: DataFrame) -> DataFrame:
     return d.select("doc_id", hits.alias("other_hits"), F.transform("common", lambda c: c.share).alias("other_shares"))
 
 
-def _class_shares(counted: DataFrame) -> dict[str, list[float]]:
-    """Shares of the character classes of each of the LANGUAGES largest languages; "*" is all rows."""
-    sums = counted.groupBy("lang").agg(*(F.sum(F.get("c", F.lit(i))).alias(c) for i, c in enumerate(CLASSES)), F.count("*").alias("n"))
-    rows = sums.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    shares = {}
-    for key, row in [*((r.lang, r) for r in rows), ("*", sums.agg(*(F.sum(c).alias(c) for c in CLASSES)).first())]:
-        whole = sum(row[c] or 0 for c in CLASSES) or 1
-        shares[key] = [(row[c] or 0) / whole for c in CLASSES]
-    return shares
+def _class_shares(counted: DataFrame) -> DataFrame:
+    """``(lang, reference)``: shares of the character classes of every language; one narrow row for each."""
+    sums = counted.groupBy("lang").agg(*(F.sum(F.get("c", F.lit(i))).alias(c) for i, c in enumerate(CLASSES)))
+    whole = sum((F.col(c) for c in CLASSES[1:]), F.col(CLASSES[0]))
+    return sums.select("lang", F.array(*(F.col(c) / F.greatest(F.lit(1), whole) for c in CLASSES)).alias("reference"))
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -152,24 +149,25 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     every = sorted({w for v in word_sets.values() for w, _ in v})
 
     def counts(ws: Column) -> Column:
-        hits = F.transform(F.filter(ws, lambda w: F.lower(w).isin(*every)), lambda w: F.lower(w)) if every else F.expr("cast(array() as array<string>)")
+        hits = F.filter(F.transform(ws, lambda w: F.lower(w)), lambda w: w.isin(*every)) if every else F.expr("cast(array() as array<string>)")
+        # Every hit stands between two spaces of its own, so a word is counted by what its removal takes off.
+        spaced = F.concat(F.lit(" "), F.array_join(hits, "  "), F.lit(" "))
 
         def by_language(h: Column) -> Column:
             branch = F.when(F.lit(False), F.expr("cast(null as array<int>)"))
             for k, v in word_sets.items():
-                branch = branch.when(lang == k, F.array(*(F.size(F.filter(h, lambda x: x == w)) for w, _ in v)))
+                branch = branch.when(lang == k, F.array(*(((F.length(h) - F.length(F.replace(h, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int") for w, _ in v)))
             return branch
 
-        return F.struct(F.size(ws).cast("long").alias("n_words"), repeated_words(ws).alias("n_repeat_words"), let(hits, by_language).alias("hits"))
+        return F.struct(F.size(ws).cast("long").alias("n_words"), repeated_words(ws).alias("n_repeat_words"), let(spaced, by_language).alias("hits"))
 
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
     d = d.select("doc_id", "lang", let(doc_words(text), counts).alias("w"), _class_counts(text).alias("c"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
     d = materialize(d.select("doc_id", "lang", "w.*", "c", "n_dup_lines"), "counted")
-    shares = _class_shares(d)
-    known = F.when(lang.isin(*(k for k in shares if k != "*")), lang).otherwise("*")
-    class_of = F.create_map(*(x for k, v in shares.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    # Adaptive execution sends the references out while they are small, and else splits the rows of a large language.
+    d = d.join(materialize(_class_shares(d), "references"), "lang")
     whole = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
-    class_distance = F.when(whole > 0, _distance(F.transform("c", lambda x: x / whole), F.element_at(class_of, known)))
+    class_distance = F.when(whole > 0, _distance(F.transform("c", lambda x: x / whole), F.col("reference")))
     word_shares = F.create_map(*(x for k, v in word_sets.items() for x in (F.lit(k), F.array(*(F.lit(s) for _, s in v))))) if word_sets else None
     total = F.aggregate("hits", F.lit(0), lambda a, x: a + x)
     with_rest = lambda a, rest: F.concat(a, F.array(rest))

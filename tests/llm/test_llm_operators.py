@@ -489,6 +489,45 @@ def test_rules(docs, small):
         assert x.base_failed == (len(w) < 10 or 100 * len(inside) > 20 * len(w)) and not (x.base_failed and x.kept)
 
 
+def jensen_shannon(p, q):
+    half = lambda a, b: a * math.log2(2 * a / (a + b)) if a > 0 else 0.0
+    return math.sqrt(max(0.0, sum(half(a, b) + half(b, a) for a, b in zip(p, q)) / 2))
+
+
+def class_counts(text):
+    out = [0] * 7
+    for c in text:
+        n = ord(c)
+        out[0 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c == " " or 9 <= n <= 13 else 4 if c in "#*$%&|<>" else 6 if n >= 128 else 5 if 33 <= n <= 126 and not c.isalpha() else 1] += 1
+    return out
+
+
+@pytest.mark.parametrize("literal", [64, 1])
+def test_rules_brute_force(docs, small, monkeypatch, literal):
+    """Distances and verdicts of every row, with references counted in Python; also with joined references."""
+    monkeypatch.setattr(divergence, "LANGUAGES", literal)
+    d = docs.select("doc_id", "text", "lang").unionByName(small.select((F.col("doc_id") + 1000).alias("doc_id"), "text", "lang"))
+    rows = [(r.doc_id, r.text or "", r.lang or "") for r in d.collect()]
+    words, classes = {}, {}
+    for _, text, lang in rows:
+        words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+        classes[lang] = [a + b for a, b in zip(classes.get(lang, [0] * 7), class_counts(text))]
+    got = by_id(divergence.quality_rules(d))
+    for i, text, lang in rows:
+        total = sum(words[lang].values())
+        common = sorted(words[lang].items(), key=lambda x: (-x[1], x[0].encode()))[:24]
+        own, n = Counter(WORD.findall(text.lower())), len(WORD.findall(text))
+        whole = sum(class_counts(text))
+        by_class = jensen_shannon([c / whole for c in class_counts(text)], [c / sum(classes[lang]) for c in classes[lang]]) if whole else 0.0
+        held = [own[w] for w, _ in common]
+        by_word = jensen_shannon([h / n for h in held] + [1 - sum(held) / n], [c / total for _, c in common] + [1 - sum(c for _, c in common) / total]) if n else 0.0
+        x = got[i]
+        assert (x.class_distance or 0.0, x.word_distance or 0.0) == pytest.approx((by_class, by_word), abs=1e-6)
+        spread = math.sqrt((len(common) + 4 * math.sqrt(2 * len(common))) / (8 * math.log(2) * max(n, 1)))
+        near = by_class <= 0.25 + 0.4 / math.sqrt(max(n, 1)) and by_word <= max(0.30, spread)
+        assert x.kept == (not x.base_failed and (n < 50 or near))
+
+
 def test_rules_need_common_words(spark, monkeypatch):
     """Texts without their language's common words fail from 90 words on, also in a language beyond LANGUAGES."""
     monkeypatch.setattr(divergence, "LANGUAGES", 2)
