@@ -61,16 +61,16 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(labels[a:b], pa.int32()), pa.array(feats, pa.binary())], ["doc_id", "label", "features"])
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float = COST, passes: int = PASSES, seed: int = 7) -> np.ndarray:
-    """Weights (the bias last) of the hinge-loss model on indicators scaled by ``scale``.
+def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float = COST, passes: int = PASSES, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights with the bias last, dual variables, their bounds) of the hinge-loss model on indicators scaled by ``scale``.
 
-    Maximises the dual one coordinate at a time; every row's norm is one after scaling.
+    Maximises the dual one coordinate at a time; every row's norm is one after scaling. A row's bound
+    is ``cost`` times twenty times the share of the other class, so both classes weigh the same.
     """
     norm = np.array([np.sqrt(float((scale[r] ** 2).sum()) + 1e-12) for r in rows])
     w, bias = np.zeros(len(scale)), 0.0
     alpha = np.zeros(len(rows))
-    share = np.array([(y != v).mean() for v in y]) if len(y) < 50 else np.where(y > 0, (y < 0).mean(), (y > 0).mean())
-    box = 2 * cost * np.maximum(share, 1e-3) * 10
+    box = 20 * cost * np.maximum(np.where(y > 0, (y < 0).mean(), (y > 0).mean()), 1e-3)
     rng = np.random.default_rng(seed)
     for _ in range(passes):
         for i in rng.permutation(len(rows)):
@@ -83,7 +83,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.nda
                 w[r] += step * s
                 bias += step
                 alpha[i] = new
-    return np.r_[w, bias]
+    return np.r_[w, bias], alpha, box
 
 
 def _margins(rows: list[np.ndarray], w: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -109,7 +109,7 @@ def _calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 def _fit(group: pd.DataFrame) -> pd.DataFrame:
     """One row with the packed model, from the whole (bounded) sample."""
-    group = group.sort_values("doc_id")
+    group = group.sort_values(["doc_id", "features", "label"])
     rows = [np.frombuffer(x, np.int32) for x in group.features]
     label = group.label.to_numpy().astype(np.int64)
     back = np.arange(len(rows)) % CALIBRATE == 0
@@ -121,7 +121,7 @@ def _fit(group: pd.DataFrame) -> pd.DataFrame:
     scale = np.log((one / one.sum()) / (zero / zero.sum()))
     fit = [r for r, out in zip(rows, back) if not out]
     y = np.where(label[~back] == 1, 1.0, -1.0)
-    w = dual_coordinate_descent(fit, y, scale)
+    w, _, _ = dual_coordinate_descent(fit, y, scale)
     a, b = _calibrate(_margins([r for r, out in zip(rows, back) if out], w, scale), label[back]) if back.sum() > 1 else (1.0, 0.0)
     return pd.DataFrame({"model": [tx.pack(w.astype(np.float32), scale.astype(np.float32), np.array([a, b]))]})
 
@@ -131,10 +131,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
 
     ``most_rows`` bounds the sample: labels are taken in the order of a hash of their ids. The ids of
     the sample, at most ``most_rows`` longs, are sent to the tasks that read ``docs``; texts that
-    carry no label never move. Labels other than 0 and 1, and null ids, are left out.
+    carry no label never move. Labels other than 0 and 1, and null ids, are left out; of several labels of
+    one id the least counts, and all texts of a repeated id carry it.
     """
     rows = labels.where(usable & F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("label"))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).dropDuplicates(["doc_id"])
+    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"))
+    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     features = joined.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "label").mapInArrow(_featured, "doc_id long, label int, features binary")
     found = features.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_fit, "model binary").collect()  # one row, two vectors of BUCKETS floats
