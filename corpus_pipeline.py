@@ -1,7 +1,10 @@
 """Corpus pipeline: quality filter, exact and near de-duplication, secret redaction, packing.
 
 Every stage takes ``(spark, docs, sf_dir)``, works on all that the stage before kept, and is written
-and read again before the next. All but the last return the columns of ``documents``.
+and read again before the next. All but the last return the columns of ``documents``, other columns
+of whatever name included. A null text counts as empty and stays null; rows without an id, and rows
+whose id repeats with other texts, are never dropped for another row's sake; an empty table gives an
+empty one at every stage.
 """
 
 from __future__ import annotations
@@ -33,9 +36,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document with the smallest id."""
+    """Of each component of near copies, the document with the smallest id. Rows of repeated ids stay, as an id would not tell which to drop."""
     found = ngram_jaccard.jaccard_components(docs, k=SHINGLE, percent=PERCENT)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    gone = found.where("doc_id <> component_id").select("doc_id").join(repeated, "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
