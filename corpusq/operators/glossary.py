@@ -53,6 +53,20 @@ def leaf_order(terms: DataFrame) -> DataFrame:
     return terms.withColumn("place", F.row_number().over(w))
 
 
+def leaf_page(entries: DataFrame, name_part: str, ranks: dict[str, int], default: int, offset: int, limit: int) -> DataFrame:
+    """A page of the terms of every leaf: ``(leaf, term, n, cat, place, total, of_cat)``.
+
+    Terms whose name holds ``name_part``, ordered by the rank of their category, frequency, length and
+    name; ``of_cat`` is the facet count of the category in the leaf.
+    """
+    from corpusq.operators.scope import rank_of
+
+    t = entries.where(F.contains(F.lower("term"), F.lit(name_part.lower()))).groupBy("leaf", "term").agg(F.count("*").alias("n"), F.min("cat").alias("cat"))
+    total, facets = t.groupBy("leaf").agg(F.count("*").alias("total")), t.groupBy("leaf", "cat").agg(F.count("*").alias("of_cat"))
+    d = leaf_order(t.withColumn("cat_rank", rank_of(F.col("cat"), ranks, default))).where((F.col("place") > offset) & (F.col("place") <= offset + limit))
+    return d.drop("cat_rank").join(total, "leaf").join(facets, ["leaf", "cat"])
+
+
 def meaning_cards(entries: DataFrame) -> DataFrame:
     """Variants of each meaning: best three by primary flag and rank, each body once in its group.
 

@@ -10,9 +10,9 @@ from corpusq.functions.positions import match_positions
 
 # Marks of a question, of an answer, and of a speaker at the start of a line.
 QUESTION = "(?m)^[ \\t]*(?:[●◆■◇○〇]\\s*)?(?:(?:Q|Ｑ|q|ｑ|问|問|提问|問題|質問)\\s*[：:])[ \\t]*"
-ANSWER = "(?m)(?<![A-Za-z0-9])(?:[AＡaａ]\\s*[：:]|(?:答|回答)\\s*[：:])[ \\t]*"
+ANSWER = "(?<![A-Za-z0-9])(?:[AＡaａ]\\s*[：:]|(?:答|回答)\\s*[：:])[ \\t]*"
 SPEAKER = "(?m)^[ \\t]*([^：:\\n]{1,20})[：:]"
-MARK_NAME = "^(?:Q|Ｑ|q|ｑ|问|問|提问|問題|質問|A|Ａ|a|ａ|答|回答)$"
+MARK_NAME = "^(?:Q|Ｑ|q|ｑ|问|問|提问|問題|質問|A|Ａ|a|ａ)$"
 
 
 def turns_to_qa(conversations: DataFrame) -> DataFrame:
@@ -30,32 +30,49 @@ def speaker_counts(blocks: DataFrame, least: int = 2) -> DataFrame:
 
 
 def extract_qa(blocks: DataFrame) -> DataFrame:
-    """``(doc, start, end, q, a)`` of marked questions and answers in a document's blocks.
-
-    A question runs from its mark to the next answer mark, or else to the end of its line; its answer
-    runs to the next question mark. Marks of all blocks of a document are ordered as rows, and
-    the text between two marks is cut from the blocks they span.
+    """``(doc, start, end, q, a)`` of marked questions and answers in a document's blocks, ``end`` exclusive.
+
+    A question runs to the first answer mark, or else the first name of a speaker, behind it in its
+    block; the answer then to the next question of the block or the block's end, a speaker's name
+    included. A name counts as the end of a question only behind a question mark, or when it opens two
+    or more lines of the document, or is an answer's; a question with another name behind it is left
+    out. Without either the answer is what follows in the blocks up to the next question. Both sides
+    need two characters besides punctuation.
     """
-    w = Window.partitionBy("doc").orderBy("ord")
-    b = blocks.select("doc", "ord", "text", F.coalesce(F.sum(F.length("text") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    marks = lambda kind, p: b.where(F.col("text").rlike(p)).select("doc", "ord", F.lit(kind).alias("kind"), F.explode(F.arrays_zip(match_positions(F.col("text"), p).alias("at"), F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), lambda m: F.length(m)).alias("size"))).alias("m"), "base").select("doc", "ord", "kind", (F.col("base") + F.col("m.at")).alias("at"), F.col("m.size").alias("size"))
-    every = marks("q", QUESTION).unionByName(marks("a", ANSWER))
-    o = Window.partitionBy("doc").orderBy("at")
-    # An answer mark counts only right after a question mark; further ones belong to the answer.
-    every = every.withColumn("_before", F.lag("kind").over(o)).where("kind = 'q' or _before = 'q'")
-    every = every.withColumns({"next_kind": F.lead("kind").over(o), "next_at": F.lead("at").over(o), "next_size": F.lead("size").over(o), "after_at": F.lead("at", 2).over(o), "next_ord": F.lead("ord").over(o), "after_ord": F.lead("ord", 2).over(o)})
-    texts = b.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x.text), "\n").alias("whole"), F.max("ord").alias("last_ord"))
-    d = every.where("kind = 'q'").join(texts, "doc")
-    cut = lambda a, z: F.regexp_replace(F.substring(F.col("whole"), (a + 1).cast("int"), (z - a).cast("int")), "^\\s+|\\s+$", "")
-    begin, stop = F.col("at") + F.col("size"), F.coalesce("next_at", F.length("whole"))
-    paired = F.col("next_kind") == "a"
-    body = cut(begin, stop)
-    line = F.instr(body, "\n")
-    q = F.when(paired, body).when(line > 0, F.substring(body, F.lit(1), line - 1)).otherwise(body)
-    a = F.when(paired, cut(F.col("next_at") + F.col("next_size"), F.coalesce("after_at", F.length("whole")))).when(line > 0, F.substring(body, line + 1, F.length(body))).otherwise("")
-    end = F.when(paired, F.coalesce("after_ord", F.col("last_ord") + 1)).otherwise(F.coalesce("next_ord", F.col("last_ord") + 1))
-    out = d.select("doc", F.col("ord").alias("start"), F.greatest(end, F.col("ord") + 1).alias("end"), F.trim(q).alias("q"), tx.clean_answer(a).alias("a"))
-    return out.where(tx.valid_qa(F.col("q"), F.col("a")))
+    d = blocks.select("doc", "ord", F.coalesce("text", F.lit("")).alias("text"))
+    sized = F.arrays_zip(match_positions(F.col("text"), QUESTION).alias("at"), F.regexp_extract_all("text", F.lit(QUESTION), F.lit(0)).alias("mark"))
+    marks = d.where(F.col("text").rlike(QUESTION)).select("doc", "ord", "text", F.explode(sized).alias("m"))
+    w = Window.partitionBy("doc", "ord").orderBy("at")
+    q = marks.select("doc", "ord", "text", F.col("m.at").alias("at"), (F.col("m.at") + F.length("m.mark")).alias("begin"))
+    q = q.withColumn("next_at", F.lead("at").over(w))
+    # One character before is kept, so that a name is looked for at the start of lines only.
+    rest = F.substring("text", F.col("begin"), F.length("text"))
+    q = q.withColumn("rest", rest)
+    first = lambda p: F.when(F.col("rest").rlike(p), F.length(F.get(F.split("rest", p, 2), F.lit(0))) - 1 + F.col("begin"))
+    q = q.withColumns({"own": first(ANSWER), "named": first(SPEAKER), "speaker": F.trim(F.regexp_extract("rest", SPEAKER, 1))})
+    q = q.withColumn("own_end", F.col("own") + F.length(F.regexp_extract("rest", ANSWER, 0)))
+    q = q.join(speaker_counts(d).select("doc", "speaker", F.lit(True).alias("_often")), ["doc", "speaker"], "left")
+    between = F.substring("text", F.col("begin") + 1, F.col("named") - F.col("begin"))
+    good = (F.col("speaker") != "") & ~F.lower("speaker").startswith("http") & (F.col("speaker").rlike("^(?:A|Ａ|答)") | between.rlike("[?？]") | F.col("_often").isNotNull())
+    q = q.where(F.col("named").isNull() | good)
+    q = q.withColumn("stop", F.coalesce("own", "named"))
+    q = q.withColumn("stop", F.when(F.col("next_at").isNull() | (F.col("next_at") >= F.coalesce("stop", F.length("text"))), F.col("stop")))
+    strip = lambda x: F.regexp_replace(x, "^\\s+|\\s+$", "")
+    cut = lambda a, z: strip(F.substring("text", (a + 1).cast("int"), (z - a).cast("int")))
+    here = q.where("stop is not null").select("doc", F.col("ord").alias("start"), (F.col("ord") + 1).alias("end"), cut(F.col("begin"), F.col("stop")).alias("q"), cut(F.coalesce("own_end", "named"), F.coalesce("next_at", F.length("text"))).alias("a"))
+    # Blocks behind the last question of a block, up to the first question of the next one that has any.
+    firsts = marks.groupBy("doc", "ord").agg(F.min("m.at").alias("cut"))
+    o = Window.partitionBy("doc").orderBy("ord")
+    owned = d.join(firsts, ["doc", "ord"], "left").withColumn("owner", F.last(F.when(F.col("cut").isNotNull(), F.col("ord")), ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, -1)))
+    owned = owned.where("owner is not null").withColumn("nth", F.row_number().over(Window.partitionBy("doc", "owner").orderBy("ord")))
+    part = strip(F.when(F.col("cut").isNotNull(), F.substring("text", F.lit(1), F.col("cut"))).otherwise(F.col("text")))
+    reached = F.col("cut").isNull() | (F.col("cut") > 0) | (F.col("nth") == 1)
+    tail = owned.groupBy("doc", F.col("owner").alias("ord")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(part != "", F.struct("ord", part.alias("text"))))), lambda x: x.text), "\n").alias("a"), F.max(F.when(reached, F.col("ord"))).alias("last"))
+    later = q.where("stop is null and next_at is null").join(tail, ["doc", "ord"]).select("doc", F.col("ord").alias("start"), (F.col("last") + 1).alias("end"), cut(F.col("begin"), F.length("text")).alias("q"), "a")
+    out = here.unionByName(later).withColumn("a", tx.clean_answer(F.col("a")))
+    enough = lambda c: F.length(F.regexp_replace(c, tx.QA_PUNCTUATION, "")) >= 2
+    return out.where(enough("q") & enough("a"))
 
 
 def locate_qa(qa: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -63,9 +63,9 @@ def chapter_of(blocks: DataFrame, chapters: DataFrame) -> DataFrame:
 
 
 def compact_locations(blocks: DataFrame) -> DataFrame:
-    """``(doc, start, end, path)``: consecutive blocks of one path as one half-open interval."""
+    """``(doc, start, end, path)``: blocks with consecutive places and one path as one half-open interval."""
     w = Window.partitionBy("doc").orderBy("ord")
-    fresh = F.when(F.lag("path").over(w).eqNullSafe(F.col("path")), 0).otherwise(1)
+    fresh = F.when(F.lag("path").over(w).eqNullSafe(F.col("path")) & (F.lag("ord").over(w) == F.col("ord") - 1), 0).otherwise(1)
     d = blocks.withColumn("run", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return d.groupBy("doc", "run", "path").agg(F.min("ord").alias("start"), (F.max("ord") + 1).alias("end")).drop("run")
 

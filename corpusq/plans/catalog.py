@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusq.plans import library, search
+from corpusq.plans import composites, library, search
 
-MODULES = (search, library)
+MODULES = (search, library, composites)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for module in MODULES:

@@ -75,11 +75,13 @@ def natural_order(spark, d):
     return tb.table(spark, d, "part").select("p_partkey", tx.natural_key(F.concat_ws(" ", "p_type", F.col("p_size").cast("string"))).alias("natural_key"))
 
 
-@C.add()
+@C.add(sql(select="SELECT s_suppkey, replace(s_name, '#', ' #') || ' Fate II' AS text, '' AS notes, replace(replace(s_name, '#', ' #'), ' ', '') || 'FateII' AS key FROM supplier"))
 def normalized_queries(spark, d):
-    """NFKC and keys of entry terms."""
-    n = tx.normalize_query_text(F.col("term"))
-    return tb.entries(spark, d).select("entry_id", n["text"].alias("text"), F.size(n["notes"]).alias("notes"), tx.term_key(F.col("term")).alias("key"))
+    """NFKC form, replaced spellings and glossary keys of names with full-width letters and Roman numerals."""
+    wide = F.translate(F.concat(F.lit("Fate "), F.lit("Ⅱ")), "Fate", "Ｆａｔｅ")
+    name = F.concat(F.replace("s_name", F.lit("#"), F.lit(" #")), F.lit(" "), wide)
+    n = tx.normalize_query_text(name)
+    return tb.table(spark, d, "supplier").select("s_suppkey", n["text"].alias("text"), F.array_join(n["notes"], "|").alias("notes"), tx.term_key(name).alias("key"))
 
 
 @C.add()
@@ -309,7 +311,7 @@ def chapter_of(spark, d):
     return st.chapter_of(b, c).select("doc", "ord", "chapter")
 
 
-@C.add(sql(tb.SQL_BLOCKS, tb.SQL_LOCATED, "f AS (SELECT *, CASE WHEN lag(path) OVER (PARTITION BY doc ORDER BY ord) = path THEN 0 ELSE 1 END AS f FROM located)", "r AS (SELECT *, sum(f) OVER (PARTITION BY doc ORDER BY ord) AS run FROM f)", select="SELECT doc, path, min(ord) AS start, max(ord) + 1 AS \"end\" FROM r GROUP BY doc, run, path"))
+@C.add(sql(tb.SQL_BLOCKS, tb.SQL_LOCATED, "f AS (SELECT *, CASE WHEN lag(path) OVER w = path AND lag(ord) OVER w = ord - 1 THEN 0 ELSE 1 END AS f FROM located WINDOW w AS (PARTITION BY doc ORDER BY ord))", "r AS (SELECT *, sum(f) OVER (PARTITION BY doc ORDER BY ord) AS run FROM f)", select="SELECT doc, path, min(ord) AS start, max(ord) + 1 AS \"end\" FROM r GROUP BY doc, run, path"))
 def compact_locations(spark, d):
     """Gaps and islands."""
     return st.compact_locations(tb.located(spark, d))
@@ -451,6 +453,7 @@ def merge_exclusions(spark, d):
 # Questions
 
 
+
 @C.add(sql(tb.SQL_QA, select="SELECT conv_id, turn, q, a FROM qa"))
 def qa_pairs(spark, d):
     """Each user turn with the answer after it."""
@@ -483,10 +486,10 @@ def locate_qa(spark, d):
     return qa_ops.locate_qa(q, b)
 
 
-@C.add(sql(tb.SQL_BLOCKS, select="SELECT doc, trim(speaker, ' ') AS speaker, count(*) AS n FROM (SELECT doc, unnest(regexp_extract_all(text, '(?m)^[ \\t]*([^：:\\n]{1,20})[：:]', 1)) AS speaker FROM blocks) WHERE trim(speaker, ' ') <> '' GROUP BY ALL HAVING count(*) >= 2"))
+@C.add(sql(tb.SQL_SPOKEN, select="SELECT doc, trim(speaker, ' ') AS speaker, count(*) AS n FROM (SELECT doc, unnest(regexp_extract_all(text, '(?m)^[ \\t]*([^：:\\n]{1,20})[：:]', 1)) AS speaker FROM spoken) WHERE trim(speaker, ' ') <> '' GROUP BY ALL HAVING count(*) >= 2"))
 def speaker_counts(spark, d):
-    """A18."""
-    return qa_ops.speaker_counts(tb.blocks(spark, d))
+    """Names that open lines of a conversation."""
+    return qa_ops.speaker_counts(tb.spoken_blocks(spark, d))
 
 
 @C.add()
@@ -520,10 +523,10 @@ def quality_offsets(spark, d):
     return quality.blocks_against_offsets(b, b.withColumn("start", F.col("start") + F.when(F.col("doc") % 100 == 0, 1).otherwise(0)))
 
 
-@C.add(sql(tb.SQL_BLOCKS, select="SELECT doc, ord FROM blocks WHERE regexp_matches(text, '(?i)<a\\b|<br\\b|https?://|www\\.|\\]\\(http')"))
+@C.add(sql(tb.SQL_PAGE_LINES, select="SELECT doc, ord FROM page_lines WHERE text <> '' AND regexp_matches(text, '(?i)<a\\b|<br\\b|https?://|www\\.|\\]\\(http')"))
 def quality_markup(spark, d):
-    """Q02."""
-    return quality.left_markup(tb.blocks(spark, d))
+    """Q02: source lines of pages with links or breaks."""
+    return quality.left_markup(tb.page_lines(spark, d))
 
 
 @C.add(sql(tb.SQL_BLOCKS, select="SELECT doc, ord FROM blocks WHERE doc % 50 = 0"))

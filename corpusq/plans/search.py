@@ -51,10 +51,15 @@ def paragraphs(spark, d):
     return bl.split_paragraphs(tb.table(spark, d, "documents"))
 
 
-@C.add(sql(tb.SQL_BLOCKS, "h AS (SELECT doc, ord, trim(text, ' ') AS title FROM blocks WHERE length(trim(text, ' ')) BETWEEN 2 AND 24 AND NOT regexp_matches(trim(text, ' '), '[。！？!?，,；;：:…」』]') AND (length(trim(text, ' ')) <= 14 OR regexp_matches(lower(text), '第[0-9一二三四五六七八九十百]+|章|节|節|幕|话|話|回|篇|序|终|終|附录|后记|後記|chapter|prologue|epilogue')))", select="SELECT doc, ord, title, row_number() OVER (PARTITION BY doc ORDER BY ord) AS n FROM h QUALIFY n <= 300"))
+SQL_HEADING = """h AS (SELECT doc, ord, trim(text, ' ') AS title FROM headed), i AS (SELECT *, regexp_matches(title, '(?i)^(?:序|序幕|开幕|终章|尾声|幕间|间章|后记|あとがき|prologue|epilogue|chapter|act|track|disc|intro|outro|final|第[0-9一二三四五六七八九十百千]+(?:章|节|幕|话|回|夜|部))') AS hinted FROM h),
+    heads AS (SELECT doc, ord, title FROM i WHERE length(title) BETWEEN 2 AND 24 AND NOT regexp_matches(title, '^[0-9０-９]+[：:.．]|^未知$|^[#*\\-—・◇◆\\s]+$|^[（(]|^https?:|^译者|^录入|^翻译|^插画|^修图|^校对|^扫图')
+        AND NOT regexp_matches(title, '[。，、！？…；：:!?【「『\\[\\]{}<>|\\\\^~$#@*_=+%&]') AND (regexp_matches(title, '[\\x{4e00}-\\x{9fff}]') OR hinted) AND (hinted OR regexp_matches(title, '（\\d+/\\d+）$') OR length(title) <= 14))"""
+
+
+@C.add(sql(tb.SQL_BLOCKS, tb.SQL_HEADED, SQL_HEADING, select="SELECT doc, ord, title, row_number() OVER (PARTITION BY doc ORDER BY ord) AS n FROM heads QUALIFY n <= 300"))
 def toc(spark, d):
     """Heading lines of each document."""
-    return bl.toc(tb.blocks(spark, d))
+    return bl.toc(tb.headed_blocks(spark, d))
 
 
 @C.add(sql(*WORD_HITS, select="SELECT query_id, doc, ord, n FROM hits"))

@@ -79,6 +79,32 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns_to_qa(table(spark, sf_dir, "conversations"))
 
 
+def headed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads of all blocks as title lines, every third one named an act."""
+    b = blocks(spark, sf_dir)
+    return b.withColumn("text", F.concat(F.when(F.col("ord") % 3 == 0, "Act ").otherwise(""), F.substring("text", 1, 14)))
+
+
+def spoken_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as blocks that begin with the speaker's role."""
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").cast("int").alias("ord"), F.concat_ws(": ", "role", "text").alias("text"))
+
+
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source lines of all pages, cut before headings and paragraphs."""
+    d = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), F.posexplode(F.split("html", "(?=<[hp])", -1)).alias("ord", "text"))
+    return d.where("text <> ''")
+
+
+def story_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as chapters: regions are works, nations routes, market segments groups; one region is official."""
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    d = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    bare = F.col("c_mktsegment") == "BUILDING"
+    return d.select(F.col("r_name").alias("work"), F.col("n_name").alias("route"), F.col("n_nationkey").alias("route_ord"), F.when(bare, "").otherwise(F.col("c_mktsegment")).alias("grp"), F.col("c_custkey").alias("ord"), F.col("c_name").alias("title"), F.col("c_custkey").alias("doc"),
+                    (F.col("r_name") == "ASIA").alias("official"), F.lit(False).alias("extra"), F.when(F.col("c_acctbal") > 0, F.array(F.lit("first"), F.lit("second"))).otherwise(F.expr("cast(array() as array<string>)")).alias("sections"))
+
+
 def values(rows: list[tuple]) -> str:
     """Rows as a SQL VALUES list."""
     one = lambda v: f"CAST({v} AS BIGINT)" if isinstance(v, int) else "[" + ", ".join(map(one, v)) + "]" if isinstance(v, list) else "'" + v.replace("'", "''") + "'"
@@ -98,6 +124,10 @@ SQL_ALIASES = f"aliases AS (SELECT * FROM {values(ALIASES)} v(nick, targets, pri
 SQL_ASKED = f"asked AS (SELECT * FROM {values(ASKED)} v(query_id, q))"
 SQL_CHAPTERS = "chapters AS (SELECT doc, ord AS start, substr(text, 1, 20) AS title FROM blocks WHERE ord % 10 = 0)"
 SQL_LOCATED = "located AS (SELECT *, CASE WHEN regexp_matches(text, '^[A-Z]') THEN 'upper' ELSE 'other' END AS path FROM blocks)"
+SQL_HEADED = "headed AS (SELECT doc, ord, CASE WHEN ord % 3 = 0 THEN 'Act ' ELSE '' END || substr(text, 1, 14) AS text FROM blocks)"
+SQL_SPOKEN = "spoken AS (SELECT conv_id AS doc, turn AS ord, role || ': ' || text AS text FROM conversations)"
+SQL_PAGE_LINES = "page_lines AS (SELECT page_id AS doc, unnest(range(len(p))) AS ord, unnest(p) AS text FROM (SELECT page_id, string_split(regexp_replace(html, '<([hp])', chr(1) || '<\\1', 'g'), chr(1)) AS p FROM pages))"
+SQL_CHAPTER_ROWS = "story AS (SELECT r_name AS work, n_name AS route, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_mktsegment END AS grp, c_custkey AS doc, c_name AS title, r_name = 'ASIA' AS official, c_acctbal > 0 AS two, n_nationkey AS route_ord FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 SQL_QA = "qa AS (SELECT conv_id, turn, text AS q, a FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant')"
 
 

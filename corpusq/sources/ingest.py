@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Encodings of raw text files, in the order they are tried.
+from corpusq.sources.storage import checkpointed
+
+# Encodings of raw text files, in the order they are tried.
 ENCODINGS = ("utf-8-sig", "utf-16", "gb18030")
 # Elements without text of their own, and named character references.
 SKIPPED = ("script", "style", "figure", "svg", "video", "audio")
@@ -116,11 +118,12 @@ def load_event_rows(spark: SparkSession, path: str, keep: dict[str, str], expect
 def upsert_docs(docs: DataFrame, files: DataFrame) -> DataFrame:
     """``(doc, file, fresh)``: known files with their ids, unseen ones with ids after the largest.
 
-    New ids follow the order of file names. Names are numbered inside ranges of their first letters and
-    shifted by the ranges' sizes, so no task sorts all of them.
+    New ids follow the order of file names. Names are dealt to sampled ranges, numbered inside them and
+    shifted by the ranges' sizes, so no task sorts all of them, whatever they begin with; the ranges
+    are written, so that both readings see the same ones.
     """
     fresh = files.select("file").distinct().join(docs.select("file"), "file", "left_anti")
-    ranged = fresh.withColumn("part", F.substring("file", 1, 2))
+    ranged = checkpointed(fresh.repartitionByRange("file").withColumn("part", F.spark_partition_id()))
     w = Window.partitionBy("part").orderBy("file")
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("shift", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "shift")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from corpusq.operators import aliases, blocks, glossary, multiterm, occurrences, qa, snippets, story
+from corpusq.functions import text as tx
+from corpusq.operators import aliases, blocks, build, glossary, multiterm, occurrences, qa, quality, reading, search, snippets, story
 from corpusq.sources import ingest, publish
 
 
@@ -120,6 +125,153 @@ def test_extract_qa(spark):
     assert rows(qa.build_qa_index(b, legacy), "q", "origin") == [("第一个问题？", "extracted"), ("第二个问题？", "extracted")]
 
 
+def plain_qa(blocks):
+    """(start, end, q, a) by reading one document's blocks from front to back."""
+    question, answer, speaker = (re.compile(p.replace("(?m)", "", 1), re.M) for p in (qa.QUESTION, qa.ANSWER, qa.SPEAKER))
+    names = {}
+    for _, t in blocks:
+        for m in speaker.finditer(t):
+            if m[1].strip() and not re.match(qa.MARK_NAME, m[1].strip()):
+                names[m[1].strip()] = names.get(m[1].strip(), 0) + 1
+    asked = [(i, m) for i, (_, t) in enumerate(blocks) for m in question.finditer(t)]
+    bare = lambda t: re.sub(tx.QA_PUNCTUATION, "", t)
+    out = []
+    for k, (i, m) in enumerate(asked):
+        text, after = blocks[i][1], asked[k + 1] if k + 1 < len(asked) else None
+        own, name = answer.search(text, m.end()), speaker.search(text, m.end())
+        if name:
+            who = name[1].strip()
+            if not who or who.lower().startswith("http") or not (who[0] in "AＡ答" or re.search("[?？]", text[m.end() : name.start()]) or names.get(who, 0) >= 2):
+                continue
+        stop = own or name
+        inside = after if after and after[0] == i else None
+        if inside and inside[1].start() < (stop.start() if stop else len(text)):
+            stop = None
+        if stop:
+            q, a, last = text[m.end() : stop.start()].strip(), text[own.end() if own else name.start() : inside[1].start() if inside else len(text)].strip(), i
+        elif inside:
+            continue
+        else:
+            q, parts, last = text[m.end() :].strip(), [], None
+            for j in range(i + 1, len(blocks)):
+                end = after[1].start() if after and j == after[0] else len(blocks[j][1])
+                if end or j == i + 1:
+                    last = j
+                parts.append(blocks[j][1][:end].strip())
+                if after and j == after[0]:
+                    break
+            a = "\n".join(x for x in parts if x)
+        a = re.sub(r"^(?:[AＡaａ]\s*[：:]|(?:答|回答)\s*[：:])[ \t]*", "", a).strip()
+        a = re.sub(r"(?:\s*\n?[ \t]*[-—－━=]{4,}[ \t]*)+$", "", a)
+        if len(bare(q)) >= 2 and len(bare(a)) >= 2:
+            out.append((blocks[i][0], blocks[last][0] + 1, q, a))
+    return out
+
+
+def test_extract_qa_against_reading(spark):
+    """Documents put together at random from questions, answers, speakers and plain lines."""
+    parts = ["Q：这是问题吗？", "问：说说看", "A：这是回答。", "答：好的好的", "奈须：我来回答这个。", "武内：是这样的？", "路人：只说一次", "普通的一行文字", "http：//x.y 链接", "……", "Q：第二个？ A：同一行回答", "Q：连着问 Q：再问一次？ 奈须：回答在此", "----", "奈须：又一次发言"]
+    rng = random.Random(5)
+    docs = {d: [(i * 2, "\n".join(rng.choice(parts) for _ in range(rng.choice((1, 1, 2, 3))))) for i in range(rng.randint(1, 8))] for d in range(150)}
+    b = spark.createDataFrame([(d, i, t) for d, bs in docs.items() for i, t in bs], "doc long, ord int, text string")
+    got = {}
+    for r in qa.extract_qa(b).collect():
+        got.setdefault(r.doc, []).append((r.start, r.end, r.q, r.a))
+    expected = {d: sorted(plain_qa(bs)) for d, bs in docs.items() if plain_qa(bs)}
+    assert {d: sorted(x) for d, x in got.items()} == expected and sum(map(len, expected.values())) > 100
+
+
+def test_fragments_against_loop(spark):
+    """Windows of random blocks equal those of a loop over anchors."""
+    rng = random.Random(6)
+    words = ["alpha", "beta", "gamma", "other", "thing", "more。", "end. "]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice((20, 60, 400)))) for _ in range(25)]
+    b = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc long, ord int, text string")
+    groups = [(1, 0, "alpha"), (1, 1, "beta"), (2, 0, "gamma"), (2, 1, "alpha"), (2, 2, "beta")]
+    expected = []
+    for query in (1, 2):
+        own = [(g, t) for q, g, t in groups if q == query]
+        held = [[(g, [m.start() for m in re.finditer(rf"(?<![A-Za-z0-9]){w}(?![A-Za-z0-9])", t)]) for g, w in own] for t in texts]
+        held = [[(g, p) for g, p in h if p] for h in held]
+        level = max(map(len, held))
+        for doc, (t, h) in enumerate(zip(texts, held)):
+            if len(h) < level:
+                continue
+            anchors = [p[i] for i in range(20) for _, p in h if i < len(p)][:40]
+            seen, out = set(), []
+            for at in anchors:
+                a, z = snippets.block_window(t, at, at + 1)
+                inside = [g for g, ps in h if any(a <= p < z for p in ps)]
+                flat = re.sub(r"\s+", "", t[a:z])
+                if len(inside) >= level and flat not in seen:
+                    seen.add(flat)
+                    out.append((query, doc, a, z, sum(1 << g for g in inside)))
+            if not out:
+                mid = (min(p[0] for _, p in h) + max(p[0] for _, p in h)) // 2
+                out = [(query, doc, max(0, mid - 200), min(len(t), mid + 200), sum(1 << g for g, _ in h))]
+            expected += out
+    units = multiterm.match_units(spark.createDataFrame(groups, "query_id long, `group` int, term string"), b)
+    assert rows(multiterm.fragments(units, b), "query_id", "doc", "start", "end", "mask") == sorted(expected) and len(expected) > 30
+
+
+def test_bundle(spark, tmp_path):
+    empty = {"docs": [{"id": 1, "title": "t", "work": "", "meta": {"a": "b"}}], "entries": [{"term": "x", "doc": 1, "source_refs": [{"doc": 1, "start": 0, "end": 2}]}], "qa": [], "interviews": [{"term": "i", "doc": 1}]}
+    for name, data in empty.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(data))
+    got = ingest.load_bundle(spark, str(tmp_path))
+    assert rows(got["docs"], "id", "title", "work") == [(1, "t", None)] and got["qa"].count() == 0
+    assert got["entries"].first().source_refs[0].end == 2 and got["interviews"].first().term == "i"
+
+
+def test_assemble_volume(spark):
+    rows_ = [(1, 1, 0, "paragraph", "第一章"), (1, 1, 1, "paragraph", "第二章"), (1, 1, 2, "paragraph", "字" * 60), (1, 1, 3, "heading", "第一章（上）"), (1, 1, 4, "paragraph", "甲"), (1, 2, 0, "paragraph", "乙"), (1, 2, 1, "heading", "第二章"), (1, 2, 2, "paragraph", "丙"), (1, 2, 3, "heading", "插画"), (1, 2, 4, "paragraph", "丁")]
+    b = spark.createDataFrame(rows_, "volume long, doc long, ord int, kind string, text string")
+    chapters, audit = build.assemble_volume(b, spark.createDataFrame([(1, 1, 67), (1, 2, 9)], "volume long, doc long, chars int"))
+    assert rows(chapters, "title", "text") == [("第一章", "甲\n乙"), ("第二章", "丙")]
+    assert rows(audit, "doc", "parsed", "ok") == [(1, 67, True), (2, 3, False)]
+
+
+def test_build_index_tables(spark):
+    c = spark.createDataFrame([(1, 0, "new", 0, "正文一<br>これは日本語です"), (1, 1, "old", 0, "旧正文"), (2, 1, "old", 0, "旧正文"), (3, 1, "old", 0, "旧正文"), (4, 0, "new", 0, "http://x.y"), (4, 1, "old", 1, "后备"), (5, 1, "old", 0, "去掉")], "doc long, priority int, source string, ord int, text string")
+    docs = spark.createDataFrame([(i, "W", f"t{i}") for i in range(1, 6)], "doc long, work string, title string")
+    gone = spark.createDataFrame([(5, "merged")], "doc long, reason string")
+    chapters = spark.createDataFrame([(3, 0, None, "story › one")], "doc long, start int, end int, path string")
+    got = build.build_index(c, docs, gone, chapters)
+    assert rows(got["blocks"], "doc", "text") == [(1, "正文一"), (3, "旧正文"), (4, "后备")]
+    assert rows(got["foreign"], "doc", "text") == [(1, "これは日本語です")] and rows(got["excluded"], "doc", "canonical") == [(2, 3), (5, None)]
+    assert rows(got["locations"], "doc", "path") == [(1, "W › t1"), (3, "story › one"), (4, "W › t4")]
+
+
+def test_ambiguous_definitions_and_fallback(spark):
+    e = [(1, "g1", "saber", "body of saber"), (2, "g2", "archer", "archer, an ally of saber"), (3, "g3", "sabers", "plural")]
+    entries = spark.createDataFrame([(*x, 0, 0) for x in e], "entry_id long, group_id string, term string, body string, family int, freq int")
+    table = spark.createDataFrame([("servant", ["archer", "saber"], 1)], "nick string, targets array<string>, priority int")
+    q = spark.createDataFrame([(1, "servant"), (2, "sab"), (3, "the archer herself")], "query_id long, q string")
+    parts = spark.createDataFrame([(3, "herself", 1), (3, "archer", 2)], "query_id long, part string, place int")
+    got = rows(search.definitions(q, table, entries, parts), "query_id", "place", "entry_id", "match")
+    assert got == [(1, 1, 2, "exact"), (1, 2, 1, "exact"), (2, 1, 1, "contains"), (2, 2, 3, "contains"), (3, 1, 2, "exact")]
+    both = spark.createDataFrame([(1, "ab"), (1, "abc")], "query_id long, term string")
+    blk = spark.createDataFrame([(1, 0, "远ab abc")], "doc long, ord int, text string")
+    cjk = spark.createDataFrame([(2, "远坂"), (2, "远坂凛")], "query_id long, term string")
+    assert rows(search.variant_hits(both, blk), "n") == [(2,)] and rows(search.variant_hits(cjk, spark.createDataFrame([(1, 0, "远坂凛，远坂")], "doc long, ord int, text string")), "n") == [(2,)]
+
+
+def test_one_character_queries_see_bodies(spark):
+    e = spark.createDataFrame([(1, "甲", "这里有凛的说明"), (2, "凛", "别的")], "entry_id long, term string, body string")
+    assert rows(glossary.match_entries(spark.createDataFrame([(1, "凛")], "query_id long, q string"), e), "entry_id", "match") == [(1, "body"), (2, "exact")]
+
+
+def test_labels_and_ranges(spark):
+    s = spark.createDataFrame([("",), ("top:t",), ("work:w",), ("sub:w|a|b",), ("work:x",)], "scope string")
+    got = dict(rows(reading.scope_labels(s, spark.createDataFrame([("t", "Top")], "top string, name string"), spark.createDataFrame([("w", "Work")], "work string, label string")), "scope", "label"))
+    assert got == {"": "全部作品", "top:t": "Top（全部）", "work:w": "Work", "sub:w|a|b": "Work · a|b", "work:x": "x"}
+    c = spark.createDataFrame([("k", 1, 2, 2)], "key string, doc long, start int, end int")
+    b = spark.createDataFrame([(1, 2, "zh", "a"), (1, 2, "ja", "b"), (1, 3, "zh", "c")], "doc long, ord int, lang string, text string")
+    assert rows(reading.chapter_blocks(c, b, "zh"), "ord", "lang") == [(2, "zh")]
+    bad = quality.wrong_chapter_count(spark.createDataFrame([("w", "r")], "work string, route string"), spark.createDataFrame([("w", "r", 2), ("w", "s", 0)], "work string, route string, expected int"))
+    assert rows(bad, "route", "n") == [("r", 1), ("s", None)]
+
+
 def test_story_operators(spark):
     chapters = spark.createDataFrame([(1, 400, "开端"), (2, 500, "终章")], "chapter long, number int, title string")
     docs = spark.createDataFrame([(10, "x/400_a", "别的"), (11, "y/z", "开端"), (12, "y/w", "终章")], "doc long, file string, title string")
