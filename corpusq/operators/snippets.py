@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusq.functions import text as tx
+
 #: Aimed-at and greatest lengths of sentence and paragraph snippets, in code points.
 TARGET, HARD, PARAGRAPH_TARGET, PARAGRAPH_HARD, SHORT = 360, 600, 600, 800, 180
+#: Empty places between two blocks that still follow each other.
+BLANKS = 8
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("cut_before", T.BooleanType()), T.StructField("cut_after", T.BooleanType())])
 SENTENCE = re.compile(r"\s*(?:[^。！？!?…\n\r]*[。！？!?…]+[」』”\")）)》〉】]*|[^。！？!?…\n\r]+)")
@@ -28,21 +33,23 @@ def sentence_list(text: str) -> list[tuple[int, int]]:
 
 
 def _cut_long(text: str, start: int, end: int, hard: int) -> tuple[int, int]:
-    """The widest stretch between clause marks that holds the match and fits; else a centred cut."""
-    low = max(text.rfind("\n", 0, start), text.rfind("\r", 0, start)) + 1
-    high = re.compile(r"[\n\r]").search(text, start)
-    high = high.start() if high else len(text)
+    """Of the match's line the widest stretch between clause marks that holds the match and fits; else ``hard`` characters around it.
+
+    For every clause start the farthest mark within reach is looked up, so long lines cost no pairs.
+    """
+    low = 1 + max(text.rfind(c, 0, start) for c in "\n\r")
+    high = min((at for c in "\n\r" if (at := text.find(c, start)) >= 0), default=len(text))
     if high - low <= hard:
         return low, high
-    marks = [m.end() for m in CLAUSE.finditer(text, low, high)]
-    starts = [low, *(m for m in marks if m <= start)]
-    ends = [*(m for m in marks if m > end), high]
-    fits = [(e - s, -s, s, e) for s in starts for e in ends if e - s <= hard]
-    if fits:
-        return max(fits)[2:]
-    at = max(low, start - max(0, hard - max(1, end - start)) // 2)
-    stop = min(high, at + hard)
-    return (at, stop) if stop >= end else (max(low, min(high, end) - hard), min(high, end))
+    marks = [low, *(m.end() for m in CLAUSE.finditer(text, low, high))]
+    marks += [high] if marks[-1] < high else []
+    reach = [(a, marks[bisect_right(marks, a + hard) - 1]) for a in marks if a <= start]
+    held = [(z - a, -a) for a, z in reach if z > end or z == high]
+    if held:
+        width, a = max(held)
+        return -a, width - a
+    a = min(max(low, start - max(0, hard - (end - start)) // 2), max(low, high - hard))
+    return a, min(high, a + hard)
 
 
 def sentence_window(text: str, start: int, end: int, target: int = TARGET, hard: int = HARD, around: int = 2) -> tuple[int, int]:
@@ -73,18 +80,22 @@ def block_window(text: str, start: int, end: int, hard: int = PARAGRAPH_HARD) ->
     return (0, len(text)) if len(text) <= hard else sentence_window(text, start, end, hard, hard, 100)
 
 
-def paragraph_window(texts: list[str], at: int, start: int, end: int) -> tuple[str, bool, bool]:
-    """(snippet, cut before, cut after) in block ``at``; a short block takes neighbours, right first."""
+def paragraph_window(texts: list[str], at: int, start: int, end: int, places: list[int] | None = None) -> tuple[str, bool, bool]:
+    """(snippet, cut before, cut after) in block ``at``; a short block takes neighbours, right first.
+
+    Neighbours with more than BLANKS empty places between them, by ``places``, are not contiguous.
+    """
     block = texts[at]
+    places = list(range(len(texts))) if places is None else places
     if len(block) > PARAGRAPH_HARD:
         a, b = sentence_window(block, start, end, PARAGRAPH_HARD - 2, PARAGRAPH_HARD - 2, 100)
         return block[a:b], a > 0 or at > 0, b < len(block) or at + 1 < len(texts)
     left, right, prefer_right = at, at, True
     size = len(block)
     while size < SHORT:
-        options = [right + 1, left - 1] if prefer_right else [left - 1, right + 1]
-        for i in options:
-            if 0 <= i < len(texts) and size + 1 + len(texts[i]) <= PARAGRAPH_TARGET:
+        options = [(right + 1, right), (left - 1, left)]
+        for i, edge in options if prefer_right else options[::-1]:
+            if 0 <= i < len(texts) and abs(places[i] - places[edge]) <= BLANKS + 1 and size + 1 + len(texts[i]) <= PARAGRAPH_TARGET:
                 prefer_right = i < left
                 left, right, size = min(left, i), max(right, i), size + 1 + len(texts[i])
                 break
@@ -100,9 +111,9 @@ def sentence_snippet(text: pd.Series, start: pd.Series, end: pd.Series) -> pd.Da
 
 
 @F.pandas_udf(CUT)
-def paragraph_snippet(texts: pd.Series, at: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
-    """Paragraph window; ``texts`` holds the block and its neighbours, ``at`` its place among them."""
-    return pd.DataFrame([paragraph_window(list(t), int(i), int(a), int(b)) for t, i, a, b in zip(texts, at, start, end)], columns=["text", "cut_before", "cut_after"])
+def paragraph_snippet(texts: pd.Series, at: pd.Series, start: pd.Series, end: pd.Series, places: pd.Series) -> pd.DataFrame:
+    """Paragraph window; ``texts`` and ``places`` hold the block and its neighbours, ``at`` its index among them."""
+    return pd.DataFrame([paragraph_window(list(t), int(i), int(a), int(b), list(p)) for t, i, a, b, p in zip(texts, at, start, end, places)], columns=["text", "cut_before", "cut_after"])
 
 
 def with_snippets(hits: DataFrame, blocks: DataFrame, neighbours: int = 4) -> DataFrame:
@@ -113,12 +124,12 @@ def with_snippets(hits: DataFrame, blocks: DataFrame, neighbours: int = 4) -> Da
     """
     w = Window.partitionBy("doc").orderBy("ord")
     need = blocks.join(hits.select("doc").distinct(), "doc", "left_semi")
-    near = F.array_compact(F.array(*(F.lag("text", neighbours - i).over(w) if i < neighbours else F.col("text") if i == neighbours else F.lead("text", i - neighbours).over(w) for i in range(2 * neighbours + 1))))
+    around = lambda c: F.array_compact(F.array(*(F.lag(c, neighbours - i).over(w) if i < neighbours else F.col(c) if i == neighbours else F.lead(c, i - neighbours).over(w) for i in range(2 * neighbours + 1))))
     place = F.least(F.row_number().over(w) - 1, F.lit(neighbours))
-    d = hits.join(need.select("doc", "ord", near.alias("_texts"), place.alias("_at")), ["doc", "ord"])
-    d = d.withColumn("_s", paragraph_snippet("_texts", "_at", "start", "end"))
+    d = hits.join(need.select("doc", "ord", around("text").alias("_texts"), around("ord").alias("_places"), place.alias("_at")), ["doc", "ord"])
+    d = d.withColumn("_s", paragraph_snippet("_texts", "_at", "start", "end", "_places"))
     tidy = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("_s.text", "(?i)<img[^>]*>", ""), "\\n", " "), " +", " "))
-    return d.withColumn("snippet", F.concat(F.when(F.col("_s.cut_before"), "…").otherwise(""), tidy, F.when(F.col("_s.cut_after"), "…").otherwise(""))).drop("_texts", "_at", "_s")
+    return d.withColumn("snippet", F.concat(F.when(F.col("_s.cut_before"), "…").otherwise(""), tidy, F.when(F.col("_s.cut_after"), "…").otherwise(""))).drop("_texts", "_places", "_at", "_s")
 
 
 def answer_excerpt(answer: Column, pattern: Column, longest: int = 420) -> Column:
@@ -135,3 +146,9 @@ def answer_excerpt(answer: Column, pattern: Column, longest: int = 420) -> Colum
     cut = F.length(whole) > longest
     text = F.concat(F.when(before, "…").otherwise(""), F.substring(whole, 1, longest), F.when(after | cut, "…").otherwise(""))
     return F.struct(text.alias("excerpt"), (before | after | cut).alias("truncated"))
+
+
+def text_snippet(text: Column, start: Column, width: int = 120) -> Column:
+    """One line around a match of a single text, ``width`` characters on each side, with an ellipsis where it cuts."""
+    low, high = F.greatest(F.lit(0), start - width), F.least(F.length(text), start + width)
+    return tx.tidy_snippet(F.substring(text, low + 1, high - low), low > 0, high < F.length(text))

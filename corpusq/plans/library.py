@@ -84,6 +84,13 @@ def normalized_queries(spark, d):
     return tb.table(spark, d, "supplier").select("s_suppkey", n["text"].alias("text"), F.array_join(n["notes"], "|").alias("notes"), tx.term_key(name).alias("key"))
 
 
+@C.add(sql(tb.SQL_BLOCKS, select="SELECT doc, ord, CASE WHEN p > 121 THEN '…' ELSE '' END || trim(regexp_replace(regexp_replace(regexp_replace(substr(text, greatest(1, p - 120), least(length(text), p + 119) - greatest(0, p - 121)), '(?i)<img[^>]*>', '', 'g'), '\\n', ' ', 'g'), ' +', ' ', 'g'), ' ') || CASE WHEN p + 119 < length(text) THEN '…' ELSE '' END AS snippet FROM (SELECT *, strpos(lower(text), 'license') AS p FROM blocks) WHERE p > 0"))
+def text_snippets(spark, d):
+    """One line around the first place of a word."""
+    b = tb.blocks(spark, d).withColumn("p", F.instr(F.lower("text"), "license")).where("p > 0")
+    return b.select("doc", "ord", sn.text_snippet(F.col("text"), F.col("p") - 1).alias("snippet"))
+
+
 @C.add()
 def sentence_snippets(spark, d):
     """Sentence windows of the first hit of each block."""
@@ -492,7 +499,12 @@ def speaker_counts(spark, d):
     return qa_ops.speaker_counts(tb.spoken_blocks(spark, d))
 
 
-@C.add()
+ANSWERS = """cut AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents), own AS (SELECT doc_id, regexp_replace(trim(regexp_replace(t, '^(?:[AＡaａ]\\s*[：:]|(?:答|回答)\\s*[：:])[ \\t]*', ''), ' '), '(?:\\s*\\n?[ \\t]*[-—－━=]{4,}[ \\t]*)+$', '') AS t FROM cut),
+    ln AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM own), at1 AS (SELECT *, coalesce(list_position(list_transform(l, lambda x: regexp_matches(x, '(?i)the')), true), 0) AS p FROM ln),
+    win AS (SELECT *, array_to_string(CASE WHEN p > 0 THEN l[greatest(1, p - 2):least(len(l), p + 2)] ELSE l[1:4] END, chr(10)) AS w, p > 3 AS b, CASE WHEN p > 0 THEN p + 2 < len(l) ELSE len(l) > 4 END AS a FROM at1)"""
+
+
+@C.add(sql(ANSWERS, select="SELECT doc_id, CASE WHEN b THEN '…' ELSE '' END || substr(w, 1, 420) || CASE WHEN a OR length(w) > 420 THEN '…' ELSE '' END AS excerpt, b OR a OR length(w) > 420 AS truncated FROM win"))
 def answer_excerpts(spark, d):
     """M09, F21."""
     e = sn.answer_excerpt(tx.clean_answer(F.col("text")), F.lit("(?i)the"))

@@ -383,16 +383,21 @@ def from_first_main(spark, d):
     return bl.from_first_main(_tagged(spark, d), "plain").select("doc", "ord")
 
 
+LONG_QUERIES = [(1, "the license and the article of thend"), (2, "released under the mit license, die und der"), (3, "nothing of this kind is there")]
+
+
 @C.add()
 def fallback_parts(spark, d):
-    """Pieces of benchmark items that the corpus has."""
-    q = tb.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("q"))
-    return sg.fallback_parts(q, tb.blocks(spark, d), tb.entries(spark, d).select("term"))
+    """Pieces of long queries that the corpus has."""
+    return sg.fallback_parts(tb.asked(spark, LONG_QUERIES), tb.blocks(spark, d), tb.entries(spark, d).select("term"))
 
 
-@C.add()
+EXPANDED = [(1, "att", 1, 0), (1, "attion", 2, 1), (2, "LIC", 1, 0), (2, "licence", 2, 2), (2, "license", 3, 2), (3, "license", 1, 0), (3, "licence", 2, 2), (3, "permit", 3, 3), (4, "der", 1, 0), (4, "die", 2, 5), (5, "nothing", 1, 0), (6, "The", 1, 0), (6, "article", 2, 5)]
+
+
+@C.add(sql(select=f"SELECT query_id, term, ord, branch FROM {tb.values(EXPANDED)} v(query_id, term, ord, branch)"))
 def expand_terms(spark, d):
-    """Variants of each query."""
+    """Variants of each query with rewrites and concepts of the corpus's entries; the sample's concepts have one term each."""
     e = tb.entries(spark, d).select("term", F.col("leaf").alias("concept_id"))
     rw = spark.createDataFrame([("lic", 1, ["licence", "permit"]), ("the", 2, ["article"])], "phrase string, ord int, targets array<string>")
     return al.expand_terms(tb.asked(spark), tb.aliases(spark), e.groupBy("concept_id").agg(F.min("term").alias("term")), rw)

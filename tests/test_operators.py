@@ -102,9 +102,27 @@ def test_sentence_window(text, at, longest):
     assert 0 <= a <= b <= len(text) and b - a <= longest and (not text or a <= at < b)
 
 
+def test_cut_long_against_all_pairs():
+    """The widest stretch of all pairs of clause marks, on random lines."""
+    rng = random.Random(7)
+    for _ in range(300):
+        text = "".join(rng.choice("字字字字字字，；。\n" if rng.random() < 0.5 else "字") for _ in range(rng.randint(1, 400)))
+        start = rng.randrange(len(text))
+        end, hard = min(len(text), start + rng.randint(1, 5)), rng.choice((20, 60, 200))
+        if "\n" in text[start:end]:
+            continue
+        a, b = snippets._cut_long(text, start, end, hard)
+        low, high = text.rfind("\n", 0, start) + 1, (text + "\n").index("\n", start)
+        cuts = [low, *(i + 1 for i in range(low, high) if text[i] in "，；。"), high]
+        pairs = [(z - x, -x) for x in cuts for z in cuts if x <= start and (z > end or z == high) and z - x <= hard]
+        assert a <= start and end <= b and b - a <= max(hard, end - start)
+        assert high - low <= hard or not pairs or (b - a, -a) == max(pairs)
+
+
 def test_paragraph_window():
     assert snippets.paragraph_window(["前", "中" * 200, "后"], 1, 3, 4) == ("中" * 200, True, True)
     assert snippets.paragraph_window(["前", "中", "后"], 1, 0, 1) == ("前\n中\n后", False, False)
+    assert snippets.paragraph_window(["前", "中", "后"], 1, 0, 1, [0, 9, 19]) == ("前\n中", False, True)
     text, before, _ = snippets.paragraph_window(["句。" * 900], 0, 1000, 1001)
     assert len(text) <= 798 and before
 
