@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.functions import text as tx
+from corpusq.sources.storage import bounded
 
 
 def load_aliases(raw: DataFrame) -> DataFrame:
@@ -46,9 +47,9 @@ def apply_alias(queries: DataFrame, aliases: DataFrame) -> DataFrame:
 def rewrite_parts(queries: DataFrame, rewrites: DataFrame) -> DataFrame:
     """``(query_id, target, ord)``: targets of every phrase that the query contains, each once.
 
-    ``rewrites(phrase, ord, targets)`` is a small curated table.
+    ``rewrites(phrase, ord, targets)`` is a small curated table, which is checked.
     """
-    hit = queries.join(rewrites, F.contains(queries["q"], rewrites["phrase"])).select("query_id", "ord", F.posexplode("targets").alias("at", "target"))
+    hit = queries.join(bounded(rewrites, "rewrites"), F.contains(queries["q"], rewrites["phrase"])).select("query_id", "ord", F.posexplode("targets").alias("at", "target"))
     first = hit.groupBy("query_id", "target").agg(F.min(F.struct("ord", "at")).alias("o"))
     return first.select("query_id", "target", F.row_number().over(Window.partitionBy("query_id").orderBy("o", "target")).alias("ord"))
 

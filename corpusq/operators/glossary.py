@@ -112,26 +112,36 @@ def _lacking(a: str, b: str) -> Column:
     return total
 
 
-def card_pairs(profiles: DataFrame, keep: Column, band: float | None = None) -> DataFrame:
-    """Pairs of cards of one group for which ``keep`` holds, with both cards' n-grams, ``a`` before ``b`` by id.
+def _dealt_pairs(cards: DataFrame, columns: list[str], band: float | None) -> DataFrame:
+    """All pairs of cards of one group, ``columns`` of both with suffixes ``_a`` and ``_b``, each pair once in either order.
 
     A group of over DEALT cards is dealt over pairs of blocks, so no task compares a whole group.
-    With ``band`` only cards whose lengths differ by less than that ratio meet, by bands of length.
-    ``keep`` sees sizes, counts and bitmaps of both sides; n-grams are joined to what it lets through.
+    With ``band`` only cards whose ``size`` differs by less than about that ratio meet.
     """
-    counts = profiles.groupBy("group_id").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("blocks"))
-    narrow = profiles.drop("grams").join(counts, "group_id").withColumn("block", F.expr("cast(pmod(xxhash64(card_id), blocks) as int)"))
-    band_of = F.floor(F.log(F.greatest(F.lit(1), F.col("size"))) / -math.log(band)) if band else F.lit(0).cast("long")
-    narrow = narrow.withColumn("band", band_of)
-    columns = [c for c in profiles.columns if c not in ("group_id", "grams")]
+    counts = cards.groupBy("group_id").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("blocks"))
+    narrow = cards.join(counts, "group_id").withColumn("block", F.expr("cast(pmod(xxhash64(card_id), blocks) as int)"))
+    narrow = narrow.withColumn("band", F.floor(F.log(F.greatest(F.lit(1), F.col("size"))) / -math.log(band)) if band else F.lit(0).cast("long"))
     side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in columns]
     bands = F.array("band", F.col("band") - 1, F.col("band") + 1) if band else F.array("band")
     x = narrow.select("group_id", *side("a"), F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), bands.alias("_bands")).withColumn("band", F.explode("_bands")).drop("_bands")
     y = narrow.select("group_id", *side("b"), F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"), "band")
-    pairs = x.join(y, ["group_id", "i", "j", "band"]).where("i < j or card_id_a < card_id_b").where(keep)
+    return x.join(y, ["group_id", "i", "j", "band"]).where("i < j or card_id_a < card_id_b").drop("i", "j", "band")
+
+
+def _by_id(pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs with the smaller card id as ``a``."""
     first = F.col("card_id_a") < F.col("card_id_b")
     swap = lambda c, k, o: F.when(first, F.col(f"{c}_{k}")).otherwise(F.col(f"{c}_{o}")).alias(f"{c}_{k}")
-    pairs = pairs.select("group_id", *(swap(c, k, o) for c in ("card_id", "size") for k, o in ("ab", "ba")))
+    return pairs.select("group_id", *(swap(c, k, o) for c in columns for k, o in ("ab", "ba")))
+
+
+def card_pairs(profiles: DataFrame, keep: Column, band: float | None = None) -> DataFrame:
+    """Pairs of cards of one group for which ``keep`` holds, with both cards' n-grams, ``a`` before ``b`` by id.
+
+    ``keep`` sees sizes, counts and bitmaps of both sides; n-grams are joined to what it lets through.
+    """
+    columns = [c for c in profiles.columns if c not in ("group_id", "grams")]
+    pairs = _by_id(_dealt_pairs(profiles.drop("grams"), columns, band).where(keep), ["card_id", "size"])
     for k in "ab":
         pairs = pairs.join(profiles.select(F.col("card_id").alias(f"card_id_{k}"), F.col("grams").alias(f"grams_{k}")), f"card_id_{k}")
     return pairs
@@ -165,10 +175,9 @@ def similar_pairs(cards: DataFrame, least: float = DUPLICATE_RATIO) -> DataFrame
     Pairs are first held to the length band and to the ratio's upper bound, the share of characters
     that both texts have at all, so the UDF sees candidates only.
     """
-    d = cards.select("group_id", "card_id", tx.definition_skeleton(F.col("body")).alias("s"))
-    d = d.withColumn("size", F.length("s"))
-    x, y = (d.select("group_id", *(F.col(c).alias(f"{c}_{k}") for c in ("card_id", "s", "size"))) for k in "ab")
-    p = x.join(y, "group_id").where("card_id_a < card_id_b").where(F.least("size_a", "size_b") >= DUPLICATE_LENGTHS * F.greatest("size_a", "size_b"))
+    d = cards.select("group_id", "card_id", tx.definition_skeleton(F.col("body")).alias("s")).withColumn("size", F.length("s"))
+    p = _by_id(_dealt_pairs(d, ["card_id", "s", "size"], DUPLICATE_LENGTHS), ["card_id", "s", "size"])
+    p = p.where((F.least("size_a", "size_b") > 0) & (F.least("size_a", "size_b") >= DUPLICATE_LENGTHS * F.greatest("size_a", "size_b")))
     foreign = lambda s, t: F.length(F.call_function("translate", F.col(s), F.col(t), F.lit("")))
     bound = (F.col("size_a") + F.col("size_b") - foreign("s_a", "s_b") - foreign("s_b", "s_a")) / F.greatest(F.lit(1), F.col("size_a") + F.col("size_b"))
     p = p.where(bound >= least).withColumn("similarity", sequence_ratio("s_a", "s_b"))

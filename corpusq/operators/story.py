@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.functions import text as tx
+from corpusq.sources.storage import bounded
 
 #: Shingle length, and the steps of the indexed and of the probing side.
 SHINGLE, INDEX_STEP, PROBE_STEP = 40, 160, 20
@@ -214,9 +215,10 @@ def canonical_documents(chapters: DataFrame, docs: DataFrame) -> tuple[DataFrame
 def merged_exclusions(docs: DataFrame, rules: DataFrame, chapters: DataFrame) -> DataFrame:
     """``(doc, reason, canonical_docs)``: documents tagged as merged, with the chapters of their route.
 
-    ``rules(part, work, route)`` names the route of the documents whose file name holds ``part``.
+    ``rules(part, work, route)`` names the route of the documents whose file name holds ``part``; it is
+    a small curated table, which is checked.
     """
-    hit = docs.select("doc", "file").join(rules, F.contains("file", "part"))
+    hit = docs.select("doc", "file").join(bounded(rules, "rules"), F.contains("file", "part"))
     own = chapters.groupBy("work", "route").agg(F.array_sort(F.collect_set("doc")).alias("canonical_docs"))
     return hit.join(own, ["work", "route"]).select("doc", F.lit("merged text").alias("reason"), "canonical_docs")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -13,3 +14,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir() and sc.master.startswith("local"):
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-corpusq-"))
     return df.checkpoint()
+
+
+#: Rows of a curated table that every task may hold.
+MOST_CURATED = 10_000
+
+
+def bounded(table: DataFrame, what: str, most: int = MOST_CURATED) -> DataFrame:
+    """``table`` marked for broadcast, after its rows are counted up to the bound; a larger one is an error."""
+    if table.limit(most + 1).count() > most:
+        raise ValueError(f"{what}: over {most} rows, too many to compare with every row of a table")
+    return F.broadcast(table)

@@ -39,9 +39,10 @@ def test_against_sql(spark, duck, name):
     assert normal(catalog.QUERIES[name](spark, SF).toPandas()) == normal(duck.sql(catalog.ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - {"fallback_parts"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).columns
+    """Queries without SQL have rows; their operators are held against plain readings in test_operators."""
+    assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
