@@ -58,7 +58,7 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules over all documents, with references of their languages from all documents."""
-    return divergence.quality_rules(_table(spark, sf_dir, "documents"))
+    return divergence.quality_rules(_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,52 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS shingle
+            FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b, k = x.n AND k = y.n AS same FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+        r AS (SELECT doc_id, doc_id AS via FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.via = e.a)
+        SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(via) AS component_id,
+               least(w.doc_id, (SELECT min(b) FROM e WHERE a = w.doc_id AND same)) AS class_id
+        FROM w LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY w.doc_id
+    """,
+    "op7_quality_rules": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents),
+        w AS (SELECT doc_id, lang, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+        g AS (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS five FROM w WHERE len(ws) >= 5),
+        again AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, five) > 1),
+        rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM again) GROUP BY doc_id),
+        base AS (
+            SELECT doc_id, lang, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                   len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+                   coalesce(rep.n, 0) AS n_repeat_words,
+                   [length(regexp_replace(text, '[^A-Z]', '', 'g')), length(regexp_replace(text, '[^a-z\x00-\x08\x0E-\x1F\x7F]', '', 'g')), length(regexp_replace(text, '[^0-9]', '', 'g')), length(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')),
+                    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')), length(regexp_replace(text, '[^!"''()+,\-./:;=?@\[\\\]^_`{}~]', '', 'g')), length(regexp_replace(text, '[\x00-\x7F]', '', 'g'))] AS c
+            FROM w LEFT JOIN rep USING (doc_id)),
+        classes AS (SELECT lang, [sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4]), sum(c[5]), sum(c[6]), sum(c[7])] AS q FROM base GROUP BY lang),
+        tokens AS (SELECT doc_id, lang, unnest(list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS t FROM d),
+        freq AS (SELECT lang, t, count(*) AS n, sum(count(*)) OVER (PARTITION BY lang) AS total FROM tokens GROUP BY lang, t),
+        common AS (SELECT * FROM freq QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, t) <= 24),
+        own AS (SELECT doc_id, t, count(*) AS k FROM tokens SEMI JOIN common USING (lang, t) GROUP BY doc_id, t),
+        pairs AS (
+            SELECT doc_id, coalesce(k, 0) / n_words AS p, n / total AS q FROM base JOIN common USING (lang) LEFT JOIN own USING (doc_id, t) WHERE n_words > 0
+            UNION ALL SELECT doc_id, 1 - coalesce(any_value(held.k), 0) / any_value(n_words), 1 - sum(n) / any_value(total) FROM base JOIN common USING (lang) LEFT JOIN (SELECT doc_id, sum(k) AS k FROM own GROUP BY doc_id) held USING (doc_id) WHERE n_words > 0 GROUP BY doc_id),
+        words AS (SELECT doc_id, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS far, count(*) - 1 AS cells FROM pairs GROUP BY doc_id),
+        cp AS (SELECT doc_id, unnest(c) / list_sum(c) AS p, unnest(q) / list_sum(q) AS q FROM base JOIN classes USING (lang) WHERE list_sum(c) > 0),
+        chars AS (SELECT doc_id, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS far FROM cp GROUP BY doc_id)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (n_words < 50 OR (coalesce(chars.far, 0) <= 0.25 + 0.4 / sqrt(greatest(n_words, 1))
+                   AND coalesce(words.far, 0) <= greatest(0.30, sqrt((greatest(cells, 1) + 4 * sqrt(2 * greatest(cells, 1))) / (8 * ln(2) * greatest(n_words, 1)))))) AS kept
+        FROM base LEFT JOIN chars USING (doc_id) LEFT JOIN words USING (doc_id)
+    """,
     "op10_warc": r"""
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
