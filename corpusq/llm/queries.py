@@ -106,6 +106,13 @@ ORACLE_SQL: dict[str, str] = {
                least(w.doc_id, (SELECT min(b) FROM e WHERE a = w.doc_id AND same)) AS class_id
         FROM w LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY w.doc_id
     """,
+    # The sample's pages hold one article element each, which the operator has to choose by itself.
+    "op6_html_text": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS h FROM pages),
+        b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(h, '<br>', ' ', 'g'), '</?(p|h1)>', chr(1), 'g'), '(?s)<[^>]*>', '', 'g'), chr(1)) AS parts FROM a),
+        c AS (SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'), ' ')), lambda x: x <> '') AS blocks FROM b)
+        SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_string(blocks, chr(10))) AS n_chars FROM c
+    """,
     "op7_quality_rules": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents),
         w AS (SELECT doc_id, lang, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
