@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,18 +89,26 @@ def gram_set(body: Column, n: int = 3) -> Column:
     return F.array_distinct(F.filter(tx.let(chars, grams), lambda g: g.isNotNull()))
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _bitmap(grams: pd.Series) -> pd.Series:
+    """SKETCH longs with a bit for each hashed n-gram."""
+    def one(g: np.ndarray) -> np.ndarray:
+        flags = np.zeros(64 * SKETCH, bool)
+        flags[np.asarray(g, np.int64) % (64 * SKETCH)] = True
+        return np.packbits(flags, bitorder="little").view("<i8")
+
+    return grams.map(one)
+
+
 def _profiles(cards: DataFrame) -> DataFrame:
-    """Cards with their length, hashed n-grams and a bitmap of them in SKETCH columns.
+    """Cards with their length, hashed n-grams and a bitmap of them in SKETCH columns, written once.
 
     A bit that one bitmap has and another lacks stands for an n-gram that the other card lacks, so
     bitmaps bound overlaps from above without touching the n-grams.
     """
     extra = [c for c in ("bucket",) if c in cards.columns]
     d = cards.select("group_id", "card_id", *extra, F.length(tx.definition_skeleton(F.col("body"))).alias("size"), F.array_distinct(F.transform(gram_set(F.col("body")), lambda g: F.xxhash64(g))).alias("grams"))
-    bits = F.transform("grams", lambda g: F.pmod(g, F.lit(64 * SKETCH)).cast("int"))
-    one = lambda bs, i: F.aggregate(F.filter(bs, lambda b: F.floor(b / 64) == i), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b % 64)))
-    words = tx.let(bits, lambda bs: F.array(*(one(bs, i) for i in range(SKETCH))))
-    d = d.withColumn("_words", words)
+    d = checkpointed(checkpointed(d).withColumn("_words", _bitmap("grams")))
     return d.select("group_id", "card_id", *extra, "size", "grams", F.size("grams").alias("n"), *(F.get("_words", F.lit(i)).alias(f"w{i}") for i in range(SKETCH)))
 
 
