@@ -59,6 +59,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.searchsorted(row, np.arange(b - a + 1))
             feats = [bucket[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes() for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(labels[a:b], pa.int32()), pa.array(feats, pa.binary())], ["doc_id", "label", "features"])
+    tx.give_back()
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float = COST, passes: int = PASSES, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,6 +166,7 @@ def score(docs: DataFrame, model: bytes | None, id_col: str = "doc_id", text_col
                 margin[lo:hi] = top / np.sqrt(np.bincount(row, square[bucket], hi - lo) + 1e-12) + bias
             p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, out])
+        tx.give_back()
 
     at = docs.columns.index(text_col)
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)

@@ -110,6 +110,7 @@ def _shingle_blocks(k: int, bits: int):
                 if held >= CHUNK_SHINGLES:
                     yield from flush()
         yield from flush()
+        tx.give_back()
 
     return run
 
@@ -316,6 +317,7 @@ def _trie_pairs(percent: int, one: bool):
                 yield solve(frame[~same].reset_index(drop=True))
         if held is not None and len(held):
             yield solve(held.reset_index(drop=True))
+        tx.give_back()
 
     return run
 
