@@ -157,10 +157,10 @@ GRAMS = """skel AS (SELECT group_id, card_id, forced, body, definition_quality,
     cards AS (SELECT *, length(s) AS size, list_distinct(list_transform(range(1, greatest(length(s) - 1, 1)), lambda i: substr(s, i, 3))) AS grams FROM skel),
     pairs AS (SELECT a.group_id, a.card_id AS a, b.card_id AS b, a.size AS na, b.size AS nb, a.grams AS ga, b.grams AS gb, a.bucket AS ba, b.bucket AS bb, len(list_intersect(a.grams, b.grams)) AS shared FROM cards a JOIN cards b ON a.group_id = b.group_id AND a.card_id < b.card_id),
     cov AS (SELECT group_id, CASE WHEN na > nb THEN b ELSE a END AS short, CASE WHEN na > nb THEN a ELSE b END AS long, least(na, nb) AS n_short, shared / greatest(1, len(CASE WHEN na > nb THEN gb ELSE ga END)) AS share, ba = bb AS together FROM pairs
-        WHERE least(na, nb) >= 40 AND greatest(na, nb) >= 1.35 * least(na, nb) AND shared / greatest(1, len(CASE WHEN na > nb THEN gb ELSE ga END)) >= 0.7)"""
+        WHERE least(na, nb) >= 40 AND greatest(na, nb) >= CAST(1.35 AS DOUBLE) * least(na, nb) AND shared / greatest(1, len(CASE WHEN na > nb THEN gb ELSE ga END)) >= 0.7)"""
 
 
-@C.add(sql(tb.SQL_ENTRIES, GRAMS, select="SELECT group_id, a, b, shared / greatest(1, len(ga) + len(gb) - shared) AS similarity FROM pairs WHERE least(na, nb) >= 0.85 * greatest(na, nb) AND shared / greatest(1, len(ga) + len(gb) - shared) >= 0.7"))
+@C.add(sql(tb.SQL_ENTRIES, GRAMS, select="SELECT group_id, a, b, shared / greatest(1, len(ga) + len(gb) - shared) AS similarity FROM pairs WHERE least(na, nb) >= CAST(0.85 AS DOUBLE) * greatest(na, nb) AND shared / greatest(1, len(ga) + len(gb) - shared) >= 0.7"))
 def duplicate_cards(spark, d):
     """Near-duplicate pairs by n-grams."""
     return gl.duplicate_pairs(tb.entries(spark, d))
@@ -191,7 +191,7 @@ def assemble_cards(spark, d):
     return gl.assemble_cards(tb.entries(spark, d)).select("group_id", "card_id", "chars_covered", "place")
 
 
-LINKED = """dup AS (SELECT a, b FROM pairs WHERE least(na, nb) >= 0.85 * greatest(na, nb) AND shared / greatest(1, len(ga) + len(gb) - shared) >= 0.7),
+LINKED = """dup AS (SELECT a, b FROM pairs WHERE least(na, nb) >= CAST(0.85 AS DOUBLE) * greatest(na, nb) AND shared / greatest(1, len(ga) + len(gb) - shared) >= 0.7),
     edge AS (SELECT a, b FROM dup UNION ALL SELECT b, a FROM dup), reach AS (SELECT card_id, card_id AS via FROM cards UNION SELECT r.card_id, e.b FROM reach r JOIN edge e ON r.via = e.a),
     clus AS (SELECT card_id, min(via) AS cluster FROM reach GROUP BY card_id)"""
 
