@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import bloom_dedup, bm25_packing, diagonal_license, divergence, nbsvm, ngram_jaccard, randomness, sentencepiece_nbest, tag_path, warc
+from corpusq.llm import bloom_dedup, bm25_packing, code_grid, diagonal_license, divergence, filter_audit, nbsvm, ngram_jaccard, randomness, sentencepiece_nbest, source_mix, tag_path, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,6 +76,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).drop("html", "url")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of all documents, by language, in every order."""
+    return filter_audit.audit(filter_audit.failures(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
+def op12_code_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors, their errors, and the digest of the codebooks."""
+    codes, books = code_grid.compress(_table(spark, sf_dir, "embeddings"))
+    return code_grid.with_label_errors(codes).select("vec_id", "code", "error", "label_error", F.lit(code_grid.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often every document is taken by the mix of all sources."""
+    return source_mix.taken_words(_table(spark, sf_dir, "documents")).drop("pieces")
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_sentencepiece": op2_sentencepiece,
@@ -87,6 +103,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_warc": op10_warc,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_code_grid": op12_code_grid,
+    "op13_source_mix": op13_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -165,4 +184,70 @@ ORACLE_SQL: dict[str, str] = {
             FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
     """,
+    "op11_filter_audit": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        d AS (
+            SELECT part, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c,
+                   regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e,
+                   doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS bad
+            FROM w),
+        f AS (SELECT part, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END, CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS fails,
+                     count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM d GROUP BY ALL),
+        o(o) AS (SELECT '' UNION ALL SELECT o || x FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) l(x) WHERE NOT contains(o, x)),
+        s AS (SELECT o AS filter_order, step, substr(o, step, 1) AS own, substr(o, 1, step - 1) AS earlier FROM o, (VALUES (1), (2), (3), (4), (5)) s(step) WHERE length(o) = 5),
+        m AS (
+            SELECT part, filter_order, step, own,
+                   CAST(sum(n) FILTER (translate(fails, earlier || own, '') = fails) AS BIGINT) AS kept,
+                   CAST(sum(n) FILTER (contains(fails, own) AND translate(fails, earlier, '') = fails) AS BIGINT) AS removed,
+                   CAST(sum(n) FILTER (contains(fails, own) AND translate(fails, earlier, '') <> fails) AS BIGINT) AS redundant,
+                   CAST(sum(n) FILTER (fails = own) AS BIGINT) AS unique_fails,
+                   CAST(sum(good) FILTER (contains(fails, own) AND translate(fails, earlier, '') = fails) AS BIGINT) AS good_lost,
+                   CAST(sum(bad) FILTER (contains(fails, own) AND translate(fails, earlier, '') = fails) AS BIGINT) AS toxic_lost
+            FROM f, s GROUP BY part, filter_order, step, own)
+        SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails,
+               coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
+        FROM m
+    """,
+    "op12_code_grid": r"""
+        WITH RECURSIVE kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM kept, range(4) r(p)),
+        rounds AS (
+            SELECT 0 AS round, p, k, x AS e FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id, x) - 1 AS k FROM parts) WHERE k < 256
+            UNION ALL
+            (WITH near AS (
+                SELECT any_value(r.round) AS round, parts.p, parts.vec_id, any_value(x) AS x,
+                       arg_min(r.k, list_sum(list_transform(list_zip(x, r.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 256 + r.k) AS k
+                FROM parts JOIN rounds r ON r.p = parts.p WHERE r.round < 4 GROUP BY parts.p, parts.vec_id),
+             means AS (
+                SELECT p, k, list(m ORDER BY i) AS e FROM (
+                    SELECT p, k, i, CAST(sum(c) - ((sum(c) % count(*)) + count(*)) % count(*) AS BIGINT) // count(*) AS m
+                    FROM (SELECT p, k, unnest(x) AS c, unnest(range(len(x))) AS i FROM near) GROUP BY p, k, i) GROUP BY p, k)
+             SELECT r.round + 1, r.p, r.k, coalesce(means.e, r.e) FROM rounds r LEFT JOIN means USING (p, k) WHERE r.round < 4)),
+        book AS (SELECT p, k, e FROM rounds WHERE round = 4),
+        found AS (
+            SELECT vec_id, any_value(label) AS label, p, min(CAST(list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 256 + k) AS best
+            FROM parts JOIN book USING (p) GROUP BY vec_id, p),
+        codes AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM found GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) FROM book) AS codebooks_sha256
+        FROM codes
+    """,
+    # The order inside a source is the operator's (md5 of seed and id); the rest is closed arithmetic without slots or blocks.
+    "op13_source_mix": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+        r AS (SELECT *, 2 * source_size / weight AS ratio, sum(source_size) OVER () * 1.5::DOUBLE AS whole FROM s),
+        -- Sources stop in the order of size to weight: the level if exactly those before this one have stopped.
+        l AS (SELECT *, (whole - coalesce(sum(2 * source_size) OVER (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+        t AS (SELECT source, source_size, CASE WHEN stop.level IS NULL OR weight * stop.level > 2 * source_size THEN 2.0::DOUBLE * source_size ELSE weight * stop.level END AS target
+              FROM l, (SELECT arg_min(level, ratio) AS level FROM l WHERE weight * level <= 2 * source_size) stop),
+        p AS (SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS want,
+                     CAST(sum(size) OVER (PARTITION BY d.source ORDER BY md5('0:' || doc_id), doc_id, size) - size AS BIGINT) AS first
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+               CASE WHEN size = 0 THEN 0 ELSE (want // source_size) * size + greatest(0, least(first + size, want % source_size) - first) END AS taken
+        FROM p
+    """,
 }
