@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import math
 
 import numpy as np
@@ -12,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusq.functions import text as tx
+from corpusq.functions.matching import Shelf, Text
 from corpusq.sources.storage import checkpointed
 
 #: Cards of a group that are compared in one task; longs of the bitmap of a card's n-grams.
 DEALT, SKETCH = 1024, 32
+#: Cards and characters of a group that are compared by matching blocks in one task.
+DEALT_CARDS, DEALT_CHARS = 256, 1 << 19
 #: Near duplicates: least similarity and length ratio. Coverage: least characters, share, and how much longer.
 DUPLICATE_RATIO, DUPLICATE_LENGTHS = 0.70, 0.85
 COVERED_CHARS, COVERED_RATIO, COVERED_LENGTHS = 40, 0.70, 1.35
@@ -166,31 +168,91 @@ def duplicate_pairs(cards: DataFrame, least: float = DUPLICATE_RATIO) -> DataFra
     return p.where(F.col("similarity") >= least).select("group_id", F.col("card_id_a").alias("a"), F.col("card_id_b").alias("b"), "similarity")
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of candidate pairs, called with (left, right)."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)])
+def _dealt_blocks(cards: DataFrame, keys: list[str], band: float | None) -> DataFrame:
+    """Cards as sides of block pairs, 0 left, 1 right, 2 right from the next band: ``(…keys, band, i, j, side, card_id, s)``.
 
+    A card meets all others of its keys; a group with over DEALT_CARDS cards or DEALT_CHARS characters is
+    dealt over pairs of blocks, and then, with ``band``, only lengths that differ by less than about
+    that ratio meet. Cards without a skeleton or without others are left out.
+    """
+    d = cards.select("card_id", *keys, tx.definition_skeleton(F.col("body")).alias("s")).where("s <> ''")
+    d = checkpointed(d.withColumn("size", F.length("s")))
+    sizes = d.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size").alias("chars")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / DEALT_CARDS), F.ceil(F.col("chars") / DEALT_CHARS)).cast("int")
+    d = d.join(sizes.select(*keys, blocks.alias("blocks")), keys).withColumn("block", F.expr("cast(pmod(xxhash64(card_id), blocks) as int)"))
+    d = d.withColumn("band", F.when(F.col("blocks") > 1, F.floor(F.log(F.col("size")) / -math.log(band))).otherwise(0) if band else F.lit(0).cast("long"))
+    others = F.expr("sequence(0, blocks - 1)")
+    place = lambda i, j, b, side: F.struct(i.alias("i"), j.alias("j"), b.alias("band"), F.lit(side).alias("side"))
+    own, b = F.col("block"), F.col("band")
+    places = F.concat(F.transform(others, lambda k: place(own, k, b, 0)), F.transform(others, lambda k: place(k, own, b, 1)))
+    if band:
+        places = F.when(F.col("blocks") > 1, F.concat(places, F.transform(others, lambda k: place(k, own, b - 1, 2)))).otherwise(places)
+    sides = d.withColumn("_at", F.explode(places)).select(*keys, "_at.band", "_at.i", "_at.j", "_at.side", "card_id", "s")
+    return sides.repartition(*keys, "band", "i", "j")  # by all keys: by the group alone, a large one would be one task
+
+
+def _least(total: np.ndarray, share: float, times: float) -> np.ndarray:
+    """The least m with ``times * m / total >= share`` in floating point, for totals above 0."""
+    m = np.maximum(0, np.floor(share * total / times).astype(np.int64) - 2)
+    while (low := times * m / total < share).any():
+        m += low
+    return m
+
+
+def _block_pairs(duplicates: bool):
+    """Pairs of the left and right cards of one block pair: ``(a, b, n_a, n_b, matched)``.
+
+    Duplicates pair in the order of their ids, each pair once; coverage pairs a shorter left card with a longer right one.
+    """
 
-@F.pandas_udf(T.DoubleType())
-def covered_share(short: pd.Series, long: pd.Series) -> pd.Series:
-    """Share of the shorter text in blocks that match the longer one."""
-    return pd.Series([sum(m.size for m in difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).get_matching_blocks()) / max(1, len(x or "")) for x, y in zip(short, long)])
+    def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows.side == 0], rows[rows.side > 0]
+        shelf = Shelf([Text(s) for s in right.s])
+        ids, next_band = right.card_id.to_numpy(), right.side.to_numpy() == 2
+        out = []
+        for card, text in zip(left.card_id, left.s):
+            x, sizes = Text(text), shelf.sizes
+            if duplicates:
+                asked = (np.minimum(x.n, sizes) / np.maximum(x.n, sizes) >= DUPLICATE_LENGTHS) & (next_band | (card < ids))
+                least, x_left = _least(x.n + sizes, DUPLICATE_RATIO, 2.0), card < ids
+            else:
+                asked = (x.n >= COVERED_CHARS) & (sizes >= x.n * COVERED_LENGTHS) & (ids != card)
+                least, x_left = np.full(len(ids), _least(np.array([x.n]), COVERED_RATIO, 1.0)[0]), np.ones(len(ids), bool)
+            if asked.any():
+                for t, m in shelf.matches(x, asked, least, x_left).items():
+                    pair = (card, ids[t], x.n, sizes[t]) if x_left[t] else (ids[t], card, sizes[t], x.n)
+                    out.append((*keys[:1], *pair, m))
+        return pd.DataFrame(out, columns=["group_id", "a", "b", "n_a", "n_b", "matched"])
+
+    return run
+
+
+def _matching(cards: DataFrame, keys: list[str], duplicates: bool) -> DataFrame:
+    kind = dict(cards.dtypes)
+    schema = f"group_id {kind['group_id']}, a {kind['card_id']}, b {kind['card_id']}, n_a long, n_b long, matched long"
+    dealt = _dealt_blocks(cards, keys, DUPLICATE_LENGTHS if duplicates else None)
+    return dealt.groupBy(*keys, "band", "i", "j").applyInPandas(_block_pairs(duplicates), schema)
+
+
+def matching_pairs(cards: DataFrame) -> DataFrame:
+    """``(group_id, a, b, similarity)``: near duplicates of one group by their matching blocks.
+
+    Lengths within DUPLICATE_LENGTHS, and twice the characters in matching blocks at least
+    DUPLICATE_RATIO of both lengths, the card with the smaller id on the left. Candidates come from an
+    index of segments of the other cards: the longest common stretch bounds what can match at all.
+    """
+    p = _matching(cards, ["group_id"], True)
+    return p.select("group_id", "a", "b", (2.0 * F.col("matched") / (F.col("n_a") + F.col("n_b"))).alias("similarity"))
 
 
-def similar_pairs(cards: DataFrame, least: float = DUPLICATE_RATIO) -> DataFrame:
-    """Near duplicates by sequence ratio.
+def matching_coverage(cards: DataFrame) -> DataFrame:
+    """``(group_id, short, long, n_short, share)``: cards of COVERED_CHARS or more that a much longer card of the group covers.
 
-    Pairs are first held to the length band and to the ratio's upper bound, the share of characters
-    that both texts have at all, so the UDF sees candidates only.
+    The share of the shorter card in matching blocks is at least COVERED_RATIO. With a column
+    ``bucket`` only cards of one bucket are compared.
     """
-    d = cards.select("group_id", "card_id", tx.definition_skeleton(F.col("body")).alias("s")).withColumn("size", F.length("s"))
-    p = _by_id(_dealt_pairs(d, ["card_id", "s", "size"], DUPLICATE_LENGTHS), ["card_id", "s", "size"])
-    p = p.where((F.least("size_a", "size_b") > 0) & (F.least("size_a", "size_b") >= DUPLICATE_LENGTHS * F.greatest("size_a", "size_b")))
-    foreign = lambda s, t: F.length(F.call_function("translate", F.col(s), F.col(t), F.lit("")))
-    bound = (F.col("size_a") + F.col("size_b") - foreign("s_a", "s_b") - foreign("s_b", "s_a")) / F.greatest(F.lit(1), F.col("size_a") + F.col("size_b"))
-    p = p.where(bound >= least).withColumn("similarity", sequence_ratio("s_a", "s_b"))
-    return p.where(F.col("similarity") >= least).select("group_id", F.col("card_id_a").alias("a"), F.col("card_id_b").alias("b"), "similarity")
+    p = _matching(cards, ["group_id", *(["bucket"] if "bucket" in cards.columns else [])], False)
+    return p.select("group_id", F.col("a").alias("short"), F.col("b").alias("long"), F.col("n_a").alias("n_short"), (F.col("matched") / F.col("n_a")).alias("share"))
 
 
 def clusters(cards: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -234,16 +296,16 @@ def coverage(cards: DataFrame) -> DataFrame:
 
 def coverage_rank(cards: DataFrame) -> DataFrame:
     """``(card_id, covers, chars_covered)`` of every card, among all cards of its group."""
-    c = coverage(cards.drop("bucket")).groupBy(F.col("long").alias("card_id")).agg(F.count("*").alias("covers"), F.sum("n_short").cast("long").alias("chars_covered"))
+    c = matching_coverage(cards.drop("bucket")).groupBy(F.col("long").alias("card_id")).agg(F.count("*").alias("covers"), F.sum("n_short").cast("long").alias("chars_covered"))
     return cards.select("card_id").join(c, "card_id", "left").select("card_id", F.coalesce("covers", F.lit(0)).alias("covers"), F.coalesce("chars_covered", F.lit(0)).alias("chars_covered"))
 
 
 def prune_covered(cards: DataFrame, forced: str = "forced") -> DataFrame:
     """Cards without those that a card of their version bucket covers; forced ones stay, and a bucket keeps at least its longest."""
-    gone = coverage(cards).select(F.col("short").alias("card_id")).distinct().withColumn("covered", F.lit(True))
+    gone = matching_coverage(cards).select(F.col("short").alias("card_id")).distinct().withColumn("covered", F.lit(True))
     d = cards.join(gone, "card_id", "left").withColumn("_stay", F.col("covered").isNull() | F.col(forced))
     keys = ["group_id", *(["bucket"] if "bucket" in cards.columns else [])]
-    of = d.groupBy(*keys).agg(F.max(F.col("_stay").cast("int")).alias("_any"), F.max_by("card_id", F.struct(F.length("body"), -F.col("card_id"))).alias("_longest"))
+    of = d.groupBy(*keys).agg(F.max(F.col("_stay").cast("int")).alias("_any"), F.max_by("card_id", F.struct(F.length(tx.definition_skeleton(F.col("body"))), -F.col("card_id"))).alias("_longest"))
     return d.join(of, keys).where("_stay or (_any = 0 and card_id = _longest)").select(*cards.columns)
 
 

@@ -162,52 +162,67 @@ GRAMS = """skel AS (SELECT group_id, card_id, forced, body, definition_quality,
 
 @C.add(sql(tb.SQL_ENTRIES, GRAMS, select="SELECT group_id, a, b, shared / greatest(1, len(ga) + len(gb) - shared) AS similarity FROM pairs WHERE least(na, nb) >= CAST(0.85 AS DOUBLE) * greatest(na, nb) AND shared / greatest(1, len(ga) + len(gb) - shared) >= 0.7"))
 def duplicate_cards(spark, d):
-    """Near-duplicate pairs by n-grams."""
+    """Near-duplicate pairs by n-grams, a cheaper measure than matching blocks."""
     return gl.duplicate_pairs(tb.entries(spark, d))
 
 
 @C.add(sql(tb.SQL_ENTRIES, GRAMS, select="SELECT group_id, short, long, n_short, share FROM cov"))
 def coverage_ngram(spark, d):
-    """Cards that a longer one covers."""
+    """Cards whose n-grams a longer one holds, a cheaper measure than matching blocks."""
     return gl.coverage(tb.entries(spark, d).drop("bucket"))
 
 
-@C.add(sql(tb.SQL_ENTRIES, GRAMS, "p AS (SELECT c.group_id, c.bucket, c.card_id, c.body, c.forced OR c.card_id NOT IN (SELECT short FROM cov WHERE together) AS stay FROM cards c)", select="SELECT group_id, card_id FROM (SELECT *, max(stay::INT) OVER (PARTITION BY group_id, bucket) AS any_left, row_number() OVER (PARTITION BY group_id, bucket ORDER BY length(body) DESC, card_id) AS rn FROM p) WHERE stay OR (any_left = 0 AND rn = 1)"))
+LINKED = """dup AS (SELECT a, b FROM pairs WHERE least(na, nb) >= CAST(0.85 AS DOUBLE) * greatest(na, nb) AND shared / greatest(1, len(ga) + len(gb) - shared) >= 0.7),
+    edge AS (SELECT a, b FROM dup UNION ALL SELECT b, a FROM dup), reach AS (SELECT card_id, card_id AS via FROM cards UNION SELECT r.card_id, e.b FROM reach r JOIN edge e ON r.via = e.a),
+    clus AS (SELECT card_id, min(via) AS cluster FROM reach GROUP BY card_id)"""
+
+
+# Matching blocks are not a matter of SQL: the tests hold these queries against a plain reading of all groups.
+
+
+@C.add()
+def matching_duplicates(spark, d):
+    """Near-duplicate pairs by matching blocks."""
+    return gl.matching_pairs(tb.entries(spark, d))
+
+
+@C.add()
+def matching_coverage(spark, d):
+    """Cards that a much longer one covers by matching blocks."""
+    return gl.matching_coverage(tb.entries(spark, d).drop("bucket"))
+
+
+@C.add()
 def prune_covered(spark, d):
     """Without the cards that one of their version bucket covers."""
     return gl.prune_covered(tb.entries(spark, d)).select("group_id", "card_id")
 
 
-RANK = "length(regexp_replace(body, '\\s+', '', 'g')) < 40, -definition_quality, -length(body), card_id"
-PRIMARY = f"forced DESC, covers DESC, chars DESC, CASE bucket WHEN 'normal' THEN 0 WHEN 'special' THEN 1 ELSE 2 END, CASE WHEN bucket <> 'other' THEN version ELSE 0 END, is_primary DESC, {RANK}"
-COVERS = """r AS (SELECT long AS card_id, count(*) AS covers, CAST(sum(n_short) AS BIGINT) AS chars FROM cov GROUP BY long),
-    known AS (SELECT * REPLACE (coalesce(covers, 0) AS covers, coalesce(chars, 0) AS chars) FROM cards LEFT JOIN r USING (card_id))"""
-
-
-@C.add(sql(tb.SQL_ENTRIES, GRAMS, COVERS, f"""pool AS (SELECT *, bucket <> 'normal' AND max((bucket = 'normal')::INT) OVER (PARTITION BY group_id) + max((bucket = 'special')::INT) OVER (PARTITION BY group_id) = 2 AS out FROM known),
-    one AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY out, {PRIMARY}) = 1 AS first FROM pool)""", select=f"SELECT group_id, card_id, chars AS chars_covered, row_number() OVER (PARTITION BY group_id ORDER BY first DESC, covers DESC, chars DESC, CASE bucket WHEN 'special' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END, CASE WHEN bucket <> 'other' THEN version ELSE 0 END, is_primary DESC, {RANK}) AS place FROM one"))
+@C.add()
 def assemble_cards(spark, d):
     """Primary card, from the normal versions where there are both, and order of the rest."""
     return gl.assemble_cards(tb.entries(spark, d)).select("group_id", "card_id", "chars_covered", "place")
 
 
-LINKED = """dup AS (SELECT a, b FROM pairs WHERE least(na, nb) >= CAST(0.85 AS DOUBLE) * greatest(na, nb) AND shared / greatest(1, len(ga) + len(gb) - shared) >= 0.7),
-    edge AS (SELECT a, b FROM dup UNION ALL SELECT b, a FROM dup), reach AS (SELECT card_id, card_id AS via FROM cards UNION SELECT r.card_id, e.b FROM reach r JOIN edge e ON r.via = e.a),
-    clus AS (SELECT card_id, min(via) AS cluster FROM reach GROUP BY card_id)"""
-
-
-@C.add("WITH RECURSIVE " + ",\n".join([tb.SQL_ENTRIES, GRAMS, LINKED]) + " SELECT card_id, cluster FROM clus")
+@C.add()
 def duplicate_clusters(spark, d):
     """Transitive groups of near duplicates."""
     e = tb.entries(spark, d)
-    return gl.clusters(e, gl.duplicate_pairs(e))
+    return gl.clusters(e, gl.matching_pairs(e))
 
 
-@C.add("WITH RECURSIVE " + ",\n".join([tb.SQL_ENTRIES, GRAMS, LINKED, COVERS]) + f" SELECT card_id, cluster FROM known JOIN clus USING (card_id) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY {PRIMARY}) = 1")
+@C.add()
 def dedupe_cards(spark, d):
     """The best card of each cluster."""
     e = tb.entries(spark, d)
-    return gl.dedupe_cards(e, gl.duplicate_pairs(e)).select("card_id", "cluster")
+    return gl.dedupe_cards(e, gl.matching_pairs(e)).select("card_id", "cluster")
+
+
+@C.add("WITH RECURSIVE " + ",\n".join([tb.SQL_ENTRIES, GRAMS, LINKED]) + " SELECT card_id, cluster FROM clus")
+def ngram_clusters(spark, d):
+    """Transitive groups of pairs by n-grams."""
+    e = tb.entries(spark, d)
+    return gl.clusters(e, gl.duplicate_pairs(e))
 
 
 @C.add(sql(tb.SQL_ENTRIES, "f AS (SELECT group_id, cat AS flag, min(entry_id) AS first FROM entries GROUP BY ALL)", select="SELECT group_id, array_to_string(list(flag ORDER BY first), '|') AS flags FROM f GROUP BY group_id"))

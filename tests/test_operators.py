@@ -131,8 +131,8 @@ def test_near_duplicates(spark):
     same, other = "字" * 50, [chr(0x4E00 + i) for i in range(60)]
     cards = [(1, "g", same + "".join(other[:20])), (2, "g", same + "".join(other[20:40])), (3, "h", "字" * 45 + "".join(other[:20])), (4, "h", "字" * 45 + "".join(other[20:40]))]
     d = spark.createDataFrame(cards, "card_id long, group_id string, body string")
-    assert rows(glossary.similar_pairs(d), "a", "b") == [(1, 2)]  # 0.714 merges, 0.692 does not
-    assert rows(glossary.clusters(d, glossary.similar_pairs(d)), "card_id", "cluster") == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    assert rows(glossary.matching_pairs(d), "a", "b") == [(1, 2)]  # 0.714 merges, 0.692 does not
+    assert rows(glossary.clusters(d, glossary.matching_pairs(d)), "card_id", "cluster") == [(1, 1), (2, 1), (3, 3), (4, 4)]
 
 
 def test_extract_qa(spark):
