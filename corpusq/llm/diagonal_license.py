@@ -5,12 +5,15 @@ k-grams in license templates. A join row votes for its diagonal, document positi
 position. Votes that follow each other on one diagonal are a segment; segments of neighbouring
 diagonals that follow each other in the text (a few words inserted or left out) are merged to a span.
 A span is verified word by word: the longest common subsequence of its words and the template's must
-cover enough of both. Of spans that overlap, the one with most template words stays. A short list of
+cover enough of both, all of a short template, and the span must not name other versions than the
+template. Of spans that overlap, the one with most template words stays. A short list of
 phrases gives base labels where their words stand consecutively.
 """
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +33,9 @@ PHRASES = (
 GRAM, NEAR, GAP = 3, 4, 12
 #: Least share of a template's words in a span, and of a span's words in its template; least words of a template in a span.
 LEAST_SHARE, LEAST_PURE, LEAST_WORDS = 0.5, 0.75, 5
+#: Templates of fewer words must stand in a span whole: what tells them apart is a word or two.
+WHOLE_WORDS = 15
+VERSION = re.compile(r"\b(?:version|v) (\d+(?: \d+)*)")
 WORD_GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -64,10 +70,16 @@ def phrase_starts(words: Column, phrase: str) -> Column:
     return F.filter(places, lambda i: (i <= last) & here(i))
 
 
+def _versions(words: list[str]) -> set[str]:
+    """Versions that are named; 2 0 is 2."""
+    return {v.removesuffix(" 0") for v in VERSION.findall(" ".join(words))}
+
+
 @F.pandas_udf(T.IntegerType())
 def _common(words: pd.Series, template: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence of a span's words and its template's, by bit rows."""
+    """Length of the longest common subsequence of a span's words and its template's, by bit rows; 0 where the span names other versions than the template."""
     sides = {t: TEMPLATES[t][1].split(" ") for t in template.unique()}
+    versions = {t: _versions(sides[t]) for t in sides}
 
     def length(span: list[str], words: list[str]) -> int:
         at: dict[str, int] = {}
@@ -79,7 +91,8 @@ def _common(words: pd.Series, template: pd.Series) -> pd.Series:
             row = (row + hit | row - hit) & full
         return len(words) - row.bit_count()
 
-    return pd.Series([length(list(s), sides[t]) for s, t in zip(words, template)])
+    named = [_versions(s) for s in words]
+    return pd.Series([length(list(s), sides[t]) if not v or versions[t] <= v else 0 for s, t, v in zip(words, template, named)])
 
 
 def _spans(scanned: DataFrame, k: int, near: int, least_share: float) -> DataFrame:
@@ -98,7 +111,8 @@ def _spans(scanned: DataFrame, k: int, near: int, least_share: float) -> DataFra
     spans = spans.withColumn("_size", size).where((F.col("last") - F.col("first") + 1).between(least_share * F.col("_size"), F.col("_size") / LEAST_PURE))
     spans = spans.join(scanned.where("grams is not null").select("row", F.col("words").alias("_words")), "row")
     spans = spans.withColumn("words", _common(F.expr("slice(_words, first + 1, last - first + 1)"), "template")).drop("_words", "_span")
-    good = (F.col("words") >= least_share * F.col("_size")) & (F.col("words") >= LEAST_PURE * (F.col("last") - F.col("first") + 1)) & (F.col("words") >= F.least(F.lit(LEAST_WORDS), F.col("_size")))
+    needed = F.when(F.col("_size") < WHOLE_WORDS, F.col("_size")).otherwise(least_share * F.col("_size"))
+    good = (F.col("words") >= needed) & (F.col("words") >= LEAST_PURE * (F.col("last") - F.col("first") + 1)) & (F.col("words") >= F.least(F.lit(LEAST_WORDS), F.col("_size")))
     return spans.where(good).select("row", "template", "first", "last", (F.col("words") / F.col("_size")).alias("share"), "words")
 
 
@@ -107,7 +121,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans)``: spans is
     an array of (label, first, last, share) with word positions, share being the part of a template's
-    words that stand in order in the span, which must reach ``least_share``. ``labels`` joins the
+    words that stand in order in the span, which must reach ``least_share``, or all of a template under
+    WHOLE_WORDS; a span that names versions must name those of the template. ``labels`` joins the
     labels of base places and spans; ``score`` is the largest share, 1 where a phrase stands. Null and
     empty texts have no words and no labels. Rows are told apart by themselves, so null and repeated
     ids keep their own spans; other columns are ignored; an empty table gives an empty one. Each text

@@ -107,14 +107,14 @@ def _common_words(docs: DataFrame) -> tuple[dict[str, list[tuple[str, float]]],
 
 
 def _other_hits(docs: DataFrame, common: DataFrame) -> DataFrame:
-    """``(doc_id, lang, other_hits, other_shares)``: how often documents hold the words of ``common``."""
+    """``(row, other_hits, other_shares)``: how often the rows of ``docs``, told apart by ``row``, hold the words of ``common``."""
     listed = common.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("word", "share"))).alias("common"))
-    words = docs.select("doc_id", "lang", F.explode(doc_words(F.lower("text"))).alias("word"))
-    times = words.join(common.select("lang", "word"), ["lang", "word"]).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    held = times.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("held"))
-    d = docs.select("doc_id", "lang").join(listed, "lang").join(held, "doc_id", "left")
+    words = docs.select("row", "lang", F.explode(doc_words(F.lower("text"))).alias("word"))
+    times = words.join(common.select("lang", "word"), ["lang", "word"]).groupBy("row", "word").agg(F.count("*").alias("n"))
+    held = times.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("held"))
+    d = docs.select("row", "lang").join(listed, "lang").join(held, "row", "left")
     hits = F.transform("common", lambda c: F.coalesce(F.element_at("held", c.word), F.lit(0)).cast("int"))
-    return d.select("doc_id", hits.alias("other_hits"), F.transform("common", lambda c: c.share).alias("other_shares"))
+    return d.select("row", hits.alias("other_hits"), F.transform("common", lambda c: c.share).alias("other_shares"))
 
 
 def _class_shares(counted: DataFrame) -> DataFrame:
@@ -139,13 +139,20 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words or more than MOST_REPEATED per cent repeated words. It is kept when it does not fail, and
     is short (GUARD_WORDS) or within both limits. Null and empty texts have no words and fail. The
     references come from all rows of ``docs``; without a language column all rows share one.
-    Ids must be unique; other columns are ignored; an empty table gives an empty one.
+    Every row counts by itself, with a null or repeated id too; other columns are ignored; an empty
+    table gives an empty one.
     """
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col and lang_col in docs.columns else F.lit("")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
     text, lang = F.col("text"), F.col("lang")
     word_sets, others = _common_words(d)
-    other_hits = None if others is None else _other_hits(d.where(~F.col("lang").isin(*word_sets)), others)
+    other_hits, row = None, F.lit(None).cast("long").alias("row")
+    if others is not None:  # rows of further languages are written with a key of their own, by which their counts come back
+        rest = materialize(d.where(~F.col("lang").isin(*word_sets)).withColumn("row", F.monotonically_increasing_id()), "rest")
+        other_hits = _other_hits(rest, others)
+        d = d.where(F.col("lang").isin(*word_sets)).withColumn("row", row).unionByName(rest)
+    else:
+        d = d.withColumn("row", row)
     every = sorted({w for v in word_sets.values() for w, _ in v})
 
     def counts(ws: Column) -> Column:
@@ -162,8 +169,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return F.struct(F.size(ws).cast("long").alias("n_words"), repeated_words(ws).alias("n_repeat_words"), let(spaced, by_language).alias("hits"))
 
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
-    d = d.select("doc_id", "lang", let(doc_words(text), counts).alias("w"), _class_counts(text).alias("c"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
-    d = materialize(d.select("doc_id", "lang", "w.*", "c", "n_dup_lines"), "counted")
+    d = d.select("doc_id", "lang", "row", let(doc_words(text), counts).alias("w"), _class_counts(text).alias("c"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
+    d = materialize(d.select("doc_id", "lang", "row", "w.*", "c", "n_dup_lines"), "counted")
     # Adaptive execution sends the references out while they are small, and else splits the rows of a large language.
     d = d.join(materialize(_class_shares(d), "references"), "lang")
     whole = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -172,7 +179,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = F.aggregate("hits", F.lit(0), lambda a, x: a + x)
     with_rest = lambda a, rest: F.concat(a, F.array(rest))
     if other_hits is not None:
-        d = d.join(other_hits, "doc_id", "left").withColumn("hits", F.coalesce("hits", "other_hits"))
+        known = d.where("row is null").withColumns({"other_hits": F.lit(None).cast("array<int>"), "other_shares": F.lit(None).cast("array<double>")})
+        d = known.unionByName(d.where("row is not null").join(other_hits, "row", "left").select(*known.columns)).withColumn("hits", F.coalesce("hits", "other_hits"))
     if word_shares is None:
         word_distance = F.lit(None).cast("double")
     else:

@@ -562,6 +562,16 @@ def test_rules_brute_force(docs, small, monkeypatch, literal):
         assert x.kept == (not x.base_failed and (n < 50 or near))
 
 
+def test_rules_of_repeated_and_null_ids(spark, small, monkeypatch):
+    """Rows of one id, and of none, have their own verdicts, also in languages beyond LANGUAGES."""
+    d = small.select((F.col("doc_id") % 7).alias("doc_id"), "text", "lang").where("length(text) > 400")
+    d = d.withColumn("doc_id", F.when(F.col("doc_id") > 1, F.col("doc_id")))
+    columns = ["doc_id", "n_words", "base_failed", "kept", F.round("word_distance", 9).alias("far")]
+    whole = Counter(map(tuple, divergence.quality_rules(d).select(columns).collect()))
+    monkeypatch.setattr(divergence, "LANGUAGES", 1)
+    assert Counter(map(tuple, divergence.quality_rules(d).select(columns).collect())) == whole and sum(whole.values()) == d.count()
+
+
 def test_rules_need_common_words(spark, monkeypatch):
     """Texts without their language's common words fail from 90 words on, also in a language beyond LANGUAGES."""
     monkeypatch.setattr(divergence, "LANGUAGES", 2)
@@ -656,7 +666,8 @@ def brute_licenses(text):
             n = last - first + 1
             if 0.5 * len(t) <= n <= len(t) / 0.75:
                 c = common(w[first : last + 1], t)
-                if c >= 0.5 * len(t) and c >= 0.75 * n and c >= min(5, len(t)):
+                named, own = ({x[:-2] if x.endswith(" 0") else x for x in re.findall(r"\b(?:version|v) (\d+(?: \d+)*)", " ".join(y))} for y in (w[first : last + 1], t))
+                if c >= (0.5 * len(t) if len(t) >= 15 else len(t)) and c >= 0.75 * n and c >= min(5, len(t)) and (not named or own <= named):
                     spans.append((label, first, last, c / len(t), c, number))
     kept = [x for x in spans if not any(y[5] != x[5] and y[1] <= x[2] and x[1] <= y[2] and (-y[4], -y[3], y[5]) < (-x[4], -x[3], x[5]) for y in spans)]
     names = sorted({x for _, x in base})
@@ -682,6 +693,14 @@ def test_licenses_brute_force(spark, docs):
     assert [labels[1000 + i] for i in (0, 1, 2, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14)] == ["mit", "cc-by-nc,mit", "", "", "", "", "cc-by", "cc-by-sa", "apache-2", "mit", "mit", "mit", ""]
 
 
+def test_license_versions(spark):
+    """Texts that name another version, or none where a short template needs one, have no label of it."""
+    gpl = diagonal_license.TEMPLATES[10][1]
+    texts = ["licensed under the apache license version 1 1", "licensed under the apache license", "licensed under the gnu general public license version 1", "Licensed under the Apache License, Version 2.0", "licensed under the GNU General Public License, version 3", gpl, gpl.replace("version 2", "version 3"), gpl.replace("version 2", "version 1"), "licensed under cc by 4.0", "licensed under cc by 3.0", " ".join(gpl.split()[40:])]
+    got = diagonal_license.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["", "", "", "apache-2", "gpl-3", "gpl-2", "gpl-3", "", "cc-by", "", "gpl-2"]
+
+
 # 10
 
 
