@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from corpusq.functions import text as tx
 from corpusq.functions.matching import Shelf, Text
+from corpusq.operators.suffixes import names_with
 from corpusq.sources.storage import checkpointed
 
 #: Cards of a group that are compared in one task; longs of the bitmap of a card's n-grams.
@@ -347,8 +348,9 @@ def majority(entries: DataFrame, member: Column, by: list[str]) -> DataFrame:
 def match_entries(queries: DataFrame, entries: DataFrame) -> DataFrame:
     """``(query_id, entry_id, match)``: exact names, names that contain, bodies that contain.
 
-    Candidates come from an equi-join on grams (single characters too), the tests verify them. A non-Latin query
-    with more than EXPAND_LIMIT names does not look at bodies. An entry stands under its best match.
+    Names come from a table of their suffixes, bodies from an equi-join on grams that is verified. A
+    non-Latin query with more than EXPAND_LIMIT names does not look at bodies. An entry stands under
+    its best match.
     """
     from corpusq.operators.occurrences import near_blocks
 
@@ -357,12 +359,10 @@ def match_entries(queries: DataFrame, entries: DataFrame) -> DataFrame:
     bodies = entries.select(F.col("entry_id").alias("doc"), F.lit(0).alias("ord"), F.col("body").alias("text"))
     near = near_blocks(terms, bodies).join(bodies.drop("ord"), "doc")
     in_body = near.where(tx.matches(F.col("text"), F.col("term"))).select("query_id", F.col("doc").alias("entry_id"), F.lit("body").alias("match"))
-    lead = F.lower(F.regexp_extract(F.trim("term"), "[A-Za-z0-9]{1,3}|\\S", 0))
-    starts = names.select("doc", "text", F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+|[^a-z0-9\\s]"), F.lit(0)), lambda w: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length(w))), lambda n: F.substring(w, F.lit(1), n)))))).alias("lead"))
-    near = terms.withColumn("lead", lead).join(starts, "lead")
     latin = tx.is_latin(F.col("term"))
-    in_name = near.where(F.when(latin, tx.word_start(F.col("text"), F.col("term"))).otherwise(tx.contains_ci(F.col("text"), F.col("term"))))
-    in_name = in_name.select("query_id", F.col("doc").alias("entry_id"), F.when(F.lower("text") == F.lower("term"), "exact").otherwise("contains").alias("match"))
+    held = names_with(queries.select("query_id", F.trim("q").alias("q")), names.select(F.col("text").alias("name")))
+    in_name = held.join(names, held["name"] == names["text"]).join(terms, "query_id")
+    in_name = in_name.select("query_id", F.col("doc").alias("entry_id"), F.when(F.lower("text") == F.lower(F.trim("term")), "exact").otherwise("contains").alias("match"))
     count = in_name.groupBy("query_id").agg(F.count("*").alias("names"))
     gate = terms.join(count, "query_id", "left").where(latin | (F.coalesce("names", F.lit(0)) <= EXPAND_LIMIT)).select("query_id")
     every = in_name.unionByName(in_body.join(gate, "query_id", "left_semi"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusq.functions import lang as lg
@@ -13,6 +14,7 @@ from corpusq.operators import multiterm as mt
 from corpusq.operators import occurrences as oc
 from corpusq.operators import scope as sc
 from corpusq.operators import suggest as sg
+from corpusq.operators.suffixes import names_with
 from corpusq.plans import tables as tb
 from corpusq.plans.registry import Catalog
 from corpusq.plans.tables import sql
@@ -269,6 +271,37 @@ def suggest_topk(spark, d):
     return sg.suggest_raw(tb.asked(spark, PREFIXES), sg.vocabulary(tb.blocks(spark, d))).select("query_id", "t", "n", "tier", "place")
 
 
+SQL_NAMED = """named AS (SELECT c_name AS t, 1 AS n FROM customer UNION ALL SELECT p_name, count(*) FROM part GROUP BY p_name),
+    asked AS (SELECT row_number() OVER (ORDER BY q) AS query_id, q FROM (SELECT p_size::VARCHAR AS q FROM part UNION SELECT substr(p_name, 3, 4) FROM part UNION SELECT upper(split_part(p_name, ' ', 2)) FROM part UNION SELECT lower(r_name) FROM region) WHERE q <> ''),
+    hit AS (SELECT query_id, q, t, n, lower(t) AS l, regexp_matches(q, '[A-Za-z]') AS latin, CASE WHEN regexp_matches(q, '[A-Za-z]') THEN CASE WHEN starts_with(lower(t), lower(q)) THEN 1 ELSE instr(regexp_replace(lower(t), '[^a-z0-9]', ' ', 'g'), ' ' || regexp_replace(lower(q), '[^a-z0-9]', ' ', 'g')) + 1 END ELSE instr(lower(t), lower(q)) END AS pos
+        FROM asked, named WHERE CASE WHEN regexp_matches(q, '[A-Za-z]') THEN regexp_matches(lower(t), '(^|[^a-z0-9])' || lower(q)) ELSE contains(lower(t), lower(q)) END)"""
+
+
+def _named(spark, d):
+    c, p, r = (tb.table(spark, d, t) for t in ("customer", "part", "region"))
+    names = c.select(F.col("c_name").alias("t"), F.lit(1).cast("long").alias("n")).unionByName(p.groupBy(F.col("p_name").alias("t")).agg(F.count("*").alias("n")))
+    pieces = [p.select(F.col("p_size").cast("string").alias("q")), p.select(F.substring("p_name", 3, 4).alias("q")), p.select(F.upper(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("q")), r.select(F.lower("r_name").alias("q"))]
+    q = pieces[0]
+    for x in pieces[1:]:
+        q = q.union(x)
+    w = Window.partitionBy(F.lit(0)).orderBy("q")
+    return q.distinct().where("q <> ''").select(F.row_number().over(w).cast("long").alias("query_id"), "q"), names
+
+
+@C.add(sql(SQL_NAMED, select="SELECT query_id, t AS name FROM hit"))
+def name_search(spark, d):
+    """All names of customers and parts that hold the sizes, pieces of names and regions, inside too."""
+    q, names = _named(spark, d)
+    return names_with(q, names.select(F.col("t").alias("name"))).select("query_id", "name")
+
+
+@C.add(sql(SQL_NAMED, "tiered AS (SELECT *, CASE WHEN pos = 1 THEN 0 WHEN latin AND regexp_matches(substr(l, pos + length(q), 1), '[a-z0-9]') THEN 2 ELSE 1 END AS tier FROM hit)", select="SELECT query_id, t, n, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, n DESC, length(t), t) AS place FROM tiered QUALIFY place <= 10"))
+def suggest_names(spark, d):
+    """Completions of the same queries by tiers: start, whole word or inside, start of a longer word."""
+    q, names = _named(spark, d)
+    return sg.suggest_raw(q, names)
+
+
 UNITS = """toks AS (SELECT query_id, doc, ord, g FROM (SELECT DISTINCT doc, ord, t FROM tokens) JOIN grp ON t = term GROUP BY ALL),
     units AS (SELECT query_id, doc, ord, CAST(bit_or(CAST(1 AS BIGINT) << g::INT) AS BIGINT) AS mask FROM toks GROUP BY ALL),
     lv AS (SELECT query_id, max(bit_count(mask)) AS level FROM units GROUP BY ALL)"""
