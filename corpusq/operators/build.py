@@ -83,7 +83,7 @@ def build_routes(events: DataFrame, docs: DataFrame, overrides: DataFrame, title
     e = e.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n", "_merge", "merge")
     d = st.event_documents(e, docs, overrides).where("doc is not null").join(titles.select("name", F.col("title").alias("_title")), "name", "left")
     n = F.row_number().over(Window.partitionBy("work", "route").orderBy("ord"))
-    d = d.withColumn("main_index", n).withColumn("title", F.concat_ws(" ", F.lpad(F.col("main_index").cast("string"), 2, "0"), F.coalesce("_title", "name")))
+    d = d.withColumn("main_index", n).withColumn("title", F.concat_ws(" ", F.expr("lpad(main_index, greatest(2, length(main_index)), '0')"), F.coalesce("_title", "name")))
     d = st.assign_keys(d.withColumn("meta", F.create_map(F.lit("event"), F.col("name"), F.lit("place"), F.col("ord").cast("string"))))
     return d.select("work", "route", "doc", "title", "main_index", "key", "meta")
 

@@ -73,7 +73,7 @@ def story_tree(nodes: DataFrame) -> DataFrame:
     Nodes and tree are written, as the counts go up level by level.
     """
     nodes = checkpointed(nodes)
-    return checkpointed(nodes.drop("n").join(count_tree(nodes, 5), "node").withColumnRenamed("n", "chapters"))
+    return checkpointed(nodes.drop("n").join(count_tree(nodes), "node").withColumnRenamed("n", "chapters"))
 
 
 def story_node(tree: DataFrame, keys: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusq.sources.storage import checkpointed
+
 UNCATEGORISED = "未分类"
 
 
@@ -60,15 +62,26 @@ def tree_counts(leaves: DataFrame) -> DataFrame:
     return leaves.rollup("top", "work", "sub").agg(F.sum("n").alias("n"), F.count("*").alias("leaves")).where("n > 0 and top is not null")
 
 
-def count_tree(nodes: DataFrame, depth: int) -> DataFrame:
-    """Own counts plus those of all nodes below: ``nodes(node, parent, n)``, at most ``depth`` levels."""
-    total = nodes.select("node", "parent", F.col("n").cast("long").alias("n"), F.col("node").alias("at"))
-    level = total
-    parents = nodes.select(F.col("node").alias("child"), F.col("parent").alias("above"))
-    for _ in range(depth):
-        level = level.join(parents, level["at"] == parents["child"]).where("above is not null").select("node", "parent", "n", F.col("above").alias("at"))
-        total = total.unionByName(level)
-    return total.groupBy(F.col("at").alias("node")).agg(F.sum("n").alias("n"))
+def count_tree(nodes: DataFrame) -> DataFrame:
+    """``(node, n)``: own counts plus those of all nodes below, ``nodes(node, parent, n)`` being a forest of any depth.
+
+    After round k every node knows the counts less than 2^k levels below it, and its ancestor 2^k
+    levels above; a round passes each node's sum to that ancestor and doubles the distance. So there
+    are as many rounds as the depth has binary digits, each over one row per node, and each is
+    checkpointed. A node of a cycle is an error.
+    """
+    d = checkpointed(nodes.select("node", F.col("parent").alias("up"), F.col("n").cast("long").alias("n")))
+    known = d.select(F.col("node").alias("up")).distinct().withColumn("_there", F.lit(True))
+    d = d.join(known, "up", "left").select("node", F.when(F.col("_there"), F.col("up")).alias("up"), "n")
+    left = int(d.count()).bit_length() + 1
+    while not d.where("up is not null").isEmpty():
+        if not left:
+            raise ValueError("the parents form a cycle")
+        left -= 1
+        passed = d.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("n").alias("_below"))
+        above = d.select(F.col("node").alias("up"), F.col("up").alias("_next")).where("_next is not null")
+        d = checkpointed(d.join(passed, "node", "left").join(above, "up", "left").select("node", F.col("_next").alias("up"), (F.col("n") + F.coalesce("_below", F.lit(0))).alias("n")))
+    return d.select("node", "n")
 
 
 def rank_of(value: Column, ranks: dict[str, int], default: float) -> Column:

@@ -116,20 +116,29 @@ def paragraph_snippet(texts: pd.Series, at: pd.Series, start: pd.Series, end: pd
     return pd.DataFrame([paragraph_window(list(t), int(i), int(a), int(b), list(p)) for t, i, a, b, p in zip(texts, at, start, end, places)], columns=["text", "cut_before", "cut_after"])
 
 
-def with_snippets(hits: DataFrame, blocks: DataFrame, neighbours: int = 4) -> DataFrame:
+def with_snippets(hits: DataFrame, blocks: DataFrame) -> DataFrame:
     """``hits(doc, ord, start, end, …)`` with ``snippet``: paragraph windows tidied to one line.
 
-    Every block carries ``neighbours`` blocks on each side to its hits, so only documents with a
-    hit are touched and no text is assembled beyond that.
+    A block carries the neighbours that its window can reach: while a window is shorter than SHORT it
+    takes blocks that begin inside SHORT characters after its block, or end inside as many before it.
+    So the places of blocks in their document, a running sum, tell how far to look, over any number of
+    blocks; only documents with a hit are touched.
     """
-    w = Window.partitionBy("doc").orderBy("ord")
-    need = blocks.join(hits.select("doc").distinct(), "doc", "left_semi")
-    around = lambda c: F.array_compact(F.array(*(F.lag(c, neighbours - i).over(w) if i < neighbours else F.col(c) if i == neighbours else F.lead(c, i - neighbours).over(w) for i in range(2 * neighbours + 1))))
-    place = F.least(F.row_number().over(w) - 1, F.lit(neighbours))
-    d = hits.join(need.select("doc", "ord", around("text").alias("_texts"), around("ord").alias("_places"), place.alias("_at")), ["doc", "ord"])
-    d = d.withColumn("_s", paragraph_snippet("_texts", "_at", "start", "end", "_places"))
+    order = Window.partitionBy("doc").orderBy("ord")
+    need = blocks.select("doc", "ord", "text").join(hits.select("doc").distinct(), "doc", "left_semi")
+    placed = need.withColumns({"_start": F.coalesce(F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.row_number().over(order), "_total": F.count("*").over(Window.partitionBy("doc"))})
+    near = Window.partitionBy("doc").orderBy("_start")
+    block = F.struct("ord", "text")
+    # The last block that begins farther back may still end within reach.
+    before = F.last(block).over(near.rangeBetween(Window.unboundedPreceding, -SHORT - 1))
+    around = placed.withColumn("_blocks", F.concat(F.array_compact(F.array(before)), F.collect_list(block).over(near.rangeBetween(-SHORT, SHORT))))
+    around = around.withColumn("_at", (F.array_position(F.transform("_blocks", lambda b: b.ord), F.col("ord")) - 1).cast("int"))
+    left = F.col("_n") - 1 - F.col("_at")
+    around = around.select("doc", "ord", "_blocks", "_at", (left > 0).alias("_before"), (left + F.size("_blocks") < F.col("_total")).alias("_after"))
+    d = hits.join(around, ["doc", "ord"]).withColumn("_s", paragraph_snippet(F.col("_blocks.text"), "_at", "start", "end", F.col("_blocks.ord")))
     tidy = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("_s.text", "(?i)<img[^>]*>", ""), "\\n", " "), " +", " "))
-    return d.withColumn("snippet", F.concat(F.when(F.col("_s.cut_before"), "…").otherwise(""), tidy, F.when(F.col("_s.cut_after"), "…").otherwise(""))).drop("_texts", "_places", "_at", "_s")
+    cut_before, cut_after = F.col("_s.cut_before") | F.col("_before"), F.col("_s.cut_after") | F.col("_after")
+    return d.withColumn("snippet", F.concat(F.when(cut_before, "…").otherwise(""), tidy, F.when(cut_after, "…").otherwise(""))).drop("_blocks", "_at", "_before", "_after", "_s")
 
 
 def answer_excerpt(answer: Column, pattern: Column, longest: int = 420) -> Column:

@@ -195,17 +195,28 @@ def doc_view(own: DataFrame, other: DataFrame) -> DataFrame:
     return own.unionByName(held.select(*own.columns))
 
 
-def canonical_documents(chapters: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: File numbers that stand for another chapter's.
+MOVED = {400: 401}
+
+
+def canonical_documents(chapters: DataFrame, docs: DataFrame, moved: dict[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """(canonical, exclusions): one document per official chapter.
 
-    Joined by number, else by title; an exact number is preferred, then the lowest id; the other
-    documents become exclusions. ``chapters(chapter, number, title)``, ``docs(doc, file, title)``.
+    ``chapters(chapter, number, title[, part])``, ``docs(doc, file, title[, part])``. A document belongs
+    to the chapter of its file's number, or of the number that ``moved`` gives for it; documents without
+    such a chapter go by part and title, then by title alone, to the last chapter of that title. A
+    chapter keeps a document of its own number before others, then the lowest id; the rest become
+    exclusions.
     """
-    d = docs.select("doc", tx.int_prefix(F.col("file")).alias("_n"), tx.match_key(F.col("title")).alias("_k"))
-    c = chapters.select("chapter", "number", tx.match_key(F.col("title")).alias("k"))
-    by_number = c.join(d, F.col("number") == F.col("_n")).select("chapter", "doc", F.lit(0).alias("way"))
-    by_title = c.join(d, F.col("k") == F.col("_k")).select("chapter", "doc", F.lit(1).alias("way"))
-    both = by_number.unionByName(by_title).groupBy("chapter", "doc").agg(F.min("way").alias("way"))
+    moved = MOVED if moved is None else moved
+    part = lambda t: F.coalesce(F.col("part"), F.lit("")) if "part" in t.columns else F.lit("")
+    d = docs.select("doc", tx.int_prefix(F.col("file")).alias("_own"), tx.match_key(F.col("title")).alias("_k"), part(docs).alias("_p"))
+    target = F.coalesce(*(F.when(F.col("_own") == k, v) for k, v in moved.items()), F.col("_own"))
+    c = chapters.select("chapter", "number", tx.match_key(F.col("title")).alias("k"), part(chapters).alias("p"))
+    by_number = c.where("number is not null").join(d.withColumn("_n", target), F.col("number") == F.col("_n")).select("chapter", "doc", F.when(F.col("_own") == F.col("number"), 0).otherwise(1).alias("way"))
+    rest = d.join(by_number.select("doc"), "doc", "left_anti")
+    by_title = c.join(rest, F.col("k") == F.col("_k")).groupBy("doc").agg(F.max(F.struct((F.col("p") == F.col("_p")).alias("same"), "chapter")).alias("x"))
+    both = by_number.unionByName(by_title.select("x.chapter", "doc", F.lit(1).alias("way")))
     ranked = both.withColumn("n", F.row_number().over(Window.partitionBy("chapter").orderBy("way", "doc")))
     kept = ranked.where("n = 1").select("chapter", "doc")
     gone = ranked.where("n > 1").join(kept.withColumnRenamed("doc", "canonical"), "chapter").select("doc", F.lit("duplicate of an official chapter").alias("reason"), "canonical")

@@ -248,15 +248,23 @@ def repair_sources(spark, d):
     return build.repair_sources(x, lg.ACCENTED, "[a-z]", "rom", "plain", 0.05).drop("text")
 
 
-@C.add(sql("e AS (SELECT p_brand AS route, p_name AS name, p_partkey AS ord, p_size, p_type FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, CASE WHEN p_size < 10 THEN p_type ELSE '=' || p_partkey END ORDER BY p_partkey) = 1)", "f AS (SELECT min(p_partkey) AS doc, upper(regexp_replace(p_name, '[^\\p{L}\\p{N}]', '', 'g')) AS k FROM part WHERE p_retailprice < 1500 GROUP BY 2)", "x AS (SELECT route, name, ord, doc, row_number() OVER (PARTITION BY route ORDER BY ord) AS n FROM e JOIN f ON upper(regexp_replace(name, '[^\\p{L}\\p{N}]', '', 'g')) = k)", select="SELECT route, doc, lpad(n::VARCHAR, greatest(2, 2), '0') || ' ' || name AS title, n AS main_index, 'W::' || route || '::' || (n - 1) AS key FROM x WHERE n < 100"))
+ROUTES = """e AS (SELECT p_brand AS route, p_name AS name, p_partkey AS ord FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, CASE WHEN p_size < 10 THEN p_type ELSE '=' || p_partkey END ORDER BY p_partkey) = 1),
+    f AS (SELECT min(p_partkey) AS doc, upper(regexp_replace(p_name, '[^\\p{L}\\p{N}]', '', 'g')) AS k FROM part WHERE p_retailprice < 1500 GROUP BY 2),
+    o AS (SELECT p_name AS name, max(p_partkey) AS doc FROM part WHERE p_size = 1 GROUP BY 1 HAVING count(*) > 1),
+    t AS (SELECT p_name AS name, min(p_type) AS title FROM part WHERE p_name < 'm' GROUP BY 1),
+    x AS (SELECT route, name, coalesce(title, name) AS shown, ord, coalesce(o.doc, f.doc) AS doc FROM e LEFT JOIN o USING (name) LEFT JOIN f ON upper(regexp_replace(name, '[^\\p{L}\\p{N}]', '', 'g')) = k LEFT JOIN t USING (name)),
+    y AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY ord) AS n FROM x WHERE doc IS NOT NULL)"""
+
+
+@C.add(sql(ROUTES, select="SELECT route, doc, CASE WHEN n < 10 THEN '0' ELSE '' END || n || ' ' || shown AS title, n AS main_index, 'W::' || route || '::' || (n - 1) AS key FROM y"))
 def build_routes(spark, d):
-    """C17: chapters of routes from an event table, first hundred of each."""
+    """C17: chapters of routes from an event table, some documents and titles by curated tables."""
     p = tb.table(spark, d, "part")
     events = p.select(F.lit("W").alias("work"), F.col("p_brand").alias("route"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"), F.when(F.col("p_size") < 10, F.col("p_type")).alias("merge"))
     docs = p.where("p_retailprice < 1500").select(F.col("p_partkey").alias("doc"), F.concat(F.lit("dir/"), "p_name", F.lit(".txt")).alias("file"))
-    none = events.where("ord < 0").select("name", F.col("ord").alias("doc"))
-    made = build.build_routes(events, docs, none, none.select("name", F.col("name").alias("title")))
-    return made.where("main_index < 100").select("route", "doc", "title", "main_index", "key")
+    overrides = p.where("p_size = 1").groupBy(F.col("p_name").alias("name")).agg(F.max("p_partkey").alias("doc"), F.count("*").alias("n")).where("n > 1").drop("n")
+    titles = p.where("p_name < 'm'").groupBy(F.col("p_name").alias("name")).agg(F.min("p_type").alias("title"))
+    return build.build_routes(events, docs, overrides, titles).select("route", "doc", "title", "main_index", "key")
 
 
 @C.add(sql(tb.SQL_BLOCKS, tb.SQL_DOCS, "o AS (SELECT doc, ord, len, sum(len + 1) OVER (ORDER BY doc, ord) - (len + 1) AS s FROM blocks)", select="SELECT doc, ord, CAST(s AS BIGINT) AS start, len FROM o WHERE doc IN (SELECT doc FROM docs WHERE work = 'src1') OR s + len > 100000"))

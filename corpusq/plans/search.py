@@ -213,7 +213,15 @@ def chapter_counts(spark, d):
     c = tb.table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
     nation = tb.table(spark, d, "nation").join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"), F.coalesce("n", F.lit(0)).alias("n"))
     region = tb.table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("n"))
-    return sc.count_tree(region.unionByName(nation), 1)
+    return sc.count_tree(region.unionByName(nation))
+
+
+@C.add(sql(select="SELECT o_orderkey AS node, count(*) OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey DESC) AS n FROM orders"))
+def deep_tree_counts(spark, d):
+    """Counts up trees as deep as the orders of a fiftieth of the customers are many."""
+    w = Window.partitionBy(F.col("o_custkey") % 50).orderBy("o_orderkey")
+    nodes = tb.table(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.lag("o_orderkey").over(w).alias("parent"), F.lit(1).alias("n"))
+    return sc.count_tree(nodes)
 
 
 @C.add(sql(select="SELECT p_brand, p_partkey, row_number() OVER w AS n, count(*) OVER (PARTITION BY p_brand) AS total, count(*) OVER (PARTITION BY p_brand) > 15 AS has_more FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_name, p_partkey) QUALIFY n > 5 AND n <= 15"))
