@@ -30,8 +30,8 @@ WINDOW, END_ID = 4096, 2
 SHARD_TOKENS, PARTITION_TOKENS = 1 << 19, 1 << 25
 #: BM25 constants; neighbours taken at once; terms by which rows are dealt.
 K1, B, NEIGHBOURS, DEALT_BY = 1.2, 0.75, 48, 3
-#: Words whose ids a worker remembers; ids are stored in two bytes. Times of a term in a text count up to MOST_TIMES,
-#: where BM25's saturation has its weight within a thousandth of the limit.
+#: Words whose ids a worker remembers; ids are stored in two bytes, and so are the times of a term in a text: what is
+#: over MOST_TIMES stands in further entries of the term.
 REMEMBERED, MOST_IDS, MOST_TIMES = 600_000, 1 << 16, 65_535
 
 
@@ -47,6 +47,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > MOST_IDS:
+            raise ValueError(f"{path}: over {MOST_IDS} ids, which two bytes do not hold")
         self.forget()
 
     def forget(self) -> None:
@@ -121,7 +123,28 @@ def _vectors(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(terms, times, terms per row) of the rows' token lists."""
     row = np.repeat(np.arange(len(sizes)), sizes)
     key, times = np.unique(row * MOST_IDS + ids, return_counts=True)
-    return (key % MOST_IDS).astype(np.uint16), np.minimum(times, MOST_TIMES).astype(np.uint16), np.bincount(key // MOST_IDS, minlength=len(sizes))
+    return (key % MOST_IDS).astype(np.uint16), times, np.bincount(key // MOST_IDS, minlength=len(sizes))
+
+
+def _entries(terms: np.ndarray, times: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' vectors with times of two bytes; a term has an entry for every MOST_TIMES of its times and one for the rest."""
+    more = (times - 1) // MOST_TIMES
+    if not more.any():
+        return terms, times.astype(np.uint16), counts
+    row = np.repeat(np.repeat(np.arange(len(counts)), counts), more + 1)
+    out = np.full(len(row), MOST_TIMES, np.uint16)
+    out[np.cumsum(more + 1) - 1] = times - more * MOST_TIMES
+    return np.repeat(terms, more + 1), out, np.bincount(row, minlength=len(counts))
+
+
+def _from_entries(terms: np.ndarray, times: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vectors that ``_entries`` was given."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    first = np.ones(len(terms), bool)
+    first[1:] = (terms[1:] != terms[:-1]) | (row[1:] != row[:-1])
+    if first.all():
+        return terms, times, counts
+    return terms[first], np.add.reduceat(times.astype(np.int64), np.flatnonzero(first)), np.bincount(row[first], minlength=len(counts))
 
 
 def _blobs(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -160,6 +183,7 @@ def _tokenised(path: str):
                 terms, times, counts = _vectors(ids, sizes)
                 df += np.bincount(terms, minlength=MOST_IDS)
                 docs, tokens, n = docs + b - a, tokens + len(ids), b - a
+                terms, times, counts = _entries(terms, times, counts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(ids_of[a:b]), pa.array(sizes), _blobs(ids, sizes), _blobs(terms, counts), _blobs(times, counts), nothing(n, pa.list_(pa.int32())), nothing(n, pa.list_(pa.int64()))], names)
         there = np.flatnonzero(df)
         one = [pa.array([1], pa.int32()), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64()), *(nothing(1, pa.binary()) for _ in range(3)), pa.array([there], pa.list_(pa.int32())), pa.array([df[there]], pa.list_(pa.int64()))]
@@ -187,6 +211,7 @@ def _telling_terms(shared):
         corpus = shared.value
         t, counts = _flat(pa.array(terms, pa.binary()), np.uint16)
         n, _ = _flat(pa.array(times, pa.binary()), np.uint16)
+        t, n, counts = _from_entries(t, n, counts)
         row = np.repeat(np.arange(len(counts)), counts)
         weight = np.where((corpus.df[t] > 1) & (t != END_ID), corpus.weights(t, n, size.to_numpy()[row]), 0)
         order = np.lexsort((t, -weight, row))
@@ -335,6 +360,7 @@ def _packed(shared, with_ids: bool):
                     ids, _ = _flat(batch.column(2)[at:end], np.uint16)
                     terms, counts = _flat(batch.column(3)[at:end], np.uint16)
                     times, _ = _flat(batch.column(4)[at:end], np.uint16)
+                    terms, times, counts = _from_entries(terms, times, counts)
                     held.append((docs[at:end], sizes[at:end], ids, terms, times, counts))
                     tokens += int(sizes[at:end].sum())
                 if end < len(docs):

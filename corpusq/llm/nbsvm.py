@@ -130,16 +130,18 @@ def _fit(group: pd.DataFrame) -> pd.DataFrame:
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", most_rows: int = MOST_ROWS) -> bytes | None:
     """A packed model from the labelled rows that ``usable`` (on doc_id) allows; None without any.
 
-    ``most_rows`` bounds the sample: labels are taken in the order of a hash of their ids. The ids of
+    ``most_rows`` bounds the sample, labels and texts: both are taken in the order of a hash of their ids. The ids of
     the sample, at most ``most_rows`` longs, are sent to the tasks that read ``docs``; texts that
     carry no label never move. Labels other than 0 and 1, and null ids, are left out; of several labels of
-    one id the least counts, and all texts of a repeated id carry it.
+    one id the least counts, and the texts of a repeated id carry it.
     """
     rows = labels.where(usable & F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("label"))
     rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"))
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     features = joined.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "label").mapInArrow(_featured, "doc_id long, label int, features binary")
+    # Texts of repeated ids share a label: their rows are bounded too, by the order of the ids and then of the features.
+    features = features.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(most_rows)
     found = features.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_fit, "model binary").collect()  # one row, two vectors of BUCKETS floats
     return bytes(found[0].model) if found else None
 
@@ -174,5 +176,5 @@ def score(docs: DataFrame, model: bytes | None, id_col: str = "doc_id", text_col
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    """crc32 of the id as text is divisible by 5: such rows are never learnt from."""
-    return F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 5 == 0
+    """crc32 of the id as text is divisible by 5: such rows are never learnt from. A null id is not held out."""
+    return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 5 == 0, F.lit(False))

@@ -232,6 +232,39 @@ def test_bm25_scores():
 # 4
 
 
+def test_packing_counts(monkeypatch):
+    """Counts beyond two bytes come back as they were; each counts as one posting."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(bm25_packing, "MOST_TIMES", 7)
+    sizes = np.array([0, 60, 1, 0, 400, 35])
+    ids = rng.integers(0, 9, sizes.sum())
+    terms, times, counts = bm25_packing._vectors(ids, sizes)
+    stored = bm25_packing._entries(terms, times, counts)
+    assert stored[1].max() == 7 and stored[1].dtype == np.uint16 and stored[2].sum() == len(stored[0]) > len(terms)
+    assert [x.tolist() for x in bm25_packing._from_entries(*stored)] == [terms.tolist(), times.tolist(), counts.tolist()]
+    whole = bm25_packing._vectors(np.zeros(200_000, int), np.array([200_000]))
+    assert [x.tolist() for x in bm25_packing._from_entries(*bm25_packing._entries(*whole))] == [[0], [200_000], [1]]
+
+
+def test_packing_needs_two_bytes(monkeypatch):
+    monkeypatch.setattr(bm25_packing, "MOST_IDS", 1000)
+    with pytest.raises(ValueError, match="over 1000 ids"):
+        bm25_packing.WordTokenizer(queries.tokenizer_path("word_bpe_49k.json"))
+
+
+def test_classifier_bounds_rows(spark):
+    """A label whose id has many texts brings most_rows of them at most, the same ones whatever the order."""
+    d = spark.createDataFrame([(i % 3, f"text number {i} of words {i % 7}") for i in range(300)], "doc_id long, text string")
+    lb = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, quality int")
+    model = nbsvm.train(d, lb, F.lit(True), most_rows=40)
+    assert model == nbsvm.train(d.repartition(5), lb, F.lit(True), most_rows=40)
+    few = d.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").select("doc_id").first().doc_id
+    only = nbsvm.train(d.where(F.col("doc_id") == few), lb, F.lit(True), most_rows=40)
+    assert model == only
+    held = spark.createDataFrame([(None,), (1,)], "doc_id long").select(nbsvm.held_out().alias("h")).collect()
+    assert held[0].h is False and held[1].h == (zlib.crc32(b"1") % 5 == 0)
+
+
 def test_classifier(spark, docs, small):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     messy = labels.unionByName(labels.limit(2).select(F.lit(None).cast("long").alias("doc_id"), "quality", "toxic")).unionByName(labels.limit(1).select("doc_id", F.lit(None).cast("int").alias("quality"), "toxic"))
