@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusq.functions.positions import shortest_span
 from corpusq.functions.text import let
 from corpusq.operators.occurrences import occurrences
+from corpusq.operators.scope import within
 from corpusq.operators.snippets import SPAN, block_window
 
 #: Units of a query that are expanded into fragments; anchors of a group and of a unit; half of a fallback window.
@@ -109,26 +110,31 @@ def fragments(units: DataFrame, blocks: DataFrame) -> DataFrame:
     return found.unionByName(bare)
 
 
-def search_units(groups: DataFrame, texts: DataFrame) -> DataFrame:
+def search_units(groups: DataFrame, texts: DataFrame, asked: DataFrame | None = None, scopes: DataFrame | None = None) -> DataFrame:
     """Units of all kinds of text under one level: ``(query_id, kind, doc, item, mask, groups, span, level)``.
 
     ``texts(kind, doc, item, text)`` holds definitions, interviews, questions and blocks; ``item`` is
-    the place of a text among those of its kind.
+    the place of a text among those of its kind. With ``asked(query_id, scope)`` and ``scopes``, bitmaps
+    of ``scope.scope_bitmaps``, the level is that of the units in scope.
     """
     as_blocks = texts.select(F.struct("kind", "doc").alias("doc"), F.col("item").alias("ord"), "text")
-    units = matched_units(match_units(groups, as_blocks))
+    units = match_units(groups, as_blocks)
+    if scopes is not None:
+        units = within(units.withColumns({"_unit": F.col("doc"), "doc": F.col("doc.doc")}), asked, scopes).drop("doc").withColumnRenamed("_unit", "doc")
+    units = matched_units(units)
     return units.select("query_id", "doc.kind", "doc.doc", F.col("ord").alias("item"), "mask", "groups", "span", "level")
 
 
-def search_multi(groups: DataFrame, texts: DataFrame, definitions: DataFrame, most_cards: int = 26) -> DataFrame:
+def search_multi(groups: DataFrame, texts: DataFrame, definitions: DataFrame, most_cards: int = 26, asked: DataFrame | None = None, scopes: DataFrame | None = None) -> DataFrame:
     """What a multi-term query lists beside its passages: ``(query_id, kind, place, doc, item, span, terms, level, relaxed)``.
 
     Definitions by span, ``rank`` and item, one of each group, with the terms of all entries of the
     group, ``most_cards`` at most; the first LISTED interviews and questions by span, document and
     item. ``definitions(item, group_id, rank)`` describes the entries; ``relaxed`` says that no text
-    holds all groups of the query. Passages are ``fragments`` of the units of kind ``block``.
+    holds all groups of the query. Passages are ``fragments`` of the units of kind ``block``. Scopes are
+    those of ``search_units``.
     """
-    units = search_units(groups, texts)
+    units = search_units(groups, texts, asked, scopes)
     asked = groups.groupBy("query_id").agg(F.countDistinct("group").alias("asked"))
     labels = groups.groupBy("query_id", "group").agg(F.min("term").alias("term")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("group", "term"))).alias("labels"))
     cards = units.where("kind = 'definition'").join(definitions.select("item", "group_id", "rank"), "item")

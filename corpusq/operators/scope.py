@@ -27,6 +27,27 @@ def in_scope(rows: DataFrame, scope_table: DataFrame, scope: str = "scope") -> D
     return rows.where(free).unionByName(held.select(*rows.columns))
 
 
+def scope_bitmaps(scope_table: DataFrame) -> DataFrame:
+    """``(scope_key, bucket, bits)``: the documents of each scope as bitmaps, a row for 32 768 ids."""
+    at, bit = F.bitmap_bucket_number("doc"), F.bitmap_bit_position("doc")
+    return scope_table.groupBy("scope_key", at.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+
+
+def within(rows: DataFrame, asked: DataFrame, bitmaps: DataFrame, doc: str = "doc") -> DataFrame:
+    """Rows of ``rows(query_id, doc, …)`` whose document lies in their query's scope, ``asked(query_id, scope)``.
+
+    An empty scope, ``all`` or none at all is no filter, an unknown key gives nothing, and neither does
+    a query that ``asked`` does not have. Every row meets one bitmap at most.
+    """
+    d = rows.join(asked.select("query_id", F.coalesce("scope", F.lit("")).alias("_scope")), "query_id")
+    d = d.withColumns({"_bucket": F.bitmap_bucket_number(F.col(doc)), "_bit": F.bitmap_bit_position(F.col(doc))})
+    maps = bitmaps.select(F.col("scope_key").alias("_scope"), F.col("bucket").alias("_bucket"), "bits")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    held = F.coalesce(F.expr("shiftright(_byte, cast(_bit % 8 as int)) & 1") == 1, F.lit(False))
+    d = d.join(maps, ["_scope", "_bucket"], "left").withColumn("_byte", byte)
+    return d.where(F.col("_scope").isin("", "all") | held).select(*rows.columns)
+
+
 def scope_counts(docs: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """``(top, work, sub, docs)`` at all three levels; coarser ones leave the finer keys null."""
     d = docs.join(taxonomy.select("top", "work"), "work")

@@ -24,7 +24,7 @@ EVERY = CANONICAL + [(2, "lic"), (3, "license")]
 
 
 def _entries(spark, d):
-    return tb.entries(spark, d).select("entry_id", "group_id", "term", "body", F.lit(0).alias("family"), F.lit(0).alias("freq"))
+    return tb.entries(spark, d).select("entry_id", "doc", "group_id", "term", "body", F.lit(0).alias("family"), F.lit(0).alias("freq"))
 
 
 def _no_rewrites(spark):
@@ -124,8 +124,71 @@ def search_multi(spark, d):
 @C.add(sql(*search.U, tb.SQL_DOCS, select="SELECT query_id, work, doc, ord, rank, total, total > 15 AS has_more FROM (SELECT query_id, work, doc, ord, row_number() OVER (PARTITION BY query_id ORDER BY work, doc, ord) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM units JOIN lv USING (query_id) JOIN docs USING (doc) WHERE bit_count(mask) = level) WHERE rank > 5 AND rank <= 15"))
 def multi_term_listing(spark, d):
     """A page of multi-term passages."""
-    u = multiterm.matched_units(search._units(spark, d))
-    return se.list_units(u, tb.docs(spark, d), 5, 10).select("query_id", "work", "doc", "ord", "rank", "total", "has_more")
+    return se.list_units(search._units(spark, d), tb.docs(spark, d), 5, 10).select("query_id", "work", "doc", "ord", "rank", "total", "has_more")
+
+
+# Scopes of the queries: none, a work, a top scope, a work and language, all, an unknown key.
+SCOPES = [(1, "work:src2"), (2, "top:top1"), (3, "sub:src2|en"), (4, "all"), (5, ""), (6, "work:none")]
+ALLOW = f"""allow AS (SELECT query_id, doc FROM {tb.values(SCOPES)} v(query_id, scope), (SELECT doc_id AS doc, source AS work, lang AS sub, 'top' || (CAST(substr(source, 4) AS INT) % 3)::VARCHAR AS top FROM documents) s
+    WHERE scope IN ('', 'all') OR scope IN ('top:' || top, 'work:' || work, 'sub:' || work || '|' || sub))"""
+# The same statements over what the scopes allow: entries, hits and units are joined with it.
+SCOPED_DEFINED = DEFINED.replace("FROM canon, entries)", "FROM canon JOIN allow USING (query_id) JOIN entries USING (doc))")
+SCOPED_FOUND = FOUND.replace("FROM tokens JOIN var ON t = term GROUP BY ALL)", "FROM tokens JOIN var ON t = term JOIN allow USING (query_id, doc) GROUP BY ALL)")
+SCOPED_SECTIONS = SECTIONS.replace("FROM blocks b JOIN docs USING (doc), word WHERE", "FROM blocks b JOIN docs USING (doc) JOIN allow USING (doc) JOIN word USING (query_id) WHERE").replace("FROM qa, word WHERE", "FROM qa JOIN allow ON allow.doc = conv_id JOIN word USING (query_id) WHERE")
+SCOPED_UNITS = search.UNITS.replace("FROM toks GROUP BY ALL)", "FROM toks JOIN allow USING (query_id, doc) GROUP BY ALL)")
+
+
+def _scoped(spark, d):
+    bitmaps = sc.scope_bitmaps(sc.scopes(search._scope_docs(spark, d), search._taxonomy(spark, d)))
+    return tb.asked(spark).join(spark.createDataFrame(SCOPES, "query_id long, scope string"), "query_id"), bitmaps
+
+
+@C.add(sql(tb.SQL_ENTRIES, ALLOW, SCOPED_DEFINED, select="SELECT query_id, entry_id, match, place FROM defined"))
+def scoped_definitions(spark, d):
+    """Ranked definitions in the scope of each query."""
+    asked, bitmaps = _scoped(spark, d)
+    return se.definitions(asked, tb.aliases(spark), _entries(spark, d), scopes=bitmaps).select("query_id", "entry_id", "match", "place")
+
+
+@C.add(sql(tb.SQL_BLOCKS, tb.SQL_TOKENS, tb.SQL_DOCS, tb.SQL_ENTRIES, tb.SQL_QA, ALLOW, SCOPED_DEFINED, SCOPED_FOUND, REL, select=SCOPED_SECTIONS))
+def scoped_search(spark, d):
+    """All sections of a table of queries, each in its scope; conversations count as documents of their number."""
+    asked, bitmaps = _scoped(spark, d)
+    blocks, docs = tb.blocks(spark, d), tb.docs(spark, d)
+    ranked = docs.withColumns({"kind_rank": F.when(F.col("kind") == "en", 0).when(F.col("kind") == "de", 1).otherwise(4), "work_rank": F.lit(0)})
+    interviews = blocks.join(docs.where("work = 'src2'").select("doc"), "doc", "left_semi")
+    qa = tb.qa(spark, d).select(F.col("conv_id").alias("doc"), F.col("turn").cast("int").alias("ord"), "q")
+    related = suggest.related_terms(blocks, tb.terms(spark, search.RELATED))
+    return se.search(asked, tb.aliases(spark), _variants(spark, d).select("query_id", "term"), _entries(spark, d), interviews, qa, blocks, ranked, related, glossary.term_leaves(tb.entries(spark, d)), scopes=bitmaps)
+
+
+@C.add(sql(tb.SQL_BLOCKS, tb.SQL_TOKENS, tb.SQL_GROUPS, ALLOW, SCOPED_UNITS, tb.SQL_DOCS, select="SELECT query_id, work, doc, ord, rank, total, total > 15 AS has_more FROM (SELECT query_id, work, doc, ord, row_number() OVER (PARTITION BY query_id ORDER BY work, doc, ord) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM units JOIN lv USING (query_id) JOIN docs USING (doc) WHERE bit_count(mask) = level) WHERE rank <= 15"))
+def scoped_listing(spark, d):
+    """The first page of multi-term passages in the scope of each query, at the level that the scope reaches."""
+    asked, bitmaps = _scoped(spark, d)
+    return se.list_units(search._units(spark, d), tb.docs(spark, d), 0, 15, asked=asked, scopes=bitmaps).select("query_id", "work", "doc", "ord", "rank", "total", "has_more")
+
+
+ALL_TEXTS = """spread AS (SELECT doc_id AS doc, source AS work, unnest(range(len(p))) AS ord, unnest(p) AS text FROM (SELECT doc_id, source, string_split(text, chr(10)) AS p FROM documents)),
+    every AS (SELECT kind, doc, item, text FROM texts UNION ALL SELECT 'block', doc, ord, text FROM spread WHERE text <> '' UNION ALL SELECT 'interview', doc, ord, text FROM spread WHERE text <> '' AND work = 'src2'),
+    blocks AS (SELECT kind || '|' || doc AS doc, item AS ord, text FROM every)"""
+UNITS_OF_KINDS = search.UNITS.replace("FROM toks GROUP BY ALL)", "FROM toks SEMI JOIN allow ON allow.query_id = toks.query_id AND allow.doc = CAST(split_part(toks.doc, '|', 2) AS BIGINT) GROUP BY ALL)")
+
+
+@C.add(sql(tb.SQL_ENTRIES, tb.SQL_QA, TEXTS.rsplit(",\n", 1)[0], ALL_TEXTS, tb.SQL_TOKENS, tb.SQL_GROUPS, ALLOW, UNITS_OF_KINDS, search.span_sql("blocks"), MULTI.replace("WHERE kind = 'qa' QUALIFY", "WHERE kind IN ('qa', 'interview') QUALIFY").replace("PARTITION BY query_id ORDER BY span, d, ord", "PARTITION BY query_id, kind ORDER BY span, d, ord"),
+           select="SELECT l.query_id, kind, place, doc, item, span, array_to_string((SELECT list(term ORDER BY g) FROM grp WHERE grp.query_id = l.query_id AND (m >> g::INT) & 1 = 1), '|') AS terms, CAST(level AS BIGINT) AS level, level < (SELECT count(DISTINCT g) FROM grp WHERE grp.query_id = l.query_id) AS relaxed FROM listed l JOIN lv USING (query_id)"))
+def scoped_multi(spark, d):
+    """Multi-term search over definitions, interviews, questions and blocks, in the scope of each query."""
+    asked, bitmaps = _scoped(spark, d)
+    e, blocks = tb.entries(spark, d), tb.blocks(spark, d)
+    q = tb.qa(spark, d).withColumn("item", F.col("conv_id") * 1000 + F.col("turn"))
+    own = blocks.join(tb.docs(spark, d).where("work = 'src2'").select("doc"), "doc", "left_semi")
+    row = lambda t, kind, item, text: t.select(F.lit(kind).alias("kind"), F.col("doc").cast("long").alias("doc"), item.cast("long").alias("item"), text.alias("text"))
+    texts = row(e, "definition", F.col("entry_id"), F.concat_ws("\n", "term", "body"))
+    for t in (row(q.withColumn("doc", F.col("conv_id")), "qa", F.col("item"), F.concat_ws("\n", "q", "a")), row(blocks, "block", F.col("ord"), F.col("text")), row(own, "interview", F.col("ord"), F.col("text"))):
+        texts = texts.unionByName(t)
+    ranks = e.select(F.col("entry_id").alias("item"), "group_id", glossary.entry_rank(F.col("body"), F.col("definition_quality")).alias("rank"))
+    return multiterm.search_multi(tb.groups(spark), texts, ranks, asked=asked, scopes=bitmaps).withColumn("terms", F.array_join("terms", "|"))
 
 
 @C.add(sql(tb.SQL_GROUPS, select="SELECT query_id, array_to_string(list(term ORDER BY g), '|') AS terms FROM grp GROUP BY query_id"))

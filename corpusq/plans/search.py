@@ -340,8 +340,9 @@ def multi_term_stats(spark, d):
 
 def span_sql(blocks: str) -> str:
     """Spans of ``units`` over the texts of ``blocks(doc, ord, text)``, for up to three groups."""
-    return f"""pos AS (SELECT query_id, doc, ord, g, p FROM (SELECT doc, ord, query_id, g, term, low, unnest(range(1, length(low) - length(term) + 2)) AS p FROM (SELECT doc, ord, lower(text) AS low FROM {blocks}) JOIN (SELECT DISTINCT doc, ord FROM units) USING (doc, ord), grp)
-        WHERE substr(low, p, length(term)) = term AND NOT regexp_matches(substr(low, greatest(p - 1, 1), CASE WHEN p = 1 THEN 0 ELSE 1 END), '[a-z0-9]') AND NOT regexp_matches(substr(low, p + length(term), 1), '[a-z0-9]')),
+    return f"""pieces AS (SELECT doc, ord, unnest(ps) AS t, unnest(range(len(ps))) AS i FROM (SELECT doc, ord, regexp_extract_all(lower(text), '[a-z0-9]+|[^a-z0-9]+') AS ps FROM {blocks} JOIN (SELECT DISTINCT doc, ord FROM units) USING (doc, ord))),
+    words_at AS (SELECT doc, ord, t, sum(length(t)) OVER (PARTITION BY doc, ord ORDER BY i) - length(t) + 1 AS p FROM pieces),
+    pos AS (SELECT query_id, doc, ord, g, p FROM words_at JOIN grp ON t = term),
     seen AS (SELECT *, max(CASE WHEN g = 0 THEN p END) OVER w AS a, max(CASE WHEN g = 1 THEN p END) OVER w AS b, max(CASE WHEN g = 2 THEN p END) OVER w AS c FROM pos WINDOW w AS (PARTITION BY query_id, doc, ord ORDER BY p)),
     spans AS (SELECT query_id, doc, ord, mask, CAST(min(CASE WHEN (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT = bit_count(mask) THEN p - least(a, b, c) END) AS BIGINT) AS span FROM seen JOIN units USING (query_id, doc, ord) GROUP BY ALL)"""
 

@@ -129,3 +129,15 @@ def test_canonical_documents_of_moved_numbers(spark):
     assert rows(kept, "chapter", "doc") == [(1, 11), (2, 12), (3, 13), (4, 14)]
     assert rows(gone, "doc", "canonical") == [(10, 11), (15, 13)]
     assert rows(story.canonical_documents(chapters, docs.where("doc = 10"))[0], "chapter", "doc") == [(1, 10)]
+
+
+def test_scope_bitmaps(spark):
+    """Bits of ids near the edges of buckets; no scope, all, unknown keys, unknown queries, documents in no scope."""
+    ids = [0, 1, 7, 8, 32767, 32768, 32769, 65536, 10**12, 10**12 + 7]
+    table = spark.createDataFrame([(key, d) for n, key in enumerate(("a", "b", "c")) for d in ids if d % 3 == n], "scope_key string, doc long")
+    asked = [(1, "a"), (2, "b"), (3, ""), (4, "all"), (5, None), (6, "none"), (7, "c")]
+    hits = [(q, d, f"x{d}") for q in range(1, 9) for d in [*ids, 5, 40000]]
+    got = scope.within(spark.createDataFrame(hits, "query_id long, doc long, text string"), spark.createDataFrame(asked, "query_id long, scope string"), scope.scope_bitmaps(table))
+    keys = dict(asked)
+    held = lambda q, d: q in keys and (keys[q] in (None, "", "all") or (d in ids and {"a": 0, "b": 1, "c": 2}.get(keys[q]) == d % 3))
+    assert got.columns == ["query_id", "doc", "text"] and rows(got, "query_id", "doc", "text") == sorted(h for h in hits if held(*h[:2]))
