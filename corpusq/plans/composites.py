@@ -36,26 +36,32 @@ def _variants(spark, d):
     return al.expand_terms(tb.asked(spark), tb.aliases(spark), none, _no_rewrites(spark))
 
 
-@C.add(sql(select=f"SELECT * FROM {tb.values(VARIANTS)} v(query_id, term)"))
+@C.add(sql(*search.ASKED, search.BEST, "rewrites AS (SELECT '' AS phrase, 0 AS ord, '' AS target WHERE false), concepts AS (SELECT '' AS term, '' AS concept_id WHERE false)", search.VARIANTS, select="SELECT query_id, lower(term) AS term FROM variants"))
 def query_variants(spark, d):
-    """The words under which each query is searched."""
-    return _variants(spark, d).select("query_id", F.lower("term").alias("term"))
+    """The words under which a query of every document is searched, by its aliases alone."""
+    none = tb.entries(spark, d).select("term", F.lit(None).cast("string").alias("concept_id"))
+    return al.expand_terms(tb.word_queries(spark, d), tb.word_aliases(spark, d), none, _no_rewrites(spark)).select("query_id", F.lower("term").alias("term"))
 
 
-@C.add(sql(select="SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'att', 'attion', 'att→attion'), (2, 'LIC', 'LIC', ''), (3, 'license', 'license', ''), (4, 'der', 'der', ''), (5, 'nothing', 'nothing', ''), (6, 'The', 'the', 'article→the')) v(query_id, requested, canonical, notes)"))
+@C.add(sql(*search.ALL_VARIANTS, select="SELECT canon.query_id, canon.q AS requested, c AS canonical, CASE WHEN c <> canon.q THEN nick || '→' || c ELSE '' END AS notes, (SELECT string_agg(term, '|' ORDER BY ord) FROM variants v WHERE v.query_id = canon.query_id) AS variants FROM canon LEFT JOIN best USING (query_id)"))
 def resolved_queries(spark, d):
-    """Requested and canonical form with notes."""
-    none = tb.entries(spark, d).select("term", F.lit(None).cast("string").alias("concept_id"))
-    return al.resolve(tb.asked(spark), tb.aliases(spark), none, _no_rewrites(spark)).select("query_id", "requested", "canonical", F.array_join("notes", "|").alias("notes"))
+    """Requested and canonical form with notes and variants of a query of every document."""
+    r = al.resolve(tb.word_queries(spark, d), tb.word_aliases(spark, d), tb.word_concepts(spark, d), tb.word_rewrites(spark, d))
+    return r.select("query_id", "requested", "canonical", F.array_join("notes", "|").alias("notes"), F.array_join("variants", "|").alias("variants"))
 
 
-GROUPED = [(1, "att, of,att"), (2, "one"), (3, "der; LIC｜die"), (4, "attion,att")]
+GROUPED = """asked_parts AS (SELECT doc_id AS query_id, [ws[1], upper(ws[2]), ws[1], ws[4]] AS parts FROM long_words WHERE len(ws) >= 4),
+    asked AS (SELECT query_id * 10 + i AS query_id, parts[i] AS q FROM (SELECT query_id, parts, unnest(range(1, 5)) AS i FROM asked_parts))"""
+GROUPS = """named AS (SELECT a.query_id // 10 AS query_id, a.query_id % 10 AS place, a.q AS term, CASE WHEN len(targets) = 1 THEN targets[1] ELSE a.q END AS canonical FROM asked a LEFT JOIN best USING (query_id)),
+    once AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY query_id, lower(canonical) ORDER BY place) = 1)"""
 
 
-@C.add(sql(select="SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(0 AS BIGINT), 'att', 'attion'), (1, 1, 'of', 'of'), (3, 0, 'der', 'der'), (3, 1, 'LIC', 'LIC')) v(query_id, \"group\", term, canonical)"))
+@C.add(sql(tb.SQL_LONG_WORDS, tb.SQL_WORD_ALIASES, GROUPED, search.BEST, GROUPS, select='SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) - 1 AS "group", term, canonical FROM once QUALIFY count(*) OVER (PARTITION BY query_id) >= 2'))
 def term_groups(spark, d):
-    """Groups of multi-term queries, equal ones once."""
-    return al.term_groups(tb.asked(spark, GROUPED), tb.aliases(spark))
+    """Groups of a multi-term query of every document, equal ones once."""
+    w = lambda i: F.get("ws", F.lit(i))
+    q = tb.long_words(spark, d).where("size(ws) >= 4").select(F.col("doc_id").alias("query_id"), F.concat(w(0), F.lit(", "), F.upper(w(1)), F.lit("; "), w(0), F.lit("｜"), w(3)).alias("q"))
+    return al.term_groups(q, tb.word_aliases(spark, d))
 
 
 DEFINED = f"""canon AS (SELECT query_id, 0 AS target, q FROM {tb.values(CANONICAL)} v(query_id, q) UNION ALL SELECT * FROM {tb.values(AMBIGUOUS)} v(query_id, target, q)),
@@ -191,10 +197,12 @@ def scoped_multi(spark, d):
     return multiterm.search_multi(tb.groups(spark), texts, ranks, asked=asked, scopes=bitmaps).withColumn("terms", F.array_join("terms", "|"))
 
 
-@C.add(sql(tb.SQL_GROUPS, select="SELECT query_id, array_to_string(list(term ORDER BY g), '|') AS terms FROM grp GROUP BY query_id"))
+@C.add(sql(tb.SQL_LONG_WORDS, "grp AS (SELECT doc_id AS query_id, i // 2 AS g, CASE WHEN i % 3 = 0 THEN upper(ws[i + 1]) ELSE ws[i + 1] END AS term FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM long_words))", "once AS (SELECT * FROM grp QUALIFY row_number() OVER (PARTITION BY query_id, lower(term) ORDER BY g, term) = 1)", select="SELECT query_id, array_to_string(list(term ORDER BY g, term), '|') AS terms FROM once GROUP BY query_id"))
 def highlight_terms(spark, d):
-    """Variants to be marked."""
-    return multiterm.highlight_terms(tb.groups(spark)).withColumn("terms", F.array_join("terms", "|"))
+    """Variants to be marked, of groups of every document's long words."""
+    w = tb.long_words(spark, d).select(F.col("doc_id").alias("query_id"), F.posexplode("ws").alias("i", "w"))
+    g = w.select("query_id", F.expr("i div 2").cast("int").alias("group"), F.when(F.col("i") % 3 == 0, F.upper("w")).otherwise(F.col("w")).alias("term"))
+    return multiterm.highlight_terms(g).withColumn("terms", F.array_join("terms", "|"))
 
 
 TREE = """shown AS (SELECT * REPLACE (CASE WHEN grp = route THEN NULL ELSE grp END AS grp) FROM story),

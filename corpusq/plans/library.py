@@ -75,10 +75,10 @@ def natural_order(spark, d):
     return tb.table(spark, d, "part").select("p_partkey", tx.natural_key(F.concat_ws(" ", "p_type", F.col("p_size").cast("string"))).alias("natural_key"))
 
 
-@C.add(sql(select="SELECT s_suppkey, replace(s_name, '#', ' #') || ' Fate II' AS text, '' AS notes, replace(replace(s_name, '#', ' #'), ' ', '') || 'FateII' AS key FROM supplier"))
+@C.add(sql(select="SELECT s_suppkey, replace(s_name, '#', ' #') || ' Part II' AS text, '' AS notes, replace(replace(s_name, '#', ' #'), ' ', '') || 'PartII' AS key FROM supplier"))
 def normalized_queries(spark, d):
     """NFKC form, replaced spellings and glossary keys of names with full-width letters and Roman numerals."""
-    wide = F.translate(F.concat(F.lit("Fate "), F.lit("Ⅱ")), "Fate", "Ｆａｔｅ")
+    wide = F.translate(F.concat(F.lit("Part "), F.lit("Ⅱ")), "Part", "Ｐａｒｔ")
     name = F.concat(F.replace("s_name", F.lit("#"), F.lit(" #")), F.lit(" "), wide)
     n = tx.normalize_query_text(name)
     return tb.table(spark, d, "supplier").select("s_suppkey", n["text"].alias("text"), F.array_join(n["notes"], "|").alias("notes"), tx.term_key(name).alias("key"))

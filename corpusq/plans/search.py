@@ -139,11 +139,13 @@ def word_match(spark, d):
     return tb.table(spark, d, "documents").select("doc_id", tx.contains_ci(t, F.lit("SCH")).alias("has_part"), tx.word_match(t, F.lit("The")).alias("has_word"))
 
 
-@C.add(sql(tb.SQL_TERMS, select="SELECT query_id, regexp_matches(term, '[A-Za-z]') AS latin, regexp_replace(CASE WHEN regexp_matches(term, '[A-Za-z]') THEN '(?<![A-Za-z0-9])' || replace(term, ' ', '[·・‧．.\\s]*') || '(?![A-Za-z0-9])' ELSE term END, '', '') AS pattern FROM terms"))
+@C.add(sql(select="""SELECT term, regexp_matches(term, '[A-Za-z]') AS latin, CASE WHEN regexp_matches(term, '[A-Za-z]') THEN '(?<![A-Za-z0-9])' || b || '(?![A-Za-z0-9])' ELSE b END AS pattern
+    FROM (SELECT term, replace(term, ' ', '[·・‧．.\\s]*') AS b FROM (SELECT p_name AS term FROM part UNION SELECT p_brand FROM part UNION SELECT p_size::VARCHAR FROM part UNION SELECT c_name FROM customer))"""))
 def term_patterns(spark, d):
-    """Script and tolerant pattern of each term."""
-    t = tb.terms(spark)
-    return t.select("query_id", tx.is_latin(F.col("term")).alias("latin"), tx.term_pattern(F.col("term")).alias("pattern"))
+    """Script and tolerant pattern of all names, brands and sizes."""
+    p, c = tb.table(spark, d, "part"), tb.table(spark, d, "customer")
+    t = p.select(F.col("p_name").alias("term")).union(p.select("p_brand")).union(p.select(F.col("p_size").cast("string"))).union(c.select("c_name")).distinct()
+    return t.select("term", tx.is_latin(F.col("term")).alias("latin"), tx.term_pattern(F.col("term")).alias("pattern"))
 
 
 TAXONOMY = "taxonomy AS (SELECT 'top' || (CAST(substr(work, 4) AS INT) % 3)::VARCHAR AS top, work FROM (SELECT DISTINCT source AS work FROM documents))"
@@ -231,21 +233,22 @@ def paging(spark, d):
     return sc.page(p, [F.col("p_name"), F.col("p_partkey")], 5, 10, ["p_brand"]).select("p_brand", "p_partkey", "n", "total", "has_more")
 
 
+ASKED = (tb.SQL_LONG_WORDS, tb.SQL_WORD_ALIASES, tb.SQL_WORD_QUERIES)
 BEST = """found AS (SELECT query_id, q, nick, targets, priority, 2 + CASE WHEN nick = q THEN 0 ELSE 1 END AS way FROM asked JOIN aliases ON lower(nick) = lower(q)
     UNION ALL SELECT query_id, q, nick, targets, priority, CASE WHEN t = q THEN 0 ELSE 1 END FROM asked JOIN (SELECT *, unnest(targets) AS t FROM aliases) ON lower(t) = lower(q)),
     best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY way, priority, nick) = 1)"""
 
 
-@C.add(sql(tb.SQL_ALIASES, tb.SQL_ASKED, BEST, select="SELECT a.query_id, a.q, nick, array_to_string(targets, '|') AS targets FROM asked a LEFT JOIN best USING (query_id)"))
+@C.add(sql(*ASKED, BEST, select="SELECT a.query_id, a.q, nick, array_to_string(targets, '|') AS targets FROM asked a LEFT JOIN best USING (query_id)"))
 def resolve_alias(spark, d):
     """Cascade of exact and case-insensitive targets and nicks."""
-    return al.resolve_alias(tb.asked(spark), tb.aliases(spark)).withColumn("targets", F.array_join("targets", "|"))
+    return al.resolve_alias(tb.word_queries(spark, d), tb.word_aliases(spark, d)).withColumn("targets", F.array_join("targets", "|"))
 
 
-@C.add(sql(tb.SQL_ALIASES, tb.SQL_ASKED, BEST, select="SELECT a.query_id, a.q, CASE WHEN len(targets) = 1 AND targets[1] <> a.q THEN targets[1] ELSE a.q END AS text, CASE WHEN len(targets) = 1 AND targets[1] <> a.q THEN nick || '→' || targets[1] END AS note FROM asked a LEFT JOIN best USING (query_id)"))
+@C.add(sql(*ASKED, BEST, select="SELECT a.query_id, a.q, CASE WHEN len(targets) = 1 AND targets[1] <> a.q THEN targets[1] ELSE a.q END AS text, CASE WHEN len(targets) = 1 AND targets[1] <> a.q THEN nick || '→' || targets[1] END AS note FROM asked a LEFT JOIN best USING (query_id)"))
 def apply_alias(spark, d):
     """whole-query replacement by a single target."""
-    return al.apply_alias(tb.asked(spark), tb.aliases(spark))
+    return al.apply_alias(tb.word_queries(spark, d), tb.word_aliases(spark, d))
 
 
 @C.add(sql(select="SELECT doc_id, array_to_string(CASE WHEN len(p) >= 2 THEN p ELSE [] END, '|') AS parts, len(CASE WHEN len(p) >= 2 THEN p ELSE [] END) AS n FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[,，;；|｜、\\n]'), lambda x: trim(x, ' ')), lambda x: x <> '') AS p FROM documents)"))
@@ -434,15 +437,21 @@ def fallback_parts(spark, d):
     return sg.fallback_parts(tb.asked(spark, LONG_QUERIES), tb.blocks(spark, d), tb.entries(spark, d).select("term"))
 
 
-EXPANDED = [(1, "att", 1, 0), (1, "attion", 2, 1), (2, "LIC", 1, 0), (2, "licence", 2, 2), (2, "license", 3, 2), (3, "license", 1, 0), (3, "licence", 2, 2), (3, "permit", 3, 3), (4, "der", 1, 0), (4, "die", 2, 5), (5, "nothing", 1, 0), (6, "The", 1, 0), (6, "article", 2, 5)]
+VARIANTS = """canon AS (SELECT a.query_id, a.q, targets, CASE WHEN len(targets) = 1 THEN targets[1] ELSE a.q END AS c FROM asked a LEFT JOIN best USING (query_id)),
+    words AS (
+        SELECT query_id, 0 AS branch, q AS term FROM canon UNION ALL SELECT query_id, 1, c FROM canon UNION ALL SELECT query_id, 2, unnest(targets) FROM canon
+        UNION ALL SELECT query_id, 3, target FROM canon JOIN rewrites ON contains(q, phrase)
+        UNION ALL SELECT query_id, 4, y.term FROM canon JOIN concepts x ON lower(x.term) = lower(c) JOIN concepts y USING (concept_id)
+        UNION ALL SELECT query_id, 5, nick FROM canon JOIN (SELECT nick, unnest(targets) AS target FROM aliases) n ON lower(target) = lower(c) WHERE length(nick) >= 2 AND NOT contains(lower(c), lower(nick))),
+    firsts AS (SELECT query_id, branch, term FROM words QUALIFY row_number() OVER (PARTITION BY query_id, lower(term) ORDER BY branch, term) = 1),
+    variants AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY branch, term) AS ord, branch FROM firsts)"""
+ALL_VARIANTS = (*ASKED, BEST, tb.SQL_WORD_REWRITES, tb.SQL_WORD_CONCEPTS, VARIANTS)
 
 
-@C.add(sql(select=f"SELECT query_id, term, ord, branch FROM {tb.values(EXPANDED)} v(query_id, term, ord, branch)"))
+@C.add(sql(*ALL_VARIANTS, select="SELECT query_id, term, ord, branch FROM variants"))
 def expand_terms(spark, d):
-    """Variants of each query with rewrites and concepts of the corpus's entries; the sample's concepts have one term each."""
-    e = tb.entries(spark, d).select("term", F.col("leaf").alias("concept_id"))
-    rw = spark.createDataFrame([("lic", 1, ["licence", "permit"]), ("the", 2, ["article"])], "phrase string, ord int, targets array<string>")
-    return al.expand_terms(tb.asked(spark), tb.aliases(spark), e.groupBy("concept_id").agg(F.min("term").alias("term")), rw)
+    """Variants of a query of every document: aliases, rewrites, concepts, nicks."""
+    return al.expand_terms(tb.word_queries(spark, d), tb.word_aliases(spark, d), tb.word_concepts(spark, d), tb.word_rewrites(spark, d))
 
 
 @C.add()

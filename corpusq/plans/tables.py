@@ -69,6 +69,37 @@ def aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ALIASES, "nick string, targets array<string>, priority int")
 
 
+def long_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, ws)``: the words of five or more letters of every document, in order."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0)).alias("ws"))
+
+
+def word_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's first long word as a nick of its second one: ``(nick, targets, priority)``."""
+    w = long_words(spark, sf_dir).where("size(ws) >= 2").select(F.get("ws", F.lit(0)).alias("nick"), F.get("ws", F.lit(1)).alias("target"), "doc_id").where("nick <> target")
+    return w.groupBy("nick").agg(F.array_sort(F.collect_set("target")).alias("targets"), F.min("doc_id").alias("priority"))
+
+
+def word_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of the first three long words of every document, every second one in capitals: ``(query_id, q)``."""
+    w = long_words(spark, sf_dir).where("size(ws) >= 3")
+    word = F.get("ws", (F.col("doc_id") % 3).cast("int"))
+    return w.select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 2 == 0, F.upper(word)).otherwise(word).alias("q"))
+
+
+def word_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beginnings of the twenty commonest first words, with their plurals: a curated table ``(phrase, ord, targets)``."""
+    top = long_words(spark, sf_dir).where("size(ws) >= 1").groupBy(F.get("ws", F.lit(0)).alias("t")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(20)
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "t")
+    return top.select(F.substring("t", 1, 4).alias("phrase"), F.row_number().over(w).alias("ord"), F.array(F.concat("t", F.lit("s"))).alias("targets"))
+
+
+def word_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First long words; those with the same six letters in front are one concept: ``(term, concept_id)``."""
+    t = F.get("ws", F.lit(0))
+    return long_words(spark, sf_dir).where("size(ws) >= 1").select(t.alias("term"), F.substring(t, 1, 6).alias("concept_id")).distinct()
+
+
 def groups(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(GROUPS, "query_id long, `group` int, term string")
 
@@ -122,6 +153,11 @@ SQL_WORDS = "words AS (SELECT query_id, term FROM terms WHERE term NOT LIKE '% %
 SQL_GROUPS = f"grp AS (SELECT query_id, g, term FROM {values(GROUPS)} v(query_id, g, term))"
 SQL_ALIASES = f"aliases AS (SELECT * FROM {values(ALIASES)} v(nick, targets, priority))"
 SQL_ASKED = f"asked AS (SELECT * FROM {values(ASKED)} v(query_id, q))"
+SQL_LONG_WORDS = "long_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{5,}') AS ws FROM documents)"
+SQL_WORD_ALIASES = "aliases AS (SELECT ws[1] AS nick, list(DISTINCT ws[2] ORDER BY ws[2]) AS targets, min(doc_id) AS priority FROM long_words WHERE len(ws) >= 2 AND ws[1] <> ws[2] GROUP BY 1)"
+SQL_WORD_QUERIES = "asked AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 2 = 0 THEN upper(ws[doc_id % 3 + 1]) ELSE ws[doc_id % 3 + 1] END AS q FROM long_words WHERE len(ws) >= 3)"
+SQL_WORD_REWRITES = "rewrites AS (SELECT substr(t, 1, 4) AS phrase, row_number() OVER (ORDER BY n DESC, t) AS ord, t || 's' AS target FROM (SELECT ws[1] AS t, count(*) AS n FROM long_words WHERE len(ws) >= 1 GROUP BY 1 ORDER BY n DESC, t LIMIT 20))"
+SQL_WORD_CONCEPTS = "concepts AS (SELECT DISTINCT ws[1] AS term, substr(ws[1], 1, 6) AS concept_id FROM long_words WHERE len(ws) >= 1)"
 SQL_CHAPTERS = "chapters AS (SELECT doc, ord AS start, substr(text, 1, 20) AS title FROM blocks WHERE ord % 10 = 0)"
 SQL_LOCATED = "located AS (SELECT *, CASE WHEN regexp_matches(text, '^[A-Z]') THEN 'upper' ELSE 'other' END AS path FROM blocks)"
 SQL_HEADED = "headed AS (SELECT doc, ord, CASE WHEN ord % 3 = 0 THEN 'Act ' ELSE '' END || substr(text, 1, 14) AS text FROM blocks)"
