@@ -602,3 +602,108 @@ def status(spark, d):
     b = tb.blocks(spark, d).agg(F.count("*").alias("blocks"), F.sum("len").alias("chars"))
     x = tb.docs(spark, d).agg(F.count("*").alias("docs"), F.countDistinct("work").alias("works"))
     return b.crossJoin(x).select("docs", "blocks", "chars", "works")
+
+
+# Rules that no other query names, over whole tables
+
+
+@C.add(sql(tb.SQL_LONG_WORDS, "t AS (SELECT doc_id, unnest(ws) AS t FROM long_words)", select="SELECT doc_id, string_agg('(?:(?<![A-Za-z0-9])' || t || '(?![A-Za-z0-9]))', '|' ORDER BY length(t) DESC, t) AS pattern FROM (SELECT DISTINCT doc_id, t FROM t) GROUP BY doc_id"))
+def variant_patterns(spark, d):
+    """One alternation of every document's long words, longest first, whatever their case and repeats."""
+    w = tb.long_words(spark, d).where("size(ws) > 0")
+    spread = F.flatten(F.array("ws", F.transform("ws", lambda x: F.concat(F.lit(" "), F.upper(x)))))
+    return w.select("doc_id", tx.terms_pattern(spread).alias("pattern"))
+
+
+@C.add(sql(tb.SQL_BLOCKS, tb.SQL_HEADED, select="SELECT doc, ord, text = c OR (starts_with(text, c) AND regexp_matches(substr(text, length(c) + 1, 1), '[\\s(\\[]')) AS heads FROM (SELECT doc, ord, trim(text) AS text, CASE WHEN ord % 2 = 0 THEN 'Act' ELSE trim(substr(text, 1, 5)) END AS c FROM headed)"))
+def chapter_headings(spark, d):
+    """Lines that are a chapter's name, or that and a space or bracket."""
+    h = tb.headed_blocks(spark, d)
+    return h.select("doc", "ord", tx.is_chapter_heading(F.col("text"), F.when(F.col("ord") % 2 == 0, "Act").otherwise(F.trim(F.substring("text", 1, 5)))).alias("heads"))
+
+
+@C.add(sql(select="SELECT event_id, array_to_string(list_filter(list_transform(regexp_extract_all(props, '\"([^\"\n]+)\"', 1), lambda x: trim(replace(x, '_', ''))), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)\\.(png|jpg|jpeg|bmp|wav|ogg|mp3|cur|txt)$')), chr(10)) AS spoken FROM events WHERE props IS NOT NULL"))
+def quoted_strings(spark, d):
+    """The quoted strings of scripts, here of the properties of all events."""
+    return tb.table(spark, d, "events").where("props is not null").select("event_id", tx.script_dialogue(F.col("props")).alias("spoken"))
+
+
+ENOUGH = lambda c: f"length(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}#*$%&|<>@^_`~+={{}}\\\\]', '', 'g')) >= 2"
+
+
+@C.add(sql("q AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations)", f"r AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN ' A ' WHEN turn % 3 = 1 THEN substr(text, 1, 3) ELSE text END AS q, substr(next, 1, 4) AS a FROM q WHERE next IS NOT NULL)", select=f"SELECT conv_id, turn, trim(q) <> 'A' AND {ENOUGH('q')} AND {ENOUGH('a')} AS valid FROM r"))
+def valid_questions(spark, d):
+    """P20: which turns and beginnings of the next ones make a question and an answer."""
+    from pyspark.sql import Window
+
+    c = tb.table(spark, d, "conversations").withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("next is not null")
+    q = F.when(F.col("turn") % 3 == 0, " A ").when(F.col("turn") % 3 == 1, F.substring("text", 1, 3)).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", tx.valid_qa(q, F.substring("next", 1, 4)).alias("valid"))
+
+
+@C.add(sql(r"""t AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<a\b[^>]*>(.*?)</a>', '\1', 'g'), '(?i)\[([^\]]{0,200})\]\((?:(?:https?://|www\.)[^)]+)\)', '\1', 'g'), '(?i)(?:https?://|www\.)[^\s<>"“”]+', '', 'g'), chr(10)) AS ls FROM pages)""".replace("\\\\", "\\"),
+           select=r"SELECT page_id, array_to_string(list_transform(list_filter(ls, lambda x: regexp_replace(x, '^[ \t;；,，、:：\-—–·]+|[ \t;；,，、:：\-—–·]+$', '', 'g') NOT IN ('', '官网', '来源', '原文', '网址', '链接', '离线版', '其他版本')), lambda x: trim(x, ' ')), chr(10)) AS text FROM t"))
+def stripped_links(spark, d):
+    """whole pages without links of any kind and without lines that only name one."""
+    return tb.table(spark, d, "pages").select("page_id", tx.strip_links(F.col("html")).alias("text"))
+
+
+@C.add(sql(select="SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: rtrim(x, ' ' || chr(9))), chr(10)) AS text FROM documents"))
+def newline_forms(spark, d):
+    """texts of other systems come back with line feeds alone and no blanks at line ends."""
+    foreign = F.concat(F.lit("\ufeff"), F.regexp_replace("text", "\n", " \t\r\n"))
+    return tb.table(spark, d, "documents").select("doc_id", tx.normalize_newlines(foreign).alias("text"))
+
+
+@C.add(sql(tb.SQL_LONG_WORDS, "t AS (SELECT doc_id, t, min(i) AS i FROM (SELECT doc_id, unnest(ws) AS t, unnest(range(len(ws))) AS i FROM long_words) WHERE length(t) <= 80 GROUP BY doc_id, t)", "n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM t)", select="SELECT doc_id, string_agg(t, '|' ORDER BY n) AS terms FROM n WHERE n <= 32 GROUP BY doc_id"))
+def term_lists(spark, d):
+    """lists of terms given as JSON: trimmed, each once, the first thirty-two."""
+    w = tb.long_words(spark, d).where("size(ws) > 0")
+    raw = F.to_json(F.flatten(F.transform("ws", lambda x: F.array(F.concat(F.lit(" "), x, F.lit(" ")), F.upper(x), F.lit(" ")))))
+    return w.select("doc_id", F.array_join(tx.parse_terms(raw), "|").alias("terms"))
+
+
+@C.add(sql(select="SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE doc_id END AS number FROM documents"))
+def path_numbers(spark, d):
+    """the number in front of a part of a path."""
+    path = F.when(F.col("doc_id") % 3 == 0, F.concat_ws("/", F.lit("x_1"), "source", F.concat("doc_id", F.lit("_"), "lang"))).when(F.col("doc_id") % 3 == 1, F.concat("doc_id", F.lit("_x/9_y"))).otherwise(F.concat(F.lit("x"), "doc_id", F.lit("_y")))
+    return tb.table(spark, d, "documents").select("doc_id", tx.int_prefix(path).cast("long").alias("number"))
+
+
+@C.add(sql(tb.SQL_LONG_WORDS, tb.SQL_WORD_ALIASES, "late AS (SELECT DISTINCT ws[2] AS nick, first(ws[3] ORDER BY doc_id) OVER (PARTITION BY ws[2]) AS target FROM long_words WHERE len(ws) >= 3)", select="SELECT nick, array_to_string(targets, '|') AS targets, 1 AS priority FROM aliases UNION ALL SELECT nick, target, 2 FROM late WHERE nick <> target AND nick NOT IN (SELECT nick FROM aliases)"))
+def loaded_aliases(spark, d):
+    """Alias maps of two sources as JSON, lists and single targets; the first that names a nick wins."""
+    from corpusq.operators import aliases as al
+
+    listed = tb.word_aliases(spark, d).select(F.lit(1).alias("source"), F.to_json(F.create_map("nick", F.array_append("targets", F.col("nick")))).alias("json"))
+    w = tb.long_words(spark, d).where("size(ws) >= 3").groupBy(F.get("ws", F.lit(1)).alias("nick")).agg(F.min_by(F.get("ws", F.lit(2)), "doc_id").alias("target"))
+    single = w.select(F.lit(2).alias("source"), F.to_json(F.create_map("nick", "target")).alias("json"))
+    return al.load_aliases(listed.unionByName(single)).withColumn("targets", F.array_join("targets", "|"))
+
+
+@C.add(sql(tb.SQL_BLOCKS, select="SELECT doc, ord, text, len, CAST(sum(len + 1) OVER (ORDER BY doc, ord) - (len + 1) AS BIGINT) AS start FROM blocks WHERE trim(text, ' ') <> ''"))
+def published_version(spark, d):
+    """All blocks with offsets, published with a manifest and read back; a later version that fails its check leaves no trace."""
+    from corpusq.operators.blocks import with_offsets
+    from corpusq.sources import publish
+    from corpusq.sources.storage import new_folder
+
+    folder, b = new_folder(spark, "published"), tb.blocks(spark, d)
+    rows = with_offsets(b.where("trim(text) <> ''").withColumn("len", F.length("text"))).select("doc", "ord", "text", "len", "start")
+    publish.publish_version(spark, {"blocks": rows, "docs": tb.docs(spark, d)}, folder, {"lengths": lambda t: t["blocks"].where("len <> length(text)")})
+    try:
+        publish.publish_version(spark, {"blocks": rows.limit(1)}, folder, {"never": lambda t: t["blocks"]})
+    except ValueError:
+        pass
+    return publish.read_version(spark, folder)["blocks"]
+
+
+@C.add(sql(tb.SQL_QA, select="SELECT conv_id, turn, q, a, true AS current FROM qa"))
+def published_qa_index(spark, d):
+    """The question index as published, and whether it still equals a new one."""
+    from corpusq.sources import publish
+    from corpusq.sources.storage import new_folder
+
+    path, rows = new_folder(spark, "qa"), tb.qa(spark, d).select("conv_id", "turn", "q", "a")
+    publish.publish_qa_index(rows, path)
+    return spark.read.parquet(path).withColumn("current", F.lit(publish.qa_index_is_current(spark, path, rows) and not publish.qa_index_is_current(spark, path, rows.where("turn > 0"))))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusq.operators import glossary, scope, snippets, story, suffixes, suggest
+from corpusq.sources import publish, storage
 
 
 def rows(df, *columns):
@@ -141,3 +142,33 @@ def test_scope_bitmaps(spark):
     keys = dict(asked)
     held = lambda q, d: q in keys and (keys[q] in (None, "", "all") or (d in ids and {"a": 0, "b": 1, "c": 2}.get(keys[q]) == d % 3))
     assert got.columns == ["query_id", "doc", "text"] and rows(got, "query_id", "doc", "text") == sorted(h for h in hits if held(*h[:2]))
+
+
+def test_versions_survive_crashes(spark, tmp_path, monkeypatch):
+    """A run that dies between tables and manifest, one that fails a check, and a torn table."""
+    folder, table = f"file://{tmp_path}", spark.range(100).withColumn("t", F.concat(F.lit("x"), "id"))
+    with pytest.raises(FileNotFoundError):
+        publish.current_version(spark, folder)
+    assert publish.publish_version(spark, {"a": table, "b": table.limit(3)}, folder, {}) == 1
+    held = publish.read_version(spark, folder)
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(publish, "_described", dies)
+    monkeypatch.setattr(publish, "deleted", lambda *_: None)  # nothing is cleared by a process that is gone
+    with pytest.raises(KeyboardInterrupt):
+        publish.publish_version(spark, {"a": table.limit(1)}, folder, {})
+    monkeypatch.undo()
+    assert "v=2" in storage.listed(spark, folder) and publish.current_version(spark, folder) == 1 and held["a"].count() == 100
+    with pytest.raises(ValueError, match="check none failed for version 2"):
+        publish.publish_version(spark, {"a": table}, folder, {"none": lambda t: t["a"]})
+    assert sorted(storage.listed(spark, folder)) == ["manifests", "v=1"] and publish.versions(spark, folder) == [1]
+    assert publish.publish_version(spark, {"a": table.limit(7)}, folder, {}) == 2
+    assert publish.read_version(spark, folder)["a"].count() == 7 and publish.read_version(spark, folder, 1)["a"].count() == 100 and held["a"].count() == 100
+    part = next(p for p in (tmp_path / "v=1" / "a").iterdir() if p.suffix == ".parquet" and p.stat().st_size > 600)
+    part.unlink()
+    with pytest.raises(ValueError, match="table a of version 1 is torn"):
+        publish.read_version(spark, folder, 1)
+    (tmp_path / "manifests" / "v=2" / "_SUCCESS").unlink()  # a manifest that was never committed
+    assert publish.current_version(spark, folder) == 1
