@@ -383,6 +383,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     label = connected_components(links).select(F.col("node").alias("class_id"), "component")
     again = entries.join(label, "class_id", "left").withColumn("known", F.coalesce("component", "class_id"))
     across = materialize(_linked(again, sets, percent, one=False), "links")
-    label = connected_components(links.unionByName(across)).select(F.col("node").alias("class_id"), "component")
-    out = members.join(label, "class_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id")
+    # Links across stand between components: those are joined as nodes of their own graph, so the first links are not walked again.
+    of = lambda c: label.select(F.col("class_id").alias(c), F.col("component").alias(f"_{c}"))
+    between = across.join(of("src"), "src", "left").join(of("dst"), "dst", "left").select(F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst"))
+    root = connected_components(between).select(F.col("node").alias("_first"), F.col("component").alias("_root"))
+    out = members.join(label, "class_id", "left").withColumn("_first", F.coalesce("component", "class_id")).join(root, "_first", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("_root", "_first").alias("component_id"), "class_id")
