@@ -428,13 +428,26 @@ def from_first_main(spark, d):
     return bl.from_first_main(_tagged(spark, d), "plain").select("doc", "ord")
 
 
-LONG_QUERIES = [(1, "the license and the article of thend"), (2, "released under the mit license, die und der"), (3, "nothing of this kind is there")]
-
-
-@C.add()
+PIECES = r"""asked AS (SELECT item_id AS query_id, text AS q FROM benchmark),
+    probe AS (SELECT query_id, size, pos, substr(q, pos + 1, size) AS part FROM (SELECT query_id, q, size, unnest(range(0, length(q) - size + 1, greatest(2, size // 3))) AS pos FROM asked, (VALUES (24), (20), (16), (12), (10), (8)) s(size) WHERE length(q) >= size)),
+    good AS (SELECT * FROM probe WHERE len(regexp_extract_all(part, '[\x{4e00}-\x{9fff}A-Za-z0-9]')) >= 6),
+    there AS (SELECT part, CAST(sum((length(text) - length(replace(text, part, ''))) // length(part)) AS BIGINT) AS n FROM (SELECT DISTINCT part FROM good), blocks WHERE contains(text, part) GROUP BY part),
+    few AS (SELECT good.*, n FROM good JOIN there USING (part) QUALIFY row_number() OVER (PARTITION BY query_id, size ORDER BY pos) <= 4),
+    sized AS (SELECT query_id, part, n FROM few f WHERE (SELECT count(*) FROM few g WHERE g.query_id = f.query_id AND g.size > f.size) < 6),
+    special AS (SELECT query_id, 0 AS branch, row_number() OVER (PARTITION BY query_id ORDER BY length(part) DESC, n, part) AS o, part FROM (SELECT DISTINCT * FROM sized) QUALIFY o <= 8),
+    freq AS (SELECT t, count(*) AS n FROM tokens GROUP BY t),
+    inside AS (SELECT query_id, 2 AS branch, row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, n, term) AS o, term FROM asked, (SELECT DISTINCT term, n FROM entries JOIN freq ON t = term) WHERE contains(lower(q), term) AND n <= 5000 QUALIFY o <= 8),
+    clause AS (SELECT query_id, 3 AS branch, unnest(range(len(p))) AS o, unnest(p) AS part FROM (SELECT query_id, regexp_split_to_array(q, '[，。！？；：、\s“”‘’「」『』（）()\[\]【】]+') AS p FROM asked)),
+    every AS (SELECT * FROM special UNION ALL SELECT * FROM inside UNION ALL SELECT query_id, 1, row_number() OVER (PARTITION BY query_id ORDER BY min(ord), target), target FROM asked JOIN rewrites ON contains(q, phrase) GROUP BY query_id, target UNION ALL SELECT * FROM clause WHERE length(part) >= 4),
+    firsts AS (SELECT * FROM (SELECT query_id, branch, o, trim(part, '“”‘’「」『』 ') AS part FROM every) WHERE part <> '' QUALIFY row_number() OVER (PARTITION BY query_id, part ORDER BY branch, o) = 1)"""
+
+
+@C.add(sql(tb.SQL_BLOCKS, tb.SQL_TOKENS, tb.SQL_ENTRIES, tb.SQL_LONG_WORDS, tb.SQL_WORD_REWRITES, PIECES, select="SELECT query_id, part, row_number() OVER (PARTITION BY query_id ORDER BY branch, o, part) AS place FROM firsts QUALIFY place <= 16"))
 def fallback_parts(spark, d):
-    """Pieces of long queries that the corpus has."""
-    return sg.fallback_parts(tb.asked(spark, LONG_QUERIES), tb.blocks(spark, d), tb.entries(spark, d).select("term"))
+    """Pieces of all benchmark texts that the corpus has."""
+    b, q = tb.blocks(spark, d), tb.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    terms = tb.entries(spark, d).select("term").distinct().join(sg.vocabulary(b).withColumnRenamed("t", "term"), "term")
+    return sg.fallback_parts(q, b, terms, tb.word_rewrites(spark, d))
 
 
 VARIANTS = """canon AS (SELECT a.query_id, a.q, targets, CASE WHEN len(targets) = 1 THEN targets[1] ELSE a.q END AS c FROM asked a LEFT JOIN best USING (query_id)),
