@@ -128,9 +128,9 @@ def _vectors(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _entries(terms: np.ndarray, times: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rows' vectors with times of two bytes; a term has an entry for every MOST_TIMES of its times and one for the rest."""
-    more = (times - 1) // MOST_TIMES
-    if not more.any():
+    if times.max(initial=0) <= MOST_TIMES:
         return terms, times.astype(np.uint16), counts
+    more = (times - 1) // MOST_TIMES
     row = np.repeat(np.repeat(np.arange(len(counts)), counts), more + 1)
     out = np.full(len(row), MOST_TIMES, np.uint16)
     out[np.cumsum(more + 1) - 1] = times - more * MOST_TIMES
@@ -139,6 +139,8 @@ def _entries(terms: np.ndarray, times: np.ndarray, counts: np.ndarray) -> tuple[
 
 def _from_entries(terms: np.ndarray, times: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The vectors that ``_entries`` was given."""
+    if times.max(initial=0) < MOST_TIMES:
+        return terms, times, counts
     row = np.repeat(np.arange(len(counts)), counts)
     first = np.ones(len(terms), bool)
     first[1:] = (terms[1:] != terms[:-1]) | (row[1:] != row[:-1])
