@@ -240,7 +240,7 @@ def majority(spark, d):
 
 NAMES = [(1, "attion"), (2, "er"), (3, "therein"), (4, "license")]
 MATCHED = f"""q AS (SELECT * FROM {tb.values(NAMES)} v(query_id, q)),
-    m AS (SELECT query_id, q, entry_id, group_id, term, body, CASE WHEN term = q THEN 0 WHEN starts_with(term, q) THEN 1 WHEN regexp_matches(lower(body), '(^|[^a-z0-9])' || q || '([^a-z0-9]|$)') THEN 2 END AS bucket FROM q, entries),
+    m AS (SELECT query_id, q, entry_id, group_id, term, body, CASE cat WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END AS family, count(*) OVER (PARTITION BY query_id, term) AS freq, CASE WHEN term = q THEN 0 WHEN starts_with(term, q) THEN 1 WHEN regexp_matches(lower(body), '(^|[^a-z0-9])' || q || '([^a-z0-9]|$)') THEN 2 END AS bucket FROM q, entries),
     hit AS (SELECT * FROM m WHERE bucket IS NOT NULL)"""
 
 
@@ -256,13 +256,16 @@ def match_entries(spark, d):
     return _matched(spark, d).select("query_id", "entry_id", "match")
 
 
-ORDERED = """keyed AS (SELECT *, CASE bucket WHEN 0 THEN (length(regexp_replace(body, '\\s+', '', 'g')) < 40)::INT WHEN 1 THEN 0 ELSE -len(regexp_extract_all(lower(body), q)) END AS k1, CASE bucket WHEN 0 THEN -length(body) WHEN 1 THEN 0 ELSE length(body) END AS k2 FROM hit),
-    one AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY query_id, group_id ORDER BY bucket, k1, k2, length(term), entry_id) = 1),
-    ranked AS (SELECT query_id, entry_id, CASE bucket WHEN 0 THEN 'exact' WHEN 1 THEN 'contains' ELSE 'body' END AS match, row_number() OVER (PARTITION BY query_id ORDER BY bucket, k1, k2, length(term), entry_id) AS place FROM one)"""
+ORDERED = """keyed AS (SELECT *, CASE bucket WHEN 0 THEN (length(regexp_replace(body, '\\s+', '', 'g')) < 40)::INT WHEN 1 THEN -freq ELSE -len(regexp_extract_all(lower(body), q)) END AS k1, CASE bucket WHEN 0 THEN -length(body) WHEN 1 THEN (NOT starts_with(term, q))::INT ELSE length(body) END AS k2 FROM hit),
+    one AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY query_id, group_id ORDER BY bucket, family, k1, k2, length(term), entry_id) = 1),
+    ranked AS (SELECT query_id, entry_id, CASE bucket WHEN 0 THEN 'exact' WHEN 1 THEN 'contains' ELSE 'body' END AS match, row_number() OVER (PARTITION BY query_id ORDER BY bucket, family, k1, k2, length(term), entry_id) AS place FROM one)"""
 
 
 def _ranked(spark, d):
-    return gl.rank_definitions(_matched(spark, d).withColumns({"family": F.lit(0), "freq": F.lit(0)}))
+    e = tb.entries(spark, d)
+    family = F.when(F.col("cat") == "en", 0).when(F.col("cat") == "de", 1).otherwise(2)
+    known = e.select("entry_id", family.alias("family"), "term").join(e.groupBy("term").agg(F.count("*").alias("freq")), "term").drop("term")
+    return gl.rank_definitions(_matched(spark, d).join(known, "entry_id"))
 
 
 @C.add(sql(tb.SQL_ENTRIES, MATCHED, ORDERED, select="SELECT * FROM ranked"))

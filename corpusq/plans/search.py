@@ -273,6 +273,30 @@ def related_terms(spark, d):
     return sg.related_terms(tb.blocks(spark, d), tb.terms(spark, RELATED))
 
 
+PHRASES = r"""phrases AS (SELECT DISTINCT regexp_extract(lower(text), '^[^a-z0-9]*([a-z]+ [a-z]+)(?:[^a-z0-9]|$)', 1) AS term FROM documents WHERE regexp_matches(lower(text), '^[^a-z0-9]*([a-z]+ [a-z]+)(?:[^a-z0-9]|$)')),
+    spaced AS (SELECT doc, ord, lower(text) AS low, regexp_replace(lower(text), '([^a-z0-9])', '\1\1', 'g') AS wide FROM blocks),
+    phrase_hits AS MATERIALIZED (SELECT term, doc, ord, len(regexp_extract_all(wide, '(?:^|[^a-z0-9])' || replace(term, ' ', '[·・‧．.\s]*') || '(?:[^a-z0-9]|$)')) AS n FROM phrases JOIN spaced ON contains(low, split_part(term, ' ', 1)) AND contains(low, split_part(term, ' ', 2))),
+    phrase_held AS (SELECT * FROM phrase_hits WHERE n > 0)"""
+
+
+def _phrases(spark, d):
+    t = tb.table(spark, d, "documents").select(F.regexp_extract(F.lower("text"), "^[^a-z0-9]*([a-z]+ [a-z]+)(?:[^a-z0-9]|$)", 1).alias("term"))
+    return t.where("term <> ''").distinct()
+
+
+@C.add(sql(tb.SQL_BLOCKS, PHRASES, select="SELECT term AS t, CAST(sum(n) AS BIGINT) AS n, count(*) AS blocks FROM phrase_held GROUP BY term"))
+def phrase_vocabulary(spark, d):
+    """Frequencies of terms of two words, those that documents begin with."""
+    return sg.term_vocabulary(sg.term_hits(tb.blocks(spark, d), _phrases(spark, d)))
+
+
+@C.add(sql(tb.SQL_BLOCKS, PHRASES, select="SELECT a.term, b.term AS other, count(*) AS n, row_number() OVER (PARTITION BY a.term ORDER BY count(*) DESC, b.term) AS place FROM phrase_held a JOIN phrase_held b USING (doc, ord) WHERE a.term <> b.term GROUP BY 1, 2 QUALIFY place <= 12"))
+def related_phrases(spark, d):
+    """Terms of two words that share blocks."""
+    b, t = tb.blocks(spark, d), _phrases(spark, d)
+    return sg.related_terms(b, t, hits=sg.term_hits(b, t))
+
+
 PREFIXES = [(1, "th"), (2, "an"), (3, "sch"), (4, "lic"), (5, "zzz")]
 
 
