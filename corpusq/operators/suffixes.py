@@ -24,7 +24,8 @@ RANGE, LAST = 1 << 17, "\U0010ffff"
 def suffix_table(names: DataFrame) -> DataFrame:
     """``(range, suffix, name, at, word)`` of ``names(name)``: every suffix without regard to case, whether a Latin word may begin there, by range.
 
-    Names are taken once each; a null or empty name has no suffix.
+    Names are taken once each; a null or empty name has no suffix. For names, not texts: the suffixes of
+    one take up the square of its length.
     """
     low = F.lower("name")
     each = names.select("name").where("name <> ''").distinct().select("name", low.alias("low"), F.explode(F.sequence(F.lit(0), F.length(low) - 1)).alias("at"))
