@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.functions.positions import shortest_span
-from corpusq.functions.text import let
+from corpusq.functions.text import let, tidy_snippet
 from corpusq.operators.occurrences import occurrences
 from corpusq.operators.scope import within
-from corpusq.operators.snippets import SPAN, block_window
+from corpusq.operators.snippets import SHORT, SPAN, block_window, with_snippets
 
 #: Units of a query that are expanded into fragments; anchors of a group and of a unit; half of a fallback window.
 MOST_UNITS, GROUP_ANCHORS, UNIT_ANCHORS, AROUND = 200, 20, 40, 200
@@ -110,6 +110,21 @@ def fragments(units: DataFrame, blocks: DataFrame) -> DataFrame:
     return found.unionByName(bare)
 
 
+def fragment_snippets(found: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``fragments`` with ``snippet``: the window as one line, with ellipses where it cuts the document.
+
+    A block that is too short to stand alone takes its neighbours; what the fragment holds is counted in
+    its own block all the same.
+    """
+    sizes = blocks.select("doc", "ord", F.length("text").alias("_size"))
+    ends = blocks.groupBy("doc").agg(F.min("ord").alias("_first"), F.max("ord").alias("_last"))
+    d = found.join(sizes, ["doc", "ord"]).join(ends, "doc")
+    before, after = (F.col("start") > 0) | (F.col("ord") > F.col("_first")), (F.col("end") < F.col("_size")) | (F.col("ord") < F.col("_last"))
+    short = F.col("_size") < SHORT
+    alone = d.where(~short).withColumn("snippet", tidy_snippet(F.col("text"), before, after)).select(*found.columns, "snippet")
+    return alone.unionByName(with_snippets(d.where(short).select(*found.columns), blocks).select(*found.columns, "snippet"))
+
+
 def search_units(groups: DataFrame, texts: DataFrame, asked: DataFrame | None = None, scopes: DataFrame | None = None) -> DataFrame:
     """Units of all kinds of text under one level: ``(query_id, kind, doc, item, mask, groups, span, level)``.
 

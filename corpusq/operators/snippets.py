@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from corpusq.functions import text as tx
 
-#: Aimed-at and greatest lengths of sentence and paragraph snippets, in code points.
-TARGET, HARD, PARAGRAPH_TARGET, PARAGRAPH_HARD, SHORT = 360, 600, 600, 800, 180
+#: Aimed-at and greatest lengths of sentence and paragraph snippets, in code points; a whole paragraph leaves room for two ellipses.
+TARGET, HARD, PARAGRAPH_TARGET, PARAGRAPH_HARD, SHORT = 360, 600, 600, 800 - 2, 180
 #: Empty places between two blocks that still follow each other.
 BLANKS = 8
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -88,7 +88,7 @@ def paragraph_window(texts: list[str], at: int, start: int, end: int, places: li
     block = texts[at]
     places = list(range(len(texts))) if places is None else places
     if len(block) > PARAGRAPH_HARD:
-        a, b = sentence_window(block, start, end, PARAGRAPH_HARD - 2, PARAGRAPH_HARD - 2, 100)
+        a, b = sentence_window(block, start, end, PARAGRAPH_HARD, PARAGRAPH_HARD, 100)
         return block[a:b], a > 0 or at > 0, b < len(block) or at + 1 < len(texts)
     left, right, prefer_right = at, at, True
     size = len(block)

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from corpusq.operators import glossary, scope, snippets, story, suffixes, suggest
+from corpusq.operators import glossary, multiterm, scope, snippets, story, suffixes, suggest
 from corpusq.sources import publish, storage
 
 
@@ -172,3 +172,23 @@ def test_versions_survive_crashes(spark, tmp_path, monkeypatch):
         publish.read_version(spark, folder, 1)
     (tmp_path / "manifests" / "v=2" / "_SUCCESS").unlink()  # a manifest that was never committed
     assert publish.current_version(spark, folder) == 1
+
+
+def test_fragments_take_neighbours(spark):
+    """A fragment of a short block reads on over its neighbours; one of a long block is its own window."""
+    texts = ["alpha. "] + ["filler words here"] * 20 + ["Alpha and beta"] + ["more filler words"] * 20
+    long = ["first", "alpha beta " + "word. " * 200, "last"]
+    b = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)] + [(2, i, t) for i, t in enumerate(long)], "doc long, ord int, text string")
+    g = spark.createDataFrame([(1, 0, "alpha"), (1, 1, "beta")], "query_id long, `group` int, term string")
+    found = multiterm.fragments(multiterm.match_units(g, b), b)
+    got = {r.doc: r for r in multiterm.fragment_snippets(found, b).collect()}
+    assert sorted(got) == [1, 2] and {r.mask for r in got.values()} == {3} and got[1].text == "Alpha and beta"
+    assert got[1].snippet.startswith("…") and got[1].snippet.endswith("…") and len(got[1].snippet) > 180 and "words here Alpha and beta more" in got[1].snippet
+    assert got[2].snippet.startswith("…alpha beta word.") and got[2].snippet.endswith("…") and len(got[2].snippet) <= 800
+
+
+def test_paragraphs_of_limit_size():
+    """A paragraph stands whole up to 798 characters, so that with ellipses it has 800."""
+    for n, whole in ((797, True), (798, True), (799, False), (800, False)):
+        text = "字。" * (n // 2) + "字" * (n % 2)
+        assert (snippets.block_window(text, 3, 4) == (0, n)) == whole and (snippets.paragraph_window([text], 0, 3, 4)[0] == text) == whole
