@@ -33,6 +33,8 @@ K1, B, NEIGHBOURS, DEALT_BY = 1.2, 0.75, 48, 3
 #: Words whose ids a worker remembers; ids are stored in two bytes, and so are the times of a term in a text: what is
 #: over MOST_TIMES stands in further entries of the term.
 REMEMBERED, MOST_IDS, MOST_TIMES = 600_000, 1 << 16, 65_535
+#: Stands between new words that are encoded as one string, and words in such a string.
+BETWEEN, TOGETHER = "\x01", 200
 
 
 class WordTokenizer:
@@ -40,7 +42,8 @@ class WordTokenizer:
 
     For tokenizers that drop white space and never let a token cross it. A word may also end between
     a letter and a punctuation mark other than an apostrophe, unless a text holds ``<|``, with which
-    special tokens begin.
+    special tokens begin. Where the tokenizer lower-cases, words that differ in A-Z alone are one word.
+    New words are encoded many at a time with BETWEEN among them, where that is a token of its own.
     """
 
     def __init__(self, path: str):
@@ -49,6 +52,10 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > MOST_IDS:
             raise ValueError(f"{path}: over {MOST_IDS} ids, which two bytes do not hold")
+        plain = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        mark, normalizer = plain(BETWEEN), self.tokenizer.normalizer
+        self.between = mark[0] if len(mark) == 1 and plain(f"a {BETWEEN} b") == [*plain("a"), *mark, *plain("b")] else None
+        self.lowers = normalizer is not None and normalizer.normalize_str("AZ") == "az"
         self.forget()
 
     def forget(self) -> None:
@@ -68,9 +75,34 @@ class WordTokenizer:
         begins[1:] = letter[:-1] & mark[1:]
         return begins
 
+    @staticmethod
+    def _lowered(text: np.ndarray) -> np.ndarray:
+        """``text`` with a-z for A-Z, but for letters before a character that might join them to one (only ASCII and U+00C0 to U+00FF never do), and texts with ``<|``."""
+        capital = (text >= 65) & (text <= 90)
+        capital[:-1] &= (text[1:] < 128) | (text[1:] == 0xC3)
+        if ((text[:-1] == 60) & (text[1:] == 124)).any():
+            return text
+        return text + (capital.astype(np.uint8) << 5)
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per word) of some words."""
+        alone = [i for i, w in enumerate(words) if self.between is None or BETWEEN in w or "<|" in w]
+        encode = lambda texts: [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if alone:
+            apart = set(alone)
+            rest = [i for i in range(len(words)) if i not in apart]
+            some, n = self._ids_of([words[i] for i in rest]) if rest else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
+            parts = dict(zip(rest, np.split(some, np.cumsum(n)[:-1]))) | dict(zip(alone, encode([words[i] for i in alone])))
+            got = [parts[i] for i in range(len(words))]
+            return np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.concatenate(encode([f" {BETWEEN} ".join(words[i : i + TOGETHER]) + f" {BETWEEN}" for i in range(0, len(words), TOGETHER)]))
+        ends = np.flatnonzero(flat == self.between)
+        return flat[flat != self.between], np.diff(ends, prepend=-1) - 1
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per row) of the rows of one slice."""
-        words = tx.Words(data, offs, lower=False, cut=self._cut)
+        data, offs = data[int(offs[0]) : int(offs[-1])], offs - offs[0]
+        words = tx.Words(self._lowered(data) if self.lowers else data, offs, lower=False, cut=self._cut)
         uniq, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
         place = np.searchsorted(self.known, uniq)
         found = np.zeros(len(uniq), bool)
@@ -83,10 +115,9 @@ class WordTokenizer:
             raw = words.text.tobytes()
             new = np.flatnonzero(~found)
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist())]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
+            got, size = self._ids_of(texts)
             at = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.uint16, int(size.sum()))])
+            self.ids = np.concatenate([self.ids, got])
             self.known = np.insert(self.known, place[new], uniq[new])
             self.at = np.insert(self.at, place[new], at)
             self.size = np.insert(self.size, place[new], size)

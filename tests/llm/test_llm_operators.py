@@ -12,10 +12,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusq.llm import bloom_dedup, bm25_packing, components, diagonal_license, divergence, nbsvm, ngram_jaccard, queries, randomness, sentencepiece_nbest, tag_path, warc
+from corpusq.llm import bloom_dedup, bm25_packing, components, diagonal_license, divergence, nbsvm, ngram_jaccard, queries, randomness, sentencepiece_nbest, tag_path, textops, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"word{i % 977} and" for i in range(20000))
@@ -252,6 +253,25 @@ def test_packing_needs_two_bytes(monkeypatch):
         bm25_packing.WordTokenizer(queries.tokenizer_path("word_bpe_49k.json"))
 
 
+def test_new_words_are_encoded_together():
+    """Ids are those of the whole texts, also where letters join marks and words hold what stands between words; few strings reach the tokenizer."""
+    odd = ["J\u030c \u01f0 \u00c1B caf\u00c9 A\u0300b X\x01y \x01 a\x01 Don'T", "<| <|STARTOFTEXT|> <|endoftext|>A", "", "ABC abc aBc IT'S", "\u0130I \u03a3A A\u03a3", "\U0001f600A\u20dd Z\ufe20", " ".join(f"word{i} Word{i}" for i in range(1000))]
+    for texts in [odd, *([t] for t in odd)]:
+        tokenizer = bm25_packing.WordTokenizer(queries.tokenizer_path("word_bpe_49k.json"))
+        whole, strings = tokenizer.tokenizer, []
+
+        class Counting:
+            def encode_batch_fast(self, batch, **how):
+                strings.extend(batch)
+                return whole.encode_batch_fast(batch, **how)
+
+        tokenizer.tokenizer = Counting()
+        ids, sizes = tokenizer.encode(*textops.column_bytes(pa.array(texts)))
+        assert [g.tolist() for g in np.split(ids, np.cumsum(sizes)[:-1])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(strings) < 40
+
+
+
 def test_classifier_bounds_rows(spark):
     """A label whose id has many texts brings most_rows of them at most, the same ones whatever the order."""
     d = spark.createDataFrame([(i % 3, f"text number {i} of words {i % 7}") for i in range(300)], "doc_id long, text string")
