@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.functions import text as tx
-from corpusq.sources.storage import bounded
+from corpusq.sources.storage import bounded, checkpointed
+
+#: Rows of one key that a join leaves together.
+DEALT = 1000
 
 
 def load_aliases(raw: DataFrame) -> DataFrame:
@@ -23,25 +26,52 @@ def load_aliases(raw: DataFrame) -> DataFrame:
     return pairs.withColumn("priority", F.row_number().over(w)).where("priority = 1").select("nick", "targets", F.col("source").alias("priority"))
 
 
+def dealt_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``rows`` joined with a table of one row per ``key``; a key of over DEALT rows is dealt over several tasks, as each may lengthen its rows much."""
+    counts = rows.groupBy(key).agg(F.ceil(F.count("*") / DEALT).cast("int").alias("_parts"))
+    frequent = counts.where(F.col("_parts") > 1)
+    parts = F.coalesce("_parts", F.lit(1))
+    sides = table.join(frequent, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return rows.join(frequent, key, "left").withColumn("_part", F.pmod(F.xxhash64("query_id"), parts).cast("int")).drop("_parts").join(sides, [key, "_part"], how).drop("_part")
+
+
+def best_alias(queries: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``(q, best)``: priority and nick of the best alias of every distinct query; targets stay out of it, for a nick may have very many."""
+    own = aliases.select(F.col("nick").alias("word"), F.lit(2).alias("way"), "priority", "nick")
+    back = aliases.select(F.explode("targets").alias("word"), F.lit(0).alias("way"), "priority", "nick")
+    of = own.unionByName(back).groupBy("word", "way").agg(F.min(F.struct("priority", "nick")).alias("x"))
+    found = queries.select("q", F.lower("q").alias("k")).distinct().join(of.withColumn("k", F.lower("word")), "k")
+    rank = F.struct((F.col("way") + F.when(F.col("word") == F.col("q"), 0).otherwise(1)).alias("way"), "x")
+    return found.groupBy("q").agg(F.min(rank).alias("r")).select("q", F.col("r.x").alias("best"))
+
+
+def _targets(aliases: DataFrame) -> DataFrame:
+    return aliases.groupBy(F.struct("priority", "nick").alias("best")).agg(F.min("targets").alias("targets"))
+
+
+def _canonical(queries: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Queries with ``best`` and ``canonical``: the only target of the best alias, else the query."""
+    only = _targets(aliases).where("size(targets) = 1").select("best", F.get("targets", F.lit(0)).alias("_only"))
+    d = queries.join(best_alias(queries, aliases), "q", "left").join(only, "best", "left")
+    return d.select(*queries.columns, "best", F.coalesce("_only", "q").alias("canonical"))
+
+
 def resolve_alias(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """Queries with ``nick`` and ``targets`` of the best alias.
 
     Order: a target equal to the query, one equal but for case, a nick equal, a nick equal but for
     case; then the alias's priority. Queries without an alias have nulls.
     """
-    own = aliases.select(F.lower("nick").alias("k"), F.col("nick").alias("word"), F.lit(2).alias("way"), "nick", "targets", "priority")
-    back = aliases.select(F.explode("targets").alias("word"), F.lit(0).alias("way"), "nick", "targets", "priority").select(F.lower("word").alias("k"), "word", "way", "nick", "targets", "priority")
-    found = queries.select("query_id", "q", F.lower("q").alias("k")).join(own.unionByName(back), "k")
-    rank = F.struct((F.col("way") + F.when(F.col("word") == F.col("q"), 0).otherwise(1)).alias("way"), "priority", "nick")
-    best = found.groupBy("query_id").agg(F.min_by(F.struct("nick", "targets"), rank).alias("best"))
-    return queries.join(best, "query_id", "left").select(*queries.columns, "best.nick", "best.targets")
+    queries, aliases = checkpointed(queries), checkpointed(aliases)
+    best = queries.join(best_alias(queries, aliases), "q", "left")
+    return dealt_join(best, _targets(aliases), "best").select(*queries.columns, "best.nick", "targets")
 
 
 def apply_alias(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """Queries with ``text`` and ``note``: replaced where an alias of the whole query has one target."""
-    r = resolve_alias(queries, aliases)
-    one = (F.size("targets") == 1) & (F.get("targets", F.lit(0)) != F.col("q"))
-    return r.select(*queries.columns, F.when(one, F.get("targets", F.lit(0))).otherwise(F.col("q")).alias("text"), F.when(one, F.concat("nick", F.lit("→"), F.get("targets", F.lit(0)))).alias("note"))
+    queries, aliases = checkpointed(queries), checkpointed(aliases)
+    r = _canonical(queries, aliases)
+    return r.select(*queries.columns, F.col("canonical").alias("text"), F.when(F.col("canonical") != F.col("q"), F.concat("best.nick", F.lit("→"), "canonical")).alias("note"))
 
 
 def rewrite_parts(queries: DataFrame, rewrites: DataFrame) -> DataFrame:
@@ -54,16 +84,10 @@ def rewrite_parts(queries: DataFrame, rewrites: DataFrame) -> DataFrame:
     return first.select("query_id", "target", F.row_number().over(Window.partitionBy("query_id").orderBy("o", "target")).alias("ord"))
 
 
-def expand_terms(queries: DataFrame, aliases: DataFrame, entries: DataFrame, rewrites: DataFrame, specific: int = 2) -> DataFrame:
-    """``(query_id, term, ord)``: the words under which each query is searched.
-
-    In order: the query, its canonical form, alias targets, rewrite targets, terms of the same
-    concept, and nicks of the canonical form that are long enough to be specific. Equal terms but
-    for case count once. ``entries(term, concept_id)``.
-    """
-    r = resolve_alias(queries, aliases)
-    canonical = F.when(F.size("targets") == 1, F.get("targets", F.lit(0))).otherwise(F.col("q"))
-    r = r.withColumn("canonical", canonical)
+def word_variants(queries: DataFrame, aliases: DataFrame, entries: DataFrame, rewrites: DataFrame, specific: int = 2) -> DataFrame:
+    """``(q, variants)``: ``ord``, ``term`` and ``branch`` of the words of ``expand_terms``, once for every distinct query."""
+    words = queries.select(F.col("q").alias("query_id"), "q").distinct()
+    r = checkpointed(_canonical(words, aliases))
     concept = entries.where("concept_id is not null").select(F.lower("term").alias("k"), "concept_id").distinct()
     same = entries.where("concept_id is not null").select("concept_id", "term").distinct()
     peers = r.select("query_id", F.lower("canonical").alias("k")).join(concept, "k").join(same, "concept_id").select("query_id", F.lit(4).alias("branch"), "term")
@@ -72,8 +96,8 @@ def expand_terms(queries: DataFrame, aliases: DataFrame, entries: DataFrame, rew
     parts = [
         r.select("query_id", F.lit(0).alias("branch"), F.col("q").alias("term")),
         r.select("query_id", F.lit(1).alias("branch"), F.col("canonical").alias("term")),
-        r.select("query_id", F.lit(2).alias("branch"), F.explode("targets").alias("term")),
-        rewrite_parts(queries, rewrites).select("query_id", F.lit(3).alias("branch"), F.col("target").alias("term")),
+        dealt_join(r.select("query_id", "best"), _targets(aliases), "best", "inner").select("query_id", F.lit(2).alias("branch"), F.explode("targets").alias("term")),
+        rewrite_parts(words, rewrites).select("query_id", F.lit(3).alias("branch"), F.col("target").alias("term")),
         peers,
         reverse.select("query_id", F.lit(5).alias("branch"), F.col("other").alias("term")),
     ]
@@ -81,16 +105,27 @@ def expand_terms(queries: DataFrame, aliases: DataFrame, entries: DataFrame, rew
     for p in parts[1:]:
         every = every.unionByName(p)
     first = every.where("trim(term) <> ''").groupBy("query_id", F.lower("term").alias("k")).agg(F.min(F.struct("branch", "term")).alias("x"))
-    w = Window.partitionBy("query_id").orderBy("x.branch", "x.term")
-    return first.select("query_id", F.col("x.term").alias("term"), F.row_number().over(w).alias("ord"), F.col("x.branch").alias("branch"))
+    placed = F.transform(F.array_sort(F.collect_list("x")), lambda x, i: F.struct((i + 1).alias("ord"), x.term.alias("term"), x.branch.alias("branch")))
+    return first.groupBy(F.col("query_id").alias("q")).agg(placed.alias("variants"))
+
+
+def expand_terms(queries: DataFrame, aliases: DataFrame, entries: DataFrame, rewrites: DataFrame, specific: int = 2) -> DataFrame:
+    """``(query_id, term, ord, branch)``: the words under which each query is searched.
+
+    In order: the query, its canonical form, alias targets, rewrite targets, terms of the same
+    concept, and nicks of the canonical form that are long enough to be specific. Equal terms but
+    for case count once. ``entries(term, concept_id)``. Equal queries are expanded once.
+    """
+    queries, aliases = checkpointed(queries.select("query_id", "q")), checkpointed(aliases)
+    variants = word_variants(queries, aliases, entries, rewrites, specific)
+    return dealt_join(queries, variants, "q", "inner").select("query_id", F.explode("variants").alias("x")).select("query_id", "x.term", "x.ord", "x.branch")
 
 
 def term_groups(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """``(query_id, group, term, canonical)`` of the queries with two or more distinct parts."""
     parts = queries.select("query_id", F.posexplode(tx.split_terms(F.col("q"))).alias("place", "part"))
-    keyed = parts.select(F.struct("query_id", "place").alias("query_id"), F.col("part").alias("q"))
-    r = resolve_alias(keyed, aliases).withColumn("canonical", F.when(F.size("targets") == 1, F.get("targets", F.lit(0))).otherwise(F.col("q")))
-    r = r.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.place").alias("place"), F.col("q").alias("term"), "canonical")
+    keyed = checkpointed(parts.select("query_id", "place", F.col("part").alias("q")))
+    r = _canonical(keyed, checkpointed(aliases)).select("query_id", "place", F.col("q").alias("term"), "canonical")
     first = r.groupBy("query_id", tx.match_key(F.col("canonical")).alias("k")).agg(F.min(F.struct("place", "term", "canonical")).alias("x"))
     w = Window.partitionBy("query_id")
     g = first.select("query_id", (F.row_number().over(w.orderBy("x.place")) - 1).alias("group"), "x.term", "x.canonical", F.count("*").over(w).alias("groups"))
@@ -100,7 +135,8 @@ def term_groups(queries: DataFrame, aliases: DataFrame) -> DataFrame:
 def resolve(queries: DataFrame, aliases: DataFrame, entries: DataFrame, rewrites: DataFrame) -> DataFrame:
     """Queries with requested and canonical form, notes and the ordered variants."""
     n = queries.withColumn("n", tx.normalize_query_text(F.trim("q")))
-    n = n.select("query_id", F.col("n.text").alias("q"), F.col("n.notes").alias("notes"))
-    variants = expand_terms(n, aliases, entries, rewrites).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "term"))), lambda x: x.term).alias("variants"))
-    a = apply_alias(n, aliases)
-    return a.join(variants, "query_id").select("query_id", F.col("q").alias("requested"), F.col("text").alias("canonical"), F.array_compact(F.concat("notes", F.array("note"))).alias("notes"), "variants")
+    n = checkpointed(n.select("query_id", F.col("n.text").alias("q"), F.col("n.notes").alias("notes")))
+    aliases = checkpointed(aliases)
+    variants = word_variants(n, aliases, entries, rewrites).select("q", F.transform("variants", lambda x: x.term).alias("variants"))
+    a = dealt_join(apply_alias(n, aliases), variants, "q", "inner")
+    return a.select("query_id", F.col("q").alias("requested"), F.col("text").alias("canonical"), F.array_compact(F.concat("notes", F.array("note"))).alias("notes"), "variants")

@@ -364,3 +364,29 @@ def test_dealt_card_pairs(spark, monkeypatch):
     assert rows(glossary.duplicate_pairs(d), "a", "b") == sorted(close) and close
     covered = [(a, b) for a in range(len(bodies)) for b in range(len(bodies)) if len(skeleton[a]) >= 40 and len(skeleton[b]) >= 1.35 * len(skeleton[a]) and len(grams[a] & grams[b]) >= 0.7 * len(grams[a])]
     assert rows(glossary.coverage(d), "short", "long") == sorted(covered) and covered
+
+
+def test_equal_queries_are_resolved_once_without_targets(spark):
+    """Many equal queries and a nick of many targets: equal to a plain reading; the search for the best alias carries no targets."""
+    many = [f"t{i}" for i in range(40)]
+    table = [("big", many, 1), ("Big", ["one"], 2), ("t7", ["seven"], 3), ("T8", ["x", "big"], 0)]
+    asked = [(i, ["t7", "BIG", "big", "one", "none", "T8", None][i % 7]) for i in range(2800)]
+    q, a = spark.createDataFrame(asked, "query_id long, q string"), spark.createDataFrame(table, "nick string, targets array<string>, priority int")
+
+    def best(text):
+        found = [((0 if w == text else 1) + way, p, nick, targets) for nick, targets, p in table for way, ws in ((2, [nick]), (0, targets)) for w in ws if text is not None and w.lower() == text.lower()]
+        return min(found)[2:] if found else (None, None)
+
+    assert aliases.best_alias(q, a).columns == ["q", "best"] and aliases.best_alias(q, a).count() == 5
+    assert rows(aliases.resolve_alias(q, a), "query_id", "q", "nick", "targets") == sorted((i, t, *best(t)) for i, t in asked)
+    none = spark.createDataFrame([], "term string, concept_id string")
+    got = rows(aliases.expand_terms(q, a, none, spark.createDataFrame([], "phrase string, ord int, targets array<string>")), "query_id", "ord", "term")
+    for i, text in asked[:7]:
+        targets = best(text)[1] or []
+        canonical = targets[0] if len(targets) == 1 else text
+        nicks = sorted(n for n, ts, _ in table for t in ts if canonical and t.lower() == canonical.lower() and n.lower() not in canonical.lower())
+        first = {}
+        for t in [text, canonical, *sorted(targets), *nicks] if text else []:
+            first.setdefault(t.lower(), t)
+        assert [t for j, _, t in got if j == i] == list(first.values())
+    assert len({j for j, _, _ in got}) == 2400
