@@ -390,3 +390,13 @@ def test_equal_queries_are_resolved_once_without_targets(spark):
             first.setdefault(t.lower(), t)
         assert [t for j, _, t in got if j == i] == list(first.values())
     assert len({j for j, _, _ in got}) == 2400
+
+
+def test_terms_of_several_words_meet_blocks_by_two_words(spark):
+    """Terms that share a frequent first word reach only the blocks that hold two of their words side by side, with or without gaps."""
+    texts = [f"the w{i} and the·w{i + 1} or thew{i + 2}" for i in range(60)] + ["a b c", "ab c", "a bc", "abc", "a b x c", "one two three four five six seven eight", "onetwo three fourfive six seven eight", "one two"]
+    b = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc long, ord int, text string")
+    t = spark.createDataFrame([(i, f"the w{i}") for i in range(60)] + [(100, "a b c"), (101, "one two three four five six seven eight"), (102, "three four five")], "query_id long, term string")
+    scan, index = (rows(f(t, b), "query_id", "doc", "n", "positions") for f in (occurrences.scan_occurrences, occurrences.index_occurrences))
+    assert scan == index and {d for q, d, *_ in index if q == 100} == {60, 61, 62, 63} and {d for q, d, *_ in index if q > 100} == {65, 66}
+    assert occurrences.near_blocks(t, b).count() < 200 < occurrences.near_blocks(t, b, occurrences.block_grams(b)).count()
