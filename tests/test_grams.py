@@ -53,3 +53,19 @@ def test_only_pairs_that_pass_leave_the_task(spark, monkeypatch, dealt):
     long = sorted((x[0], y[0], len(x[2]), x[3] == y[3]) for x in s for y in s if x[1] == y[1] and len(x[2]) >= 40 and len(y[2]) >= 1.35 * len(x[2]) and share(x[2], y[2]) >= 0.7 * len(of(x[2])))
     assert sorted(tuple(r)[1:4] for r in glossary.coverage(d.drop("bucket")).collect()) == [x[:3] for x in long] and len(long) > 5
     assert sorted(tuple(r)[1:4] for r in glossary.coverage(d).collect()) == [x[:3] for x in long if x[3]]
+
+
+def test_clusters_find_the_pairs_once(spark):
+    """Pairs are as dear as a comparison of all cards: they are not found once for each direction."""
+    from pyspark.sql import functions as F
+
+    asked = spark.sparkContext.accumulator(0)
+
+    def seen(a):
+        asked.add(1)
+        return a
+
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long").withColumn("a", F.udf(seen, "long")("a"))
+    got = glossary.clusters(spark.range(1, 10).withColumnRenamed("id", "card_id"), pairs)
+    assert {r.card_id: r.cluster for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 7, 9: 9}
+    assert asked.value == 3
