@@ -160,3 +160,27 @@ def test_queries_on_all_groups(spark):
         placed |= {(name, r.card_id, n + 1) for n, r in enumerate([first, *rest])}
     assert {r.card_id for r in ask("prune_covered")} == kept
     assert {(r.group_id, r.card_id, r.place) for r in ask("assemble_cards")} == placed
+
+
+def test_bands_are_dealt_by_their_own_size(spark, monkeypatch):
+    """A band of a large group is dealt over blocks of its own cards and the next band's, not of all cards of the group."""
+    monkeypatch.setattr(glossary, "DEALT_CARDS", 10)
+    rows = [(k, "g", "ab" * (50 if k % 2 else 500)) for k in range(120)]
+    d = spark.createDataFrame(rows, "card_id long, group_id string, body string")
+    sides = glossary._dealt_blocks(d, ["group_id"], glossary.DUPLICATE_LENGTHS)
+    # Sixty cards a band are six blocks: a card is sent to six as left, six as right, six of the band before.
+    assert sides.count() == 120 * 18 and {r.i for r in sides.select("i").distinct().collect()} == set(range(6))
+
+
+def test_few_pairs_are_followed_alone(monkeypatch):
+    """Unlike texts over one vocabulary are told apart together, by short stretches."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 5))) for _ in range(400)]
+    short, *long = ["".join(rng.choice(words) for _ in range(n)) for n in [60, *range(120, 200)]]
+    alone, true = [], [blocks(short, t) for t in long]
+    follow = matching.matched
+    monkeypatch.setattr(matching, "matched", lambda *a: alone.append(1) or follow(*a))
+    least = np.full(len(long), int(0.8 * len(short)))
+    found = matching.Shelf([matching.Text(t) for t in long]).matches(matching.Text(short), np.ones(len(long), bool), least, np.ones(len(long), bool))
+    assert found == {i: m for i, m in enumerate(true) if m >= least[i]}
+    assert len(alone) <= len(long) // 4
