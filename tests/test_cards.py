@@ -184,3 +184,18 @@ def test_few_pairs_are_followed_alone(monkeypatch):
     found = matching.Shelf([matching.Text(t) for t in long]).matches(matching.Text(short), np.ones(len(long), bool), least, np.ones(len(long), bool))
     assert found == {i: m for i, m in enumerate(true) if m >= least[i]}
     assert len(alone) <= len(long) // 4
+
+
+def test_few_queries_scan_bodies(spark, monkeypatch):
+    """Few queries do not explode the grams of all bodies, and find what the join by grams finds."""
+    from corpusq.operators import occurrences
+
+    rows = [(1, "alpha", "The Beta of a·b"), (2, "beta", "no such word"), (3, "gamma", "betas and 远坂凛"), (4, "delta", "a b ab"), (5, "eps", None)]
+    e = spark.createDataFrame(rows, "entry_id long, term string, body string")
+    q = spark.createDataFrame([(1, "beta"), (2, "坂"), (3, "a·b"), (4, "beta"), (5, "a b")], "query_id long, q string")
+    ask = lambda: sorted(tuple(r) for r in glossary.match_entries(q, e).collect())
+    with monkeypatch.context() as m:
+        m.setattr(occurrences, "FEW_TERMS", 0)
+        joined = ask()
+    monkeypatch.setattr(occurrences, "near_blocks", None)
+    assert ask() == joined and (1, 1, "body") in joined and (2, 3, "body") in joined
