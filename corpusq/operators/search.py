@@ -12,6 +12,7 @@ from corpusq.operators import occurrences as oc
 from corpusq.operators.multiterm import matched_units
 from corpusq.operators.ordering import numbered
 from corpusq.operators.scope import within
+from corpusq.sources.storage import checkpointed
 
 #: Interviews and questions, related terms, passages that a search lists.
 LISTED, RELATED, PASSAGES = 8, 12, 60
@@ -131,7 +132,8 @@ def list_units(units: DataFrame, docs: DataFrame, offset: int, limit: int, work:
 
     The level is that of the units in scope, ``asked(query_id, scope)``.
     """
-    d = matched_units(units if scopes is None else scoped(units, asked, scopes)).join(docs.select("doc", "work"), "doc")
+    masks = checkpointed(units.select("query_id", "doc", "ord", "mask"))  # scanned once, for level, ranks and totals
+    d = matched_units(masks if scopes is None else scoped(masks, asked, scopes)).join(docs.select("doc", "work"), "doc")
     d = d.where(F.col("work") == work) if work else d
     totals = d.groupBy("query_id").agg(F.count("*").alias("total"))
     d = numbered(d, ["query_id"], ["work"], ["doc", "ord"], "rank").where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))

@@ -28,3 +28,10 @@ def test_statistics_of_units_need_no_positions(spark):
     stats = multiterm.unit_stats(u, docs)
     assert {(r.query_id, r.work, r.units, r.docs) for r in stats.collect()} == {(1, "a", 1, 1), (1, "b", 1, 1), (1, None, 2, 2), (2, "b", 1, 1), (2, None, 1, 1)}
     assert "split(" not in plan(stats) and plan(stats).count("regexp_extract_all") == plan(multiterm.effective_level(u)).count("regexp_extract_all") > 0
+
+
+def test_listings_of_units_scan_once(spark):
+    u, docs = units(spark)
+    page = search.list_units(u, docs, 0, 1)
+    assert rows(page, "query_id", "doc", "ord", "rank", "total", "has_more") == [(1, 1, 0, 1, 2, True), (2, 3, 0, 1, 1, False)]
+    assert "regexp_extract_all" not in plan(page)
