@@ -35,3 +35,14 @@ def test_listings_of_units_scan_once(spark):
     page = search.list_units(u, docs, 0, 1)
     assert rows(page, "query_id", "doc", "ord", "rank", "total", "has_more") == [(1, 1, 0, 1, 2, True), (2, 3, 0, 1, 1, False)]
     assert "regexp_extract_all" not in plan(page)
+
+
+def test_only_the_kinds_of_grams_that_terms_ask_for_are_made(spark, monkeypatch):
+    made, kept = [], occurrences.block_grams
+    monkeypatch.setattr(occurrences, "block_grams", lambda blocks, *kinds: made.append(kinds) or kept(blocks, *kinds))
+    b = spark.createDataFrame([(1, 0, "foo bar 12"), (2, 0, "远坂 and 123"), (3, 0, "bar foo")], "doc long, ord int, text string")
+    for terms, kinds, docs in ((["foo"], (False, False), [1, 3]), (["foo bar"], (True, False), [1]), (["远坂"], (False, True), [2]), (["12", "and"], (False, True), [1, 2, 2]), (["zzz"], (False, False), [])):
+        t = spark.createDataFrame(list(enumerate(terms)), "query_id long, term string")
+        hits = occurrences.index_occurrences(t, b, positions=False)
+        assert made.pop() == kinds and [d for d, in rows(hits, "doc")] == docs
+    assert occurrences.near_blocks(spark.createDataFrame([], "query_id long, term string"), b).count() == 0
