@@ -46,3 +46,14 @@ def test_only_the_kinds_of_grams_that_terms_ask_for_are_made(spark, monkeypatch)
         hits = occurrences.index_occurrences(t, b, positions=False)
         assert made.pop() == kinds and [d for d, in rows(hits, "doc")] == docs
     assert occurrences.near_blocks(spark.createDataFrame([], "query_id long, term string"), b).count() == 0
+
+
+def test_stretches_are_counted_from_the_left_in_time_that_grows_with_the_block(spark):
+    """A block of a quarter of a million characters took minutes, as each of its places was looked for from the start."""
+    texts = ["aaaaaaaaaaaaaaaaaaaaaaaa", "abcabcabcabcabcabcabc", "𝒳abcdefgh𝒳abcdefgh", "?abcdefgh short", "line one\ncrossed line one\ncrossed", "", "éàü" * 80_000 + "abcdefgh"]
+    parts = ["aaaaaaaa", "aaaaaaaaa", "abcabcabc", "abcdefgh", "?abcdefg", "𝒳abcdefg", "line one\ncrossed", "éàüéàüéàü", "not there"]
+    b = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)] + [(99, 0, None)], "doc long, ord int, text string")
+    p = spark.createDataFrame([(x,) for x in parts + parts[:2]], "part string")
+    began = time.monotonic()
+    assert rows(suggest.stretches_in(p, b), "part", "n") == sorted((x, n) for x in parts if (n := sum(t.count(x) for t in texts)))
+    assert time.monotonic() - began < 60
