@@ -67,7 +67,7 @@ def variant_hits(variants: DataFrame, blocks: DataFrame) -> DataFrame:
 
     Places at which several variants match count once, as the alternation finds them.
     """
-    found = oc.occurrences(variants, blocks, positions=False).groupBy("query_id", "doc", "ord").agg(F.sum("n").alias("n"), F.count("*").alias("_terms"))
+    found = checkpointed(oc.occurrences(variants, blocks, positions=False).groupBy("query_id", "doc", "ord").agg(F.sum("n").alias("n"), F.count("*").alias("_terms")))
     one, more = found.where("_terms = 1").drop("_terms"), found.where("_terms > 1").drop("_terms", "n")
     pattern = variants.groupBy("query_id").agg(F.concat(F.lit("(?iu)"), tx.terms_pattern(F.array_sort(F.collect_set("term")))).alias("_p"))
     more = more.join(blocks.select("doc", "ord", "text"), ["doc", "ord"]).join(pattern, "query_id")
@@ -98,8 +98,9 @@ def search(queries: DataFrame, aliases: DataFrame, variants: DataFrame, entries:
     asked = c.select("query_id", F.col("canonical").alias("q"))
     asked = asked if scopes is None else asked.join(queries.select("query_id", "scope"), "query_id")
     shape = lambda d, section, place, doc, ord_, label, n: d.select("query_id", F.lit(section).alias("section"), F.expr(f"cast({place} as long)").alias("place"), F.expr(f"cast({doc} as long)").alias("doc"), F.expr(f"cast({ord_} as long)").alias("ord"), F.expr(f"cast({label} as string)").alias("label"), F.expr(f"cast({n} as long)").alias("n"))
-    cards = gl.cap_cards(definitions(queries, aliases, entries, parts, scopes))
-    hits = scoped(variant_hits(variants, blocks), queries, scopes)
+    # Cards and hits are used by several sections, and are found once.
+    cards = checkpointed(gl.cap_cards(definitions(queries, aliases, entries, parts, scopes)))
+    hits = checkpointed(scoped(variant_hits(variants, blocks), queries, scopes))
     d = hits.join(docs.select("doc", "work", "kind_rank", "work_rank"), "doc")
     per = hits.groupBy("query_id", "doc").agg(F.sum("n").alias("n"), F.count("*").alias("passages")).join(docs.select("doc", "work", "work_rank"), "doc")
     works = per.groupBy("query_id", "work", "work_rank").agg(F.sum("n").alias("n"), F.sum("passages").alias("passages"), F.count("*").alias("docs"))

@@ -57,3 +57,12 @@ def test_stretches_are_counted_from_the_left_in_time_that_grows_with_the_block(s
     began = time.monotonic()
     assert rows(suggest.stretches_in(p, b), "part", "n") == sorted((x, n) for x in parts if (n := sum(t.count(x) for t in texts)))
     assert time.monotonic() - began < 60
+
+
+def test_hits_and_cards_of_a_search_are_found_once(spark):
+    """Sections read stored hits and cards; no plan of theirs scans blocks or bodies again."""
+    b = spark.createDataFrame([(1, 0, "the ox"), (2, 0, "der ox, the der")], "doc long, ord int, text string")
+    v = spark.createDataFrame([(1, "the"), (2, "der"), (2, "the")], "query_id long, term string")
+    hits = search.variant_hits(v, b)
+    assert rows(hits, "query_id", "doc", "ord", "n") == [(1, 1, 0, 1), (1, 2, 0, 1), (2, 1, 0, 1), (2, 2, 0, 3)]
+    assert plan(hits).count("regexp_extract_all") == 1  # of blocks with several variants alone
