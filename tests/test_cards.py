@@ -7,8 +7,11 @@ import random
 import re
 import unicodedata
 from collections import defaultdict
+from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from corpusq.functions import matching
@@ -199,3 +202,25 @@ def test_few_queries_scan_bodies(spark, monkeypatch):
         joined = ask()
     monkeypatch.setattr(occurrences, "near_blocks", None)
     assert ask() == joined and (1, 1, "body") in joined and (2, 3, "body") in joined
+
+
+@pytest.mark.parametrize("most", [2, 5])
+def test_a_group_has_few_blocks(spark, monkeypatch, most):
+    """A card of a large group is sent to as many block pairs as the group has blocks, not to one for every DEALT_CARDS cards; pairs stay the same."""
+    rng = random.Random(7)
+    bodies = [t for _ in range(6) for t in texts(rng, ALPHABETS[1], 8)] + ["abcdefgh" * 6] * 30 + ["hgfedcba" * 6] * 30
+    rows = [(k, "g", t) for k, t in enumerate(bodies)]
+    d = spark.createDataFrame(rows, "card_id long, group_id string, body string")
+    close = sorted((i, j) for i, s in enumerate(bodies) for j in range(i + 1, len(bodies)) if is_duplicate(s, bodies[j]))
+    long = sorted((i, j) for i, s in enumerate(bodies) for j, t in enumerate(bodies) if covers(s, t))
+    monkeypatch.setattr(glossary, "DEALT_CARDS", 3)
+    monkeypatch.setattr(glossary, "MOST_BLOCKS", most)
+    assert sorted((r.a, r.b) for r in glossary.matching_pairs(d).collect()) == close and len(close) > 400
+    assert sorted((r.short, r.long) for r in glossary.matching_coverage(d).collect()) == long and len(long) > 20
+
+    def counted(keys: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"group_id": [keys[0]], "a": keys[1], "b": keys[2], "n_a": sum(map(len, batches)), "n_b": 1, "matched": 1})
+
+    monkeypatch.setattr(glossary, "_block_pairs", lambda measure, schema: counted)
+    for found in (glossary.matching_pairs(d), glossary.matching_coverage(d)):
+        assert found.count() <= most * (most + 1) // 2
