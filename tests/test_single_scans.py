@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import random
+import re
 import time
+from collections import Counter
+
+import pytest
 
 from corpusq.operators import multiterm, occurrences, search, suggest
 
@@ -66,3 +71,37 @@ def test_hits_and_cards_of_a_search_are_found_once(spark):
     hits = search.variant_hits(v, b)
     assert rows(hits, "query_id", "doc", "ord", "n") == [(1, 1, 0, 1), (1, 2, 0, 1), (2, 1, 0, 1), (2, 2, 0, 3)]
     assert plan(hits).count("regexp_extract_all") == 1  # of blocks with several variants alone
+
+
+def test_many_latin_terms_are_counted_where_blocks_lie(spark, monkeypatch):
+    """Terms of Latin words are sent to the blocks in shares; no block and no hit is shuffled, and the rows are those of one scan."""
+    texts = [f"the w{i} and the·w{i + 1} or thew{i + 2}, THE w{i}" for i in range(30)] + ["a b c", "ab c", "a bc ab c", "abc", "远坂 w1", None]
+    b = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc long, ord int, text string")
+    t = spark.createDataFrame([(i, f"the w{i}") for i in range(30)] + [(50, "a b c"), (51, "w1 远坂"), (52, "远坂"), (53, "w3, the"), (54, " "), (55, "the w1")], "query_id long, term string")
+    cols = ["query_id", "term", "doc", "ord", "n", "positions"]
+    true = rows(occurrences.scan_occurrences(t, b), *cols)
+    for grams in (100_000, 9):
+        monkeypatch.setattr(occurrences, "SENT_GRAMS", grams)
+        assert rows(occurrences.many_occurrences(t, b), *cols) == true and len(true) > 80
+    hits = occurrences.many_occurrences(t.where("query_id < 50"), b, positions=False)
+    assert rows(hits, *cols[:5]) == [r[:5] for r in true if r[0] < 50]
+    assert not re.search(r"Exchange hashpartitioning\((doc|ord)#", hits._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("limits", [(1 << 21, 1 << 22, 500), (5, 7, 3)])
+def test_pairs_of_terms_are_summed_before_they_are_sent(spark, monkeypatch, limits):
+    """Terms that share the most blocks, ties by name, against a plain count; a block's hits are not joined with themselves."""
+    rng = random.Random(2)
+    for k, v in zip(("LISTED", "HELD", "SHARE"), limits):
+        monkeypatch.setattr(suggest, k, v)
+    words = [f"t{i}" for i in range(20)]
+    held = {(d, o): {w for w in words if rng.random() < 0.3} for d in range(25) for o in range(2)}
+    hits = spark.createDataFrame([(w, d, o) for (d, o), ws in held.items() for w in ws for _ in range(rng.randint(1, 2))], "term string, doc long, ord int")
+    blocks = spark.createDataFrame([(d, o, " ".join(sorted(ws)).upper() + " t3 other") for (d, o), ws in held.items()], "doc long, ord int, text string")
+    terms = spark.createDataFrame([(w,) for w in [*words, "never"]], "term string")
+    for given, sets in ((hits, held), (None, {k: ws | {"t3"} for k, ws in held.items()})):
+        n = Counter((a, b) for ws in sets.values() for a in ws for b in ws if a != b)
+        best = sorted((a, b, c, p) for a in words for p, (c, b) in enumerate(sorted((-c, b) for (x, b), c in n.items() if x == a)[:4], 1) for c in [-c])
+        got = suggest.related_terms(blocks, terms, 4, given)
+        assert rows(got, "term", "other", "n", "place") == best
+        assert not re.search(r"Join \[(doc|ord)#", got._jdf.queryExecution().executedPlan().toString())
