@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.functions import text as tx
-from corpusq.sources.storage import bounded, checkpointed
+from corpusq.sources.storage import bounded, checkpointed, stored
 
 #: Rows of one key that a join leaves together.
 DEALT = 1000
@@ -26,13 +26,13 @@ def load_aliases(raw: DataFrame) -> DataFrame:
     return pairs.withColumn("priority", F.row_number().over(w)).where("priority = 1").select("nick", "targets", F.col("source").alias("priority"))
 
 
-def dealt_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """``rows`` joined with a table of one row per ``key``; a key of over DEALT rows is dealt over several tasks, as each may lengthen its rows much."""
+def dealt_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left", by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """``rows`` joined with a table of one row per ``key``; a key of over DEALT rows is dealt over several tasks, as each may lengthen its rows much; ``by`` tells the rows of a key apart."""
     counts = rows.groupBy(key).agg(F.ceil(F.count("*") / DEALT).cast("int").alias("_parts"))
     frequent = counts.where(F.col("_parts") > 1)
     parts = F.coalesce("_parts", F.lit(1))
     sides = table.join(frequent, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return rows.join(frequent, key, "left").withColumn("_part", F.pmod(F.xxhash64("query_id"), parts).cast("int")).drop("_parts").join(sides, [key, "_part"], how).drop("_part")
+    return rows.join(frequent, key, "left").withColumn("_part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("_parts").join(sides, [key, "_part"], how).drop("_part")
 
 
 def best_alias(queries: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -84,8 +84,22 @@ def rewrite_parts(queries: DataFrame, rewrites: DataFrame) -> DataFrame:
     return first.select("query_id", "target", F.row_number().over(Window.partitionBy("query_id").orderBy("o", "target")).alias("ord"))
 
 
+def _variants(own: list[Column], targets: Column, others: Column) -> Column:
+    """``ord``, ``term`` and ``branch`` of the words of one query; equal words but for case count once, the first."""
+    every = [F.transform(F.array(*own), lambda t, i: F.struct(i.alias("branch"), t.alias("term"))), F.transform(targets, lambda t: F.struct(F.lit(2).alias("branch"), t.alias("term"))), others]
+    every = F.concat(*(F.coalesce(x, F.expr("cast(array() as array<struct<branch:int,term:string>>)")) for x in every))
+    keyed = F.array_sort(F.transform(F.filter(every, lambda x: F.trim(x.term) != ""), lambda x: F.struct(F.lower(x.term).alias("k"), x.branch.alias("branch"), x.term.alias("term"))))
+    firsts = tx.let(keyed, lambda s: F.filter(s, lambda x, n: (n == 0) | (F.get(s, n - 1).k != x.k)))
+    return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x.branch.alias("branch"), x.term.alias("term")))), lambda x, i: F.struct((i + 1).alias("ord"), x.term.alias("term"), x.branch.alias("branch")))
+
+
 def word_variants(queries: DataFrame, aliases: DataFrame, entries: DataFrame, rewrites: DataFrame, specific: int = 2) -> DataFrame:
-    """``(q, variants)``: ``ord``, ``term`` and ``branch`` of the words of ``expand_terms``, once for every distinct query."""
+    """``(q, canonical, best, members, variants)``: the words of ``expand_terms``, once for every distinct query, or for every DEALT of equal ones.
+
+    ``members`` are the rows of ``queries`` without ``q``. A nick's targets, by far the most of the
+    words, are joined last, as they stand in its alias: the words of a query are put together where
+    they are used, and are not sent on.
+    """
     words = queries.select(F.col("q").alias("query_id"), "q").distinct()
     r = checkpointed(_canonical(words, aliases))
     concept = entries.where("concept_id is not null").select(F.lower("term").alias("k"), "concept_id").distinct()
@@ -93,20 +107,15 @@ def word_variants(queries: DataFrame, aliases: DataFrame, entries: DataFrame, re
     peers = r.select("query_id", F.lower("canonical").alias("k")).join(concept, "k").join(same, "concept_id").select("query_id", F.lit(4).alias("branch"), "term")
     nicks = aliases.select("nick", F.explode("targets").alias("target"))
     reverse = r.join(nicks.withColumnRenamed("nick", "other"), F.lower("canonical") == F.lower("target")).where((F.length("other") >= specific) & ~F.contains(F.lower("canonical"), F.lower("other")))
-    parts = [
-        r.select("query_id", F.lit(0).alias("branch"), F.col("q").alias("term")),
-        r.select("query_id", F.lit(1).alias("branch"), F.col("canonical").alias("term")),
-        dealt_join(r.select("query_id", "best"), _targets(aliases), "best", "inner").select("query_id", F.lit(2).alias("branch"), F.explode("targets").alias("term")),
-        rewrite_parts(words, rewrites).select("query_id", F.lit(3).alias("branch"), F.col("target").alias("term")),
-        peers,
-        reverse.select("query_id", F.lit(5).alias("branch"), F.col("other").alias("term")),
-    ]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    first = every.where("trim(term) <> ''").groupBy("query_id", F.lower("term").alias("k")).agg(F.min(F.struct("branch", "term")).alias("x"))
-    placed = F.transform(F.array_sort(F.collect_list("x")), lambda x, i: F.struct((i + 1).alias("ord"), x.term.alias("term"), x.branch.alias("branch")))
-    return first.groupBy(F.col("query_id").alias("q")).agg(placed.alias("variants"))
+    every = rewrite_parts(words, rewrites).select("query_id", F.lit(3).alias("branch"), F.col("target").alias("term")).unionByName(peers)
+    every = every.unionByName(reverse.select("query_id", F.lit(5).alias("branch"), F.col("other").alias("term")))
+    others = every.groupBy(F.col("query_id").alias("q")).agg(F.collect_list(F.struct("branch", "term")).alias("others"))
+    frequent = queries.groupBy("q").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("_parts")).where(F.col("_parts") > 1)
+    chunk = F.pmod(F.xxhash64("query_id"), F.coalesce("_parts", F.lit(1))).alias("_chunk")
+    members = queries.join(frequent, "q", "left").groupBy("q", chunk).agg(F.collect_list(F.struct(*(c for c in queries.columns if c != "q"))).alias("members"))
+    d = stored(members.join(r.drop("query_id").join(others, "q", "left"), "q"))
+    d = dealt_join(d, _targets(aliases), "best", "left", ("q", "_chunk"))
+    return d.select("q", "canonical", "best", "members", _variants([F.col("q"), F.col("canonical")], F.col("targets"), F.col("others")).alias("variants"))
 
 
 def expand_terms(queries: DataFrame, aliases: DataFrame, entries: DataFrame, rewrites: DataFrame, specific: int = 2) -> DataFrame:
@@ -117,8 +126,8 @@ def expand_terms(queries: DataFrame, aliases: DataFrame, entries: DataFrame, rew
     for case count once. ``entries(term, concept_id)``. Equal queries are expanded once.
     """
     queries, aliases = checkpointed(queries.select("query_id", "q")), checkpointed(aliases)
-    variants = word_variants(queries, aliases, entries, rewrites, specific)
-    return dealt_join(queries, variants, "q", "inner").select("query_id", F.explode("variants").alias("x")).select("query_id", "x.term", "x.ord", "x.branch")
+    d = word_variants(queries, aliases, entries, rewrites, specific).select(F.explode("members").alias("m"), "variants")
+    return d.select("m.query_id", F.explode("variants").alias("x")).select("query_id", "x.term", "x.ord", "x.branch")
 
 
 def term_groups(queries: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -137,6 +146,6 @@ def resolve(queries: DataFrame, aliases: DataFrame, entries: DataFrame, rewrites
     n = queries.withColumn("n", tx.normalize_query_text(F.trim("q")))
     n = checkpointed(n.select("query_id", F.col("n.text").alias("q"), F.col("n.notes").alias("notes")))
     aliases = checkpointed(aliases)
-    variants = word_variants(n, aliases, entries, rewrites).select("q", F.transform("variants", lambda x: x.term).alias("variants"))
-    a = dealt_join(apply_alias(n, aliases), variants, "q", "inner")
-    return a.select("query_id", F.col("q").alias("requested"), F.col("text").alias("canonical"), F.array_compact(F.concat("notes", F.array("note"))).alias("notes"), "variants")
+    d = word_variants(n, aliases, entries, rewrites).where("size(variants) > 0").select(F.explode("members").alias("m"), F.col("q").alias("requested"), "canonical", "best", F.transform("variants", lambda x: x.term).alias("variants"))
+    note = F.when(F.col("canonical") != F.col("requested"), F.concat("best.nick", F.lit("→"), "canonical"))
+    return d.select("m.query_id", "requested", "canonical", F.array_compact(F.concat("m.notes", F.array(note))).alias("notes"), "variants")

@@ -400,3 +400,25 @@ def test_terms_of_several_words_meet_blocks_by_two_words(spark):
     scan, index = (rows(f(t, b), "query_id", "doc", "n", "positions") for f in (occurrences.scan_occurrences, occurrences.index_occurrences))
     assert scan == index and {d for q, d, *_ in index if q == 100} == {60, 61, 62, 63} and {d for q, d, *_ in index if q > 100} == {65, 66}
     assert occurrences.near_blocks(t, b).count() < 200 < occurrences.near_blocks(t, b, occurrences.block_grams(b)).count()
+
+
+def test_targets_join_where_variants_are_used(spark, monkeypatch):
+    """A nick of many targets, equal queries in several parts: the variants of a plain reading; targets are not sent on once for every query."""
+    monkeypatch.setattr(aliases, "DEALT", 3)
+    many = [f"T{i}" for i in range(30)] + ["t7", "peer"]
+    a = spark.createDataFrame([("big", many, 1), ("nick", ["one"], 2), ("xy", ["ONE", "two"], 3)], "nick string, targets array<string>, priority int")
+    asked = [(i, ["big", "BIG", "t7", "nick", "one", "none", " ", None][i % 8]) for i in range(64)]
+    q = spark.createDataFrame(asked, "query_id long, q string")
+    concepts = spark.createDataFrame([("One", "c"), ("uno", "c"), ("big", "d"), ("PEER", "d")], "term string, concept_id string")
+    found = aliases.expand_terms(q, a, concepts, spark.createDataFrame([("bi", 1, ["big", "bike"])], "phrase string, ord int, targets array<string>"))
+    assert "explode(targets" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {i: [] for i, _ in asked}
+    for i, _, t, branch in rows(found, "query_id", "ord", "term", "branch"):
+        got[i].append((t, branch))
+    ordered = [f"T{i}" for i in sorted(range(30), key=str)] + ["peer"]
+    targets = [(t, 2) for t in ordered if t != "T7"]
+    true = {
+        "big": [("big", 0), *sorted([("T7", 2), *targets]), ("bike", 3)], "BIG": [("BIG", 0), *sorted([("T7", 2), *targets])], "t7": [("t7", 0), *targets, ("big", 5)],
+        "nick": [("nick", 0), ("one", 1), ("uno", 4), ("xy", 5)], "one": [("one", 0), ("uno", 4), ("nick", 5), ("xy", 5)], "none": [("none", 0)], " ": [], None: [],
+    }
+    assert got == {i: true[t] for i, t in asked}
